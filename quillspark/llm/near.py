@@ -14,7 +14,7 @@ Equal texts are one class, found by digest; only one text of a class is compared
 a round compares all members with the one that has most bucket mates (an original has more than its edited
 copies); members that the links found so far already join aren't compared again.  Rounds go on, with twice
 as many chosen members each time, until every bucket lies in one group or all its pairs of different groups
-are compared, so nothing is capped and no bucket emits all its pairs.
+are compared or have total weights that rule the similarity out, so nothing is capped and no bucket emits all its pairs.
 
 Edge cases: null and wordless texts are never duplicates of another; a text of fewer than five words has one
 shingle of all its words; rows with a null doc_id are kept and have no class; a repeated doc_id with equal
@@ -25,44 +25,54 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.text import Words, mixed, slices, utf8
+from quillspark.llm.text import SLICE_BYTES, Words, mixed, slices, utf8
 from quillspark.llm.work import stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 DF_BITS = 18
 DF_BUCKETS = 1 << DF_BITS
+#: Chosen members of a bucket grow by this factor each round.
+GROWTH = 8
 #: Entries of the table of gamma and uniform draws that a shingle's hash picks from, and shingles sampled at a time.
 _DRAWS, _CHUNK = 1 << 16, 1 << 15
+#: How far above its expected logarithm a minimum may lie before all shingles of its text are looked at.
+_MARGIN = 2.0
+_ID_BITS = 44
 
 
 def _draw_table() -> np.ndarray:
-    """Columns r, beta, ln c with r, c ~ Gamma(2, 1) and beta ~ Uniform(0, 1)."""
+    """Rows r, beta, q = ln c - r with r, c ~ Gamma(2, 1) and beta ~ Uniform(0, 1), by ascending q."""
     rng = np.random.default_rng(20100615)
-    return np.stack([rng.gamma(2, 1, _DRAWS), rng.random(_DRAWS), np.log(rng.gamma(2, 1, _DRAWS))], 1).astype("<f4")
+    r, beta, c = rng.gamma(2, 1, _DRAWS), rng.random(_DRAWS), rng.gamma(2, 1, _DRAWS)
+    q = np.log(c) - r
+    return np.stack([r, beta, q])[:, np.argsort(q)].astype("<f4")
 
 
-_TABLE = _draw_table()
-_MULTIPLIERS = np.random.default_rng(41).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_R, _BETA, _Q = _draw_table()
+_RNG = np.random.default_rng(41)
+_FLIPS, _MULTIPLIERS = _RNG.integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
+_MULTIPLIERS |= np.uint32(1)
 
 
 def _sets(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different shingle hashes of each text in order, their occurrences, and bounds by text."""
+    """Different shingle ids of each text in order, their occurrences, and bounds by text.  An id is the hash's upper 44 bits."""
     s, bounds = words.shingles(words.hashes(), SHINGLE)
     n = len(bounds) - 1
-    text = np.repeat(np.arange(n), np.diff(bounds))
-    order = np.lexsort((s, text))
-    s, text = s[order], text[order]
-    new = np.concatenate([[True], (s[1:] != s[:-1]) | (text[1:] != text[:-1])]) if len(s) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    return s[at], np.diff(np.append(at, len(s))), np.searchsorted(text[at], np.arange(n + 1))
+    text = np.repeat(np.arange(n, dtype=np.uint64), np.diff(bounds))
+    keys = np.sort((text << np.uint64(_ID_BITS)) | (s >> np.uint64(64 - _ID_BITS)))
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    kept = keys[at]
+    edges = np.searchsorted(kept, np.arange(n + 1, dtype=np.uint64) << np.uint64(_ID_BITS))
+    return kept & np.uint64((1 << _ID_BITS) - 1), np.diff(np.append(at, len(keys))), edges
 
 
 def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - DF_BITS)).astype(np.int64)
+    return (s >> np.uint64(_ID_BITS - DF_BITS)).astype(np.int64)
 
 
 def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
@@ -89,35 +99,63 @@ def idf_weights(df: np.ndarray, docs: int) -> np.ndarray:
     return (1 + np.log(np.maximum((1 + docs) / (1 + df), 1)) / np.log(DF_BUCKETS)).astype("<f4")
 
 
-def band_keys(words: Words, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A key for each band of each text with words, and which texts these are."""
+def _ln_a(draw: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sample's value for a shingle and its quantised weight: t = floor(ln w / r + beta), ln a = ln c - r (t - beta) - r."""
+    r, beta = _R[draw], _BETA[draw]
+    t = np.floor(ln_w / r + beta)
+    return _Q[draw] - r * (t - beta), t
+
+
+def band_keys(words: Words, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A key for each band of each text with words, which texts these are, and their total weights.
+
+    A sample is the shingle with the least a.  As ln a >= q - ln w and the least a of a text of total weight
+    W is about 1 / W, only shingles with q - ln w up to a limit above -ln W are looked at; where the least
+    value found lies above the limit, which is rare, all are.
+    """
     s, tf, bounds = _sets(words)
-    logs = np.log(tf * idf[_bucket(s)]).astype("<f4")
+    weight = (tf * idf[_bucket(s)]).astype("<f4")
+    logs = np.log(weight)
     texts = np.flatnonzero(np.diff(bounds))
     edges = bounds[np.append(texts, texts[-1] + 1)] if len(texts) else np.zeros(1, np.int64)
+    totals = np.add.reduceat(weight.astype(float), edges[:-1]) if len(texts) else np.zeros(0)
+    h32 = (mixed(s) >> np.uint64(32)).astype(np.uint32)
     samples = np.zeros((len(texts), BANDS * ROWS), np.uint64)
     first = 0
     while first < len(texts):
         end = max(first + 1, int(np.searchsorted(edges, edges[first] + _CHUNK, "right")) - 1)
         a, z = edges[first], edges[end]
-        h, ln_w, at = s[a:z], logs[a:z], edges[first:end] - a
+        h, ln_w, at = h32[a:z], logs[a:z], edges[first:end] - a
         lengths = np.diff(np.append(at, z - a))
-        with np.errstate(over="ignore"):
-            for k in range(BANDS * ROWS):
-                draw = _TABLE[(h * _MULTIPLIERS[k]) >> np.uint64(48)]
-                r, beta = draw[:, 0], draw[:, 1]
-                t = np.floor(ln_w / r + beta)
-                ln_a = draw[:, 2] - r * (t - beta) - r
-                least = np.minimum.reduceat(ln_a, at)
-                hit = np.flatnonzero(ln_a == np.repeat(least, lengths))
-                hit = hit[np.searchsorted(hit, at)]  # the first, in hash order
-                samples[first:end, k] = mixed(h[hit] ^ mixed(t[hit].astype(np.int64).astype(np.uint64) + np.uint64(k << 32)))
+        limit = (-np.log(totals[first:end]) + _MARGIN).astype("<f4")
+        cut = np.repeat(np.searchsorted(_Q, limit + np.maximum.reduceat(ln_w, at), "right").clip(1, _DRAWS - 1).astype(np.uint16), lengths)
+        for k in range(BANDS * ROWS):
+            draw = (((h ^ _FLIPS[k]) * _MULTIPLIERS[k]) >> np.uint32(16)).astype(np.uint16)
+            looked = np.flatnonzero(draw < cut)
+            start = np.searchsorted(looked, at)
+            value, t = _ln_a(draw[looked], ln_w[looked])
+            n = np.diff(np.append(start, len(looked)))
+            least = np.full(len(at), np.inf, "<f4")
+            some = np.flatnonzero(n)
+            if len(some):
+                least[some] = np.minimum.reduceat(value, start[some])
+            hit = np.flatnonzero(value == np.repeat(least, n))
+            place = np.zeros(len(at), np.int64)
+            place[some] = hit[np.searchsorted(hit, start[some])]  # the first, in order of ids
+            chosen, level = np.zeros(len(at), np.uint64), np.zeros(len(at))
+            chosen[some], level[some] = s[a:z][looked[place[some]]], t[place[some]]
+            for i in np.flatnonzero(least >= limit):
+                every = slice(at[i], at[i] + lengths[i])
+                value, t = _ln_a(draw[every], ln_w[every])
+                j = int(np.argmin(value))
+                chosen[i], level[i] = s[a:z][every][j], t[j]
+            samples[first:end, k] = mixed(chosen ^ mixed(level.astype(np.int64).astype(np.uint64) + np.uint64(k << 32)))
         first = end
     keys = np.zeros((len(texts), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(ROWS):
             keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + samples[:, j::ROWS])
-    return keys, texts
+    return keys, texts, totals
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -128,15 +166,15 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / total) if total else 0.0
 
 
-def _pair_similarities(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
-    sides = []
-    for column in (left, right):
-        s, tf, bounds = _sets(Words(*utf8(column)))
-        sides.append((s, tf * idf[_bucket(s)].astype(float), bounds))
-    out = np.zeros(len(left))
-    for i in range(len(left)):
-        out[i] = weighted_jaccard(*((s[bounds[i] : bounds[i + 1]], w[bounds[i] : bounds[i + 1]]) for s, w, bounds in sides))
-    return out
+def _pair_similarities(batch: pa.RecordBatch, idf: np.ndarray) -> np.ndarray:
+    """Similarities of the texts of each row's nodes; the set of a node is made once."""
+    u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    nodes, at, which = np.unique(np.concatenate([u, v]), return_index=True, return_inverse=True)
+    column = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(at))
+    s, tf, bounds = _sets(Words(*utf8(column)))
+    w = tf * idf[_bucket(s)].astype(float)
+    one = lambda i: (s[bounds[i] : bounds[i + 1]], w[bounds[i] : bounds[i + 1]])
+    return np.array([weighted_jaccard(one(a), one(b)) for a, b in zip(which[: len(u)], which[len(u) :], strict=True)])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -146,16 +184,13 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            sizes = np.cumsum(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy().astype(np.int64))
             first = 0
             while first < batch.num_rows:  # few long texts or many short ones at a time
-                end = first + 1
-                size = 0
-                while end < batch.num_rows and end - first < 256 and size < 4 << 20:
-                    size += len(batch.column(2)[end].as_buffer()) + len(batch.column(3)[end].as_buffer())
-                    end += 1
+                base = sizes[first - 1] if first else 0
+                end = max(first + 1, int(np.searchsorted(sizes, base + SLICE_BYTES, "right")))
                 part = batch.slice(first, end - first)
-                ok = _pair_similarities(part.column(2), part.column(3), idf) >= SIMILARITY
-                yield part.select(["u", "v"]).filter(pa.array(ok))
+                yield part.select(["u", "v"]).filter(pa.array(_pair_similarities(part, idf) >= SIMILARITY))
                 first = end
 
     joined = pairs.join(a, "u").join(b, "v").select("u", "v", "left_text", "right_text")
@@ -188,23 +223,26 @@ def near_links(texts: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFrame
     def sample(batches):
         for b in batches:
             for first, end, data, offsets in slices(b.column(1)):
-                keys, which = band_keys(Words(data, offsets), idf)
+                keys, which, totals = band_keys(Words(data, offsets), idf)
                 nodes = b.column(0).slice(first, end - first).to_numpy(zero_copy_only=False)[which]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS), pa.int64()), pa.array((keys ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64).ravel())], ["node", "bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS), pa.int64()), pa.array(np.repeat(totals, BANDS)), pa.array((keys ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64).ravel())], ["node", "weight", "bucket"])
 
-    bands = stored(texts.select("node", "text").mapInArrow(sample, "node long, bucket long"), "bands")
+    bands = stored(texts.select("node", "text").mapInArrow(sample, "node long, weight double, bucket long"), "bands")
     shared = stored(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = stored(bands.join(shared, "bucket"), "members")
     mates = stored(members.groupBy("node").agg(F.sum("n").alias("mates")), "mates")
-    active = stored(members.join(mates, "node").select("bucket", "node", "mates", F.col("node").alias("label")), "active")
+    active = stored(members.join(mates, "node").select("bucket", "node", "weight", "mates", F.col("node").alias("label")), "active")
     links = spark.createDataFrame([], "u long, v long")
     labels = None
     tested = None
     turn = 0
     while True:
-        part = F.pmod(F.xxhash64("node"), F.lit(1 << turn))
-        chosen = stored(active.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("mates", -F.col("node"), "label")).alias("c")).select("bucket", (-F.col("c.col2")).alias("c_node"), F.col("c.label").alias("c_label")), "chosen")
-        pairs = active.join(chosen, "bucket").filter("label <> c_label").select(F.least("node", "c_node").alias("u"), F.greatest("node", "c_node").alias("v")).distinct()
+        part = F.pmod(F.xxhash64("node"), F.lit(GROWTH**turn))
+        best = F.max(F.struct("mates", -F.col("node"), "label", "weight")).alias("c")
+        chosen = stored(active.groupBy("bucket", part.alias("part")).agg(best).select("bucket", (-F.col("c.col2")).alias("c_node"), F.col("c.label").alias("c_label"), F.col("c.weight").alias("c_weight")), "chosen")
+        # the similarity is at most the quotient of the total weights
+        near = F.least("weight", "c_weight") >= F.greatest("weight", "c_weight") * (SIMILARITY - 1e-6)
+        pairs = active.join(chosen, "bucket").filter(near & (F.col("label") != F.col("c_label"))).select(F.least("node", "c_node").alias("u"), F.greatest("node", "c_node").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -215,12 +253,12 @@ def near_links(texts: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFrame
             labels = components(links)
         rest = active.join(chosen.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti").drop("label")
         if labels is not None:
-            rest = rest.join(labels, "node", "left").select("bucket", "node", "mates", F.coalesce("label", "node").alias("label"))
+            rest = rest.join(labels, "node", "left").select("bucket", "node", "weight", "mates", F.coalesce("label", "node").alias("label"))
         else:
             rest = rest.withColumn("label", F.col("node"))
         rest = stored(rest, "rest")
-        mixed_ones = stored(rest.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z").select("bucket"), "mixed")
-        active = stored(rest.join(mixed_ones, "bucket", "left_semi"), "active")
+        open_ones = stored(rest.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z").select("bucket"), "open")
+        active = stored(rest.join(open_ones, "bucket", "left_semi"), "active")
         if not active.limit(1).count():
             return links, labels
         turn += 1
