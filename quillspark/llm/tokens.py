@@ -6,6 +6,9 @@ follows another character that isn't a space is exact for the byte-level pattern
 from a visible character into white space, and none looks back); for the word-level pattern white
 space is never part of a token, so cutting at any space is.  A text that holds one of the
 tokenizer's special strings is encoded whole.
+
+Pieces that aren't in the cache are encoded many at a time, joined by a mark that the pre-tokeniser
+keeps apart from its neighbours; pieces that hold the mark themselves go one by one.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
 class PieceEncoder:
     """Text to token ids as little-endian unsigned 32-bit bytes."""
 
-    #: Pieces kept at a time; the cache starts anew beyond it.
-    CACHE = 400_000
+    #: Pieces in each of the two generations of the cache; the older one goes when the newer is full.
+    GENERATION = 500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,9 +42,14 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        probe = self.tokenizer.encode(" a", add_special_tokens=False).ids
-        self.spaced = probe != self.tokenizer.encode("a", add_special_tokens=False).ids
+        self.spaced = self._ids(" a") != self._ids("a")
+        self.mark, self.around = ("\n", "\n") if self.spaced else ("\x01", " \x01 ")
+        (self.mark_id,) = self._ids(self.mark)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
@@ -53,15 +61,31 @@ class PieceEncoder:
         first, *rest = text.split(" ")
         return [first, *map(" ".__add__, rest)]
 
+    def _encode_pieces(self, pieces: list[str]) -> None:
+        plain = [p for p in pieces if self.mark not in p and not any(x in p for x in self.special)]
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([self.around.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * 4).tolist()
+            if len(ends) != len(part):
+                self.cache.update((p, np.asarray(self._ids(p), "<u4").tobytes()) for p in part)
+                continue
+            data, start = ids.tobytes(), 0
+            for piece, end in zip(part, ends, strict=True):
+                self.cache[piece] = data[start:end]
+                start = end + 4
+        if len(plain) < len(pieces):
+            self.cache.update((p, np.asarray(self._ids(p), "<u4").tobytes()) for p in set(pieces).difference(plain))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
-        if len(self.cache) > self.CACHE:
-            self.cache.clear()
-        cache = self.cache
-        missing = list(set().union(*cut).difference(cache)) if cut else []
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[piece] = np.asarray(e.ids, "<u4").tobytes()
+        if len(self.cache) > self.GENERATION:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        missing = set().union(*cut).difference(cache) if cut else set()
+        if known := missing & older.keys():
+            cache.update((p, older[p]) for p in known)
+            missing -= known
+        self._encode_pieces(list(missing))
         get = cache.__getitem__
         return [b"".join(map(get, c)) for c in cut]
