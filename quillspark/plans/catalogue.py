@@ -1,5 +1,374 @@
-"""The named queries of the library on the given tables, each with its SQL."""
+"""The named queries of the library on the given tables, each with its SQL where SQL can express it.
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+documents are the passages (pid = doc_id, title = source), benchmark the questions.  In embeddings every vector
+whose id is divisible by 50 is a query with the three that follow as its sub-questions; these four aren't
+candidates for it, and its gold are the other vectors of its label.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quillspark.functions import intervals, text
+from quillspark.operators import graph, matching, metrics, rank
+
+FLAGSHIP = "recall_by_bucket"
+STEP, SUBQUESTIONS, K = 50, 3, 10
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pid"), F.col("source").alias("title"), "text")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, j, embedding, label): the query vector as j = 0 and its sub-questions."""
+    e = _table(spark, sf_dir, "embeddings")
+    return e.withColumn("j", (F.col("vec_id") % STEP).cast("int")).filter(F.col("j") <= SUBQUESTIONS).select((F.col("vec_id") - F.col("j")).alias("qid"), "j", "embedding", "label")
+
+
+def candidates(scores: DataFrame) -> DataFrame:
+    return scores.filter(~F.col("pid").between(F.col("qid"), F.col("qid") + SUBQUESTIONS))
+
+
+def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), "embedding")
+    return candidates(rank.dense_scores(items, vector_queries(spark, sf_dir)))
+
+
+def vector_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, gold, shape, n_hops); the arrays are as long as a label is frequent."""
+    q = vector_queries(spark, sf_dir).filter("j = 0").select("qid", "label")
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), "label")
+    gold = candidates(q.join(e, "label")).groupBy("qid").agg(F.sort_array(F.collect_list("pid")).alias("gold"))
+    return q.join(gold, "qid", "left").select("qid", F.coalesce("gold", F.array().cast("array<bigint>")).alias("gold"), (F.col("label") % 3).alias("shape"), (F.col("label") % 4 + 1).alias("n_hops"))
+
+
+def arms(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    s = vector_scores(spark, sf_dir)
+    return {"pooled": rank.top_k(rank.pooled(s), K), "max": rank.top_k(rank.sigma_max(s), K), "mean": rank.top_k(rank.fused_mean(s), K)}
+
+
+def arm_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold, out = vector_gold(spark, sf_dir), None
+    for name, ranking in arms(spark, sf_dir).items():
+        one = metrics.per_query(gold, ranking).withColumn("arm", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.select("qid", F.col("rank").cast("int").alias("rank"), "pid", "score")
+
+
+# ---- passages and text
+
+def passage_identity(spark, d):
+    p = passages(spark, d).withColumn("key", text.identity(F.col("title"), F.col("text")))
+    return matching.passage_index(p)
+
+
+def title_lookup(spark, d):
+    return matching.title_index(passages(spark, d)).select("title", F.size("pids").alias("n_pids"), "first_pid")
+
+
+def corpus_stats(spark, d):
+    p = passages(spark, d)
+    return p.agg(F.count("*").alias("passages"), F.sum(text.word_count(F.col("text"))).alias("words"), F.sum(text.sentence_estimate(F.col("text"))).alias("sentences"), F.countDistinct("title").alias("titles"), F.count_if(text.has_placeholder(F.col("text"))).alias("placeholders"))
+
+
+def norm_ascii(spark, d):
+    return passages(spark, d).select("pid", F.md5(text.ascii_normalised(F.col("text"))).alias("norm_md5"))
+
+
+def norm_question(spark, d):
+    return passages(spark, d).select("pid", F.md5(text.normalised("text")).alias("key_md5"))
+
+
+def content_counts(spark, d):
+    return passages(spark, d).select("pid", text.content_words(F.col("text")).alias("content"), F.size(text.entity_spans(F.col("text"))).alias("entities"))
+
+
+def gold_containment(spark, d):
+    items = questions(spark, d).select(F.col("qid").alias("item_id"), F.col("question").alias("text"))
+    return matching.contained(items, passages(spark, d).select("pid", "text"))
+
+
+# ---- rankings
+
+def bm25_topk(spark, d):
+    return _ranked(rank.bm25(passages(spark, d), questions(spark, d), 5))
+
+
+def hybrid_rrf(spark, d):
+    p, q = passages(spark, d), questions(spark, d)
+    return _ranked(rank.hybrid(rank.bm25(p, q, 15), rank.bm25(p, q, 15, text.STOPWORDS), 5))
+
+
+def rerank_overlap(spark, d):
+    p, q = passages(spark, d), questions(spark, d)
+    return _ranked(rank.reranked(rank.bm25(p, q, 20), q.select("qid", F.lit(0).alias("j"), F.col("question").alias("text")), p, 5))
+
+
+def dense_topk(spark, d):
+    return _ranked(rank.top_k(rank.pooled(vector_scores(spark, d)), K))
+
+
+def sigma_max_topk(spark, d):
+    return _ranked(rank.top_k(rank.sigma_max(vector_scores(spark, d)), K))
+
+
+def fusion_mean(spark, d):
+    return _ranked(rank.top_k(rank.fused_mean(vector_scores(spark, d)), K))
+
+
+def fusion_rrf(spark, d):
+    return _ranked(rank.fused_rrf(vector_scores(spark, d), K, 3 * K))
+
+
+def fact_minmax(spark, d):
+    return rank.min_max(rank.sigma_max(vector_scores(spark, d)))
+
+
+# ---- metrics
+
+def recall_by_bucket(spark, d):
+    return metrics.report(metrics.per_query(vector_gold(spark, d), arms(spark, d)["max"]), "shape", "n_hops")
+
+
+def paired_delta(spark, d):
+    return metrics.delta_table(arm_recalls(spark, d), "pooled", "shape")
+
+
+def best_over_views(spark, d):
+    """Recall when each query takes its best sub-question's own ranking."""
+    top = rank.top_k(vector_scores(spark, d), K, "qid", "j")
+    per = top.join(vector_gold(spark, d), "qid").groupBy("qid", "j").agg((F.count_if(F.array_contains("gold", F.col("pid"))) / F.nullif(F.first(F.size("gold")), F.lit(0))).alias("recall"))
+    return per.groupBy("qid").agg(F.round(F.max("recall"), 6).alias("recall"))
+
+
+def per_hop_recall(spark, d):
+    """Each sub-question's own gold: the first candidate of its label."""
+    q = vector_queries(spark, d).filter("j > 0")
+    e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"), "label")
+    hops = candidates(q.join(e, "label")).groupBy("qid", F.col("j").alias("hop")).agg(F.min("pid").alias("gold_pid"))
+    return metrics.hop_hits(hops, arms(spark, d)["max"])
+
+
+def option_recall(spark, d):
+    """Gold passages by containment, each with all documents that hold it as alternatives."""
+    options = gold_containment(spark, d).groupBy("item_id").agg(F.array(F.sort_array(F.collect_set("pid"))).alias("options"))
+    lists = metrics.as_lists(bm25_topk(spark, d))
+    q = questions(spark, d).join(options, F.col("qid") == F.col("item_id"), "left").join(lists, "qid", "left")
+    empty = F.array().cast("array<bigint>")
+    return q.select("qid", metrics.option_recall(F.coalesce("options", F.array().cast("array<array<bigint>>")), F.coalesce("ranked", empty), 5).alias("recall"))
+
+
+def bootstrap_ci(spark, d):
+    rows = metrics.paired(arm_recalls(spark, d), "pooled").select("arm", "k", F.col("qid").alias("ord"), F.col("delta").alias("value"))
+    return metrics.intervals(rows, "arm", "k")
+
+
+# ---- graphs
+
+def edge_weight(spark, d):
+    """Edges from each query vector to its best candidates, weighted by both ends' cosine to vector 0."""
+    e = _table(spark, d, "embeddings")
+    zero = e.filter("vec_id = 0").select(F.col("embedding").alias("q"))
+    sims = e.crossJoin(F.broadcast(zero)).select(F.col("vec_id").alias("node"), F.round(rank.cosine(F.col("embedding"), F.col("q")), 6).alias("sim"))  # one row
+    edges = dense_topk(spark, d).select(F.col("qid").alias("src"), F.col("pid").alias("dst"), F.col("score").alias("w"))
+    return rank.edge_weights(edges, sims)
+
+
+def pagerank_vectors(spark, d):
+    top = dense_topk(spark, d)
+    edges = top.filter("score > 0").select(F.col("qid").alias("src"), F.col("pid").alias("dst"), F.col("score").alias("w"))
+    reset = vector_queries(spark, d).filter("j = 0").select(F.lit(0).alias("qid"), F.col("qid").alias("node"), (F.col("label") + 1).cast("double").alias("weight"))
+    return graph.pagerank(edges, reset, rounds=3).select("node", F.round("score", 6).alias("score"))
+
+
+def _mentions(spark, d) -> DataFrame:
+    """(entity, sentence): capitalised spans of the benchmark's sentences."""
+    s = questions(spark, d).select("qid", F.posexplode(F.split("question", r"(?<=[.!?])\s")).alias("p", "s"))
+    return s.select((F.col("qid") * 1000 + F.col("p")).alias("sentence"), F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(r"([A-Za-z]{2,})"), F.lit(1)))).alias("entity"))
+
+
+def entity_spread(spark, d):
+    """Activation from the first word of each question over sentences that share words."""
+    m = _mentions(spark, d)
+    seeds = questions(spark, d).select("qid", F.regexp_extract("question", r"([A-Za-z]{2,})", 1).alias("entity"), F.lit(1.0).alias("score")).filter("entity <> ''")
+    sentences = m.groupBy("sentence").agg(F.count("*").alias("n"))
+    gates = seeds.select("qid").join(sentences.select("sentence", F.round(0.5 + 0.5 / F.col("n"), 6).alias("gate")), F.col("sentence").isNotNull())
+    return graph.spread(seeds, m, gates, threshold=0.5, rounds=2)
+
+
+def tier_histogram(spark, d):
+    return graph.tier_report(entity_spread(spark, d), questions(spark, d).select("qid", F.col("question").alias("text")))
+
+
+# ---- small literal inputs
+
+_COMPLETIONS = [
+    (1, "<|channel|>analysis<|message|>hm?<|end|><|start|>assistant<|channel|>final<|message|>Who is A?<|return|>"),
+    (2, "final<|message|>Who is B, the first?"),
+    (3, "analysisthinking?assistantfinalWho is C, the last?"),
+    (4, "analysis only, no end?"),
+    (5, "1. Where is the river?\n- Where is the river?\n2) When was it built?\nHere is a question?\nno mark\nWhy?\n* What is it called?"),
+]
+_RESOLVE = [(1, "Who wrote #1 in #2?", ["Dune #2", "1965"]), (2, "Where is #3?", ["x"]), (3, "#1 and #1", ["A"]), (4, "none", ["A"]), (5, "#0 of #12", ["A"])]
+_IDS = [("2hop__1_2",), ("musique_2hop__1_2",), ("musique_other",), ("noprefix",)]
+_CHUNKS = [("12:some: text",), (":x",), ("7",), ("a7:x",), ("003:x",)]
+_EVIDENCE = [(1, [["A", "director", "B"], ["B", "birthplace", "C"], ["D", "spouse", "B"]]), (2, [["X", "author", "X"], ["X", "author", "Y"]])]
+_SORTS = [(1, [3, 1, 4, 5, 2], [(1, 1, 3), (2, 2, 5)], 4), (2, [2, 1], [(2, 1, 2)], 1), (3, [5, 4, 3, 2, 1], [(1, 2, 4)], 3)]
+_INTERVALS = "1 1\n5 7\n7 5\n1 1000000000\n0 3\n2 1000000001"
+
+
+def harmony_final(spark, d):
+    return spark.createDataFrame(_COMPLETIONS, "id int, t string").select("id", text.final_answer(F.col("t")).alias("final"))
+
+
+def parsed_subquestions(spark, d):
+    return spark.createDataFrame(_COMPLETIONS, "id int, t string").select("id", F.array_join(text.parsed_questions(F.col("t")), "|").alias("questions"))
+
+
+def resolve_placeholders(spark, d):
+    return spark.createDataFrame(_RESOLVE, "id int, q string, a array<string>").select("id", text.resolved(F.col("q"), F.col("a")).alias("resolved"))
+
+
+def match_qid(spark, d):
+    ours = spark.createDataFrame([("2hop__1_2",), ("bridge_2hop__1_2",)], "qid string")
+    return matching.matched_ids(spark.createDataFrame(_IDS, "tid string"), ours)
+
+
+def chunk_ids(spark, d):
+    return spark.createDataFrame(_CHUNKS, "t string").select("t", text.chunk_id(F.col("t")).alias("id"))
+
+
+def bridge_questions(spark, d):
+    return matching.bridge_hops(spark.createDataFrame(_EVIDENCE, "qid int, evidences array<array<string>>"))
+
+
+def range_sort(spark, d):
+    rows = spark.createDataFrame(_SORTS, "id int, v array<int>, ops array<struct<c:int,l:int,r:int>>, x int")
+    return rows.select("id", intervals.place_after(F.col("v"), F.col("ops"), F.col("x")).alias("place"))
+
+
+def interval_constraints(spark, d):
+    rows = spark.createDataFrame([(i, *map(int, x.split())) for i, x in enumerate(_INTERVALS.split("\n"))], "id int, l long, r long")
+    return rows.select("id", ((F.col("l") >= 1) & (F.col("r") <= intervals.MAX_VALUE) & (F.col("l") <= F.col("r"))).alias("valid"))
+
+
+def rekey_collisions(spark, d):
+    """Documents as query sets of their own text, keyed by source: the last set wins."""
+    sets = passages(spark, d).select(F.col("title").alias("qkey"), F.col("pid").alias("ord"), F.array(F.md5("text")).alias("texts"))
+    return matching.rekeyed(sets).select("qkey", F.element_at("texts", 1).alias("last"), F.col("n_sets").alias("n_sets"))
+
+
+def views_regex(spark, d):
+    return questions(spark, d).select("qid", F.posexplode(text.views("question")).alias("j", "view"))
+
+
+def views_shuffled(spark, d):
+    """Control: every question with another's views, by a keyed order (a question may keep its own)."""
+    q = questions(spark, d)
+    keyed = q.select("qid", F.row_number().over(W.orderBy("qid")).alias("n"))
+    other = q.select("question", F.row_number().over(W.orderBy(F.xxhash64(F.lit(0), "qid"), "qid")).alias("n"))
+    return keyed.join(other, "n").select("qid", text.views("question").alias("views"))
+
+
+_SAME = [
+    passage_identity, title_lookup, corpus_stats, norm_ascii, norm_question, content_counts, gold_containment, bm25_topk, hybrid_rrf, rerank_overlap,
+    dense_topk, sigma_max_topk, fusion_mean, fusion_rrf, fact_minmax, recall_by_bucket, paired_delta, best_over_views, per_hop_recall, option_recall, bootstrap_ci,
+    edge_weight, pagerank_vectors, entity_spread, tier_histogram, harmony_final, parsed_subquestions, resolve_placeholders, match_qid, chunk_ids, bridge_questions,
+    range_sort, interval_constraints, rekey_collisions, views_regex, views_shuffled,
+]
+QUERIES = {f.__name__: f for f in _SAME}
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+_VECTORS = """
+    q AS (SELECT vec_id - vec_id % 50 AS qid, CAST(vec_id % 50 AS INTEGER) AS j, embedding, label FROM embeddings WHERE vec_id % 50 <= 3),
+    s AS (SELECT q.qid, q.j, e.vec_id AS pid, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
+          FROM q, embeddings e WHERE e.vec_id NOT BETWEEN q.qid AND q.qid + 3),
+    smax AS (SELECT qid, pid, max(score) AS score FROM s GROUP BY ALL),
+    smean AS (SELECT qid, pid, round(avg(score), 8) AS score FROM s GROUP BY ALL),
+    gold AS (SELECT q.qid, e.vec_id AS pid FROM q JOIN embeddings e ON e.label = q.label WHERE q.j = 0 AND e.vec_id NOT BETWEEN q.qid AND q.qid + 3),
+    qs AS (SELECT qid, label % 3 AS shape, label % 4 + 1 AS n_hops FROM q WHERE j = 0),
+    ks AS (SELECT unnest([2, 5, 10]) AS k)"""
+_TOP = "SELECT qid, CAST(r - 1 AS INTEGER) AS rank, pid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS r FROM {0}) AS x WHERE r <= {1}"
+_RECALLS = "SELECT qs.*, ks.k, (SELECT count(*) FROM gold WHERE gold.qid = qs.qid) AS g, (SELECT count(*) FROM gold JOIN {0} t ON t.qid = gold.qid AND t.pid = gold.pid WHERE gold.qid = qs.qid AND t.rank < ks.k) AS h FROM qs, ks"
+
+
+def _bm25_sql(name: str, k: int, stop: bool) -> str:
+    kept = f"WHERE term NOT IN ({_STOP})" if stop else ""
+    w = lambda c: f"regexp_extract_all(lower({c}), '[a-z0-9à-öø-ÿ_]{{2,}}')"
+    return f"""
+    {name}t AS (SELECT pid, term FROM (SELECT doc_id AS pid, unnest({w('text')}) AS term FROM documents) AS x {kept}),
+    {name}l AS (SELECT doc_id AS pid, len(list_filter({w('text')}, lambda z: {'z NOT IN (' + _STOP + ')' if stop else 'true'})) AS dl FROM documents),
+    {name}q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({w('text')}) AS term FROM benchmark) AS x {kept} GROUP BY ALL),
+    {name}f AS (SELECT pid, term, count(*) AS tf FROM {name}t GROUP BY ALL),
+    {name}d AS (SELECT term, count(*) AS df FROM {name}f GROUP BY ALL),
+    {name}c AS (SELECT count(*) AS n, avg(dl) AS a FROM {name}l),
+    {name}s AS (SELECT q.qid, f.pid, round(sum(q.qtf * ln(1 + (c.n - d.df + 0.5) / (d.df + 0.5)) * f.tf / (f.tf + 1.5 * (1 - 0.75 + 0.75 * l.dl / c.a))), 6) AS score
+        FROM {name}q q JOIN {name}f f USING (term) JOIN {name}d d USING (term) JOIN {name}l l ON l.pid = f.pid, {name}c c GROUP BY ALL),
+    {name} AS ({_TOP.format(name + 's', k)})"""
+
+
+def _values(rows) -> str:
+    def lit(v):
+        if isinstance(v, list):
+            return "[" + ", ".join(map(lit, v)) + "]"
+        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
+
+
+_FINAL = r"""CASE WHEN regexp_matches(t, '(?s)<\|channel\|>final<\|message\|>(.*?)(<\|return\|>|<\|end\|>|$)') THEN regexp_extract(t, '(?s)<\|channel\|>final<\|message\|>(.*?)(<\|return\|>|<\|end\|>|$)', 1)
+    WHEN contains(t, 'final<|message|>') THEN substr(t, strpos(t, 'final<|message|>') + 16) WHEN contains(t, 'assistantfinal') THEN list_last(string_split(t, 'assistantfinal'))
+    WHEN regexp_matches(t, '^\s*analysis\b') THEN '' ELSE regexp_replace(t, '<\|[^|]*\|>', '', 'g') END"""
+_NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+_CONTAINED = f"""
+    p AS (SELECT item_id, {_NORM.format('text')} AS p FROM benchmark), c AS (SELECT doc_id AS pid, {_NORM.format('text')} AS c FROM documents),
+    pr AS (SELECT item_id, w, left(p, w) AS probe FROM p, (SELECT unnest([90, 60, 40]) AS w) AS ws WHERE length(p) >= w),
+    ht AS (SELECT item_id, w, pid FROM pr JOIN c ON contains(c, probe)),
+    cont AS (SELECT DISTINCT item_id, pid FROM ht WHERE w = (SELECT max(w) FROM ht h WHERE h.item_id = ht.item_id))"""
+
+ORACLE_SQL = {
+    "passage_identity": "SELECT md5(source || '||' || text) AS key, max(doc_id) AS pid FROM documents GROUP BY 1",
+    "title_lookup": "SELECT source AS title, CAST(count(DISTINCT doc_id) AS INTEGER) AS n_pids, min(doc_id) AS first_pid FROM documents GROUP BY 1",
+    "corpus_stats": r"SELECT count(*) AS passages, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words, CAST(sum(len(regexp_extract_all(text, '[.!?]+\s')) + 1) AS BIGINT) AS sentences, count(DISTINCT source) AS titles, count(*) FILTER (regexp_matches(text, '#[0-9]')) AS placeholders FROM documents",
+    "norm_ascii": f"SELECT doc_id AS pid, md5({_NORM.format('text')}) AS norm_md5 FROM documents",
+    "norm_question": r"SELECT doc_id AS pid, md5(trim(regexp_replace(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS key_md5 FROM documents",
+    "content_counts": rf"SELECT doc_id AS pid, CAST(len(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9'']+'), lambda w: w NOT IN ({_STOP}))) AS INTEGER) AS content, CAST(len(sp) - CASE WHEN len(sp) > 0 AND starts_with(text, sp[1]) AND lower(sp[1]) IN ({_STOP}) THEN 1 ELSE 0 END AS INTEGER) AS entities FROM (SELECT doc_id, text, regexp_extract_all(text, '\b([A-Z][a-z0-9]+(?:\s+(?:of|the|de|and)?\s*[A-Z][a-z0-9]+)*)', 1) AS sp FROM documents) AS x",
+    "gold_containment": f"WITH {_CONTAINED} SELECT * FROM cont",
+    "bm25_topk": f"WITH {_bm25_sql('b', 5, False)} SELECT * FROM b",
+    "hybrid_rrf": f"WITH {_bm25_sql('x1', 15, False)}, {_bm25_sql('x2', 15, True)}, u AS (SELECT qid, 0 AS l, rank, pid FROM x1 UNION ALL SELECT qid, 1, rank, pid FROM x2), f AS (SELECT qid, pid, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score, min(l * 1000 + rank) AS seen FROM u GROUP BY ALL) SELECT qid, CAST(r - 1 AS INTEGER) AS rank, pid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS r FROM f) AS x WHERE r <= 5",
+    "rerank_overlap": f"WITH {_bm25_sql('b', 20, False)}, w AS (SELECT b.qid, b.pid, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9à-öø-ÿ_]{{2,}}')) AS qw, list_distinct(regexp_extract_all(lower(p.text), '[a-z0-9à-öø-ÿ_]{{2,}}')) AS pw FROM b JOIN benchmark q ON q.item_id = b.qid JOIN documents p ON p.doc_id = b.pid), s AS (SELECT qid, pid, round(len(list_intersect(qw, pw)) / len(qw)::DOUBLE, 6) AS score FROM w) {_TOP.format('s', 5)}",
+    "dense_topk": f"WITH {_VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0) {_TOP.format('z', K)}",
+    "sigma_max_topk": f"WITH {_VECTORS} {_TOP.format('smax', K)}",
+    "fusion_mean": f"WITH {_VECTORS} {_TOP.format('smean', K)}",
+    "fusion_rrf": f"WITH {_VECTORS}, t AS (SELECT *, row_number() OVER (PARTITION BY qid, j ORDER BY score DESC, pid) - 1 AS rank FROM s), f AS (SELECT qid, pid, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score, min(j * 1000 + rank) AS seen FROM t WHERE rank < 30 GROUP BY ALL) SELECT qid, CAST(r - 1 AS INTEGER) AS rank, pid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS r FROM f) AS x WHERE r <= {K}",
+    "fact_minmax": f"WITH {_VECTORS} SELECT qid, pid, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) END AS score FROM smax WINDOW w AS (PARTITION BY qid)",
+    "recall_by_bucket": f"WITH {_VECTORS}, t AS ({_TOP.format('smax', K)}), r AS ({_RECALLS.format('t')}) SELECT CASE WHEN grouping(shape) = 0 THEN 'shape' WHEN grouping(n_hops) = 0 THEN 'n_hops' ELSE 'overall' END AS section, CASE WHEN grouping(shape) = 0 THEN CAST(shape AS VARCHAR) WHEN grouping(n_hops) = 0 THEN CAST(n_hops AS VARCHAR) ELSE '' END AS bucket, k, round(avg(h / nullif(g, 0)::DOUBLE), 6) AS mean, count(nullif(g, 0)) AS n, count(*) AS n_all FROM r GROUP BY GROUPING SETS ((k), (k, shape), (k, n_hops)) HAVING count(nullif(g, 0)) > 0 OR (grouping(shape) = 1 AND grouping(n_hops) = 1)",
+    "paired_delta": f"WITH {_VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), tp AS ({_TOP.format('z', K)}), tm AS ({_TOP.format('smax', K)}), ta AS ({_TOP.format('smean', K)}), rp AS ({_RECALLS.format('tp')}), rm AS ({_RECALLS.format('tm')}), ra AS ({_RECALLS.format('ta')}), d AS (SELECT 'max' AS arm, rm.k, rm.shape, rm.h / nullif(rm.g, 0)::DOUBLE - rp.h / nullif(rp.g, 0)::DOUBLE AS delta FROM rm JOIN rp USING (qid, k) UNION ALL SELECT 'mean', ra.k, ra.shape, ra.h / nullif(ra.g, 0)::DOUBLE - rp.h / nullif(rp.g, 0)::DOUBLE FROM ra JOIN rp USING (qid, k)) SELECT arm, k, coalesce(CAST(shape AS VARCHAR), 'all') AS bucket, round(avg(delta), 6) AS delta, count(*) AS n FROM d WHERE delta IS NOT NULL GROUP BY GROUPING SETS ((arm, k), (arm, k, shape))",
+    "best_over_views": f"WITH {_VECTORS}, t AS (SELECT *, row_number() OVER (PARTITION BY qid, j ORDER BY score DESC, pid) AS r FROM s), gc AS (SELECT qid, count(*) AS g FROM gold GROUP BY ALL), p AS (SELECT t.qid, t.j, count(gold.pid) / max(gc.g)::DOUBLE AS recall FROM t LEFT JOIN gold ON gold.qid = t.qid AND gold.pid = t.pid LEFT JOIN gc ON gc.qid = t.qid WHERE r <= {K} GROUP BY ALL) SELECT qid, round(max(recall), 6) AS recall FROM p GROUP BY ALL",
+    "per_hop_recall": f"WITH {_VECTORS}, t AS ({_TOP.format('smax', K)}), hp AS (SELECT q.qid, q.j AS hop, min(e.vec_id) AS pid FROM q JOIN embeddings e ON e.label = q.label WHERE q.j > 0 AND e.vec_id NOT BETWEEN q.qid AND q.qid + 3 GROUP BY ALL) SELECT hop, k, round(avg(CASE WHEN t.rank < k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS mean, count(*) AS n FROM hp LEFT JOIN t ON t.qid = hp.qid AND t.pid = hp.pid, ks GROUP BY ALL",
+    "option_recall": f"WITH {_CONTAINED}, {_bm25_sql('b', 5, False)} SELECT item_id AS qid, CASE WHEN item_id IN (SELECT item_id FROM cont) THEN CASE WHEN EXISTS (SELECT 1 FROM cont JOIN b ON b.qid = cont.item_id AND b.pid = cont.pid WHERE cont.item_id = benchmark.item_id) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS recall FROM benchmark",
+    "edge_weight": f"WITH {_VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), t AS ({_TOP.format('z', K)}), m AS (SELECT e.vec_id AS node, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])), 6) AS sim FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS o) SELECT t.qid AS src, t.pid AS dst, round(t.score * a.sim * b.sim, 6) AS w FROM t JOIN m a ON a.node = t.qid JOIN m b ON b.node = t.pid",
+    "harmony_final": f"SELECT id, {_FINAL} AS final FROM {_values(_COMPLETIONS)} AS v(id, t)",
+    "parsed_subquestions": rf"WITH f AS (SELECT id, {_FINAL} AS f FROM {_values(_COMPLETIONS)} AS v(id, t)), l AS (SELECT id, p, trim(regexp_replace(trim(x), '^\s*([-*•]|[0-9]+[.)])\s*', '')) AS x FROM (SELECT id, unnest(string_split(f, chr(10))) AS x, generate_subscripts(string_split(f, chr(10)), 1) AS p FROM f) AS y), k AS (SELECT id, x, min(p) AS p FROM l WHERE length(x) BETWEEN 8 AND 200 AND ends_with(x, '?') AND NOT regexp_matches(lower(x), '^(here|sure|sub-question|output)') AND NOT contains(x, 'assistantfinal') AND NOT contains(x, '<|') GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS r FROM k) SELECT f.id, coalesce(string_agg(n.x, '|' ORDER BY n.p), '') AS questions FROM f LEFT JOIN n ON n.id = f.id AND n.r <= 6 GROUP BY f.id",
+    "resolve_placeholders": rf"WITH v AS (SELECT * FROM {_values(_RESOLVE)} AS v(id, q, a)), p AS (SELECT id, a, unnest(regexp_extract_all(q, '#[0-9]|[^#]+|#')) AS x, generate_subscripts(regexp_extract_all(q, '#[0-9]|[^#]+|#'), 1) AS i FROM v) SELECT id, string_agg(CASE WHEN regexp_matches(x, '^#[1-9]$') THEN coalesce(a[CAST(substr(x, 2) AS INTEGER)], x) ELSE x END, '' ORDER BY i) AS resolved FROM p GROUP BY id",
+    "match_qid": f"WITH o AS (SELECT unnest(['2hop__1_2', 'bridge_2hop__1_2']) AS qid), t AS (SELECT col0 AS tid FROM {_values(_IDS)}) SELECT tid, coalesce(a.qid, b.qid) AS qid FROM t LEFT JOIN o a ON a.qid = tid LEFT JOIN o b ON strpos(tid, '_') > 0 AND b.qid = substr(tid, strpos(tid, '_') + 1)",
+    "chunk_ids": f"SELECT col0 AS t, TRY_CAST(regexp_extract(col0, '^([0-9]+):', 1) AS BIGINT) AS id FROM {_values(_CHUNKS)}",
+    "bridge_questions": f"WITH v AS (SELECT * FROM {_values(_EVIDENCE)} AS v(qid, e)), s AS (SELECT qid, e, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v), m AS (SELECT qid, i, x, (SELECT min(j) FROM (SELECT unnest(range(1, i)) AS j) AS r WHERE e[j][3] = x[1]) AS b FROM s) SELECT qid, CAST(i AS INTEGER) AS hop, 'What is the ' || x[2] || ' of ' || coalesce('#' || b, x[1]) || '?' AS question, x[3] AS answer FROM m",
+    "interval_constraints": f"SELECT id, l >= 1 AND r <= 1000000000 AND l <= r AS valid FROM {_values([(i, *map(int, x.split())) for i, x in enumerate(_INTERVALS.splitlines())])} AS v(id, l, r)",
+    "rekey_collisions": "SELECT source AS qkey, md5(max_by(text, doc_id)) AS last, count(DISTINCT text) AS n_sets FROM documents GROUP BY 1",
+}
