@@ -16,7 +16,7 @@ def documents(spark, extra=()):
     words = base.split()
     near = list(words)
     near[150] = "changed"
-    texts = [None, "", "   \n ", "one", "One ONE one.", base, base, " ".join(near), prose(rng, 20), "a  b   c\n\n  d \t e", "x<|endoftext|>y", "naïve café – “quoted” 日本語 text", prose(rng, 20_000), *extra]
+    texts = [None, "", "   \n ", "one", "One ONE one.", base, base, " ".join(near), prose(rng, 20), "a  b   c\n\n  d \t e", "x<|endoftext|>y", "naïve café – “quoted” 日本語 text", prose(rng, 5_000), *extra]
     rows = [(i, t, "en", "src0", len(t or ""), "x", i, "d") for i, t in enumerate(texts)]
     rows.append(rows[5])
     rows.append((None, "no id here", None, None, None, None, None, None))
