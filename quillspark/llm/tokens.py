@@ -34,7 +34,7 @@ class PieceEncoder:
     """Text to token ids as little-endian unsigned 32-bit bytes."""
 
     #: Pieces in each of the two generations of the cache; the older one goes when the newer is full.
-    GENERATION = 500_000
+    GENERATION = 800_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
