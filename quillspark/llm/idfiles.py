@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.tokens import PieceEncoder, tokenizer_path
+from quillspark.llm.tokens import tokenizer_path, worker_encoder
 from quillspark.llm.work import AtomicFile, opened, shared_folder
 
 MAGIC, BLOCK, END_ID = b"QSIDS001", 4096, 1
@@ -134,7 +134,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, tokeni
     path = tokenizer_path(vocabulary, tokenizers)
 
     def write(batches):
-        encoder, out = PieceEncoder(path), None
+        encoder, out = worker_encoder(path), None
         bits = bits_for(encoder.tokenizer.get_vocab_size())
         end = np.asarray([END_ID], "<u4").tobytes()
         part = TaskContext.get().partitionId()

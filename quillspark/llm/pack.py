@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.text import Words, mixed, slices
-from quillspark.llm.tokens import PieceEncoder, tokenizer_path
+from quillspark.llm.tokens import tokenizer_path, worker_encoder
 from quillspark.llm.work import stored
 
 SEQUENCE, END_ID = 2048, 1
@@ -79,7 +79,7 @@ def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY, tokenizers: str | N
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
-        encoder = PieceEncoder(path)
+        encoder = worker_encoder(path)
         kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         row, end = TaskContext.get().partitionId() << 36, np.asarray([END_ID], kind).tobytes()
         for b in batches:

@@ -1,24 +1,44 @@
 """Exact, cached tokenising of whole texts with the ``tokenizers`` library.
 
 Texts repeat their words, so a text is cut where the pre-tokeniser must cut anyway, and each
-different piece is encoded once for as long as the cache holds it.  Cutting before a space that
-follows another character that isn't a space is exact for the byte-level pattern (no match runs
-from a visible character into white space, and none looks back); for the word-level pattern white
-space is never part of a token, so cutting at any space is.  A text that holds one of the
-tokenizer's special strings is encoded whole.
-
-Pieces that aren't in the cache are encoded many at a time, joined by a mark that the pre-tokeniser
-keeps apart from its neighbours; pieces that hold the mark themselves go one by one.
+different piece is encoded once for as long as the cache holds it.  For the byte-level pattern a cut is exact
+before a space that follows another character that isn't a space (no match runs from a visible
+character into white space, and none looks back), and on both sides of a newline that has no other white
+space beside it; for the word-level pattern white space is never part of a token, so cutting at any space
+or newline is.  A text that holds one of the tokenizer's special strings is encoded whole.
+
+A piece that isn't in the cache is put together from a stem and the punctuation at its end, where the
+stem ends in a Latin letter or a digit: both patterns cut there.  Of stems and ends that aren't in the cache either, words
+of Latin-1 letters, which are one pre-token and need no normalising but lower case, go straight to the
+tokenizer's model; others are encoded many at a time, joined by a mark that the pre-tokeniser keeps apart from
+its neighbours; those that hold the mark themselves, or white space that could run into it, go one by one.
+
+A Python worker keeps its encoder, and so its cache, from task to task.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import string
 
 import numpy as np
 
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
+_BESIDE_NEWLINE = re.compile(r"\s\n|\n\s")
+#: Letters and digits of which every Unicode version says so: ASCII and Latin up to U+024F.
+_LATIN = frozenset(c for c in map(chr, range(0x250)) if c in string.ascii_letters + string.digits or (c >= "\xc0" and c.isalpha() and len(c.lower()) == 1))
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Longer pieces, such as texts that are encoded whole, don't stay in the cache.
+_LONG = 128
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level pre-tokeniser's letter for each byte: visible Latin-1 characters stand for themselves, the others follow from U+0100."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -34,7 +54,7 @@ class PieceEncoder:
     """Text to token ids as little-endian unsigned 32-bit bytes."""
 
     #: Pieces in each of the two generations of the cache; the older one goes when the newer is full.
-    GENERATION = 800_000
+    GENERATION = 500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,6 +65,7 @@ class PieceEncoder:
         self.spaced = self._ids(" a") != self._ids("a")
         self.mark, self.around = ("\n", "\n") if self.spaced else ("\x01", " \x01 ")
         (self.mark_id,) = self._ids(self.mark)
+        self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -55,37 +76,85 @@ class PieceEncoder:
         if any(s in text for s in self.special):
             return [text]
         if not self.spaced:
-            return text.split(" ")
-        if "  " in text:
+            return text.replace("\n", " ").split(" ")
+        if "  " in text or "\0" in text:
             return _BEFORE_SPACE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
-
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if self.mark not in p and not any(x in p for x in self.special)]
+        cut = text.replace(" ", "\0 ")
+        if "\n" in text and not _BESIDE_NEWLINE.search(text):
+            cut = cut.replace("\n", "\0\n\0")
+        return cut.split("\0")
+
+    def _one(self, piece: str) -> bytes:
+        return np.asarray(self._ids(piece), "<u4").tobytes()
+
+    def _joinable(self, piece: str) -> bool:
+        return bool(piece) and not piece[-1].isspace() and not piece[:2].isspace() and self.mark not in piece and not any(x in piece for x in self.special)
+
+    def _encode_words(self, words: list[str]) -> None:
+        tokenize, letters, ids, ends = self.tokenizer.model.tokenize, self.letters, [], []
+        for w in words if self.spaced else map(str.lower, words):
+            ids += [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]
+            ends.append(4 * len(ids))
+        data, start = np.asarray(ids, "<u4").tobytes(), 0
+        for w, end in zip(words, ends, strict=True):
+            self.cache[w] = data[start:end]
+            start = end
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        self._encode_words(words := [p for p in parts if _WORD(p) and len(p) <= _LONG])
+        parts = [p for p in parts if p not in self.cache] if words else parts
+        plain = [p for p in parts if self._joinable(p)]
         for i in range(0, len(plain), 4096):
             part = plain[i : i + 4096]
             ids = np.asarray(self.tokenizer.encode_batch_fast([self.around.join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * 4).tolist()
             if len(ends) != len(part):
-                self.cache.update((p, np.asarray(self._ids(p), "<u4").tobytes()) for p in part)
+                self.cache.update((p, self._one(p)) for p in part)
                 continue
             data, start = ids.tobytes(), 0
             for piece, end in zip(part, ends, strict=True):
                 self.cache[piece] = data[start:end]
                 start = end + 4
-        if len(plain) < len(pieces):
-            self.cache.update((p, np.asarray(self._ids(p), "<u4").tobytes()) for p in set(pieces).difference(plain))
+        if len(plain) < len(parts):
+            self.cache.update((p, self._one(p)) for p in set(parts).difference(plain))
+
+    def _add(self, pieces: set[str]) -> None:
+        """Put the pieces, and the parts they are made of, in the cache."""
+        cache, older = self.cache, self.older
+        made, parts = [], set()
+        for piece in pieces:
+            if (known := older.get(piece)) is not None:
+                cache[piece] = known
+                continue
+            stem = piece.rstrip(string.punctuation)
+            if len(stem) < len(piece) <= _LONG and stem and stem[-1] in _LATIN and not any(x in piece for x in self.special):
+                end = piece[len(stem) :]
+                made.append((piece, stem, end))
+                parts.update((stem, end))
+            else:
+                parts.add(piece)
+        parts.difference_update(cache)
+        if known := parts & older.keys():
+            cache.update((p, older[p]) for p in known)
+            parts -= known
+        self._encode_parts(list(parts))
+        cache.update((piece, cache[stem] + cache[end]) for piece, stem, end in made)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
         if len(self.cache) > self.GENERATION:
             self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        missing = set().union(*cut).difference(cache) if cut else set()
-        if known := missing & older.keys():
-            cache.update((p, older[p]) for p in known)
-            missing -= known
-        self._encode_pieces(list(missing))
-        get = cache.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        missing = set().union(*cut).difference(self.cache)
+        self._add(missing)
+        get = self.cache.__getitem__
+        out = [b"".join(map(get, c)) for c in cut]
+        for piece in missing:
+            if len(piece) > _LONG:
+                del self.cache[piece]
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str) -> PieceEncoder:
+    """The encoder of this process."""
+    return PieceEncoder(path)
