@@ -12,7 +12,7 @@ copies share.
 
 Equal texts are one class, found by digest; only one text of a class is compared.  Within a band's bucket
 a round compares all members with the one that has most bucket mates (an original has more than its edited
-copies); members that the links found so far already join aren't compared again.  Rounds go on, with twice
+copies); members that the links found so far already join aren't compared again.  Rounds go on, with GROWTH times
 as many chosen members each time, until every bucket lies in one group or all its pairs of different groups
 are compared or have total weights that rule the similarity out, so nothing is capped and no bucket emits all its pairs.
 
@@ -23,6 +23,8 @@ text has a row for each of its rows; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,7 +39,7 @@ BANDS, ROWS = 16, 4
 DF_BITS = 18
 DF_BUCKETS = 1 << DF_BITS
 #: Chosen members of a bucket grow by this factor each round.
-GROWTH = 8
+GROWTH = 64
 #: Entries of the table of gamma and uniform draws that a shingle's hash picks from, and shingles sampled at a time.
 _DRAWS, _CHUNK = 1 << 16, 1 << 15
 #: How far above its expected logarithm a minimum may lie before all shingles of its text are looked at.
@@ -197,21 +199,22 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return joined.mapInArrow(run, "u long, v long")
 
 
-def components(links: DataFrame, stored_as: str = "labels") -> DataFrame:
+def components(links: DataFrame, stored_as: str = "labels", rounds: int | None = None) -> DataFrame:
     """node, label for each linked node: the least node of its component.
 
     A round takes the least label of the neighbours, then that of the label itself; it is written, so a
     lost executor repeats no earlier round.  The number of rounds grows with the logarithm of a chain.
+    After ``rounds`` rounds, if given, a label may still be that of another node of the component.
     """
     both = stored(links.select("u", "v").union(links.select("v", "u")).toDF("u", "v").distinct(), "edges")
     labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), stored_as)
-    while True:
+    for turn in itertools.count(1):
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("m"))
         own = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         step = stored(own, stored_as)
         jump = step.select(F.col("node").alias("j"), F.col("label").alias("jl"))
         labels = stored(step.join(jump, F.col("label") == F.col("j")).select("node", "was", F.least("label", "jl").alias("label")), stored_as)
-        if not labels.filter("label <> was").limit(1).count():
+        if turn == rounds or not labels.filter("label <> was").limit(1).count():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
 
@@ -250,17 +253,17 @@ def near_links(texts: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFrame
         found = stored(verified(pairs, texts, idf), "links")
         if found.limit(1).count():
             links = links.union(found)
-            labels = components(links)
+            labels = components(links, rounds=1)  # which pairs are joined already; some may be missed and are compared
         rest = active.join(chosen.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti").drop("label")
         if labels is not None:
             rest = rest.join(labels, "node", "left").select("bucket", "node", "weight", "mates", F.coalesce("label", "node").alias("label"))
         else:
             rest = rest.withColumn("label", F.col("node"))
         rest = stored(rest, "rest")
-        open_ones = stored(rest.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z").select("bucket"), "open")
+        open_ones = rest.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z").select("bucket")
         active = stored(rest.join(open_ones, "bucket", "left_semi"), "active")
         if not active.limit(1).count():
-            return links, labels
+            return links, labels if labels is None else components(links)
         turn += 1
 
 
