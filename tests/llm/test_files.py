@@ -239,3 +239,15 @@ def test_chat_digests(spark, monkeypatch):
         loss = "".join(x for _, r, x in turns if r == "assistant")
         assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.digested(chat.formatted(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("name", [idfiles.VOCABULARY, pack.VOCABULARY])
+def test_cut_pieces_equal_whole_texts_on_random_strings(name):
+    rng = random.Random(7)
+    alphabet = [*" \n\t\r\0\x01\x1c.,'&%stlveABc12éñ̈Σ我 \xa0", "<|endoftext|>", "  ", "\n\n", "'s", "word", "ünd", "̸", "<", "=", "…", "ⅷ", "İ"]
+    e = PieceEncoder(tokenizer_path(name))
+    e.GENERATION = 3000  # both generations are used
+    for _ in range(50):
+        texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(60)]
+        for text, got in zip(texts, e.encode(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
