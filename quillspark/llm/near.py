@@ -10,11 +10,13 @@ size at every scale: idf = 1 + ln((1 + N) / (1 + df)) / ln(DF_BUCKETS), so weigh
 shingles differ by less than a factor of two and edits to many copies of a text don't outweigh what the
 copies share.
 
-Equal texts are one class, found by digest; only one text of a class is compared.  Within a band's bucket
-a round compares all members with the one that has most bucket mates (an original has more than its edited
-copies); members that the links found so far already join aren't compared again.  Rounds go on, with GROWTH times
-as many chosen members each time, until every bucket lies in one group or all its pairs of different groups
-are compared or have total weights that rule the similarity out, so nothing is capped and no bucket emits all its pairs.
+Equal texts are one class, found by digest; only one text of a class is compared.  First all members of a band's
+bucket are compared with the one that has most bucket mates (an original has more than its edited copies), which
+joins nearly all of a family.  In a bucket that these links leave in several groups, every member outside the largest
+group is then compared with every member of another group.  That goes by blocks: members are dealt to blocks of about BLOCK_BYTES, those
+that ask to parts of about ASK_BYTES, and a task compares one part with one block through an index of the block's
+shingles.  So nothing is capped, no bucket emits its pairs, and texts move once for each block and not for each pair.
+Of the links that a member has into one group a block reports one, which is all that groups need.
 
 Edge cases: null and wordless texts are never duplicates of another; a text of fewer than five words has one
 shingle of all its words; rows with a null doc_id are kept and have no class; a repeated doc_id with equal
@@ -38,8 +40,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 DF_BITS = 18
 DF_BUCKETS = 1 << DF_BITS
-#: Chosen members of a bucket grow by this factor each round.
-GROWTH = 64
+#: Bytes of text, about, that a block of members and a part of those compared with it hold; one longer text is a block alone.
+BLOCK_BYTES, ASK_BYTES = 1 << 20, 4 << 20
 #: Entries of the table of gamma and uniform draws that a shingle's hash picks from, and shingles sampled at a time.
 _DRAWS, _CHUNK = 1 << 16, 1 << 15
 #: How far above its expected logarithm a minimum may lie before all shingles of its text are looked at.
@@ -199,77 +201,128 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return joined.mapInArrow(run, "u long, v long")
 
 
-def components(links: DataFrame, stored_as: str = "labels", rounds: int | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, label for each linked node: the least node of its component.
 
     A round takes the least label of the neighbours, then that of the label itself; it is written, so a
     lost executor repeats no earlier round.  The number of rounds grows with the logarithm of a chain.
-    After ``rounds`` rounds, if given, a label may still be that of another node of the component.
     """
     both = stored(links.select("u", "v").union(links.select("v", "u")).toDF("u", "v").distinct(), "edges")
-    labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), stored_as)
-    for turn in itertools.count(1):
+    labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+    while True:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("m"))
         own = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        step = stored(own, stored_as)
+        step = stored(own, "labels")
         jump = step.select(F.col("node").alias("j"), F.col("label").alias("jl"))
-        labels = stored(step.join(jump, F.col("label") == F.col("j")).select("node", "was", F.least("label", "jl").alias("label")), stored_as)
-        if turn == rounds or not labels.filter("label <> was").limit(1).count():
+        labels = stored(step.join(jump, F.col("label") == F.col("j")).select("node", "was", F.least("label", "jl").alias("label")), "labels")
+        if not labels.filter("label <> was").limit(1).count():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
 
 
-def near_links(texts: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFrame | None]:
-    """Verified links between the nodes' texts and the components they make (None without links).  texts: stored node, text."""
-    spark = texts.sparkSession
+def _groups(batches, keys: int):
+    """The rows of equal values in the first ``keys`` columns, from batches in order of these."""
+    key, held = None, []
+    for b in batches:
+        k = np.stack([b.column(i).to_numpy() for i in range(keys)], 1)
+        edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1), len(k)]
+        for x, y in itertools.pairwise(edges):
+            if y > x:
+                if held and tuple(k[x]) != key:
+                    yield pa.concat_batches(held)
+                    held = []
+                key = tuple(k[x])
+                held.append(b.slice(x, y - x))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def block_links(asks: np.ndarray, labels: np.ndarray, texts: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """Pairs of different labels that a similar text of each links: rows that ask against the others, one pair for each row and label."""
+    if asks.all() or not asks.any():
+        return np.zeros((0, 2), np.int64)
+    _, _, data, offsets = next(slices(texts, 1 << 62))
+    s, tf, bounds = _sets(Words(data, offsets))
+    w = tf * idf[_bucket(s)].astype(float)
+    sizes = np.diff(bounds)
+    sums = np.concatenate([[0.0], np.cumsum(w)])
+    totals = sums[bounds[1:]] - sums[bounds[:-1]]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    entries = np.flatnonzero(~asks[row])
+    entries = entries[np.argsort(s[entries], kind="stable")]
+    shingles, owners, weights = s[entries], row[entries], w[entries]
+    found = []
+    for q in np.flatnonzero(asks):
+        own = slice(bounds[q], bounds[q + 1])
+        low = np.searchsorted(shingles, s[own], "left")
+        n = np.searchsorted(shingles, s[own], "right") - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(owners[at], np.minimum(weights[at], np.repeat(w[own], n)), len(sizes))
+        near = np.flatnonzero((shared > 0) & (shared >= SIMILARITY * (totals + totals[q] - shared)) & (labels != labels[q]))
+        found += [(labels[q], x) for x in np.unique(labels[near])]
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def _open_buckets(rest: DataFrame) -> DataFrame:
+    """bucket, top (the label of most members) and the numbers of blocks and parts, for one of the buckets of equal members in several groups."""
+    groups = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("sign"))
+    whole = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor("sign").alias("sign"), F.max(F.struct("n", "label", "bytes")).alias("top")).filter("groups > 1")
+    parts = lambda size, most: F.ceil(size / F.lit(most)).cast("long").alias("blocks" if most == BLOCK_BYTES else "parts")
+    one = whole.groupBy("sign", "n", "bytes").agg(F.min("bucket").alias("bucket"), F.first("top").alias("top"))  # equal members have equal groups
+    return one.select("bucket", F.col("top.label").alias("top"), parts(F.col("bytes"), BLOCK_BYTES), parts(F.col("bytes") - F.col("top.bytes"), ASK_BYTES))
+
+
+def _remaining_links(rest: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """u, v: labels that similar texts link, of all members of one bucket with different labels.  rest: bucket, node, label, size."""
+    rows = stored(rest.join(stored(_open_buckets(rest), "open"), "bucket").join(texts.select("node", "text"), "node"), "open-members")
+    deal = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["bucket", "block", "part", "asks", "label", "text"]
+    members = rows.withColumn("block", deal(1, F.col("blocks"))).withColumn("part", each("parts")).withColumn("asks", F.lit(False)).select(columns)
+    asking = rows.filter("label <> top").withColumn("part", deal(2, F.col("parts"))).withColumn("block", each("blocks")).withColumn("asks", F.lit(True)).select(columns)
+    keys = ["bucket", "block", "part"]
+    dealt = members.union(asking).repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        for g in _groups(batches, 3):
+            links = block_links(g.column(3).to_numpy(zero_copy_only=False), g.column(4).to_numpy(), g.column(5), idf)
+            if len(links):
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def near_groups(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """node, label for each text in a group of two or more: the least node of its group.  texts: stored node, text."""
 
     def sample(batches):
         for b in batches:
             for first, end, data, offsets in slices(b.column(1)):
                 keys, which, totals = band_keys(Words(data, offsets), idf)
                 nodes = b.column(0).slice(first, end - first).to_numpy(zero_copy_only=False)[which]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS), pa.int64()), pa.array(np.repeat(totals, BANDS)), pa.array((keys ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64).ravel())], ["node", "weight", "bucket"])
+                sizes = np.diff(offsets)[which]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS), pa.int64()), pa.array(np.repeat(totals, BANDS)), pa.array(np.repeat(sizes, BANDS), pa.int64()), pa.array((keys ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64).ravel())], ["node", "weight", "size", "bucket"])
 
-    bands = stored(texts.select("node", "text").mapInArrow(sample, "node long, weight double, bucket long"), "bands")
+    bands = stored(texts.select("node", "text").mapInArrow(sample, "node long, weight double, size long, bucket long"), "bands")
     shared = stored(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = stored(bands.join(shared, "bucket"), "members")
     mates = stored(members.groupBy("node").agg(F.sum("n").alias("mates")), "mates")
-    active = stored(members.join(mates, "node").select("bucket", "node", "weight", "mates", F.col("node").alias("label")), "active")
-    links = spark.createDataFrame([], "u long, v long")
-    labels = None
-    tested = None
-    turn = 0
-    while True:
-        part = F.pmod(F.xxhash64("node"), F.lit(GROWTH**turn))
-        best = F.max(F.struct("mates", -F.col("node"), "label", "weight")).alias("c")
-        chosen = stored(active.groupBy("bucket", part.alias("part")).agg(best).select("bucket", (-F.col("c.col2")).alias("c_node"), F.col("c.label").alias("c_label"), F.col("c.weight").alias("c_weight")), "chosen")
-        # the similarity is at most the quotient of the total weights
-        near = F.least("weight", "c_weight") >= F.greatest("weight", "c_weight") * (SIMILARITY - 1e-6)
-        pairs = active.join(chosen, "bucket").filter(near & (F.col("label") != F.col("c_label"))).select(F.least("node", "c_node").alias("u"), F.greatest("node", "c_node").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = stored(verified(pairs, texts, idf), "links")
-        if found.limit(1).count():
-            links = links.union(found)
-            labels = components(links, rounds=1)  # which pairs are joined already; some may be missed and are compared
-        rest = active.join(chosen.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti").drop("label")
-        if labels is not None:
-            rest = rest.join(labels, "node", "left").select("bucket", "node", "weight", "mates", F.coalesce("label", "node").alias("label"))
-        else:
-            rest = rest.withColumn("label", F.col("node"))
-        rest = stored(rest, "rest")
-        open_ones = rest.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z").select("bucket")
-        active = stored(rest.join(open_ones, "bucket", "left_semi"), "active")
-        if not active.limit(1).count():
-            return links, labels if labels is None else components(links)
-        turn += 1
+    active = stored(members.join(mates, "node").select("bucket", "node", "weight", "size", "mates"), "active")
+    chosen = active.groupBy("bucket").agg(F.max(F.struct("mates", -F.col("node"), "weight")).alias("c")).select("bucket", (-F.col("c.col2")).alias("c_node"), F.col("c.weight").alias("c_weight"))
+    others = stored(active.drop("mates").join(stored(chosen, "chosen"), "bucket").filter("node <> c_node"), "others")
+    # the similarity is at most the quotient of the total weights
+    near = F.least("weight", "c_weight") >= F.greatest("weight", "c_weight") * (SIMILARITY - 1e-6)
+    pairs = stored(others.filter(near).select(F.least("node", "c_node").alias("u"), F.greatest("node", "c_node").alias("v")).distinct(), "pairs")
+    labels = components(stored(verified(pairs, texts, idf), "links"))
+    rest = stored(others.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"), "size"), "rest")
+    more = components(stored(_remaining_links(rest, texts, idf), "links")).toDF("m_node", "m_label")
+    joined = labels.join(more, F.col("label") == F.col("m_node"), "left").select("node", F.coalesce("m_label", "label").alias("label"))
+    return joined.union(more.join(labels, F.col("m_node") == F.col("node"), "left_anti"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row for each document: class_id (least doc_id with the same text), group_id (least class of the near-duplicate
-    group), n_links (verified links of its class to other texts), keep (the one document of its group that stays)."""
+    group), keep (the one document of its group that stays)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     df, n = document_frequencies(rows)
     idf = idf_weights(df, n)
@@ -281,15 +334,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(digests.join(copies, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("digest").isNotNull().alias("worded")), "class-map")
     heads = classes.filter("doc_id = class_id and worded").select(F.col("doc_id").alias("node")).distinct()
     texts = stored(rows.join(heads, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]), "texts")
-    links, labels = near_links(texts, idf)
-    if labels is None:
-        grouped = classes.withColumn("group_id", F.col("class_id")).withColumn("n_links", F.lit(0).cast("long"))
-    else:
-        degrees = links.select("u").union(links.select("v")).groupBy("u").agg(F.count("*").alias("n_links"))
-        info = stored(labels.join(degrees, F.col("node") == F.col("u"), "left").select("node", F.col("label").alias("group_id"), "n_links"), "groups")
-        grouped = classes.join(info, F.col("class_id") == F.col("node"), "left").select("doc_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    info = stored(near_groups(texts, idf).select("node", F.col("label").alias("group_id")), "groups")
+    grouped = classes.join(info, F.col("class_id") == F.col("node"), "left").select("doc_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"))
     keep = F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True))
-    return grouped.select("doc_id", "class_id", "group_id", "n_links", keep.alias("keep"))
+    return grouped.select("doc_id", "class_id", "group_id", keep.alias("keep"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -121,6 +121,48 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*expected.values(), None}
 
 
+def test_block_links_equal_brute_force():
+    rng = random.Random(8)
+    base = prose(rng, 60).split()
+    texts = []
+    for _ in range(40):
+        copy = list(base)
+        for _ in range(rng.randrange(6)):
+            copy[rng.randrange(60)] = f"new{rng.randrange(9)}"
+        texts.append(" ".join(copy))
+    idf = 1 + np.random.default_rng(2).random(near.DF_BUCKETS).astype("<f4")
+    s, tf, bounds = near._sets(Words(*utf8(pa.array(texts))))
+    w = tf * idf[near._bucket(s)].astype(float)
+    one = lambda i: (s[bounds[i] : bounds[i + 1]], w[bounds[i] : bounds[i + 1]])
+    asks, labels = np.arange(40) % 3 == 0, np.arange(40) // 2
+    expected = {(labels[i], labels[j]) for i in range(40) for j in range(40) if asks[i] and not asks[j] and labels[i] != labels[j] and near.weighted_jaccard(one(i), one(j)) >= near.SIMILARITY}
+    assert expected and {tuple(x) for x in near.block_links(asks, labels, pa.array(texts), idf)} == expected
+
+
+def test_buckets_without_a_hub_are_compared_in_full(spark, monkeypatch):
+    """Many blocks and parts for members of which none is like the one with most bucket mates."""
+    monkeypatch.setattr(near, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(near, "ASK_BYTES", 900)
+    rng = random.Random(9)
+    base = prose(rng, 40).split()
+    texts = []
+    for _ in range(30):
+        copy = list(base)
+        for _ in range(1 + rng.randrange(2)):
+            copy[rng.randrange(40)] = f"new{rng.randrange(4)}"
+        texts.append(" ".join(copy))
+    table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    idf = np.full(near.DF_BUCKETS, 1.0, "<f4")
+    rest = spark.createDataFrame([(7, i, i, len(t)) for i, t in enumerate(texts)], "bucket long, node long, label long, size long")
+    got = {(min(r.u, r.v), max(r.u, r.v)) for r in near._remaining_links(rest, table, idf).collect()}
+    s, tf, bounds = near._sets(Words(*utf8(pa.array(texts))))
+    one = lambda i: (s[bounds[i] : bounds[i + 1]], tf[bounds[i] : bounds[i + 1]].astype(float))
+    top = 29  # of labels with one member each the greatest counts as the largest group
+    expected = {(i, j) for i in range(30) for j in range(i + 1, 30) if (i != top or j != top) and texts[i] != texts[j] and near.weighted_jaccard(one(i), one(j)) >= near.SIMILARITY}
+    same = {(i, j) for i in range(30) for j in range(i + 1, 30) if texts[i] == texts[j]}
+    assert expected and got == expected | same
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = random.Random(1)
     base = prose(rng, 400).split()
