@@ -28,17 +28,45 @@ from pyspark.sql import functions as F
 
 KEY = "quillspark-surrogates"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_EMAIL = r"[\p{L}0-9][\p{L}0-9._%+-]*@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)+"
+_KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
+_IPV6 = r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b"
+_IPV4 = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
+_SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+_NATIONAL = r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
+#: Cards as they are printed: unbroken, or in groups of 4-4-4-4, 4-6-5, 4-6-4, and of 4-4-4-4-3 for issuers of 19 digits, with one separator.
+_PRINTED = "[0-9]{13,19}|" + "|".join(rf"(?:6[0-9]|5[0678])[0-9]{{2}}(?:{s}[0-9]{{4}}){{3}}{s}[0-9]{{3}}|[0-9]{{4}}(?:{s}[0-9]{{4}}){{3}}|[0-9]{{4}}{s}[0-9]{{6}}{s}[0-9]{{4,5}}" for s in " -")
+_CARD = rf"(?<![0-9])(?:{_PRINTED})(?![0-9])"
+_OTHER = f"{_EMAIL}|{_KEY}|{_IPV6}|{_IPV4}|{_SSN}"
+_MORE = "[ .()-]{0,2}[0-9]"
+
+
+def _long_distance(first_gap: str) -> str:
+    """An international number of 6 to 15 digits, of which two groups follow ``first_gap`` and others a separator after which no entity begins."""
+    gap = rf"(?:[ .-](?!{_OTHER}|{_CARD}|{_NATIONAL})|)"
+    digits = rf"(?<=\+[0-9]{_MORE * 5}{f'(?:{_MORE}' * 9}{')?' * 9})"
+    return rf"\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})(?:{first_gap}[0-9]{{2,4}}){{2}}(?:{gap}[0-9]{{2,4}}){{0,2}}(?![0-9]|\.[0-9]){digits}"
+
+
+#: A number of the North American plan ends after 3 + 3 + 4 digits; groups of a phone and of a card that follows may together look like a card.
+_INTERNATIONAL = "|".join(
+    [
+        r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+        _long_distance(rf"(?:[ .-](?!{_OTHER}|{_CARD})|)"),
+        _long_distance(rf"(?:[ .-](?!{_OTHER}|[0-9]{{13,19}}(?![0-9]))|)"),
+    ]
+)
 #: In order of precedence at a place of the text.
 PATTERNS = {
-    "email": r"[\p{L}0-9][\p{L}0-9._%+-]*@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)+",
+    "email": _EMAIL,
     "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{8,}",
-    "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ipv6": r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",
-    "ipv4": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "key": _KEY,
+    "iban": rf"\b[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!{_OTHER}|{_NATIONAL})|)[A-Z0-9]{{4}}){{3,7}}(?:(?: (?!{_OTHER}|{_NATIONAL})|)[A-Z0-9]{{1,3}})?\b",
+    "ipv6": _IPV6,
+    "ipv4": _IPV4,
+    "phone": f"{_INTERNATIONAL}|{_NATIONAL}",
+    "ssn": _SSN,
+    "card": rf"{_CARD}|(?<![0-9])[0-9](?:(?:[ -](?!{_OTHER}|{_CARD}|{_NATIONAL})|)[0-9]){{12,18}}(?![0-9]|\.[0-9])",
     "person": r"\b(?:Mrs?\.|Ms\.|Dr\.|Herr|Frau|Mme|Mlle|Sra?\.|Señora?)\s\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
