@@ -20,7 +20,8 @@ Of the links that a member has into one group a block reports one, which is all
 
 Edge cases: null and wordless texts are never duplicates of another; a text of fewer than five words has one
 shingle of all its words; rows with a null doc_id are kept and have no class; a repeated doc_id with equal
-text has a row for each of its rows; an empty table gives no rows; other columns are ignored.
+text has a row for each of its rows, all with the same keep; one with different texts has a decision for each text; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.text import SLICE_BYTES, Words, mixed, slices, utf8
@@ -293,7 +294,7 @@ def _remaining_links(rest: DataFrame, texts: DataFrame, idf: np.ndarray) -> Data
 
 
 def near_groups(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """node, label for each text in a group of two or more: the least node of its group.  texts: stored node, text."""
+    """node, label for each text in a group of two or more: the least node of its group.  texts: stored node, text, a row for each node."""
 
     def sample(batches):
         for b in batches:
@@ -320,30 +321,49 @@ def near_groups(texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return joined.union(more.join(labels, F.col("m_node") == F.col("node"), "left_anti"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row for each document: class_id (least doc_id with the same text), group_id (least class of the near-duplicate
-    group), keep (the one document of its group that stays)."""
+def _digest() -> Column:
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+
+
+def _decided(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, class_id, group_id, keep for each row.  Nodes are numbers of distinct texts, so rows of one doc_id with
+    different texts are told apart; the text of a group that stays is the least by class_id and digest."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     df, n = document_frequencies(rows)
     idf = idf_weights(df, n)
-    worded = F.col("text").rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]")
-    digest = F.when(worded, F.sha2(F.col("text").cast("binary"), 256))
-    digests = stored(rows.select("doc_id", digest.alias("digest")), "digests")
-    first = stored(digests.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")
-    copies = first.filter("n > 1").select("digest", "class_id")
-    classes = stored(digests.join(copies, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("digest").isNotNull().alias("worded")), "class-map")
-    heads = classes.filter("doc_id = class_id and worded").select(F.col("doc_id").alias("node")).distinct()
-    texts = stored(rows.join(heads, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]), "texts")
-    info = stored(near_groups(texts, idf).select("node", F.col("label").alias("group_id")), "groups")
-    grouped = classes.join(info, F.col("class_id") == F.col("node"), "left").select("doc_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"))
-    keep = F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True))
-    return grouped.select("doc_id", "class_id", "group_id", keep.alias("keep"))
+    worded = F.col("text").rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]") & F.col("doc_id").isNotNull()
+    digests = stored(rows.select("doc_id", _digest().alias("digest"), worded.alias("worded")), "digests")
+    by_text = digests.filter("worded").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
+    classes = stored(by_text.withColumn("node", F.monotonically_increasing_id()), "classes")
+    heads = classes.select("digest", F.col("class_id").alias("doc_id"), "node")
+    texts = stored(rows.withColumn("digest", _digest()).join(heads, ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"]).select("node", "text"), "texts")
+    members = stored(near_groups(texts, idf).join(classes.drop("n"), "node"), "group-members")
+    firsts = members.groupBy("label").agg(F.min(F.struct("class_id", "digest")).alias("head"))
+    info = members.join(firsts, "label").select("node", F.col("head.class_id").alias("group_id"), (F.col("digest") == F.col("head.digest")).alias("is_head"))
+    known = classes.join(stored(info, "groups"), "node", "left").filter("n > 1 or group_id is not null").select(F.col("digest").alias("known"), "class_id", "group_id", "is_head")
+    grouped = digests.join(known, F.when(F.col("worded"), F.col("digest")) == F.col("known"), "left")
+    ids = grouped.select("doc_id", "digest", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "class_id", "doc_id").alias("group_id"), F.coalesce("is_head", F.lit(True)).alias("is_head"))
+    keep = F.coalesce((F.col("doc_id") == F.col("group_id")) & F.col("is_head"), F.lit(True))
+    return ids.select("doc_id", "digest", "class_id", "group_id", keep.alias("keep"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """A row for each document: class_id (least doc_id with the same text), group_id (least class of the near-duplicate
+    group), keep (the one document of its group that stays)."""
+    return _decided(docs).drop("digest")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, all columns kept; of rows that repeat a doc_id one stays."""
-    gone = near_duplicates(docs).filter("not keep").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
+    """One document of each group, all columns kept; of rows that repeat doc_id and text one stays, rows with a null doc_id all stay."""
+    decided = stored(_decided(docs).select("doc_id", "digest", "keep"), "decided")
+    same = (F.col("doc_id").cast("long") == F.col("_row_id")) & (_digest() == F.col("_row_digest"))
+    named = lambda rows: rows.select(F.col("doc_id").alias("_row_id"), F.col("digest").alias("_row_digest"))
+    kept = docs.join(named(decided.filter("not keep")), same, "left_anti")
+    repeated = stored(named(decided.filter("keep and doc_id is not null").groupBy("doc_id", "digest").count().filter("count > 1")), "repeated")
+    if not repeated.limit(1).count():
+        return kept
+    one = kept.join(repeated, same).dropDuplicates(["_row_id", "_row_digest"]).select(docs.columns)
+    return kept.join(repeated, same, "left_anti").union(one)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

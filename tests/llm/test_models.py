@@ -121,6 +121,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*expected.values(), None}
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))
+    edited = lambda t: t + " more"
+    data = [(1, a), (7, a), (7, b), (8, c), (8, d), (9, edited(c)), (10, edited(d)), (11, e), (11, e), (12, f), (12, edited(f)), (13, ""), (13, ""), (13, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "digest of the table") for i, t in data], "doc_id long, text string, digest string")
+    got = near.near_duplicates(docs).collect()
+    assert len(got) == len(data) and {(r.doc_id, r.class_id, r.group_id, r.keep) for r in got if r.doc_id in (7, 9, 10, None)} == {(7, 1, 1, False), (7, 7, 7, True), (9, 9, 8, False), (10, 10, 8, False), (None, None, None, True)}
+    kept = near.deduplicated(docs)
+    left = Counter((r.doc_id, (r.text or "")[:200]) for r in kept.collect())
+    one = [k for k in left if k[0] == 12]
+    assert kept.columns == docs.columns and len(one) == 1
+    assert left == Counter([(1, a[:200]), (7, b[:200]), (8, c[:200]), (8, d[:200]), (11, e[:200]), one[0], (13, ""), (None, a[:200]), (None, a[:200])])
+
+
 def test_block_links_equal_brute_force():
     rng = random.Random(8)
     base = prose(rng, 60).split()
