@@ -10,9 +10,9 @@ menus, headers, footers, sidebars, notices, adverts, forms or comments always go
 ``article`` or ``main`` element always stay.  On a page with such an element only its lines stay; on one
 without, the lines that no neighbour shares.
 
-Range bounds are on (host, path, page_id), which splits a host that has a third of all pages.  A page at a
-partition's border has a neighbour on one side only (none, if it is alone there), so on pages without an
-``article`` or ``main`` element a shared line may stay; pages with one don't depend on neighbours.
+Range bounds are on (host, path, page_id, digest), which splits a host that has a third of all pages.  The first and
+last page of each range are sent to the ranges beside it as well, where they only serve as neighbours, so a page's
+text depends neither on the bounds nor on the number of partitions.
 
 Edge cases: null or empty html has an empty text; a null or odd URL has an empty host; repeated rows are
 extracted one by one, and neighbours with the same URL and html as the page itself aren't used to delete
@@ -27,7 +27,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
@@ -150,29 +150,49 @@ def main_text(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]
     return "\n".join(t for i, t in enumerate(lines) if i not in gone)
 
 
+def _borders(keys: DataFrame) -> tuple[Column, int]:
+    """The first and last key of each range of pages in order, as an array, and the number of ranges."""
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = keys.repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    found = ranges.orderBy("first").collect()  # a row for each partition
+    key = lambda k: F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(k, ("string", "string", "long", "long"), ("host", "path", "page_id", "mark"), strict=True)))
+    pairs = [(r["first"], r["last"]) for r in found] or [(("", "", None, 0),) * 2]
+    return F.array(*(F.struct(key(a).alias("first"), key(z).alias("last")) for a, z in pairs)), len(pairs)
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     url = F.col("url").cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keys = ["host", "path", "page_id"]
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    keys = ["host", "path", "page_id", "mark"]
+    marked = rows.withColumn("mark", F.xxhash64("url", "html"))
+    borders, n = _borders(marked.select(F.struct(*keys).alias("key")))
+    dealt = marked.withColumn("key", F.struct(*keys)).withColumn("part", F.size(F.filter(borders, lambda b: b["first"] <= F.col("key"))) - 1)
+    copies = F.array(*(F.struct((F.col("part") + by).alias("part"), F.lit(by != 0).alias("ghost")) for by in (0, 1, -1)))
+    at = F.get(borders, F.col("part"))
+    wanted = lambda c: ~c["ghost"] | ((c["part"] > F.col("part")) & (F.col("key") == at["last"])) | ((c["part"] < F.col("part")) & (F.col("key") == at["first"]))
+    inside = lambda c: (c["part"] >= 0) & (c["part"] < n)
+    sent = dealt.withColumn("copy", F.explode(F.filter(copies, lambda c: inside(c) & wanted(c)))).select(*keys, "url", "html", F.col("copy.part").alias("part"), F.col("copy.ghost").alias("ghost"))
+    ordered = sent.repartitionById(n, F.col("part")).sortWithinPartitions(*keys)
 
     def parsed(batches) -> Iterator[tuple]:
         for b in batches:
-            yield from zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host")), map(lines_of, (x.as_py() for x in b.column("html"))), strict=True)
+            yield from zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host")), map(lines_of, (x.as_py() for x in b.column("html"))), b.column("ghost").to_pylist(), strict=True)
 
     def run(batches):
         out: list[tuple] = []
         before = None
         now = None
 
-        def emit(after) -> None:
+        def emit(after) -> int:
+            if now[4]:
+                return 0
             near = [x[3] for x in (before, after) if x is not None and x[2] == now[2]]
             text = main_text(now[3], near)
             out.append((now[0], now[1], text, len(text)))
+            return len(text)
 
         def batch():
             made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "text", "n_chars"])
@@ -182,8 +202,7 @@ def extracted(pages: DataFrame) -> DataFrame:
         size = 0
         for page in parsed(batches):
             if now is not None:
-                emit(page)
-                size += out[-1][3]
+                size += emit(page)
                 if size > 8 << 20 or len(out) >= 5000:
                     yield batch()
                     size = 0

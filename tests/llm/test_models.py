@@ -227,6 +227,21 @@ def test_page_differencing(spark):
     assert next(r for r in got if r["page_id"] == 9)["text"] == "Site title\nAlone\nImprint of all"
 
 
+@pytest.mark.parametrize("partitions", ["1", "3", "50"])
+def test_page_differencing_at_borders(spark, partitions):
+    """The text of a page doesn't depend on the number of partitions, be it above that of the pages."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    page = lambda host, own: f"<body><div>Site {host}</div><p>{own}</p><div>Imprint</div></body>"
+    data = [(h * 100 + i, f"https://h{h}.example/en/{i:02}", page(h, f"Text {h} {i}")) for h in range(3) for i in range(8)] + [(None, "https://h1.example/en/99", page(1, "No id")), (900, "https://other/1", page("x", "Alone")), (901, None, "<p>q")]
+    try:
+        got = html_text.extracted(spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    expected = {i: f"Text {i // 100} {i % 100}" for i, _, _ in data[:24]} | {None: "No id", 900: "Site x\nAlone\nImprint", 901: "q"}
+    assert len(got) == len(data) and {r.page_id: r.text for r in got} == expected
+
+
 def test_common_subsequence():
     rng = random.Random(0)
     for _ in range(200):
