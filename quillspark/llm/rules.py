@@ -1,8 +1,7 @@
 """Quality rules and a target-against-raw likelihood ratio.
 
 Every word and word pair of a text is hashed to one of BUCKETS n-gram features.  Two multinomials are
-estimated: the trusted target from a bounded sample of the documents labelled good, the raw one from all
-documents.  A text's
+estimated: the trusted target from all documents labelled good, the raw one from all documents.  A text's
 verdict is the mean over its n-grams of log p_target - log p_raw, at least THRESHOLD to be kept; the mean
 makes it independent of length.  Base rules on counts go first.
 
@@ -15,16 +14,19 @@ and are judged one by one; without a target the ratio is 0 for every text; an em
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.text import BYTE_VALUES, NOT_SPACE, Words, mixed, slices
+from quillspark.llm.work import AtomicFile, opened, shared_folder, stored
 
 BUCKETS, SMOOTHING = 1 << 17, 1.0
-#: Labelled documents that the target multinomial is fitted on at most.
-TARGET_DOCUMENTS = 20_000
+#: Ids in a file of the documents labelled good: what a task holds at a time.
+IDS_AT_A_TIME = 1 << 20
 #: Mean log-likelihood ratio for an n-gram that a kept text has at least.
 THRESHOLD = -0.1
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
@@ -45,21 +47,58 @@ def grams(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (both >> np.uint64(47)).astype(np.int64), np.concatenate([text, text[1:][within]])
 
 
+def _id_files(ids: DataFrame) -> list[str]:
+    """Shared files of sorted ids, IDS_AT_A_TIME at most in each.  ids: one long column without nulls, distinct."""
+    ids = stored(ids, "good-ids")
+    folder, most = shared_folder(ids.sparkSession, "good"), IDS_AT_A_TIME
+
+    def write(batches):
+        held = [np.zeros(0, np.int64)]
+        for b in batches:
+            held.append(b.column(0).to_numpy())
+            while sum(map(len, held)) >= most:
+                every = np.concatenate(held)
+                held = [every[most:]]
+                yield one(every[:most])
+        if sum(map(len, held)):
+            yield one(np.concatenate(held))
+
+    def one(part: np.ndarray) -> pa.RecordBatch:
+        name = uuid.uuid4().hex
+        file = AtomicFile(folder, name)
+        file.write(np.sort(part).astype("<i8").tobytes())
+        file.commit()
+        return pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    files = ids.coalesce(max(1, -(-ids.count() // most))).mapInArrow(write, "name string").collect()  # a name for IDS_AT_A_TIME ids
+    return sorted(f"{folder}/{r.name}" for r in files)
+
+
+def _ids_in(path: str) -> np.ndarray:
+    fs, at = opened(path)
+    with fs.open_input_stream(at) as f:
+        return np.frombuffer(f.read(), "<i8")
+
+
 def gram_counts(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Occurrences of each bucket in the target documents and in all documents, in one pass over the texts.
 
-    The target is fitted on at most TARGET_DOCUMENTS documents labelled good, those with the smallest hash of
-    doc_id, so only their ids are broadcast and no text is shuffled; the raw counts cover every document.
+    The target is all documents labelled good.  Tasks look their ids up in sorted files of shared storage, one
+    file at a time, so no text is shuffled and the number of labels isn't limited by a broadcast.
     """
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("good_id")).filter("good_id is not null").distinct()
-    good = good.orderBy(F.xxhash64("good_id"), "good_id").limit(TARGET_DOCUMENTS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    flagged = rows.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left").select(F.col("good_id").isNotNull().alias("target"), "text")
+    paths = _id_files(good)
+    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         totals = np.zeros((2, BUCKETS), np.int64)
+        kept = [_ids_in(p) for p in paths] if len(paths) == 1 else None
         for b in batches:
-            target = b.column(0).to_numpy(zero_copy_only=False)
+            ids = b.column(0).fill_null(0).to_numpy()
+            target = np.zeros(len(ids), bool)
+            for known in kept or map(_ids_in, paths):
+                target |= known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] == ids
+            target &= b.column(0).is_valid().to_numpy(zero_copy_only=False)
             for first, end, data, offsets in slices(b.column(1)):
                 words = Words(data, offsets, NOT_SPACE)
                 bucket, text = grams(words, words.hashes(BYTE_VALUES))

@@ -73,6 +73,16 @@ def test_rules_equal_brute_force(spark):
     assert rules.judged(empty(spark), ratio).count() == 0 and not rules.log_ratio(target * 0, raw).any()
 
 
+def test_target_counts_every_good_document(spark, monkeypatch):
+    monkeypatch.setattr(rules, "TARGET_DOCUMENTS", 3, raising=False)
+    monkeypatch.setattr(rules, "IDS_AT_A_TIME", 7, raising=False)
+    docs = spark.createDataFrame([(i if i < 40 else None, f"only{i} words" if i % 2 else "and others") for i in range(42)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(3, 1), (35, 0), (None, 1), (0, 1), (99, 1)], "doc_id long, quality int")
+    target, raw = rules.gram_counts(docs, labels)
+    assert target.sum() == 30 * 3 and raw.sum() == 42 * 3
+    assert not rules.gram_counts(docs, labels.limit(0))[0].any()
+
+
 def brute_groups(texts, idf):
     """Groups of (id, text) by all pairs of weighted shingle sets."""
     sets = {}
