@@ -270,9 +270,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: in
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The documents without any hit, all columns kept."""
-    hit = contamination(docs, benchmark, width).filter("contaminated").select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long") == F.col("_hit_id"), "left_anti")
+    """The documents without any hit, all columns kept.  Rows are told apart by a 64-bit hash of doc_id and text, so ids may be null or repeated."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    hit = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, width).filter("contaminated").select(F.col("doc_id").alias("_hit_key")).distinct()
+    return docs.join(hit, key == F.col("_hit_key"), "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,6 +137,14 @@ def test_contamination_equals_brute_force(spark):
     assert len(none) == docs.count() and not any(r.contaminated for r in none)
 
 
+def test_decontaminated_with_null_and_repeated_ids(spark):
+    items = spark.createDataFrame([(7, "red green blue")], "item_id long, text string")
+    data = [(None, "a red green blue b"), (None, "clean"), (None, None), (1, "red green blue"), (1, "clean too"), (2, "clean three"), (2, "clean three"), (3, "red green blue"), (3, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = [tuple(r) for r in decontaminate.decontaminated(docs, items).collect()]
+    assert sorted(got, key=str) == sorted((d for d in data if "red" not in (d[1] or "")), key=str)
+
+
 def test_contamination_with_many_window_files(spark, monkeypatch):
     items, texts, benchmark = bench(spark)
     docs = documents(spark, texts)
