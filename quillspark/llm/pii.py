@@ -1,6 +1,6 @@
 """Surrogates for personal data, with built-in DataFrame functions alone.
 
-Detected entities (e-mail, phone, card, IPv4, IPv6, IBAN, US social-security number, titled person names,
+Detected entities (e-mail, international or North American phone, card, IPv4, IPv6 of eight groups, IBAN, US social-security number, titled person names,
 access keys, secrets in assignments) are replaced by keyed surrogates of the same type and format: digits
 stay digits, letters keep case and script, punctuation and length stay, a card keeps its issuer digit and
 whether its check digit is valid, IPv4 octets stay in range, names keep title and the ending that marks
