@@ -8,7 +8,7 @@ read by seeking to its blocks and unpacking them with numpy.
     magic | packed blocks | block offsets u64 | doc_id i64 (and null flags u8) | first id of each document u64 | header JSON | its length u64
 
 Edge cases: null texts count as empty and have only the end id; rows are ordered by doc_id (null first),
-equal doc_ids by text; an empty table makes no file.
+equal doc_ids by a 64-bit digest of the text; an empty table makes no file.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.text import slices
 from quillspark.llm.tokens import tokenizer_path, worker_encoder
 from quillspark.llm.work import AtomicFile, opened, shared_folder
 
@@ -56,7 +57,7 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
 
 
 class IdWriter:
-    """Streams documents to a file; memory holds a block and the footer."""
+    """Streams documents to a file; memory holds a slice of the texts' ids and the footer."""
 
     def __init__(self, folder: str, name: str, bits: int):
         self.out, self.bits, self.path = AtomicFile(folder, name), bits, f"{folder}/{name}"
@@ -66,13 +67,13 @@ class IdWriter:
         self.docs: list[int | None] = []
         self.firsts: list[int] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
-        self.firsts.append(self.n)
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray) -> None:
+        """Documents, their ids one after the other and the bounds of each one's."""
+        self.docs += doc_ids
+        self.firsts += (self.n + bounds[:-1]).tolist()
         self.n += len(ids)
-        self.rest = np.concatenate([self.rest, ids]) if len(self.rest) else ids
-        if len(self.rest) >= 16 * BLOCK:
-            self._blocks(len(self.rest) // BLOCK * BLOCK)
+        self.rest = np.concatenate([self.rest, ids.astype("<u4")])
+        self._blocks(len(self.rest) // BLOCK * BLOCK)
 
     def _blocks(self, upto: int) -> None:
         for i in range(0, upto, BLOCK):
@@ -125,7 +126,7 @@ class IdReader:
 def write_ids(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, tokenizers: str | None = None) -> list[tuple[str, int]]:
     """Files in ascending doc_id order as (path, number of ids).
 
-    Documents are dealt by ranges of (doc_id, hash of the text), so a repeated doc_id can't fill one task.
+    Documents are dealt by ranges of (doc_id, digest of the text), so a repeated doc_id can't fill one task.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -135,15 +136,11 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, tokeni
 
     def write(batches):
         encoder, out = worker_encoder(path), None
-        bits = bits_for(encoder.tokenizer.get_vocab_size())
-        end = np.asarray([END_ID], "<u4").tobytes()
-        part = TaskContext.get().partitionId()
+        bits, part = bits_for(encoder.tokenizer.get_vocab_size()), TaskContext.get().partitionId()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            for i in range(0, len(ids), 128):
-                out = out or IdWriter(folder, f"part-{part:06d}.ids", bits)
-                for doc, data in zip(ids[i : i + 128], encoder.encode(texts.slice(i, 128).to_pylist()), strict=True):
-                    out.add(doc, np.frombuffer(data + end, "<u4"))
+            out = out or IdWriter(folder, f"part-{part:06d}.ids", bits)
+            for first, stop, data, offsets in slices(b.column(1)):
+                out.add(b.column(0).slice(first, stop - first).to_pylist(), *encoder.encode(data, offsets, END_ID))
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [out.path], "ids": [out.n]})

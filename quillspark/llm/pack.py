@@ -80,14 +80,14 @@ def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY, tokenizers: str | N
 
     def run(batches):
         encoder = worker_encoder(path)
-        kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        row, end = TaskContext.get().partitionId() << 36, np.asarray([END_ID], kind).tobytes()
+        width, row = encoder.dtype.itemsize, TaskContext.get().partitionId() << 36
         for b in batches:
             for first, stop, data, offsets in slices(b.column(1)):
                 keys = hilbert_key(document_points(Words(data, offsets)))
-                got = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in encoder.encode(b.column(1).slice(first, stop - first).to_pylist())]
-                n = len(got)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), b.column(0).slice(first, n), pa.array(keys), pa.array([len(x) // int(kind[2]) for x in got], pa.int64()), pa.array(got, pa.binary())], ["row_id", "doc_id", "place", "n", "ids"])
+                ids, bounds = encoder.encode(data, offsets, END_ID)
+                n = stop - first
+                made = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds * width), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), b.column(0).slice(first, n), pa.array(keys), pa.array(np.diff(bounds)), made], ["row_id", "doc_id", "place", "n", "ids"])
                 row += n
 
     return stored(rows.mapInArrow(run, "row_id long, doc_id long, place long, n long, ids binary"), "packed-ids")

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from quillspark.llm import chat, decontaminate, idfiles, pack, warc
 from quillspark.llm.text import BYTE_VALUES, NOT_SPACE, Words, utf8
-from quillspark.llm.tokens import PieceEncoder, tokenizer_path
+from quillspark.llm.tokens import PieceEncoder, tokenizer_path, worker_encoder
 from quillspark.llm.work import shared_folder
 from tests.llm.cases import documents, empty, prose, rows
 
@@ -49,17 +49,16 @@ def test_words_and_shingles_agree_with_regex(texts):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t'sStTrR.,<|>aé́  ß")), st.characters(codec="utf-8")), max_size=60))
 def test_cached_pieces_equal_whole_texts(name, text):
-    e = PieceEncoder(tokenizer_path(name))
-    for t in (text, text.replace("a", "<|endoftext|>"), "it's " + text):
-        assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    e = worker_encoder(tokenizer_path(name))
+    texts = [text, text.replace("a", "<|endoftext|>"), "it's " + text]
+    assert e.texts(texts) == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_pieces_of_the_tables_equal_whole_texts(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         e = PieceEncoder(tokenizer_path(name))
-        for t, ids in zip(texts, e.encode(texts)):
-            assert np.frombuffer(ids, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert e.texts(texts) == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def pages(spark):
@@ -252,10 +251,13 @@ def test_chat_digests(spark, monkeypatch):
 @pytest.mark.parametrize("name", [idfiles.VOCABULARY, pack.VOCABULARY])
 def test_cut_pieces_equal_whole_texts_on_random_strings(name):
     rng = random.Random(7)
-    alphabet = [*" \n\t\r\0\x01\x1c.,'&%stlveABc12éñ̈Σ我 \xa0", "<|endoftext|>", "  ", "\n\n", "'s", "word", "ünd", "̸", "<", "=", "…", "ⅷ", "İ"]
+    alphabet = [*" \n\t\r\0\x01\x1c.,'&%stlveABc12éñ̈Σ我 \xa0\x85ß²·", "<|endoftext|>", "  ", "\n\n", "'s", "word", "ünd", "̸", "<", "=", "…", "ⅷ", "İ", "\u3000", "\u2003", "’", "٣", "x7", "'t"]
     e = PieceEncoder(tokenizer_path(name))
-    e.GENERATION = 3000  # both generations are used
-    for _ in range(50):
-        texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(60)]
-        for text, got in zip(texts, e.encode(texts), strict=True):
-            assert np.frombuffer(got, "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+    e.CACHE_BYTES = 50_000  # it is full again and again
+    for _ in range(20):
+        texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(100)]
+        texts.append("w" * rng.randint(0, 300))  # too long for the cache
+        for text, got in zip(texts, e.texts(texts), strict=True):
+            assert got == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert e.known.nbytes + e.known_ids.nbytes < 100_000
+    assert e.texts([]) == [] and e.texts(["", None]) == [[], []]
