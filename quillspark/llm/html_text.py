@@ -1,22 +1,24 @@
 """Main text of web pages: nearest-URL page differencing under a structural guard.
 
 Pages are range-sorted by (host, URL path), so the pages with the nearest URLs of a host lie next to each
-other.  Each page's text lines are aligned with those of both neighbours by longest common subsequence, and
-the lines that they share are deleted as the site's template.
+other.  Each page's text lines, those of menus and footers too, are aligned with those of both neighbours by longest
+common subsequence, and the lines that they share are deleted as the site's template.
 
 Differencing alone can't give right results where a site's pages carry different menus and notices (nothing
-is shared) or the same article (everything is), so structure decides first: lines in elements that are
-menus, headers, footers, sidebars, notices, adverts, forms or comments always go, and lines inside an
-``article`` or ``main`` element always stay.  On a page with such an element only its lines stay; on one
-without, the lines that no neighbour shares.
+is shared) or the same article (everything is), so a structural guard stands beside it: lines inside an
+``article`` or ``main`` element stay though a neighbour shares them; of the lines that no neighbour shares, those in
+elements that are menus, headers, footers, sidebars, notices, adverts, forms or comments go, and on a page with an
+article or main element those outside it.  ``shared_lines`` and ``guarded_lines`` count what differencing
+deleted and what only the guard did.
 
 Range bounds are on (host, path, page_id, digest), which splits a host that has a third of all pages.  The first and
 last page of each range are sent to the ranges beside it as well, where they only serve as neighbours, so a page's
 text depends neither on the bounds nor on the number of partitions.
 
 Edge cases: null or empty html has an empty text; a null or odd URL has an empty host; repeated rows are
-extracted one by one, and neighbours with the same URL and html as the page itself aren't used to delete
-lines; an empty table gives no rows; markup that is never closed ends with the page.
+extracted one by one, and neighbours with the same lines as the page itself aren't used to delete
+lines; an empty table gives no rows; markup that is never closed ends with the page.  Aligning takes memory in
+proportion to the lines of a page, and time in proportion to the product of those that occur on both pages.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|object|select|svg|math|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|template|textarea|title|iframe|object|select|svg|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)",  # the last: markup with an open quote
     re.S | re.I,
@@ -40,14 +42,18 @@ _TOKEN = re.compile(
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset("nav aside footer form button dialog menu head".split())
+#: Whole class names, ids and roles of elements that are never main text: a word, perhaps with a place before and parts after it.
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side-?bar\w*|widget\w*|menu\w*|nav|navbar\w*|navigation|breadcrumb\w*|footer\w*|cookie\w*|consent\w*|gdpr|notice\w*|popup\w*|modal\w*|newsletter\w*|subscribe\w*|share\w*|social\w*|related\w*|comments?|comment-\w+|disqus\w*|replies|pagination|pager|masthead|site-?header|page-?header|topbar|toolbar)(?=$|[\s_-])",
+    r"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|mobile)[-_])*"
+    r"(?:ads?|advert(?:s|isement|isements|ising)?|banners?|sponsor(?:ed|s)?|promo(?:s|tion|tions)?|sidebars?|side-bar|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|header|footer"
+    r"|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|shar(?:e|ing)|social|related|comments?|disqus|replies|pagination|pager|masthead|topbar|toolbar)"
+    r"(?:[-_](?:area|bar|banner|block|box|button|buttons|container|content|form|header|footer|icons?|inner|items?|left|right|top|bottom|links?|list|media|menu|message|notice|panel|popup|posts?|articles?|section|slot|text|thread|title|unit|wrap|wrapper|\d+))*",
     re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\shidden(?=[\s=/]|$)|\saria-hidden\s*=\s*["']?true|role\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|alert|dialog)\b""", re.I)
 #: A line's place: inside an article or main element, outside any, or in an element that is never main text.
-ARTICLE, OTHER = 1, 0
+ARTICLE, OTHER, NEVER = 1, 0, -1
 
 
 def _never_text(tag: str, attributes: str, inside: bool) -> bool:
@@ -55,11 +61,11 @@ def _never_text(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if tag in ("html", "body", "main") or "=" not in attributes and "hidden" not in attributes:
         return False
-    return bool(_HIDDEN.search(attributes)) or any(_NAMES.search(a or b or c) for a, b, c in _ATTRIBUTE.findall(attributes))
+    return bool(_HIDDEN.search(attributes)) or any(_NAMES.fullmatch(name) and not (inside and name.lower() == "header") for found in _ATTRIBUTE.findall(attributes) for name in "".join(found).split())
 
 
 def lines_of(html: str) -> list[tuple[str, int]]:
-    """The page's text blocks in page order, with ARTICLE or OTHER; those in elements that are never text are gone."""
+    """The page's text blocks in page order, each with its place."""
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     skip, depth, inside, at = "", 0, 0, 0
@@ -67,43 +73,62 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     def flush() -> None:
         if parts:
             if line := " ".join(unescape("".join(parts)).split()):
-                out.append((line, ARTICLE if inside else OTHER))
+                out.append((line, NEVER if skip else ARTICLE if inside else OTHER))
             parts.clear()
 
     for m in _TOKEN.finditer(html):
-        if not skip and m.start() > at:
+        if m.start() > at:
             parts.append(html[at : m.start()])
         at = m.end()
         if not m[3]:
             continue
         tag, closes = m[3].lower(), bool(m[2])
+        if tag == "br":
+            parts.append(" ")
+        if tag in _BLOCKS or skip and tag == skip:
+            flush()
         if skip:
-            if tag in ("article", "main") and not closes and not inside and skip not in ("head", "form") and not _never_text(tag, m[4], False):
-                skip = ""  # an element that was never closed
-            elif tag != skip:
-                if skip == "head" and tag == "body" and not closes:
-                    skip = ""
-                continue
-            else:
+            opens = not closes and (tag in ("article", "main") and not inside and skip not in ("head", "form") and not _never_text(tag, m[4], False) or skip == "head" and tag == "body")
+            if opens:  # the element that is never text was never closed
+                skip = ""
+                inside += tag != "body"
+            elif tag == skip:
                 depth += -1 if closes else 1
                 if depth == 0:
                     skip = ""
-                continue
-        if tag == "br":
-            parts.append(" ")
-        if tag in _BLOCKS:
-            flush()
-        if not closes and tag not in _VOID and not m[4].endswith("/") and _never_text(tag, m[4], inside > 0):
+        elif not closes and tag not in _VOID and not m[4].endswith("/") and _never_text(tag, m[4], inside > 0):
             flush()
             skip, depth = tag, 1
         elif tag in ("article", "main"):
             inside = max(0, inside + (-1 if closes else 1))
-    if not skip and at < len(html):
+    if at < len(html):
         parts.append(html[at:])
     flush()
     return out
 
 
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The lengths of longest common subsequences of ``x`` with every beginning of ``y``; one row of the table at a time."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for v in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == v, row[:-1] + 1, 0)))
+    return row
+
+
+def _matched(x: np.ndarray, y: np.ndarray, base: int, found: set[int]) -> None:
+    """Add the places (from ``base``) in ``x`` of a longest common subsequence: x is halved, y cut where both halves' lengths add up best."""
+    if not len(x) or not len(y):
+        return
+    if len(x) == 1:
+        if (y == x[0]).any():
+            found.add(base)
+        return
+    half = len(x) // 2
+    cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+    _matched(x[:half], y[:cut], base, found)
+    _matched(x[half:], y[cut:], base + half, found)
+
+
 def shared_by_lcs(a: list[str], b: list[str]) -> set[int]:
     """Indices of the lines of ``a`` in a longest common subsequence with ``b``; equal ends are matched first."""
     low, high = 0, 0
@@ -114,40 +139,23 @@ def shared_by_lcs(a: list[str], b: list[str]) -> set[int]:
     found = {*range(low), *range(len(a) - high, len(a))}
     known = set(b[low : len(b) - high])
     x = [i for i in range(low, len(a) - high) if a[i] in known]
-    known = {a[i] for i in x}
-    y = [t for t in b[low : len(b) - high] if t in known]
-    if not x or not y:
-        return found
-    # rows of the table are kept for the way back: memory is the product of the lines that occur on both pages
-    number = {t: k for k, t in enumerate(known)}
-    yn = np.array([number[t] for t in y])
-    rows = [np.zeros(len(y) + 1, np.int32)]
-    for i in x:
-        above = rows[-1]
-        row = above.copy()
-        row[1:] = np.maximum.accumulate(np.maximum(above[1:], np.where(yn == number[a[i]], above[:-1] + 1, 0)))
-        rows.append(row)
-    i, j = len(x), len(y)
-    while i and j:
-        if rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            found.add(x[i])
-    return found
-
-
-def main_text(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> str:
-    if any(zone == ARTICLE for _, zone in page):
-        return "\n".join(t for t, zone in page if zone == ARTICLE)
-    lines = [t for t, _ in page]
-    gone: set[int] = set()
+    number = {a[i]: k for k, i in enumerate(x)}
+    places: set[int] = set()
+    _matched(np.array([number[a[i]] for i in x], np.int64), np.array([number[t] for t in b[low : len(b) - high] if t in number], np.int64), 0, places)
+    return found | {x[k] for k in places}
+
+
+def main_text(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> tuple[str, int, int]:
+    """The text, the number of lines that differencing deleted and of those that only the guard did."""
+    lines, places = [t for t, _ in page], [p for _, p in page]
+    shared: set[int] = set()
     for other in neighbours:
         if other != page:
-            gone |= shared_by_lcs(lines, [t for t, _ in other])
-    return "\n".join(t for i, t in enumerate(lines) if i not in gone)
+            shared |= shared_by_lcs(lines, [t for t, _ in other])
+    wanted = ARTICLE if ARTICLE in places else OTHER
+    gone = {i for i in shared if places[i] != ARTICLE}
+    kept = [i for i, p in enumerate(places) if p == wanted and i not in gone]
+    return "\n".join(lines[i] for i in kept), len(gone), len(lines) - len(gone) - len(kept)
 
 
 def _borders(keys: DataFrame) -> tuple[Column, int]:
@@ -161,7 +169,7 @@ def _borders(keys: DataFrame) -> tuple[Column, int]:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+    """page_id, url, text, n_chars, shared_lines, guarded_lines of every page."""
     url = F.col("url").cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
@@ -190,12 +198,12 @@ def extracted(pages: DataFrame) -> DataFrame:
             if now[4]:
                 return 0
             near = [x[3] for x in (before, after) if x is not None and x[2] == now[2]]
-            text = main_text(now[3], near)
-            out.append((now[0], now[1], text, len(text)))
+            text, shared, guarded = main_text(now[3], near)
+            out.append((now[0], now[1], text, len(text), shared, guarded))
             return len(text)
 
         def batch():
-            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "text", "n_chars"])
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["page_id", "url", "text", "n_chars", "shared_lines", "guarded_lines"])
             out.clear()
             return made
 
@@ -211,7 +219,7 @@ def extracted(pages: DataFrame) -> DataFrame:
             emit(None)
             yield batch()
 
-    return ordered.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return ordered.mapInArrow(run, "page_id long, url string, text string, n_chars long, shared_lines long, guarded_lines long")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -217,6 +218,8 @@ PAGE = '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</scr
         ("", ""),
         ("<article>cut <a href='x", "cut"),
         ("<main>m<script>if (a<b) x</script>n</main>rest", "mn"),
+        ('<article><p class="shareholder-letter">A</p><section id="social-contract">B</section><div class="x share-buttons">C</div><p class="header">D</p><math><mi>x</mi></math><noscript>E</noscript></article>', "A\nB\nD\nxE"),
+        ('<div id="site-header">a</div><div class="related-posts">b</div><div class="unrelated">c</div><p>d', "c\nd"),
     ],
 )
 def test_main_text(spark, html, text):
@@ -225,16 +228,26 @@ def test_main_text(spark, html, text):
 
 
 def test_page_differencing(spark):
-    """In one partition: a page at a partition's border has neighbours on one side only, which the operator's docstring states."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    page = lambda own: f"<body><div>Site title</div><p>{own}</p><div>Imprint of all</div></body>"
+    page = lambda own: f"<body><div>Site title</div><nav>Home</nav><p>{own}</p><div>Imprint of all</div></body>"
     data = [(i, f"https://h.example/en/{i}", page(f"Text {i}"), "x") for i in range(5)] + [(9, "https://other/1", page("Alone"), "x"), (3, "https://h.example/en/3", page("Text 3"), "x"), (None, None, "<p>q", None)]
     got = rows(html_text.extracted(spark.createDataFrame(data, "page_id long, url string, html string, host string").coalesce(1)))
-    spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(got) == len(data)
-    assert {r["text"] for r in got if r["page_id"] in (0, 1, 2, 4)} == {"Text 0", "Text 1", "Text 2", "Text 4"}
-    assert next(r for r in got if r["page_id"] == 9)["text"] == "Site title\nAlone\nImprint of all"
+    assert {(r["text"], r["shared_lines"], r["guarded_lines"]) for r in got if r["page_id"] in (0, 1, 2, 4)} == {(f"Text {i}", 3, 0) for i in (0, 1, 2, 4)}
+    assert next((r["text"], r["shared_lines"], r["guarded_lines"]) for r in got if r["page_id"] == 9) == ("Site title\nAlone\nImprint of all", 0, 1)
+
+
+def brute_article(html):
+    """The blocks of a page's one article, by patterns for the tags that these pages have."""
+    blocks = re.split(r"</?(?:p|h1|h2|h3|ul|ol|li|div|section)\b[^>]*>", re.search(r"<article>(.*)</article>", html, re.S)[1])
+    lines = [" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks]
+    return "\n".join(x for x in lines if x)
+
+
+def test_extraction_of_the_table_equals_brute_force(spark):
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = html_text.op7_html(spark, SF).collect()
+    assert len(got) == len(html) and all(r.text == brute_article(html[r.page_id]) and r.n_chars == len(r.text) for r in got)
+    assert sum(r.shared_lines for r in got) > 0
 
 
 @pytest.mark.parametrize("partitions", ["1", "3", "50"])
@@ -262,6 +275,9 @@ def test_common_subsequence():
         kept = sorted(html_text.shared_by_lcs(a, b))
         rest = iter(b)
         assert len(kept) == best[-1][-1] and all(a[i] in rest for i in kept)
+    a = [f"line {rng.randrange(20_000)}" for _ in range(2_000)]
+    b = ["other", *(x for x in a if rng.random() < 0.9), "end"]
+    assert len(html_text.shared_by_lcs(a, b)) >= len(b) - 2
 
 
 def test_surrogates(spark):
