@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.text import Words, mixed, slices
+from quillspark.llm.text import Words, slices
 from quillspark.llm.tokens import tokenizer_path, worker_encoder
 from quillspark.llm.work import stored
 
@@ -33,13 +33,13 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def document_points(words: Words) -> np.ndarray:
-    """Unit vectors of DIMENSIONS: sums of the words' hashed signs; the origin for a wordless text."""
-    hashes = words.hashes()
+    """Unit vectors of DIMENSIONS: sums of the words' hashed places, 16 bits of a word's hash for each dimension; the origin for a wordless text."""
+    hashed = words.hashes().view(np.uint16).reshape(-1, DIMENSIONS)
     sums = np.zeros((len(words.bounds) - 1, DIMENSIONS))
     for d in range(DIMENSIONS):
-        signs = ((mixed(hashes + np.uint64(d + 1)) >> np.uint64(40)) & np.uint64(0xFFFF)).astype(np.float64) - 32767.5
-        total = np.concatenate([[0.0], np.cumsum(signs)])
+        total = np.concatenate([[0], np.cumsum(hashed[:, d], dtype=np.int64)])
         sums[:, d] = total[words.bounds[1:]] - total[words.bounds[:-1]]
+    sums -= 32767.5 * words.counts()[:, None]
     length = np.sqrt((sums**2).sum(1, keepdims=True))
     return sums / np.where(length == 0, 1, length)
 
