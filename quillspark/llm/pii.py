@@ -1,22 +1,24 @@
 """Surrogates for personal data, with built-in DataFrame functions alone.
 
-Detected entities (e-mail, international or North American phone, card, IPv4, IPv6 of eight groups, IBAN, US social-security number, titled person names,
-access keys, secrets in assignments) are replaced by keyed surrogates of the same type and format: digits
-stay digits, letters keep case and script, punctuation and length stay, a card keeps its issuer digit and
-whether its check digit is valid, IPv4 octets stay in range, names keep title and the ending that marks
-grammatical gender, and alternate consonants and vowels as before.
+Detected entities (e-mail, phone, card, IPv4, IPv6, IBAN, US social-security number, titled person names,
+access keys and tokens, secrets in assignments) are replaced by keyed surrogates of the same type and format: digits
+stay digits, letters keep case and script, punctuation and length stay, a card keeps its issuer and
+a right check digit, IPv4 octets stay in range, names keep title and the ending that marks
+grammatical gender, and alternate consonants and vowels as before.  A number of a card's length counts as
+a card only if it has an issuer's first digits and a right check digit; others are order numbers and the like and stay.
 
 A surrogate is a keyed permutation of all entities of its format: a Feistel network P over the letters and
 digits, used as inverse(P) after adding one after P.  So no joint table is needed and, across the whole
 corpus, equal entities get equal surrogates (coreference; letter case and punctuation don't matter),
-different entities of a format different ones (distinctness), and no entity is its own surrogate.
+different entities of a format different ones (distinctness), and no entity is its own surrogate.  Names are
+permuted by part, so a person's full and short name keep the part that they share.
 Each text is checked as well: ``n_collisions`` counts differences between the numbers of distinct entities
-and distinct surrogates and surrogates equal to another entity of the text; such a text gets the surrogates of
-the next key, of three.
+and distinct surrogates and surrogates equal to another entity of the text.  The key stays the same for all texts, as another would
+give the text's entities other surrogates than elsewhere, so such texts are reported and not changed further.
 
-Edge cases: null texts stay null and count no entities; a text without entities is unchanged; characters of
+Edge cases: null texts stay null and count no entities; a text without entities is unchanged; letters of
 scripts without a listed alphabet are unchanged; repeated rows are redacted alike; an empty table gives no
-rows; other columns aren't touched.
+rows; other columns aren't touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +28,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.work import fresh
+
 KEY = "quillspark-surrogates"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _EMAIL = r"[\p{L}0-9][\p{L}0-9._%+-]*@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)+"
-_KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
-_IPV6 = r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b"
+#: What keys and tokens of known issuers begin with; it stays.
+_KEY_START = r"(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|AIza|sk-|eyJ)"
+_KEY = r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)(?![A-Za-z0-9_-])"
+_HEXES = "[0-9a-fA-F]{1,4}"
+#: Eight groups, or fewer with one gap; a digit tells an address with a gap from names in program text.
+_IPV6 = rf"(?<![0-9A-Za-z:.])(?:(?:{_HEXES}:){{7}}{_HEXES}|(?=[a-fA-F:]*[0-9])(?:(?:{_HEXES}:){{1,6}}(?::{_HEXES}){{1,6}}|(?:{_HEXES}:){{1,7}}:|:(?::{_HEXES}){{1,7}}))(?![0-9A-Za-z:]|\.[0-9])"
 _IPV4 = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-_NATIONAL = r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
+#: North American; then national forms that begin with 0: five pairs, or an area code and 5 to 8 digits.
+_NATIONAL = r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])|(?<![0-9.+/-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9]|[.-][0-9])|(?<![0-9.+/-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8}(?![0-9]|[./-][0-9])"
 #: Cards as they are printed: unbroken, or in groups of 4-4-4-4, 4-6-5, 4-6-4, and of 4-4-4-4-3 for issuers of 19 digits, with one separator.
 _PRINTED = "[0-9]{13,19}|" + "|".join(rf"(?:6[0-9]|5[0678])[0-9]{{2}}(?:{s}[0-9]{{4}}){{3}}{s}[0-9]{{3}}|[0-9]{{4}}(?:{s}[0-9]{{4}}){{3}}|[0-9]{{4}}{s}[0-9]{{6}}{s}[0-9]{{4,5}}" for s in " -")
 _CARD = rf"(?<![0-9])(?:{_PRINTED})(?![0-9])"
@@ -56,6 +65,8 @@ _INTERNATIONAL = "|".join(
         _long_distance(rf"(?:[ .-](?!{_OTHER}|[0-9]{{13,19}}(?![0-9]))|)"),
     ]
 )
+_TITLES = "(?:Mrs?\\.|Ms\\.|Dr\\.|Prof\\.|Herr|Frau|Mme|Mlle|Sra?\\.|Señora?|Г-н|Г-жа|Господин|Госпожа)"
+_NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:['’]\p{Ll}+)?"
 #: In order of precedence at a place of the text.
 PATTERNS = {
     "email": _EMAIL,
@@ -67,16 +78,19 @@ PATTERNS = {
     "phone": f"{_INTERNATIONAL}|{_NATIONAL}",
     "ssn": _SSN,
     "card": rf"{_CARD}|(?<![0-9])[0-9](?:(?:[ -](?!{_OTHER}|{_CARD}|{_NATIONAL})|)[0-9]){{12,18}}(?![0-9]|\.[0-9])",
-    "person": r"\b(?:Mrs?\.|Ms\.|Dr\.|Herr|Frau|Mme|Mlle|Sra?\.|Señora?)\s\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}",
+    "person": rf"(?<![\p{{L}}0-9]){_TITLES}\s{_NAME}(?:[ -]{_NAME}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that every text with an entity passes.
-_MAYBE = r"[0-9@]|Mrs?\.|Ms\.|Dr\.|Herr|Frau|Mme|Mlle|Sra?\.|Señor|(?i:password|passwd|pwd|secret|token|api[_-]?key)"
+_MAYBE = rf"[0-9@]|::|{_TITLES}|{_KEY_START}|(?i:password|passwd|pwd|secret|token|api[_-]?key)"
 _DIGITS, _HEX, _LETTERS = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
 _ALPHABETS = [_DIGITS, _LETTERS, "àâäáãåçèéêëìîïíñòôöóõùûüúýÿßœæ", "αβγδεζηθικλμνοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя"]
 _NAME_ALPHABETS = [_DIGITS, "aeiou", "bcdfghjklmnpqrstvwxyz", "àâäáãåèéêëìîïíòôöóõùûüú", "çñ", *_ALPHABETS[3:]]
+#: First and last letters of runs of letters: Armenian, Hebrew, Arabic, Devanagari, Thai, Georgian, Hiragana, Katakana, Han, Hangul.
+_RUNS = [(0x561, 0x586), (0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10FA), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
+_MORE_ALPHABETS = ["".join(map(chr, range(a, z + 1))) for a, z in _RUNS]
 ROUNDS = 4
-_NAME, _TITLE = r"\p{L}+", r"^(?:Mrs?\.|Ms\.|Dr\.|Herr|Frau|Mme|Mlle|Sra?\.|Señora?)\s"
+_TITLE = rf"^{_TITLES}\s"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -89,13 +103,21 @@ def _chars(s: Column) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
+    """The kind of a match; "number" for one of a card's form that is none."""
     out = F.when(entity.rlike(_TITLE), "person").otherwise("secret")
     for kind, pattern in reversed(PATTERNS.items()):
-        if kind not in ("person", "secret"):
+        if kind not in ("person", "secret", "card"):
             out = F.when(entity.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
+        elif kind == "card":
+            out = F.when(entity.rlike(f"^(?:{pattern})$"), F.when(_is_card(entity), kind).otherwise("number")).otherwise(out)
     return out
 
 
+def _is_card(entity: Column) -> Column:
+    digits = F.regexp_replace(entity, "[^0-9]", "")
+    return digits.rlike("^(?:2[2-7]|3[04-9]|4|5[0-9]|6[0-9])") & (_luhn_check(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, -1, 1).cast("int"))
+
+
 def _moved(c: Column, by: Column, alphabets: Column) -> Column:
     """The character ``by`` places on in its alphabet; one without an alphabet stays."""
     inside = lambda a: F.substring(a, F.pmod(F.instr(a, c) - 1 + by, F.length(a)) + 1, F.lit(1))
@@ -133,23 +155,24 @@ def _luhn_check(digits: Column) -> Column:
 
 def _first_kept(e: Column, kind: Column) -> Column:
     """How many characters at the start of the entity stay."""
-    country = F.length(F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[ .(-])|^\+[0-9]", 0))
-    return F.when(kind == "person", F.length(F.regexp_extract(e, _TITLE, 0))).when(kind == "key", 4).when(kind == "iban", 2).when(kind == "card", 1).when(kind == "phone", country).otherwise(0)
+    country = F.length(F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[ .(-])|^\+[0-9]|^0(?=[0-9])", 0))
+    issuer = F.length(F.regexp_extract(e, "^4|^[0-9] ?-?[0-9]", 0))
+    return F.when(kind == "key", F.length(F.regexp_extract(e, f"^{_KEY_START}", 0))).when(kind == "iban", 2).when(kind == "card", issuer).when(kind == "phone", country).otherwise(0)
 
 
 def _last_changed(e: Column, kind: Column) -> Column:
     """The number of characters up to the last that may change."""
-    return F.length(e) - F.when(kind == "email", F.length(F.regexp_extract(e, r"\.[^.]*$", 0))).when(kind == "card", 1).otherwise(0)
+    return F.length(e) - F.when(kind == "email", F.length(F.regexp_extract(e, r"\.[^.]*$", 0))).when(kind.isin("card", "person"), 1).otherwise(0)
 
 
-def surrogate(entity: Column, secret: Column) -> Column:
+def surrogate(entity: Column, kind: Column, secret: Column) -> Column:
     """The replacement of one detected entity."""
     as_hex = lambda e: F.array_join(F.transform(F.split(e, r"\."), lambda o: F.lpad(F.lower(F.hex(o.cast("int"))), 2, "0")), "")
     as_octets = lambda h: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(7), F.lit(2)), lambda i: F.conv(F.substring(h, i, F.lit(2)), 16, 10)), ".")
 
     def changed(e: Column, kind: Column, alphabets: Column) -> Column:
         """Letters and digits in the open places are permuted; case and all other characters stay where they are."""
-        open_at = lambda c, i, x: (i >= x["a"]) & (i < x["z"]) & F.exists(alphabets, lambda a: F.contains(a, F.lower(c))) & ((kind != "person") | ~_word_end(x["c"], i))
+        open_at = lambda c, i, x: (i >= x["a"]) & (i < x["z"]) & F.exists(alphabets, lambda a: F.contains(a, F.lower(c)))
         flagged = lambda x: F.transform(x["c"], lambda c, i: F.struct(c.alias("c"), open_at(c, i, x).alias("o")))
         plain = lambda f: F.lower(F.array_join(F.transform(F.filter(f, lambda x: x["o"]), lambda x: x["c"]), ""))
 
@@ -164,48 +187,53 @@ def surrogate(entity: Column, secret: Column) -> Column:
         places = F.struct(_chars(e).alias("c"), _first_kept(e, kind).alias("a"), _last_changed(e, kind).alias("z"))
         return let(places, lambda x: let(flagged(x), lambda f: let(permuted(plain(f), F.concat_ws("|", secret, kind), alphabets), lambda new: put_back(f, new))))
 
-    def _word_end(chars: Column, i: Column) -> Column:
-        following = F.coalesce(F.get(chars, i + 1), F.lit(" "))
-        return ~following.rlike(r"\p{L}")
+    def named(e: Column, alphabets: Column) -> Column:
+        """Title and everything but letters stay; each part of the name is permuted for itself, but for its last letter."""
+        parts = F.regexp_extract_all(F.regexp_replace(e, _TITLE, ""), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+        one = lambda p: F.when(p.rlike(r"^\p{L}{2}"), changed(p, F.lit("person"), alphabets)).otherwise(p)
+        return F.concat(F.regexp_extract(e, _TITLE, 0), F.array_join(F.transform(parts, one), ""))
 
-    def rechecked(e: Column, new: Column) -> Column:
-        """A card's check digit is as right or as wrong as it was."""
-        digits = lambda s: F.regexp_replace(s, "[^0-9]", "")
-        body = lambda s: F.substring(digits(s), F.lit(1), F.length(digits(s)) - 1)
-        off = F.substring(e, -1, 1).cast("int") - _luhn_check(body(e))
-        return F.concat(F.substring(new, F.lit(1), F.length(new) - 1), F.pmod(_luhn_check(body(new)) + off, F.lit(10)).cast("string"))
+    def rechecked(new: Column) -> Column:
+        """A card with the check digit that its new digits need."""
+        digits = F.regexp_replace(new, "[^0-9]", "")
+        return F.concat(F.substring(new, F.lit(1), F.length(new) - 1), _luhn_check(F.substring(digits, F.lit(1), F.length(digits) - 1)).cast("string"))
 
-    table = lambda kind: F.when(kind.isin("ipv4", "ipv6"), F.array(F.lit(_HEX))).when(kind == "person", F.array(*map(F.lit, _NAME_ALPHABETS))).otherwise(F.array(*map(F.lit, _ALPHABETS)))
+    listed = lambda *tables: F.array(*(F.lit(a) for t in tables for a in t))
+    other_script = lambda e: e.rlike(r"[\p{L}&&[^\p{IsLatin}\p{IsGreek}\p{IsCyrillic}]]")
+    table = lambda e, kind: F.when(kind.isin("ipv4", "ipv6"), listed([_HEX])).when(kind == "person", F.when(other_script(e), listed(_NAME_ALPHABETS, _MORE_ALPHABETS)).otherwise(listed(_NAME_ALPHABETS))).when(other_script(e), listed(_ALPHABETS, _MORE_ALPHABETS)).otherwise(listed(_ALPHABETS))
     form = lambda e, kind: F.when(kind == "ipv4", as_hex(e)).otherwise(e)
-    done = lambda e, kind, new: F.when(kind == "ipv4", as_octets(new)).when(kind == "card", rechecked(e, new)).otherwise(new)
-    return let(entity, lambda e: let(kind_of(e), lambda kind: let(table(kind), lambda a: let(form(e, kind), lambda f: let(changed(f, kind, a), lambda new: done(e, kind, new))))))
-
-
-def redacted(docs: DataFrame, secret: str = KEY) -> DataFrame:
-    """``docs`` with surrogates in text, and _entities, _collisions: how many the text had with the first key."""
-    none = F.array().cast("array<string>")
-    found = docs.withColumn("_found", F.when(F.col("text").rlike(_MAYBE), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none))
-    differ = lambda new: F.abs(F.size(F.array_distinct("_found")) - F.size(F.array_distinct(new))) + F.size(F.array_intersect(new, F.col("_found")))
-    keys = F.array(*(F.lit(secret + more) for more in ("", "|2", "|3")))
-
-    def tried(acc: Column, key: Column) -> Column:
-        """The surrogates of the next key, if those so far collide."""
-        attempt = let(F.transform("_found", lambda e: surrogate(e, key)), lambda new: F.struct(new.alias("new"), differ(new).alias("clashes"), F.coalesce(acc["first"], differ(new)).alias("first")))
-        return F.when(acc["clashes"] == 0, acc).otherwise(attempt)
-
-    start = F.struct(none.alias("new"), F.lit(1).alias("clashes"), F.lit(None).cast("int").alias("first"))
-    settled = found.withColumn("_try", F.when(F.size("_found") > 0, F.aggregate(keys, start, tried)))
+    done = lambda kind, new: F.when(kind == "ipv4", as_octets(new)).when(kind == "card", rechecked(new)).otherwise(new)
+    plain = lambda e, kind, a: let(changed(form(e, kind), kind, a), lambda new: done(kind, new))
+    return let(entity, lambda e: let(kind, lambda k: let(table(e, k), lambda a: F.when(k == "person", named(e, a)).otherwise(plain(e, k, a)))))
+
+
+def redacted(docs: DataFrame, secret: str = KEY, entities: str = "_entities", collisions: str = "_collisions") -> DataFrame:
+    """``docs`` with surrogates in text, and the numbers of a text's entities and collisions in columns of these names."""
+    found, new = fresh(docs, "found"), fresh(docs, "new")
+    text, none = F.col("text"), F.array().cast("array<string>")
+    matches = F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
+    with_kinds = F.transform(matches, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
+    secrets = F.regexp_extract_all(text, F.lit(PATTERNS["secret"]), F.lit(0))
+    # a number in an assignment is a secret; only then are assignments looked up again
+    told = lambda pairs: F.when(F.exists(pairs, lambda x: x["kind"] == "number"), let(secrets, lambda s: F.transform(pairs, lambda x: F.struct(x["e"].alias("e"), F.when((x["kind"] == "number") & F.array_contains(s, x["e"]), "secret").otherwise(x["kind"]).alias("kind"))))).otherwise(pairs)
+    out = docs.withColumn(found, let(with_kinds, told))
+    key = F.lit(secret)
+    out = out.withColumn(new, F.transform(found, lambda x: F.when(x["kind"] == "number", x["e"]).otherwise(surrogate(x["e"], x["kind"], key))))
+    real = F.transform(F.filter(found, lambda x: x["kind"] != "number"), lambda x: x["e"])
+    differ = lambda old, made: F.abs(F.size(F.array_distinct(old)) - F.size(F.array_distinct(made))) + F.size(F.array_intersect(made, old))
+    replaced = F.filter(new, lambda _, i: F.get(F.col(found), i)["kind"] != "number")
+    counted = out.withColumn(entities, F.size(real).cast("long")).withColumn(collisions, differ(real, replaced).cast("long"))
     pieces = F.split("text", ANY)
-    joined = let(pieces, lambda p: F.concat(F.array_join(F.zip_with(F.slice(p, 1, F.size(p) - 1), F.col("_try.new"), lambda a, b: F.concat(a, b)), ""), F.element_at(p, -1)))
-    out = settled.withColumn("text", F.when(F.col("_try").isNotNull(), joined).otherwise(F.col("text")))
-    return out.withColumn("_entities", F.greatest(F.size("_found"), F.lit(0)).cast("long")).withColumn("_collisions", F.coalesce("_try.first", F.lit(0)).cast("long")).drop("_found", "_try")
+    joined = let(pieces, lambda p: F.concat(F.array_join(F.zip_with(F.slice(p, 1, F.size(p) - 1), F.col(new), lambda a, b: F.concat(a, b)), ""), F.element_at(p, -1)))
+    return counted.withColumn("text", F.when(F.col(entities) > 0, joined).otherwise(text)).drop(found, new)
 
 
 def without_pii(docs: DataFrame) -> DataFrame:
     """The documents with surrogates, with their own columns; n_chars follows the text."""
-    out = redacted(docs)
+    entities, collisions = fresh(docs, "entities"), fresh(docs, "collisions")
+    out = redacted(docs, entities=entities, collisions=collisions)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(entities) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -7,7 +7,9 @@ costs only the tasks it was running.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,14 +18,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; where that is unset (tests), below a local temporary folder."""
+    """A fresh folder below ``spark.checkpoint.dir``; where that is unset, below a temporary folder if all of Spark runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "quillspark-work")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"_{name}{'_' * i}" for i in itertools.count()) if n not in taken)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back: cuts the lineage and fixes the rows."""
     spark = df.sparkSession
