@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.text import Words, slices, utf8
-from quillspark.llm.work import AtomicFile, opened, shared_folder, stored
+from quillspark.llm.work import AtomicFile, fresh, opened, shared_folder, stored
 
 WINDOW = 10
 #: Items in a file of the benchmark, and the text bytes after which a file ends: what a task holds at a time.
@@ -272,8 +272,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: in
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents without any hit, all columns kept.  Rows are told apart by a 64-bit hash of doc_id and text, so ids may be null or repeated."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hit = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, width).filter("contaminated").select(F.col("doc_id").alias("_hit_key")).distinct()
-    return docs.join(hit, key == F.col("_hit_key"), "left_anti")
+    name = fresh(docs, "hit")
+    hit = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, width).filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, key == F.col(name), "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.text import SLICE_BYTES, Words, mixed, slices, utf8
-from quillspark.llm.work import stored
+from quillspark.llm.work import fresh, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -356,13 +356,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group, all columns kept; of rows that repeat doc_id and text one stays, rows with a null doc_id all stay."""
     decided = stored(_decided(docs).select("doc_id", "digest", "keep"), "decided")
-    same = (F.col("doc_id").cast("long") == F.col("_row_id")) & (_digest() == F.col("_row_digest"))
-    named = lambda rows: rows.select(F.col("doc_id").alias("_row_id"), F.col("digest").alias("_row_digest"))
+    row_id, row_digest = fresh(docs, "row_id"), fresh(docs, "row_digest")
+    same = (F.col("doc_id").cast("long") == F.col(row_id)) & (_digest() == F.col(row_digest))
+    named = lambda rows: rows.select(F.col("doc_id").alias(row_id), F.col("digest").alias(row_digest))
     kept = docs.join(named(decided.filter("not keep")), same, "left_anti")
     repeated = stored(named(decided.filter("keep and doc_id is not null").groupBy("doc_id", "digest").count().filter("count > 1")), "repeated")
     if not repeated.limit(1).count():
         return kept
-    one = kept.join(repeated, same).dropDuplicates(["_row_id", "_row_digest"]).select(docs.columns)
+    one = kept.join(repeated, same).dropDuplicates([row_id, row_digest]).select(docs.columns)
     return kept.join(repeated, same, "left_anti").union(one)
 
 
