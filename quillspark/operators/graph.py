@@ -10,12 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/quillspark-checkpoints")
-    return df.checkpoint()
+from quillspark.operators.rank import min_max, top_k
+from quillspark.storage import kept
 
 
 def gate_rows(tier: Column, m: Column, width: int) -> Column:
@@ -25,29 +21,35 @@ def gate_rows(tier: Column, m: Column, width: int) -> Column:
     return F.when(m < 2, F.sequence(F.lit(0), m - 1)).otherwise(F.concat(F.array(F.lit(0)), near))
 
 
-def spread(seeds: DataFrame, mentions: DataFrame, gates: DataFrame, threshold: float = 0.4, per_entity: int = 2, rounds: int = 3, digits: int = 6) -> DataFrame:
+def spread(seeds: DataFrame, mentions: DataFrame, gates: DataFrame, threshold: float = 0.4, per_entity: int = 2, rounds: int = 3, digits: int = 6, window: int = 0) -> DataFrame:
     """(qid, entity, score, tier, last_tier) after breadth-first activation.
 
     An active entity takes its ``per_entity`` best unused sentences by gate; each conducts once for a query, for the
     entity with the higher score and then the smaller name (a fixed owner, where the source goes entity by entity).
     Co-mentioned entities get entity score x gate, pruned below ``threshold``; scores that arrive later are added.
+    gates: (qid, sentence, gate); or, for a gate that follows a path, (qid, sentence, j, m, gate) of each row j of the m rows of the
+    query set, of which tier t takes the best in ``gate_rows(t, m, window)``.
     """
+    path = {"j", "m"} <= set(gates.columns)
     first = seeds.select("qid", "entity", F.col("score").cast("double").alias("score"), F.lit(1).alias("tier"), F.lit(1).alias("last_tier"))
-    active, frontier, used = _kept(first), first.select("qid", "entity", "score"), None
+    active, frontier, used = kept(first), first.select("qid", "entity", "score"), None
     for t in range(2, rounds + 2):
-        options = frontier.join(mentions, "entity").join(gates, ["qid", "sentence"])
+        now = gates
+        if path:
+            now = gates.filter(F.array_contains(gate_rows(F.lit(t - 1), F.col("m"), window), F.col("j"))).groupBy("qid", "sentence").agg(F.max("gate").alias("gate"))
+        options = frontier.join(mentions, "entity").join(now, ["qid", "sentence"])
         if used is not None:
             options = options.join(used, ["qid", "sentence"], "left_anti")
         best = W.partitionBy("qid", "entity").orderBy(F.col("gate").desc(), "sentence")
         own = W.partitionBy("qid", "sentence").orderBy(F.col("score").desc(), "entity")
         taken = options.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= per_entity)
-        taken = _kept(taken.withColumn("o", F.row_number().over(own)).filter("o = 1").select("qid", "sentence", F.col("entity").alias("source"), "score", "gate"))
+        taken = kept(taken.withColumn("o", F.row_number().over(own)).filter("o = 1").select("qid", "sentence", F.col("entity").alias("source"), "score", "gate"))
         reached = taken.join(mentions, "sentence").filter("entity <> source").withColumn("s", F.col("score") * F.col("gate")).filter(F.col("s") >= threshold)
-        new = _kept(reached.groupBy("qid", "entity").agg(F.round(F.sum("s"), digits).alias("score")))
+        new = kept(reached.groupBy("qid", "entity").agg(F.round(F.sum("s"), digits).alias("score")))
         if not new.limit(1).count():
             break
         merged = active.unionByName(new.select("qid", "entity", "score", F.lit(t).alias("tier"), F.lit(t).alias("last_tier")))
-        active = _kept(merged.groupBy("qid", "entity").agg(F.round(F.sum("score"), digits).alias("score"), F.min("tier").alias("tier"), F.max("last_tier").alias("last_tier")))
+        active = kept(merged.groupBy("qid", "entity").agg(F.round(F.sum("score"), digits).alias("score"), F.min("tier").alias("tier"), F.max("last_tier").alias("last_tier")))
         used = taken.select("qid", "sentence") if used is None else used.union(taken.select("qid", "sentence"))
         frontier = new
     return active
@@ -57,13 +59,36 @@ def passage_bonus(active: DataFrame, passages: DataFrame, by_tier: bool = True)
     """(qid, pid, bonus): sum over active entities of score x ln(1 + occurrences) / last tier.  Occurrences are of the
     lower-cased entity, without overlap; only passages that hold its first word are searched."""
     word = lambda c: F.regexp_extract(F.lower(c), r"[\p{L}\p{N}]+", 0)
-    texts = passages.select("pid", F.lower("text").alias("t")).withColumn("w", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))))
-    hit = active.withColumn("w", word(F.col("entity"))).join(texts, "w")
+    held = passages.select("pid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w"))
+    hit = active.withColumn("w", word(F.col("entity"))).join(held, "w")  # texts follow for hits only
+    hit = hit.join(passages.select("pid", F.lower("text").alias("t")), "pid")
     times = (F.length("t") - F.length(F.replace("t", F.lower("entity"), F.lit("")))) / F.length("entity")
     part = F.col("score") * F.log(1 + times) / (F.col("last_tier") if by_tier else F.lit(1))
     return hit.filter(times > 0).groupBy("qid", "pid").agg(F.round(F.sum(part), 6).alias("bonus"))
 
 
+def reversed_path(sets: DataFrame) -> DataFrame:
+    """Control: (qid, texts) with the sub-questions in reverse; the question itself stays before them."""
+    return sets.withColumn("texts", F.reverse("texts"))
+
+
+def passage_weights(dense: DataFrame, bonus: DataFrame, ratio: float = 1.5, weight: float = 0.05) -> DataFrame:
+    """(qid, pid, weight) of passage nodes: (ratio x pooled score, from 0 to 1 within a query, + bonus) x weight.  How the source
+    adds them up isn't visible; the sum is this library's choice."""
+    scaled = min_max(dense.select("qid", "pid", "score"))
+    both = scaled.join(bonus, ["qid", "pid"], "full")
+    return both.select("qid", "pid", F.round((ratio * F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))) * weight, 9).alias("weight"))
+
+
+def passage_order(edges: DataFrame, active: DataFrame, passages: DataFrame, k: int, damping: float = 0.5, rounds: int = 5) -> DataFrame:
+    """(qid, rank, pid, score): passages by PageRank from the weights of entities (qid, entity, score) and passages (qid, pid, weight).
+    edges: src, dst, w between entities and passages; nodes are "e:" + entity and "p:" + pid."""
+    entity = active.select("qid", F.concat(F.lit("e:"), "entity").alias("node"), F.col("score").alias("weight"))
+    reset = entity.union(passages.select("qid", F.concat(F.lit("p:"), F.col("pid").cast("string")), "weight")).filter("weight > 0")
+    scores = pagerank(edges, reset, damping, rounds)
+    return top_k(scores.filter("node LIKE 'p:%'").select("qid", F.substring("node", 3, 40).cast("long").alias("pid"), "score"), k).select("qid", "rank", "pid", "score")
+
+
 def pagerank(edges: DataFrame, reset: DataFrame, damping: float = 0.5, rounds: int = 5, digits: int = 9) -> DataFrame:
     """(qid, node, score) of personalised PageRank on undirected weighted edges (src, dst, w); reset: (qid, node, weight).
 
@@ -71,13 +96,13 @@ def pagerank(edges: DataFrame, reset: DataFrame, damping: float = 0.5, rounds: i
     """
     both = edges.select("src", "dst", "w").union(edges.select("dst", "src", "w")).toDF("src", "dst", "w")
     out = both.groupBy("src").agg(F.sum("w").alias("total"))
-    shares = _kept(both.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
+    shares = kept(both.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
     whole = W.partitionBy("qid")
-    start = _kept(reset.select("qid", "node", F.round(F.col("weight") / F.sum("weight").over(whole), digits).alias("r")))
+    start = kept(reset.select("qid", "node", F.round(F.col("weight") / F.sum("weight").over(whole), digits).alias("r")))
     score = start.select("qid", "node", F.col("r").alias("score"))
     for _ in range(rounds):
         flow = score.join(shares, F.col("node") == F.col("src")).select("qid", F.col("dst").alias("node"), (F.col("score") * F.col("share") * damping).alias("score"))
-        score = _kept(start.select("qid", "node", (F.col("r") * (1 - damping)).alias("score")).union(flow).groupBy("qid", "node").agg(F.round(F.sum("score"), digits).alias("score")))
+        score = kept(start.select("qid", "node", (F.col("r") * (1 - damping)).alias("score")).union(flow).groupBy("qid", "node").agg(F.round(F.sum("score"), digits).alias("score")))
     return score
 
 
@@ -95,6 +120,28 @@ def tier_report(active: DataFrame, gold: DataFrame | None = None) -> DataFrame:
     return one.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.count_if("hit").alias("gold_hits"))
 
 
+def trace_report(traces: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row for each arm of entity traces (arm, id, seeded, used_sentences, entities of [text, tier, score]): questions, those that
+    bypassed the graph, mean and most activations, mean sentences used, activations in the gold text (id, text) and those beyond the seeds."""
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    hits = lambda deep: F.size(F.filter("entities", lambda e: (lower != "") & F.contains(lower, F.lower(e["text"])) & (e["tier"] > 1 if deep else F.lit(True))))
+    rows = traces.join(gold.select("id", "text"), "id", "left")
+    return rows.groupBy("arm").agg(
+        F.count("*").alias("questions"),
+        F.count_if(~F.col("seeded")).alias("bypassed"),
+        F.round(F.avg(F.size("entities")), 6).alias("mean_entities"),
+        F.max(F.size("entities")).alias("most_entities"),
+        F.round(F.avg(F.nullif("used_sentences", F.lit(0))), 6).alias("mean_sentences"),
+        F.sum(hits(False)).alias("gold_hits"),
+        F.sum(hits(True)).alias("deep_gold_hits"),
+    )
+
+
+def valid_entities(extraction: Column) -> Column:
+    """Non-blank strings of a JSON array of strings; anything else goes."""
+    return F.filter(F.from_json(extraction, "array<string>"), lambda x: x.isNotNull() & (F.trim(x) != ""))
+
+
 def valid_triples(extraction: Column) -> Column:
     """Triples of three non-blank strings from a JSON array of arrays; anything else goes, and nothing is evaluated."""
     rows = F.from_json(extraction, "array<array<string>>")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import bucket_label
+
 KS = (2, 5, 10)
 
 
@@ -32,14 +34,30 @@ def per_query(queries: DataFrame, ranking: DataFrame, ks=KS) -> DataFrame:
     return queries.join(lists, "qid", "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<bigint>"))).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).withColumn("recall", recall(F.col("gold"), F.col("ranked"), F.col("k"))).drop("ranked")
 
 
+def per_query_hits(queries: DataFrame, hits: DataFrame, ks=KS) -> DataFrame:
+    """As ``per_query`` from counts: queries (qid, n_gold, ...) and ranks (qid, rank) of the gold passages that a ranking found; no list of gold is made."""
+    found = hits.groupBy("qid").agg(*(F.count_if(F.col("rank") < k).alias(f"_h{k}") for k in ks))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(f"_h{k}", F.lit(0)).alias("h")) for k in ks)))
+    joined = queries.join(found, "qid", "left").withColumn("_x", each)
+    return joined.withColumn("k", F.col("_x.k")).withColumn("recall", F.col("_x.h") / F.nullif(F.col("n_gold"), F.lit(0))).drop("_x", *(f"_h{k}" for k in ks))
+
+
+def _by_sets(rows: DataFrame, fixed: list[str], by: list[str], *measures: Column) -> DataFrame:
+    """Measures over all rows and by each of ``by`` in one pass of grouping sets; section and bucket say which."""
+    cells = rows.groupingSets([[*fixed], *([*fixed, b] for b in by)], *fixed, *by) if by else rows.groupBy(*fixed)
+    section, bucket = F.lit("overall"), F.lit("")
+    for b in by:
+        section = F.when(F.grouping(b) == 0, b).otherwise(section)
+        bucket = F.when(F.grouping(b) == 0, F.col(b).cast("string")).otherwise(bucket)
+    made = cells.agg(section.alias("section"), bucket.alias("bucket"), *measures)
+    return made.drop(*by)
+
+
 def report(recalls: DataFrame, *by: str) -> DataFrame:
     """Means overall and by each of ``by`` in one pass of grouping sets; buckets without a defined recall are left out,
     while the overall rows stay.  n counts defined recalls, n_all all queries."""
-    recalls.createOrReplaceTempView("_recalls")
-    sets = ", ".join(["(k)", *(f"(k, {b})" for b in by)])
-    section = "CASE " + " ".join(f"WHEN grouping({b}) = 0 THEN '{b}'" for b in by) + " ELSE 'overall' END" if by else "'overall'"
-    bucket = f"coalesce({', '.join(f'CASE WHEN grouping({b}) = 0 THEN CAST({b} AS STRING) END' for b in by)}, '')" if by else "''"
-    return recalls.sparkSession.sql(f"SELECT {section} AS section, {bucket} AS bucket, k, round(avg(recall), 6) AS mean, count(recall) AS n, count(*) AS n_all FROM _recalls GROUP BY GROUPING SETS ({sets})").filter("n > 0 OR section = 'overall'")
+    made = _by_sets(recalls, ["k"], list(by), F.round(F.avg("recall"), 6).alias("mean"), F.count("recall").alias("n"), F.count("*").alias("n_all"))
+    return made.filter("n > 0 OR section = 'overall'").select("section", "bucket", "k", "mean", "n", "n_all")
 
 
 def checked_overall(made: DataFrame) -> DataFrame:
@@ -50,7 +68,7 @@ def checked_overall(made: DataFrame) -> DataFrame:
 
 
 def bootstrap_interval(values, n: int = 2000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float]:
-    """Percentile interval of the mean of values in their order; NaN for fewer than two."""
+    """Percentile interval of the mean of values in their order; NaN for fewer than two.  Draws, alpha and seed are fixed values that the result's bits depend on."""
     x = np.asarray([v for v in values if v is not None and v == v], float)
     if len(x) < 2:
         return float("nan"), float("nan")
@@ -78,12 +96,40 @@ def paired(recalls: DataFrame, baseline: str) -> DataFrame:
 
 
 def delta_table(recalls: DataFrame, baseline: str, *by: str) -> DataFrame:
-    """Mean differences of each arm, overall and by bucket, with the number of pairs."""
+    """Mean differences of each arm (arm, k, section, bucket, delta, n), overall and by bucket, with the number of pairs."""
+    return _by_sets(paired(recalls, baseline), ["arm", "k"], list(by), F.round(F.avg("delta"), 6).alias("delta"), F.count("*").alias("n"))
+
+
+def full_delta_table(recalls: DataFrame, baseline: str, covered: DataFrame | None = None, label: Column | None = None) -> DataFrame:
+    """The table that users read: (section, bucket, arm, k, delta, n, lo, hi, star) for all questions, by depth and kind
+    (``label``, else n_hops and is_join), by shape, and over the questions (arm, qid) that an arm covers, with bootstrap intervals."""
     rows = paired(recalls, baseline)
-    rows.createOrReplaceTempView("_deltas")
-    sets = ", ".join(["(arm, k)", *(f"(arm, k, {b})" for b in by)])
-    bucket = f"coalesce({', '.join(f'CASE WHEN grouping({b}) = 0 THEN CAST({b} AS STRING) END' for b in by)}, 'all')" if by else "'all'"
-    return rows.sparkSession.sql(f"SELECT arm, k, {bucket} AS bucket, round(avg(delta), 6) AS delta, count(*) AS n FROM _deltas GROUP BY GROUPING SETS ({sets})")
+    label = label if label is not None else bucket_label(F.col("n_hops"), F.col("is_join"))
+    sections = F.array(*(F.struct(F.lit(s).alias("section"), b.cast("string").alias("bucket")) for s, b in (("all", F.lit("all")), ("depth x shape", label), ("question type", F.coalesce(F.nullif(F.col("shape").cast("string"), F.lit("")), F.lit("?"))))))
+    each = rows.select("arm", "k", "qid", "delta", F.explode(sections).alias("x")).select("arm", "k", "qid", "delta", "x.*")
+    if covered is not None:
+        each = each.union(covered_only(rows, covered).select("arm", "k", "qid", "delta", F.lit("covered").alias("section"), F.col("arm").alias("bucket")))
+    group = ["section", "bucket", "arm", "k"]
+    means = each.groupBy(*group).agg(F.round(F.avg("delta"), 6).alias("delta"), F.count("*").alias("n"))
+    limits = intervals(each.select(*group, F.col("qid").alias("ord"), F.col("delta").alias("value")), *group)
+    return means.join(limits, group).withColumn("star", (F.col("lo") > 0) | (F.col("hi") < 0) & ~F.isnan("hi"))
+
+
+def covered_only(rows: DataFrame, covered: DataFrame) -> DataFrame:
+    """Rows of the questions for which their arm has sub-questions; covered: arm, qid."""
+    return rows.join(covered.select("arm", "qid").distinct(), ["arm", "qid"], "left_semi")
+
+
+def coverage_delta(recalls: DataFrame, baseline: str, covered: DataFrame) -> DataFrame:
+    """Mean difference of each arm over the questions that it covers."""
+    return covered_only(paired(recalls, baseline), covered).groupBy("arm", "k").agg(F.round(F.avg("delta"), 6).alias("delta"), F.count("*").alias("n"))
+
+
+def content_effect(deltas: DataFrame, control: str) -> DataFrame:
+    """How much of each arm's difference is more than the control's: rows of a delta table less those of the control arm."""
+    group = [c for c in deltas.columns if c not in ("arm", "delta", "n")]
+    base = deltas.filter(F.col("arm") == control).select(*group, F.col("delta").alias("control"))
+    return deltas.filter(F.col("arm") != control).join(base, group).select("arm", *group, F.round(F.col("delta") - F.col("control"), 6).alias("effect"))
 
 
 def hop_hits(hops: DataFrame, ranking: DataFrame, ks=KS) -> DataFrame:

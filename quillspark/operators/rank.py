@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Callable
 from functools import reduce
 from typing import Protocol
 
@@ -11,6 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from quillspark.functions.stemming import stem
+from quillspark.storage import kept
 
 #: Query vectors that a task holds at a time; beyond it, queries are scored block by block.
 QUERY_BLOCK = 4096
@@ -40,36 +48,51 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
 
 
-def dense_scores(items: DataFrame, queries: DataFrame, keep: int | None = None, digits: int = 6) -> DataFrame:
+def _best(scores: np.ndarray, pids: np.ndarray, keep: int | None) -> np.ndarray:
+    """For each row of scores the places of its ``keep`` best, ties by the smaller pid."""
+    n = scores.shape[1]
+    if keep is None or keep >= n:
+        return np.broadcast_to(np.arange(n), scores.shape)
+    return np.stack([np.lexsort((pids, -row))[:keep] for row in scores])
+
+
+def dense_scores(items: DataFrame, queries: DataFrame, keep: int | None = None, combine: str | None = None, digits: int = 6) -> DataFrame:
     """(qid, j, pid, score): inner products of all items (pid, embedding) with all query vectors (qid, j, embedding).
 
-    A stated query set against all rows, in blocks: query vectors are collected QUERY_BLOCK at a time and
-    multiplied with each Arrow batch of items.  With ``keep`` a batch gives only its best rows for each query
-    vector, so what is shuffled grows with queries x partitions and not with queries x items.
+    A stated query set against all rows, in blocks: the vectors of a block of queries, about QUERY_BLOCK of them, are collected and
+    multiplied with each Arrow batch of items.  ``combine`` (max or mean) takes a query's vectors together, j is then 0.  With
+    ``keep`` a batch gives only its best rows for each query or query vector, so what is shuffled grows with
+    queries x partitions and not with queries x items.  Rows without a vector have no score; qid may be of any type.
     """
+    asked = queries.select("qid", "j", "embedding").filter("embedding is not null")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    qid_type = to_arrow_type(queries.schema["qid"].dataType)
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("j", T.IntegerType()), T.StructField("pid", T.LongType()), T.StructField("score", T.DoubleType())])
     found = []
-    total = queries.count()
-    numbered = queries.select("qid", "j", "embedding").withColumn("_n", F.row_number().over(W.orderBy("qid", "j")) - 1) if total > QUERY_BLOCK else queries.select("qid", "j", "embedding").withColumn("_n", F.lit(0))
-    for first in range(0, max(1, total), QUERY_BLOCK):
-        part = (numbered.filter(F.col("_n").between(first, first + QUERY_BLOCK - 1)) if total > QUERY_BLOCK else numbered).collect()
-        names, js = [r.qid for r in part], [r.j for r in part]
+    for block in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).orderBy("qid", "j").collect()
+        names = list(dict.fromkeys(r.qid for r in part))
+        firsts = np.flatnonzero([i == 0 or r.qid != part[i - 1].qid for i, r in enumerate(part)])
+        heads = pa.array(names if combine else [r.qid for r in part], qid_type)
+        js = np.zeros(len(names), np.int32) if combine else np.array([r.j for r in part], np.int32)
         matrix = np.array([r.embedding for r in part], float)
 
-        def score(batches, names=names, js=js, matrix=matrix):
+        def score(batches, heads=heads, js=js, matrix=matrix, firsts=firsts):
             for b in batches:
-                if not len(names) or not b.num_rows:
+                if not len(heads) or not b.num_rows:
                     continue
-                pids = b.column(0).to_numpy()
-                x = np.array(b.column(1).to_pylist(), float)
-                s = np.zeros((len(names), len(pids)))
-                for d in range(x.shape[1]):  # the order of additions is fixed
-                    s += np.outer(matrix[:, d], x[:, d])
-                s = np.round(s, digits)
-                for i in range(len(names)):
-                    at = np.arange(len(pids)) if keep is None or keep >= len(pids) else np.lexsort((pids, -s[i]))[:keep]
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(at), pa.int64()), pa.array([js[i]] * len(at), pa.int32()), pa.array(pids[at]), pa.array(s[i][at])], ["qid", "j", "pid", "score"])
-
-        found.append(items.select(F.col("pid").cast("long"), "embedding").mapInArrow(score, "qid long, j int, pid long, score double"))
+                pids, vectors = b.column(0).to_numpy(), b.column(1)
+                x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                s = np.round(matrix @ x.T, digits)
+                if combine == "max":
+                    s = np.maximum.reduceat(s, firsts, axis=0)
+                elif combine == "mean":
+                    s = np.round(np.add.reduceat(s, firsts, axis=0) / np.diff(np.append(firsts, len(matrix)))[:, None], digits + 2)
+                at = _best(s, pids, keep)
+                row = np.repeat(np.arange(len(heads)), at.shape[1])
+                yield pa.RecordBatch.from_arrays([heads.take(pa.array(row)), pa.array(js[row]), pa.array(pids[at].ravel()), pa.array(np.take_along_axis(s, at, 1).ravel())], ["qid", "j", "pid", "score"])
+
+        found.append(items.select(F.col("pid").cast("long"), "embedding").filter("embedding is not null").mapInArrow(score, schema))
     return reduce(DataFrame.union, found)
 
 
@@ -100,21 +123,47 @@ def fused_rrf(scores: DataFrame, k: int, depth: int) -> DataFrame:
 
 
 def words(text: Column, stopwords: list[str] | None = None) -> Column:
-    """Lower-case words of two characters or more."""
+    """Lower-case words of two characters or more: ASCII and Latin-1 letters, digits, underscores."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9à-öø-ÿ_]{2,}"), F.lit(0))
     return F.filter(found, lambda w: ~w.isin(*stopwords)) if stopwords else found
 
 
-def bm25(passages: DataFrame, queries: DataFrame, k: int, stopwords: list[str] | None = None, digits: int = 6) -> DataFrame:
+def unicode_words(text: Column, stopwords: list[str] | None = None) -> Column:
+    """Lower-case words of two characters or more of any script."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(*stopwords)) if stopwords else found
+
+
+@F.pandas_udf(T.StringType())
+def stemmed(terms: pd.Series) -> pd.Series:
+    """English stems, by Arrow batches; each different word of a batch once."""
+    codes, distinct = pd.factorize(terms)
+    return pd.Series(np.array([*map(stem, distinct), None], object)[codes])
+
+
+def bm25(passages: DataFrame, queries: DataFrame, k: int, stopwords: list[str] | None = None, digits: int = 6, tokens=words, stems: bool = False) -> DataFrame:
     """BM25 of passages (pid, text) for queries (qid, question): idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Only postings of query terms leave the scan; a query term counts as often as the query has it.
+    Passages are read and tokenised once: what is stored are the postings of query terms, and a row for each passage with
+    its length, from which all statistics come.  A query term counts as often as the query has it.  With ``stems`` both sides go by
+    English stems: the different words of the passages are stemmed in a table of their own, which then joins as the query terms do.
     """
-    asked = queries.select("qid", F.explode(words(F.col("question"), stopwords)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    vocabulary = bounded(asked.select("term").distinct())
-    tokens = passages.select("pid", words(F.col("text"), stopwords).alias("w")).withColumn("dl", F.size("w"))
-    postings = tokens.select("pid", "dl", F.explode("w").alias("term")).join(vocabulary, "term", "left_semi").groupBy("pid", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    asked = queries.select("qid", F.explode(tokens(F.col("question"), stopwords)).alias("term"))
+    if stems:
+        asked = asked.withColumn("term", stemmed("term"))
+    asked = asked.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    listed = passages.select("pid", tokens(F.col("text"), stopwords).alias("w"))
+    exploded = listed.select("pid", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))  # "" stands for the passage itself
+    wanted = asked.select("term").distinct()
+    if stems:
+        vocabulary = exploded.select("term").filter("term <> ''").distinct().withColumn("stem", stemmed("term")).join(bounded(wanted.withColumnRenamed("term", "stem")), "stem", "left_semi")
+        known = kept(vocabulary.select("term", "stem"), "stems")
+        each = exploded.join(bounded(known), "term", "left").filter("stem is not null or term = ''").withColumn("term", F.coalesce("stem", "term"))
+    else:
+        each = exploded.join(bounded(wanted.union(wanted.sparkSession.createDataFrame([("",)], "term string"))), "term", "left_semi")
+    postings = kept(each.groupBy("pid", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    stats = postings.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = postings.filter("term <> ''")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -134,6 +183,29 @@ class PairScorer(Protocol):
     def score(self, questions: list[str], passages: list[str]) -> list[float]: ...
 
 
+class OverlapScorer:
+    """A deterministic stand-in for a cross-encoder: the share of the question's words that the passage has."""
+
+    def score(self, questions: list[str], passages: list[str]) -> list[float]:
+        sets = [[set(re.findall(r"[a-z0-9à-öø-ÿ_]{2,}", (t or "").lower())) for t in side] for side in (questions, passages)]
+        return [round(len(q & p) / len(q), 6) if q else 0.0 for q, p in zip(*sets, strict=True)]
+
+
+def scored_pairs(pairs: DataFrame, make: Callable[[], PairScorer], batch: int = 64) -> DataFrame:
+    """(qid, pid, score) of pairs (qid, pid, text, passage); ``make`` loads the model once for a task."""
+    schema = T.StructType([*pairs.select("qid", "pid").schema, T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        model = make()
+        for b in batches:
+            questions, texts, scores = b.column(2).to_pylist(), b.column(3).to_pylist(), []
+            for i in range(0, len(questions), batch):
+                scores += model.score(questions[i : i + batch], texts[i : i + batch])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], ["qid", "pid", "score"])
+
+    return pairs.select("qid", "pid", "text", "passage").mapInArrow(run, schema)
+
+
 class Encoder(Protocol):
     """A model that turns texts into unit vectors."""
 
@@ -147,9 +219,6 @@ class HashingEncoder:
         self.dimensions = dimensions
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        import re
-        import zlib
-
         out = np.zeros((len(texts), self.dimensions), np.float32)
         for i, t in enumerate(texts):
             for w in re.findall(r"\w+", (t or "").lower()):
@@ -181,15 +250,25 @@ def overlap_score(question: Column, passage: Column) -> Column:
     return F.coalesce(F.round(F.size(F.array_intersect(q, words(passage))) / F.nullif(F.size(q), F.lit(0)), 6), F.lit(0.0))
 
 
-def reranked(candidates: DataFrame, sets: DataFrame, passages: DataFrame, k: int, score=overlap_score) -> DataFrame:
-    """Candidates (qid, rank, pid) by the best score over the query set (qid, j, text); a query without one keeps its order."""
+def reranked(candidates: DataFrame, sets: DataFrame, passages: DataFrame, k: int, score=overlap_score, model: Callable[[], PairScorer] | None = None) -> DataFrame:
+    """Candidates (qid, rank, pid) by the best score over the query set (qid, j, text), of an expression or, if given, of a
+    model's; a query without a set keeps its order."""
     texts = passages.select("pid", F.col("text").alias("passage"))
-    scored = candidates.join(sets, "qid").join(texts, "pid").groupBy("qid", "pid").agg(F.max(score(F.col("text"), F.col("passage"))).alias("score"))
+    pairs = candidates.join(sets, "qid").join(texts, "pid")
+    each = scored_pairs(pairs, model) if model else pairs.select("qid", "pid", score(F.col("text"), F.col("passage")).alias("score"))
+    scored = each.groupBy("qid", "pid").agg(F.max("score").alias("score"))
     asked = sets.select("qid").distinct()
     same = candidates.join(asked, "qid", "left_anti").filter(F.col("rank") < k).select("qid", "rank", "pid", F.lit(None).cast("double").alias("score"))
     return top_k(scored, k).select("qid", "rank", "pid", "score").union(same)
 
 
+def multi_vector_cosine(rows: Column, vector: Column, mode: str = "plain") -> Column:
+    """The best cosine over an array of vectors, 0 for none; normalized maps it to 0..1, relu and relu_sq cut it at 0 (choices: the source names the modes only)."""
+    best = F.coalesce(F.array_max(F.transform(rows, lambda r: cosine(r, vector))), F.lit(0.0))
+    positive = F.greatest(best, F.lit(0.0))
+    return {"plain": best, "normalized": (best + 1) / 2, "relu": positive, "relu_sq": positive * positive}[mode]
+
+
 def min_max(scores: DataFrame) -> DataFrame:
     """Scores of each query to 0..1; all 1 where they are equal (a choice: the source doesn't say)."""
     w = W.partitionBy("qid")

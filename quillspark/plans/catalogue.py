@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions import intervals, text
+from quillspark.functions import text
 from quillspark.operators import graph, matching, metrics, rank
 
 FLAGSHIP = "recall_by_bucket"
@@ -40,28 +40,38 @@ def candidates(scores: DataFrame) -> DataFrame:
     return scores.filter(~F.col("pid").between(F.col("qid"), F.col("qid") + SUBQUESTIONS))
 
 
-def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vector_scores(spark: SparkSession, sf_dir: str, keep: int | None = None, combine: str | None = None, sub: bool = True) -> DataFrame:
+    """Scores of the candidates; with ``keep`` the best that each batch has to give, those that aren't candidates on top."""
     items = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), "embedding")
-    return candidates(rank.dense_scores(items, vector_queries(spark, sf_dir)))
+    asked = vector_queries(spark, sf_dir)
+    return candidates(rank.dense_scores(items, asked if sub else asked.filter("j = 0"), keep and keep + SUBQUESTIONS + 1, combine))
 
 
 def vector_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, gold, shape, n_hops); the arrays are as long as a label is frequent."""
-    q = vector_queries(spark, sf_dir).filter("j = 0").select("qid", "label")
-    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), "label")
-    gold = candidates(q.join(e, "label")).groupBy("qid").agg(F.sort_array(F.collect_list("pid")).alias("gold"))
-    return q.join(gold, "qid", "left").select("qid", F.coalesce("gold", F.array().cast("array<bigint>")).alias("gold"), (F.col("label") % 3).alias("shape"), (F.col("label") % 4 + 1).alias("n_hops"))
+    """(qid, label, n_gold, shape, n_hops): how many candidates have the query's label, counted without listing them."""
+    q = vector_queries(spark, sf_dir)
+    own = q.groupBy("qid").agg(F.max(F.when(F.col("j") == 0, F.col("label"))).alias("label"), F.collect_list("label").alias("own"))  # four at most
+    sizes = _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    n = F.col("n") - F.size(F.filter("own", lambda x: x == F.col("label")))
+    return own.join(sizes, "label").select("qid", "label", n.alias("n_gold"), (F.col("label") % 3).alias("shape"), (F.col("label") % 4 + 1).alias("n_hops"), (F.col("label") % 2 == 1).alias("is_join"))
+
+
+def gold_ranks(spark: SparkSession, sf_dir: str, ranking: DataFrame) -> DataFrame:
+    """The rows of a ranking whose item has the query's label."""
+    labels = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), "label")
+    asked = vector_queries(spark, sf_dir).filter("j = 0").select("qid", F.col("label").alias("wanted"))
+    return ranking.join(labels, "pid").join(asked, "qid").filter("label = wanted").drop("label", "wanted")
 
 
 def arms(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    s = vector_scores(spark, sf_dir)
-    return {"pooled": rank.top_k(rank.pooled(s), K), "max": rank.top_k(rank.sigma_max(s), K), "mean": rank.top_k(rank.fused_mean(s), K)}
+    plain = vector_scores(spark, sf_dir, K, sub=False)
+    return {"pooled": rank.top_k(plain, K), "max": rank.top_k(vector_scores(spark, sf_dir, K, "max"), K), "mean": rank.top_k(vector_scores(spark, sf_dir, K, "mean"), K)}
 
 
 def arm_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, out = vector_gold(spark, sf_dir), None
     for name, ranking in arms(spark, sf_dir).items():
-        one = metrics.per_query(gold, ranking).withColumn("arm", F.lit(name))
+        one = metrics.per_query_hits(gold, gold_ranks(spark, sf_dir, ranking)).withColumn("arm", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -78,7 +88,7 @@ def passage_identity(spark, d):
 
 
 def title_lookup(spark, d):
-    return matching.title_index(passages(spark, d)).select("title", F.size("pids").alias("n_pids"), "first_pid")
+    return matching.title_counts(passages(spark, d))
 
 
 def corpus_stats(spark, d):
@@ -120,40 +130,42 @@ def rerank_overlap(spark, d):
 
 
 def dense_topk(spark, d):
-    return _ranked(rank.top_k(rank.pooled(vector_scores(spark, d)), K))
+    return _ranked(rank.top_k(vector_scores(spark, d, K, sub=False), K))
 
 
 def sigma_max_topk(spark, d):
-    return _ranked(rank.top_k(rank.sigma_max(vector_scores(spark, d)), K))
+    return _ranked(rank.top_k(vector_scores(spark, d, K, "max"), K))
 
 
 def fusion_mean(spark, d):
-    return _ranked(rank.top_k(rank.fused_mean(vector_scores(spark, d)), K))
+    return _ranked(rank.top_k(vector_scores(spark, d, K, "mean"), K))
 
 
 def fusion_rrf(spark, d):
-    return _ranked(rank.fused_rrf(vector_scores(spark, d), K, 3 * K))
+    return _ranked(rank.fused_rrf(vector_scores(spark, d, 3 * K), K, 3 * K))
 
 
 def fact_minmax(spark, d):
-    return rank.min_max(rank.sigma_max(vector_scores(spark, d)))
+    return rank.min_max(vector_scores(spark, d, combine="max").select("qid", "pid", "score"))
 
 
 # ---- metrics
 
 def recall_by_bucket(spark, d):
-    return metrics.report(metrics.per_query(vector_gold(spark, d), arms(spark, d)["max"]), "shape", "n_hops")
+    best = rank.top_k(vector_scores(spark, d, K, "max"), K)
+    return metrics.report(metrics.per_query_hits(vector_gold(spark, d), gold_ranks(spark, d, best)), "shape", "n_hops")
 
 
 def paired_delta(spark, d):
-    return metrics.delta_table(arm_recalls(spark, d), "pooled", "shape")
+    return metrics.delta_table(arm_recalls(spark, d), "pooled", "shape").select("arm", "k", F.when(F.col("section") == "overall", "all").otherwise(F.col("bucket")).alias("bucket"), "delta", "n")
 
 
 def best_over_views(spark, d):
     """Recall when each query takes its best sub-question's own ranking."""
-    top = rank.top_k(vector_scores(spark, d), K, "qid", "j")
-    per = top.join(vector_gold(spark, d), "qid").groupBy("qid", "j").agg((F.count_if(F.array_contains("gold", F.col("pid"))) / F.nullif(F.first(F.size("gold")), F.lit(0))).alias("recall"))
-    return per.groupBy("qid").agg(F.round(F.max("recall"), 6).alias("recall"))
+    top = rank.top_k(vector_scores(spark, d, K), K, "qid", "j")
+    hits = gold_ranks(spark, d, top).groupBy("qid", "j").agg(F.count("*").alias("h")).groupBy("qid").agg(F.max("h").alias("h"))
+    found = vector_gold(spark, d).join(hits, "qid", "left")
+    return found.select("qid", F.round(F.coalesce("h", F.lit(0)) / F.nullif(F.col("n_gold"), F.lit(0)), 6).alias("recall"))
 
 
 def per_hop_recall(spark, d):
@@ -161,7 +173,7 @@ def per_hop_recall(spark, d):
     q = vector_queries(spark, d).filter("j > 0")
     e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"), "label")
     hops = candidates(q.join(e, "label")).groupBy("qid", F.col("j").alias("hop")).agg(F.min("pid").alias("gold_pid"))
-    return metrics.hop_hits(hops, arms(spark, d)["max"])
+    return metrics.hop_hits(hops, rank.top_k(vector_scores(spark, d, K, "max"), K))
 
 
 def option_recall(spark, d):
@@ -215,58 +227,6 @@ def tier_histogram(spark, d):
     return graph.tier_report(entity_spread(spark, d), questions(spark, d).select("qid", F.col("question").alias("text")))
 
 
-# ---- small literal inputs
-
-_COMPLETIONS = [
-    (1, "<|channel|>analysis<|message|>hm?<|end|><|start|>assistant<|channel|>final<|message|>Who is A?<|return|>"),
-    (2, "final<|message|>Who is B, the first?"),
-    (3, "analysisthinking?assistantfinalWho is C, the last?"),
-    (4, "analysis only, no end?"),
-    (5, "1. Where is the river?\n- Where is the river?\n2) When was it built?\nHere is a question?\nno mark\nWhy?\n* What is it called?"),
-]
-_RESOLVE = [(1, "Who wrote #1 in #2?", ["Dune #2", "1965"]), (2, "Where is #3?", ["x"]), (3, "#1 and #1", ["A"]), (4, "none", ["A"]), (5, "#0 of #12", ["A"])]
-_IDS = [("2hop__1_2",), ("musique_2hop__1_2",), ("musique_other",), ("noprefix",)]
-_CHUNKS = [("12:some: text",), (":x",), ("7",), ("a7:x",), ("003:x",)]
-_EVIDENCE = [(1, [["A", "director", "B"], ["B", "birthplace", "C"], ["D", "spouse", "B"]]), (2, [["X", "author", "X"], ["X", "author", "Y"]])]
-_SORTS = [(1, [3, 1, 4, 5, 2], [(1, 1, 3), (2, 2, 5)], 4), (2, [2, 1], [(2, 1, 2)], 1), (3, [5, 4, 3, 2, 1], [(1, 2, 4)], 3)]
-_INTERVALS = "1 1\n5 7\n7 5\n1 1000000000\n0 3\n2 1000000001"
-
-
-def harmony_final(spark, d):
-    return spark.createDataFrame(_COMPLETIONS, "id int, t string").select("id", text.final_answer(F.col("t")).alias("final"))
-
-
-def parsed_subquestions(spark, d):
-    return spark.createDataFrame(_COMPLETIONS, "id int, t string").select("id", F.array_join(text.parsed_questions(F.col("t")), "|").alias("questions"))
-
-
-def resolve_placeholders(spark, d):
-    return spark.createDataFrame(_RESOLVE, "id int, q string, a array<string>").select("id", text.resolved(F.col("q"), F.col("a")).alias("resolved"))
-
-
-def match_qid(spark, d):
-    ours = spark.createDataFrame([("2hop__1_2",), ("bridge_2hop__1_2",)], "qid string")
-    return matching.matched_ids(spark.createDataFrame(_IDS, "tid string"), ours)
-
-
-def chunk_ids(spark, d):
-    return spark.createDataFrame(_CHUNKS, "t string").select("t", text.chunk_id(F.col("t")).alias("id"))
-
-
-def bridge_questions(spark, d):
-    return matching.bridge_hops(spark.createDataFrame(_EVIDENCE, "qid int, evidences array<array<string>>"))
-
-
-def range_sort(spark, d):
-    rows = spark.createDataFrame(_SORTS, "id int, v array<int>, ops array<struct<c:int,l:int,r:int>>, x int")
-    return rows.select("id", intervals.place_after(F.col("v"), F.col("ops"), F.col("x")).alias("place"))
-
-
-def interval_constraints(spark, d):
-    rows = spark.createDataFrame([(i, *map(int, x.split())) for i, x in enumerate(_INTERVALS.split("\n"))], "id int, l long, r long")
-    return rows.select("id", ((F.col("l") >= 1) & (F.col("r") <= intervals.MAX_VALUE) & (F.col("l") <= F.col("r"))).alias("valid"))
-
-
 def rekey_collisions(spark, d):
     """Documents as query sets of their own text, keyed by source: the last set wins."""
     sets = passages(spark, d).select(F.col("title").alias("qkey"), F.col("pid").alias("ord"), F.array(F.md5("text")).alias("texts"))
@@ -277,19 +237,33 @@ def views_regex(spark, d):
     return questions(spark, d).select("qid", F.posexplode(text.views("question")).alias("j", "view"))
 
 
+def _donors(spark, d) -> DataFrame:
+    """(qid, donor): every question and the one whose views it gets, the next by a keyed hash within blocks of hashes, so no block
+    grows with the table; one alone in its block keeps its own."""
+    q = questions(spark, d).select("qid", F.md5(F.concat(F.lit("views-0-"), F.col("qid").cast("string"))).alias("h"))
+    block, digits = W.partitionBy("block"), max(0, -(-(q.count().bit_length() - 12) // 4))  # 16 times the blocks for 16 times the questions
+    by_hash = block.orderBy("h", "qid")
+    keyed = q.withColumn("block", F.substring("h", 1, digits))
+    return keyed.select("qid", F.coalesce(F.lead("qid").over(by_hash), F.first("qid").over(by_hash.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("donor"))
+
+
+def views_donors(spark, d):
+    return _donors(spark, d)
+
+
 def views_shuffled(spark, d):
-    """Control: every question with another's views, by a keyed order (a question may keep its own)."""
+    """Control: every question keeps itself as view 0 and gets another's further views."""
     q = questions(spark, d)
-    keyed = q.select("qid", F.row_number().over(W.orderBy("qid")).alias("n"))
-    other = q.select("question", F.row_number().over(W.orderBy(F.xxhash64(F.lit(0), "qid"), "qid")).alias("n"))
-    return keyed.join(other, "n").select("qid", text.views("question").alias("views"))
+    theirs = q.select(F.col("qid").alias("donor"), text.views("question").alias("v"))
+    own = q.select("qid", F.slice(text.views("question"), 1, 1).alias("first"))
+    more = _donors(spark, d).join(theirs, "donor").join(own, "qid")
+    return more.select("qid", F.concat("first", F.slice("v", 2, F.greatest(F.size("v"), F.lit(1)))).alias("views"))
 
 
 _SAME = [
     passage_identity, title_lookup, corpus_stats, norm_ascii, norm_question, content_counts, gold_containment, bm25_topk, hybrid_rrf, rerank_overlap,
     dense_topk, sigma_max_topk, fusion_mean, fusion_rrf, fact_minmax, recall_by_bucket, paired_delta, best_over_views, per_hop_recall, option_recall, bootstrap_ci,
-    edge_weight, pagerank_vectors, entity_spread, tier_histogram, harmony_final, parsed_subquestions, resolve_placeholders, match_qid, chunk_ids, bridge_questions,
-    range_sort, interval_constraints, rekey_collisions, views_regex, views_shuffled,
+    edge_weight, pagerank_vectors, entity_spread, tier_histogram, rekey_collisions, views_regex, views_donors, views_shuffled,
 ]
 QUERIES = {f.__name__: f for f in _SAME}
 
@@ -322,18 +296,6 @@ def _bm25_sql(name: str, k: int, stop: bool) -> str:
     {name} AS ({_TOP.format(name + 's', k)})"""
 
 
-def _values(rows) -> str:
-    def lit(v):
-        if isinstance(v, list):
-            return "[" + ", ".join(map(lit, v)) + "]"
-        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-
-    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
-
-
-_FINAL = r"""CASE WHEN regexp_matches(t, '(?s)<\|channel\|>final<\|message\|>(.*?)(<\|return\|>|<\|end\|>|$)') THEN regexp_extract(t, '(?s)<\|channel\|>final<\|message\|>(.*?)(<\|return\|>|<\|end\|>|$)', 1)
-    WHEN contains(t, 'final<|message|>') THEN substr(t, strpos(t, 'final<|message|>') + 16) WHEN contains(t, 'assistantfinal') THEN list_last(string_split(t, 'assistantfinal'))
-    WHEN regexp_matches(t, '^\s*analysis\b') THEN '' ELSE regexp_replace(t, '<\|[^|]*\|>', '', 'g') END"""
 _NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 _CONTAINED = f"""
     p AS (SELECT item_id, {_NORM.format('text')} AS p FROM benchmark), c AS (SELECT doc_id AS pid, {_NORM.format('text')} AS c FROM documents),
@@ -341,7 +303,37 @@ _CONTAINED = f"""
     ht AS (SELECT item_id, w, pid FROM pr JOIN c ON contains(c, probe)),
     cont AS (SELECT DISTINCT item_id, pid FROM ht WHERE w = (SELECT max(w) FROM ht h WHERE h.item_id = ht.item_id))"""
 
+_PAGERANK = f"""
+    WITH {_VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), t AS ({_TOP.format('z', K)}), e AS (SELECT qid AS src, pid AS dst, score AS w FROM t WHERE score > 0),
+    b AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e), o AS (SELECT src, sum(w) AS total FROM b GROUP BY ALL), sh AS (SELECT src, dst, w / total AS share FROM b JOIN o USING (src)),
+    st AS (SELECT qid AS node, round((label + 1) / (sum(label + 1) OVER ())::DOUBLE, 9) AS r FROM q WHERE j = 0), p0 AS (SELECT node, r AS score FROM st),
+    {", ".join(f"p{i} AS (SELECT node, round(sum(x), 9) AS score FROM (SELECT node, r * 0.5::DOUBLE AS x FROM st UNION ALL SELECT sh.dst, p.score * sh.share * 0.5::DOUBLE FROM p{i - 1} p JOIN sh ON sh.src = p.node) AS u GROUP BY ALL)" for i in (1, 2, 3))}
+    SELECT node, round(score, 6) AS score FROM p3"""
+
+
+def _tier_sql(t: int) -> str:
+    """One round of the spread: f{t - 1} is the frontier, u{t - 1} the sentences used before, a{t - 1} what is active."""
+    return f"""
+    o{t} AS (SELECT f.qid, f.entity, f.score, m.sentence, g.gate FROM f{t - 1} f JOIN m USING (entity) JOIN g ON g.sentence = m.sentence WHERE NOT EXISTS (SELECT 1 FROM u{t - 1} u WHERE u.qid = f.qid AND u.sentence = m.sentence)),
+    b{t} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, entity ORDER BY gate DESC, sentence) AS r FROM o{t}) AS x WHERE r <= 2),
+    k{t} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, sentence ORDER BY score DESC, entity) AS w FROM b{t}) AS x WHERE w = 1),
+    f{t} AS (SELECT k.qid, m.entity, round(sum(k.score * k.gate), 6) AS score FROM k{t} k JOIN m ON m.sentence = k.sentence WHERE m.entity <> k.entity AND k.score * k.gate >= 0.5 GROUP BY ALL),
+    a{t} AS (SELECT qid, entity, round(sum(score), 6) AS score, min(tier) AS tier, max(last_tier) AS last_tier FROM (SELECT * FROM a{t - 1} UNION ALL SELECT qid, entity, score, {t}, {t} FROM f{t}) AS x GROUP BY ALL),
+    u{t} AS (SELECT * FROM u{t - 1} UNION ALL SELECT qid, sentence FROM k{t})"""
+
+
+_SPREAD = rf"""
+    WITH se AS (SELECT item_id AS qid, unnest(string_split(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1)), 1) - 1 AS p FROM benchmark),
+    m AS (SELECT qid * 1000 + p AS sentence, unnest(list_distinct(regexp_extract_all(s, '[A-Za-z]{{2,}}'))) AS entity FROM se),
+    g AS (SELECT sentence, round(0.5::DOUBLE + 0.5::DOUBLE / count(*), 6) AS gate FROM m GROUP BY ALL),
+    f1 AS (SELECT item_id AS qid, regexp_extract(text, '[A-Za-z]{{2,}}') AS entity, 1.0::DOUBLE AS score FROM benchmark WHERE regexp_matches(text, '[A-Za-z]{{2,}}')),
+    a1 AS (SELECT qid, entity, score, 1 AS tier, 1 AS last_tier FROM f1), u1 AS (SELECT 0 AS qid, 0 AS sentence WHERE false), {_tier_sql(2)}, {_tier_sql(3)}"""
+
 ORACLE_SQL = {
+    "pagerank_vectors": _PAGERANK,
+    "entity_spread": f"{_SPREAD} SELECT * FROM a3",
+    "tier_histogram": f"{_SPREAD} SELECT tier, count(*) AS n, round(max(score), 6) AS best, count(*) FILTER (contains(lower(b.text), lower(entity))) AS gold_hits FROM a3 JOIN benchmark b ON b.item_id = a3.qid GROUP BY tier",
+    "views_donors": "WITH h AS (SELECT item_id AS qid, md5('views-0-' || CAST(item_id AS VARCHAR)) AS h FROM benchmark) SELECT qid, coalesce(lead(qid) OVER (ORDER BY h, qid), first(qid) OVER (ORDER BY h, qid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS donor FROM h",
     "passage_identity": "SELECT md5(source || '||' || text) AS key, max(doc_id) AS pid FROM documents GROUP BY 1",
     "title_lookup": "SELECT source AS title, CAST(count(DISTINCT doc_id) AS INTEGER) AS n_pids, min(doc_id) AS first_pid FROM documents GROUP BY 1",
     "corpus_stats": r"SELECT count(*) AS passages, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words, CAST(sum(len(regexp_extract_all(text, '[.!?]+\s')) + 1) AS BIGINT) AS sentences, count(DISTINCT source) AS titles, count(*) FILTER (regexp_matches(text, '#[0-9]')) AS placeholders FROM documents",
@@ -363,12 +355,5 @@ ORACLE_SQL = {
     "per_hop_recall": f"WITH {_VECTORS}, t AS ({_TOP.format('smax', K)}), hp AS (SELECT q.qid, q.j AS hop, min(e.vec_id) AS pid FROM q JOIN embeddings e ON e.label = q.label WHERE q.j > 0 AND e.vec_id NOT BETWEEN q.qid AND q.qid + 3 GROUP BY ALL) SELECT hop, k, round(avg(CASE WHEN t.rank < k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS mean, count(*) AS n FROM hp LEFT JOIN t ON t.qid = hp.qid AND t.pid = hp.pid, ks GROUP BY ALL",
     "option_recall": f"WITH {_CONTAINED}, {_bm25_sql('b', 5, False)} SELECT item_id AS qid, CASE WHEN item_id IN (SELECT item_id FROM cont) THEN CASE WHEN EXISTS (SELECT 1 FROM cont JOIN b ON b.qid = cont.item_id AND b.pid = cont.pid WHERE cont.item_id = benchmark.item_id) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS recall FROM benchmark",
     "edge_weight": f"WITH {_VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), t AS ({_TOP.format('z', K)}), m AS (SELECT e.vec_id AS node, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])), 6) AS sim FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS o) SELECT t.qid AS src, t.pid AS dst, round(t.score * a.sim * b.sim, 6) AS w FROM t JOIN m a ON a.node = t.qid JOIN m b ON b.node = t.pid",
-    "harmony_final": f"SELECT id, {_FINAL} AS final FROM {_values(_COMPLETIONS)} AS v(id, t)",
-    "parsed_subquestions": rf"WITH f AS (SELECT id, {_FINAL} AS f FROM {_values(_COMPLETIONS)} AS v(id, t)), l AS (SELECT id, p, trim(regexp_replace(trim(x), '^\s*([-*•]|[0-9]+[.)])\s*', '')) AS x FROM (SELECT id, unnest(string_split(f, chr(10))) AS x, generate_subscripts(string_split(f, chr(10)), 1) AS p FROM f) AS y), k AS (SELECT id, x, min(p) AS p FROM l WHERE length(x) BETWEEN 8 AND 200 AND ends_with(x, '?') AND NOT regexp_matches(lower(x), '^(here|sure|sub-question|output)') AND NOT contains(x, 'assistantfinal') AND NOT contains(x, '<|') GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS r FROM k) SELECT f.id, coalesce(string_agg(n.x, '|' ORDER BY n.p), '') AS questions FROM f LEFT JOIN n ON n.id = f.id AND n.r <= 6 GROUP BY f.id",
-    "resolve_placeholders": rf"WITH v AS (SELECT * FROM {_values(_RESOLVE)} AS v(id, q, a)), p AS (SELECT id, a, unnest(regexp_extract_all(q, '#[0-9]|[^#]+|#')) AS x, generate_subscripts(regexp_extract_all(q, '#[0-9]|[^#]+|#'), 1) AS i FROM v) SELECT id, string_agg(CASE WHEN regexp_matches(x, '^#[1-9]$') THEN coalesce(a[CAST(substr(x, 2) AS INTEGER)], x) ELSE x END, '' ORDER BY i) AS resolved FROM p GROUP BY id",
-    "match_qid": f"WITH o AS (SELECT unnest(['2hop__1_2', 'bridge_2hop__1_2']) AS qid), t AS (SELECT col0 AS tid FROM {_values(_IDS)}) SELECT tid, coalesce(a.qid, b.qid) AS qid FROM t LEFT JOIN o a ON a.qid = tid LEFT JOIN o b ON strpos(tid, '_') > 0 AND b.qid = substr(tid, strpos(tid, '_') + 1)",
-    "chunk_ids": f"SELECT col0 AS t, TRY_CAST(regexp_extract(col0, '^([0-9]+):', 1) AS BIGINT) AS id FROM {_values(_CHUNKS)}",
-    "bridge_questions": f"WITH v AS (SELECT * FROM {_values(_EVIDENCE)} AS v(qid, e)), s AS (SELECT qid, e, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v), m AS (SELECT qid, i, x, (SELECT min(j) FROM (SELECT unnest(range(1, i)) AS j) AS r WHERE e[j][3] = x[1]) AS b FROM s) SELECT qid, CAST(i AS INTEGER) AS hop, 'What is the ' || x[2] || ' of ' || coalesce('#' || b, x[1]) || '?' AS question, x[3] AS answer FROM m",
-    "interval_constraints": f"SELECT id, l >= 1 AND r <= 1000000000 AND l <= r AS valid FROM {_values([(i, *map(int, x.split())) for i, x in enumerate(_INTERVALS.splitlines())])} AS v(id, l, r)",
     "rekey_collisions": "SELECT source AS qkey, md5(max_by(text, doc_id)) AS last, count(DISTINCT text) AS n_sets FROM documents GROUP BY 1",
 }

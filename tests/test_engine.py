@@ -4,6 +4,7 @@ import glob
 import json
 import math
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillspark.functions import intervals, text
-from quillspark.operators import graph, matching, metrics, rank
+from quillspark.functions.stemming import stem
+from quillspark.operators import graph, matching, metrics, rank, reports
 from quillspark.plans import catalogue
 from quillspark.sources import retrieval
 
@@ -35,13 +37,16 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+ENGINE_SQL = {name: sql for module in __spark_entry__.ENGINE for name, sql in module.ORACLE_SQL.items()}
+
+
+@pytest.mark.parametrize("name", [name for module in __spark_entry__.ENGINE for name in module.QUERIES])
 def test_query(spark, duck, name):
     df = __spark_entry__.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     assert rows
-    if name in catalogue.ORACLE_SQL:
-        expected = duck.sql(catalogue.ORACLE_SQL[name])
+    if name in ENGINE_SQL:
+        expected = duck.sql(ENGINE_SQL[name])
         assert sorted(df.columns) == sorted(expected.columns)
         assert comparable(rows, df.columns) == comparable(expected.fetchall(), expected.columns)
 
@@ -268,3 +273,102 @@ def test_files(spark, folder, tmp_path):
     q = spark.createDataFrame([("1", "Who?", 0, [3, 1]), ("2", "What?", 1, [])], "qid string, question string, ord int, gold array<bigint>")
     assert [r.gold for r in retrieval.exported_gold(q).collect()] == [[[1], [3]]]
     assert [(r.qkey, r.texts) for r in retrieval.exported_sets(sets, q).collect()] == [("who", ["a?", "b?"])]
+
+
+def test_dense_scores_of_string_ids_and_null_vectors(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.6, 0.8])], "pid long, embedding array<float>")
+    q = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, [0.0, 1.0]), ("b", 0, None), ("c", 0, [0.0, 1.0])], "qid string, j int, embedding array<float>")
+    each = {(r.qid, r.j, r.pid): r.score for r in rank.dense_scores(items, q).collect()}
+    assert each == {("a", 0, 1): 1.0, ("a", 0, 2): 0.0, ("a", 0, 4): 0.6, ("a", 1, 1): 0.0, ("a", 1, 2): 1.0, ("a", 1, 4): 0.8, ("c", 0, 1): 0.0, ("c", 0, 2): 1.0, ("c", 0, 4): 0.8}
+    best = {(r.qid, r.pid): r.score for r in rank.dense_scores(items.coalesce(1), q, 1, "max").collect()}
+    assert best == {("a", 1): 1.0, ("c", 2): 1.0}
+    assert {(r.qid, r.pid): r.score for r in rank.dense_scores(items, q, combine="mean").collect()}["a", 4] == 0.7
+    assert rank.dense_scores(items, q.limit(0)).count() == 0
+
+
+def test_stems():
+    """Examples published with the algorithm."""
+    words = "consigned consistency consolations consolidating conspicuously constables knackeries kneeling knives knocker knots generous communism skies dying early news inning hopping hoping feed agreed happily".split()
+    stems = "consign consist consol consolid conspicu constabl knackeri kneel knive knocker knot generous communism sky die earli news inning hop hope feed agre happili".split()
+    assert [*map(stem, words)] == stems
+
+
+def test_bm25_with_stems_against_python(spark):
+    docs = ["The runner was running in the gardens", "gardens garden gardening", "Ein Garten, ein Läufer и река", "nothing here"]
+    passages = spark.createDataFrame(list(enumerate(docs)), "pid long, text string")
+    queries = spark.createDataFrame([(1, "run in a garden"), (2, "река")], "qid int, question string")
+    got = {(r.qid, r.pid): r.score for r in rank.bm25(passages, queries, 4, text.ENGLISH_STOPWORDS, tokens=rank.unicode_words, stems=True).collect()}
+    words = [[stem(w) for w in re.findall(r"\b\w\w+\b", d.lower()) if w not in text.ENGLISH_STOPWORDS] for d in docs]
+    mean, expected = sum(map(len, words)) / 4, {}
+    for qid, terms in ((1, ["run", "garden"]), (2, ["река"])):
+        for pid, w in enumerate(words):
+            s = sum(math.log(1 + (4 - (df := sum(t in x for x in words)) + 0.5) / (df + 0.5)) * w.count(t) / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in terms if t in w)
+            if s:
+                expected[qid, pid] = round(s, 6)
+    assert got == expected and (1, 1) in got and (2, 2) in got
+
+
+def test_shuffled_views_keep_the_first(spark):
+    q = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    donors = {r.qid: r.donor for r in catalogue.views_donors(spark, SF).collect()}
+    assert sorted(donors.values()) == sorted(q) and any(a != b for a, b in donors.items())
+    for r in catalogue.views_shuffled(spark, SF).collect():
+        assert r.views == text.lexical_views(q[r.qid])[:1] + text.lexical_views(q[donors[r.qid]])[1:]
+
+
+def test_arm_names_and_guards(spark):
+    names = [("out/subq_x_generated.json", {}), ("subq_x_raw_bytext.json", {}), ("subq_x_views3.json", {}), ("q.json", {}), ("subq_x_raw.json", {"path_gate": True, "window": 2}), ("subq_x_raw.json", {"path_gate": True, "reverse": True})]
+    assert [retrieval.arm_of(n, **o) for n, o in names] == ["generated", "raw", "views3", "subq", "rawpathw2", "rawpathrev"]
+    q = spark.createDataFrame([(1, "Who?"), (2, "What?"), (3, "When?"), (4, "Why?"), (5, "How?")], "qid int, question string")
+    sets = spark.createDataFrame([("who", ["a?"]), ("other", ["b?"])], "qkey string, texts array<string>")
+    with pytest.warns(UserWarning, match="under half"):
+        joined = reports.checked_matches(matching.by_text(q, sets))
+    assert {r.qid: r.texts for r in joined.collect()} == {1: ["a?"], 2: [], 3: [], 4: [], 5: []}
+    with pytest.raises(reports.JoinFailure):
+        reports.checked_matches(matching.by_text(q, sets.filter("qkey = 'other'")))
+    by_id = spark.createDataFrame([(1, ["a?"]), (2, [])], "qid int, texts array<string>")
+    assert [r.qid for r in reports.uncovered(q, by_id).orderBy("qid").collect()] == [2, 3, 4, 5] and reports.covered(by_id).count() == 1
+
+
+def test_path_gates_and_passage_order(spark):
+    """With a path, tier 1 is gated by rows 0 and 1 of the query set, tier 2 by rows 0 and 2."""
+    seeds = spark.createDataFrame([(1, "a", 1.0)], "qid int, entity string, score double")
+    mentions = spark.createDataFrame([("a", 10), ("b", 10), ("b", 11), ("c", 11)], "entity string, sentence int")
+    gates = spark.createDataFrame([(1, 10, 0, 3, 0.1), (1, 10, 1, 3, 0.9), (1, 10, 2, 3, 1.0), (1, 11, 0, 3, 0.2), (1, 11, 1, 3, 1.0), (1, 11, 2, 3, 0.8)], "qid int, sentence int, j int, m int, gate double")
+    got = {r.entity: (r.score, r.tier) for r in graph.spread(seeds, mentions, gates, 0.4).collect()}
+    assert got == {"a": (1.0, 1), "b": (0.9, 2), "c": (0.72, 3)}
+    assert graph.reversed_path(spark.createDataFrame([(1, ["x", "y"])], "qid int, texts array<string>")).first().texts == ["y", "x"]
+    dense = spark.createDataFrame([(1, 7, 0.2), (1, 8, 0.6), (1, 9, 0.4)], "qid int, pid long, score double")
+    bonus = spark.createDataFrame([(1, 9, 2.0)], "qid int, pid long, bonus double")
+    weights = graph.passage_weights(dense, bonus)
+    assert {r.pid: r.weight for r in weights.collect()} == {7: 0.0, 8: 0.075, 9: 0.1375}
+    edges = spark.createDataFrame([("e:b", "p:7", 1.0), ("e:b", "p:9", 1.0)], "src string, dst string, w double")
+    active = spark.createDataFrame([(1, "b", 0.9)], "qid int, entity string, score double")
+    assert [r.pid for r in graph.passage_order(edges, active, weights, 3).orderBy("rank").collect()] == [9, 7, 8]
+    ranked = spark.createDataFrame([(1, 0, 5)], "qid int, rank int, pid long")
+    both = graph.with_fallback(ranked, spark.createDataFrame([(1, 0, 6), (2, 0, 7)], "qid int, rank int, pid long"), seeds)
+    assert sorted(map(tuple, both.collect())) == [(1, 0, 5), (2, 0, 7)]
+
+
+def test_traces_sinks_and_labels(spark, folder, tmp_path):
+    with pytest.warns(UserWarning, match="no trace"):
+        rows = retrieval.raw_traces(spark, [f"{folder}/trace.json", f"{folder}/none_gone.json"])
+    gold = spark.createDataFrame([("1", "An E in it")], "id string, text string")
+    assert [tuple(r) for r in graph.trace_report(rows, gold).collect()] == [("trace", 1, 0, 1.0, 1, 2.0, 1, 0)]
+    path = retrieval.write_traces(rows, str(tmp_path), "run_x_raw")
+    assert path.endswith("/trace_x_raw") and [r.arm for r in retrieval.raw_traces(spark, [path]).collect()] == ["raw"]
+    done = retrieval.write_completions(spark.createDataFrame([("1", "q", "t", "stop")], "qid string, question string, text string, finish_reason string"), str(tmp_path / "raw"))
+    assert done.count() == 1
+    ranking = spark.createDataFrame([("1", 1, 5), ("1", 0, -1)], "qid string, rank int, pid long")
+    assert spark.read.json(retrieval.write_runs(ranking, str(tmp_path), "x")).first().ids == [-1, 5]
+    retrieval.write_report(spark.createDataFrame([("overall", "", 2, 0.5, 1)], "section string, bucket string, k int, mean double, n long"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first()["mean"] == 0.5
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "good").write_bytes(b"1\n1\n1 2\n")
+    (tmp_path / "in" / "bad").write_bytes(b"1\r\n")
+    assert {os.path.basename(r.path): r.status for r in retrieval.interval_files(spark, str(tmp_path / "in")).collect()} == {"good": "OK", "bad": "INVALID"}
+    p = spark.createDataFrame([(0, "T", "x")], "pid long, title string, text string")
+    q = spark.createDataFrame([("1", "q", "a", "s")], "qid string, question string, answer string, shape string")
+    assert retrieval.exported_chunks(p).first().chunk == "T\nx" and retrieval.exported_questions(q, "d").first().question_type == "s"
+    row = spark.createDataFrame([(2, True, " a, b?!", '["x", "", null]')], "n int, j boolean, t string, e string").select(text.bucket_label(F.col("n"), F.col("j")).alias("l"), text.cleaned(F.col("t")).alias("c"), graph.valid_entities(F.col("e")).alias("v")).first()
+    assert tuple(row) == ("2hop-join", "a, b", ["x"])
