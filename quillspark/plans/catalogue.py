@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text
 from quillspark.operators import graph, matching, metrics, rank
+from quillspark.storage import spread_out
 
 FLAGSHIP = "recall_by_bucket"
 STEP, SUBQUESTIONS, K = 50, 3, 10
@@ -26,6 +27,11 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pid"), F.col("source").alias("title"), "text")
 
 
+def spread_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages for work on their whole texts, on all cores."""
+    return spread_out(passages(spark, sf_dir))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
@@ -92,41 +98,42 @@ def title_lookup(spark, d):
 
 
 def corpus_stats(spark, d):
-    p = passages(spark, d)
+    p = spread_passages(spark, d)
     return p.agg(F.count("*").alias("passages"), F.sum(text.word_count(F.col("text"))).alias("words"), F.sum(text.sentence_estimate(F.col("text"))).alias("sentences"), F.countDistinct("title").alias("titles"), F.count_if(text.has_placeholder(F.col("text"))).alias("placeholders"))
 
 
 def norm_ascii(spark, d):
-    return passages(spark, d).select("pid", F.md5(text.ascii_normalised(F.col("text"))).alias("norm_md5"))
+    return spread_passages(spark, d).select("pid", F.md5(text.ascii_normalised(F.col("text"))).alias("norm_md5"))
 
 
 def norm_question(spark, d):
-    return passages(spark, d).select("pid", F.md5(text.normalised("text")).alias("key_md5"))
+    return spread_passages(spark, d).select("pid", F.md5(text.normalised("text")).alias("key_md5"))
 
 
 def content_counts(spark, d):
-    return passages(spark, d).select("pid", text.content_words(F.col("text")).alias("content"), F.size(text.entity_spans(F.col("text"))).alias("entities"))
+    return spread_passages(spark, d).select("pid", text.content_words(F.col("text")).alias("content"), F.size(text.entity_spans(F.col("text"))).alias("entities"))
 
 
 def gold_containment(spark, d):
     items = questions(spark, d).select(F.col("qid").alias("item_id"), F.col("question").alias("text"))
-    return matching.contained(items, passages(spark, d).select("pid", "text"))
+    return matching.contained(items, spread_passages(spark, d).select("pid", "text"))
 
 
 # ---- rankings
 
 def bm25_topk(spark, d):
-    return _ranked(rank.bm25(passages(spark, d), questions(spark, d), 5))
+    return _ranked(rank.bm25(spread_passages(spark, d), questions(spark, d), 5))
 
 
 def hybrid_rrf(spark, d):
-    p, q = passages(spark, d), questions(spark, d)
+    p, q = spread_passages(spark, d), questions(spark, d)
     return _ranked(rank.hybrid(rank.bm25(p, q, 15), rank.bm25(p, q, 15, text.STOPWORDS), 5))
 
 
 def rerank_overlap(spark, d):
-    p, q = passages(spark, d), questions(spark, d)
-    return _ranked(rank.reranked(rank.bm25(p, q, 20), q.select("qid", F.lit(0).alias("j"), F.col("question").alias("text")), p, 5))
+    q = questions(spark, d)
+    first = rank.bm25(spread_passages(spark, d), q, 20)
+    return _ranked(rank.reranked(first, q.select("qid", F.lit(0).alias("j"), F.col("question").alias("text")), passages(spark, d), 5))
 
 
 def dense_topk(spark, d):

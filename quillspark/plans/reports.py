@@ -25,7 +25,7 @@ def _dense(spark, d, k):
 
 def hybrid_dense(spark, d):
     """BM25 and dense rankings to three times the depth, fused."""
-    return c._ranked(rank.hybrid(rank.bm25(c.passages(spark, d), c.questions(spark, d), 15), _dense(spark, d, 15), 5))
+    return c._ranked(rank.hybrid(rank.bm25(c.spread_passages(spark, d), c.questions(spark, d), 15), _dense(spark, d, 15), 5))
 
 
 def rerank_dense(spark, d):
@@ -36,7 +36,7 @@ def rerank_dense(spark, d):
 
 def bm25_stemmed(spark, d):
     """BM25 with words of any script, English stopwords and English stems."""
-    return c._ranked(rank.bm25(c.passages(spark, d), c.questions(spark, d), 5, text.ENGLISH_STOPWORDS, tokens=rank.unicode_words, stems=True))
+    return c._ranked(rank.bm25(c.spread_passages(spark, d), c.questions(spark, d), 5, text.ENGLISH_STOPWORDS, tokens=rank.unicode_words, stems=True))
 
 
 def multi_vector_cosine(spark, d):
