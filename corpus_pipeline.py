@@ -2,6 +2,10 @@
 
 Each stage takes all that its predecessor kept; run() writes every stage's result to shared storage and
 reads it again, so a lost executor repeats a part of one stage only.
+
+Edge cases: null, empty and wordless texts are judged by the classifier like any other, are never duplicates or contaminated, and are
+packed as an end id alone; rows with a null doc_id pass through all stages; of rows equal in doc_id and text one stays; columns
+of documents pass unchanged to the last stage, whatever their names (n_chars follows the text where it changes); an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -48,6 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences of all documents that the stages keep."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -1,13 +1,15 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is sharded by document: a row of the stored index is a block of documents with its sorted
-term hashes, and for each term the ascending list of its word positions.  The benchmark's windows are
+term hashes, and for each term the ascending list of its word positions.  It has the postings of all words, so one index
+answers any benchmark.  The benchmark's windows are
 answered within each block by intersecting offset-adjusted position lists, beginning with the window's
 rarest term in the whole corpus.  No posting is shuffled, so a frequent word or passage makes no hot
-partition.  The index keeps postings of terms that the benchmark uses; other words only count as positions.
+partition.
 
-The benchmark is read by tasks from shared storage in files of a bounded number of items, so its size
-isn't limited by a broadcast.
+Tasks make the benchmark's windows and write them to shared storage in files of a bounded number of items, which the tasks that
+answer read one at a time.  Occurrences of all its terms are counted in one pass over the index; the driver holds
+the benchmark's different words and their counts, 16 bytes each, and no text.
 
 Edge cases: a null or wordless text has no words and is never hit; an item without words has no window;
 an item of fewer words than a window is one window of all its words; repeated documents or items are
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -53,28 +56,38 @@ def windows_of(items: list[tuple[int, str]], width: int = WINDOW) -> dict[str, n
     return {"terms": terms, "words": table, "item": np.asarray([i for i, _ in items], np.int64)[item], "no": no.astype(np.int64)}
 
 
+def _put(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    f = io.BytesIO()
+    np.savez(f, **arrays)
+    out = AtomicFile(folder, name)
+    out.write(f.getvalue())
+    out.commit()
+
+
 def store_benchmark(benchmark: DataFrame, width: int = WINDOW) -> list[str]:
-    """Window files of the benchmark; the driver holds one file's items at a time."""
-    folder = shared_folder(benchmark.sparkSession, "windows")
-    paths, items, size = [], [], 0
-
-    def flush():
-        f, name = io.BytesIO(), f"{len(paths)}.npz"
-        np.savez(f, **windows_of(items, width))
-        out = AtomicFile(folder, name)
-        out.write(f.getvalue())
-        out.commit()
-        paths.append(f"{folder}/{name}")
-
-    for r in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).filter("i is not null and t is not null").toLocalIterator():
-        items.append((r.i, r.t))
-        size += len(r.t)
-        if len(items) >= ITEMS_AT_A_TIME or size >= BYTES_AT_A_TIME:
-            flush()
-            items, size = [], 0
-    if items:
-        flush()
-    return paths
+    """Window files of the benchmark, made by tasks."""
+    folder, most, size = shared_folder(benchmark.sparkSession, "windows"), ITEMS_AT_A_TIME, BYTES_AT_A_TIME
+    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).filter("i is not null and t is not null")
+
+    def write(batches):
+        items, held = [], 0
+
+        def one() -> pa.RecordBatch:
+            name = f"{uuid.uuid4().hex}.npz"
+            _put(folder, name, windows_of(items, width))
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+        for b in batches:
+            for item in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                items.append(item)
+                held += len(item[1])
+                if len(items) >= most or held >= size:
+                    yield one()
+                    items, held = [], 0
+        if items:
+            yield one()
+
+    return sorted(f"{folder}/{r.name}" for r in rows.mapInArrow(write, "name string").collect())  # a name for each file
 
 
 def load(path: str) -> dict[str, np.ndarray]:
@@ -84,24 +97,20 @@ def load(path: str) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
-def build_index(docs: DataFrame, paths: list[str]) -> DataFrame:
-    """The stored index of the documents' postings of the terms in the window files."""
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored index of the documents: the postings of all their words."""
 
     def index(batches):
-        known = np.zeros(0, np.uint64)
-        for p in paths:
-            known = np.union1d(known, load(p)["terms"])
         for b in batches:
             ids = b.column(0).to_pylist()
             for first, end, data, offsets in slices(b.column(1)):
                 words = Words(data, offsets)
                 hashes = words.hashes()
-                at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-                kept = np.flatnonzero(known[at] == hashes) if len(known) else np.zeros(0, np.int64)
-                order = np.argsort(at[kept], kind="stable")
-                terms, counts = np.unique(at[kept], return_counts=True)
+                order = np.argsort(hashes, kind="stable")
+                ordered = hashes[order]
+                at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else order
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[first:end]], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (words.bounds.astype("<i4"), known[terms] if len(known) else known, counts.astype("<i4"), kept[order].astype("<i4")))],
+                    [pa.array([ids[first:end]], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (words.bounds.astype("<i4"), ordered[at], np.diff(np.append(at, len(ordered))).astype("<i4"), order.astype("<i4")))],
                     ["doc_ids", "bounds", "terms", "counts", "postings"],
                 )
 
@@ -109,25 +118,32 @@ def build_index(docs: DataFrame, paths: list[str]) -> DataFrame:
     return stored(rows.mapInArrow(index, _INDEX), "postings")
 
 
-def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
-    """Occurrences in the whole corpus of each of the sorted ``terms``."""
+def store_counts(index: DataFrame, paths: list[str]) -> str:
+    """A shared file of all terms of the window files and their occurrences in the whole corpus, from one pass over the index."""
+    terms = np.zeros(0, np.uint64)
+    for p in paths:
+        terms = np.union1d(terms, load(p)["terms"])
+    folder = shared_folder(index.sparkSession, "term-counts")
+    _put(folder, "terms.npz", {"terms": terms})
 
     def count(batches):
-        total = np.zeros(len(terms), np.int64)
+        known = load(f"{folder}/terms.npz")["terms"]
+        total = np.zeros(len(known), np.int64)
         for b in batches:
             for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 t, n = np.frombuffer(t, np.uint64), np.frombuffer(n, "<i4")
-                at = np.minimum(np.searchsorted(terms, t), len(terms) - 1)
-                same = terms[at] == t
-                total[at[same]] += n[same]
+                if len(t):
+                    at = np.minimum(np.searchsorted(t, known), len(t) - 1)
+                    total += np.where(t[at] == known, n[at], 0)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["term", "n"])
 
-    out = np.zeros(len(terms), np.int64)
+    counts = np.zeros(len(terms), np.int64)
     if len(terms):
-        got = index.select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one window file's terms at most
-        out[got.column("term").to_numpy()] = got.column("n").to_numpy()
-    return out
+        got = index.select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # the benchmark's terms at most
+        counts[got.column("term").to_numpy()] = got.column("n").to_numpy()
+    _put(folder, "counts.npz", {"terms": terms, "counts": counts})
+    return f"{folder}/counts.npz"
 
 
 class Block:
@@ -141,7 +157,7 @@ class Block:
         self.postings = np.frombuffer(row["postings"], "<i4").astype(np.int64)
         self.first = np.cumsum(self.counts) - self.counts
         self.span = int(self.bounds[-1]) + 1
-        self.keys = np.repeat(np.arange(len(self.terms)), self.counts) * self.span + self.postings
+        self.keys = np.repeat(np.arange(len(self.terms)) * self.span, self.counts) + self.postings
 
     def local(self, terms: np.ndarray) -> np.ndarray:
         """The place here of each of the sorted ``terms``, -1 where it doesn't occur."""
@@ -205,27 +221,28 @@ def _rarest(windows: dict, counts: np.ndarray) -> np.ndarray:
     return np.argsort(n, axis=1, kind="stable")
 
 
-def _queries(index: DataFrame, paths: list[str]) -> list[tuple[str, np.ndarray]]:
-    return [(p, term_counts(index, load(p)["terms"])) for p in paths]
+def _loaded(paths: list[str], counts: str):
+    """A function that gives one window file after the other, with its words' places by rarity; a single one is read once for a task."""
+    known = load(counts)
 
+    def one(path: str) -> tuple[dict, np.ndarray]:
+        windows = load(path)
+        return windows, _rarest(windows, known["counts"][np.searchsorted(known["terms"], windows["terms"])])
 
-def _loaded(queries: list[tuple[str, np.ndarray]]):
-    """A function that gives one window file after the other; a single one is read once for a task."""
-    one = lambda q: ((w := load(q[0])), _rarest(w, q[1]))
-    if len(queries) == 1:
-        kept = [one(queries[0])]
-        return lambda: kept
-    return lambda: map(one, queries)
+    if len(paths) == 1:
+        held = [one(paths[0])]
+        return lambda: held
+    return lambda: map(one, paths)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """A row for each document: its words, the words inside any occurrence of a window, and the items they are of."""
     paths = store_benchmark(benchmark, width)
-    index = build_index(docs, paths)
-    queries = _queries(index, paths)
+    index = build_index(docs)
+    counts = store_counts(index, paths)
 
     def answer(batches):
-        get = _loaded(queries)
+        get = _loaded(paths, counts)
         for b in batches:
             for row in b.to_pylist():
                 block = Block(row)
@@ -252,11 +269,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: in
     """A row for each exact occurrence of a window (kind phrase) and, with ``slop``, for each position of a window's
     rarest term that has all the window's terms at most ``slop`` words away in the same text (kind proximity)."""
     paths = store_benchmark(benchmark, width)
-    index = build_index(docs, paths)
-    queries = _queries(index, paths)
+    index = build_index(docs)
+    counts = store_counts(index, paths)
 
     def answer(batches):
-        get = _loaded(queries)
+        get = _loaded(paths, counts)
         for b in batches:
             for row in b.to_pylist():
                 block = Block(row)

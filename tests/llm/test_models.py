@@ -15,7 +15,7 @@ import pytest
 
 import corpus_pipeline
 from quillspark.llm import decontaminate, html_text, near, pii, quality, rules
-from quillspark.llm.text import Words, utf8
+from quillspark.llm.text import BYTE_VALUES, NOT_SPACE, Words, utf8
 from tests.llm.cases import documents, empty, prose, rows
 
 SF = "/root/testdata/sf0.01"
@@ -48,6 +48,22 @@ def test_the_risk_is_not_negative_in_its_second_part():
     assert (net.score(positive) > 0.5).mean() > 0.95 and (net.score(other) < 0.5).mean() > 0.95
 
 
+def test_risk_and_its_gradient():
+    """Against the definition and numeric derivatives, with the second part above and below zero."""
+    rng = np.random.default_rng(1)
+    p = np.arange(30) < 10
+    loss = lambda z: np.log1p(np.exp(-z))
+    for prior, shift in ((0.3, 1.0), (0.9, -3.0)):
+        z = rng.normal(0, 1, 30)
+        z[~p] += shift
+        second = lambda z: loss(-z[~p]).mean() - prior * loss(-z[p]).mean()
+        value, g = quality.risk(z, p, prior)
+        assert abs(value - (prior * loss(z[p]).mean() + max(0, second(z)))) < 1e-12 and (second(z) < 0) == (shift < 0)
+        whole = (lambda z: prior * loss(z[p]).mean() + second(z)) if shift > 0 else (lambda z: -second(z))
+        step = np.eye(30) * 1e-6
+        assert np.allclose(g, [(whole(z + e) - whole(z - e)) / 2e-6 for e in step], atol=1e-7)
+
+
 def brute_rules(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -75,6 +91,26 @@ def test_rules_equal_brute_force(spark):
     assert rules.judged(empty(spark), ratio).count() == 0 and not rules.log_ratio(target * 0, raw).any()
 
 
+def test_likelihood_ratio_against_plain_python(spark):
+    """Words and pairs as strings, with the buckets of their hashes only to name them."""
+    texts = ["good words here and good words there", "bad words here", "other things and bad things", "", None, "good"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (5, 1), (1, 0)], "doc_id long, quality int")
+    grams = [(w := (t or "").split()) + [f"{a} {b}" for a, b in itertools.pairwise(w)] for t in texts]
+
+    def bucket(gram):
+        words = Words(*utf8(pa.array([gram])), NOT_SPACE)
+        found = rules.grams(words, words.hashes(BYTE_VALUES))[0]
+        return int(found[-1])  # a pair's comes last
+
+    names = {g: bucket(g) for gs in grams for g in gs}
+    raw, target = Counter(names[g] for gs in grams for g in gs), Counter(names[g] for i in (0, 5) for g in grams[i])
+    log_p = lambda c, g: math.log((c[names[g]] + 1) / (sum(c.values()) + rules.BUCKETS))
+    expected = [sum(log_p(target, g) - log_p(raw, g) for g in gs) / max(len(gs), 1) for gs in grams]
+    got = {r.doc_id: r.llr for r in rules.judged(docs, rules.log_ratio(*rules.gram_counts(docs, labels))).collect()}
+    assert all(abs(got[i] - e) < 1e-9 for i, e in enumerate(expected)) and len(set(names.values())) == len(names)
+
+
 def test_target_counts_every_good_document(spark, monkeypatch):
     monkeypatch.setattr(rules, "TARGET_DOCUMENTS", 3, raising=False)
     monkeypatch.setattr(rules, "IDS_AT_A_TIME", 7, raising=False)
@@ -391,3 +427,18 @@ def test_pipeline_stages(spark):
     pieces = rows(corpus_pipeline.packing(spark, before, d))
     assert {r["doc_id"] for r in pieces} == {r.doc_id for r in before.collect()}
     assert math.isclose(sum(r["length"] for r in pieces), sum({r["doc_id"]: r["doc_tokens"] for r in pieces}.values()))
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """The stages in sequence on null, empty, repeated and clashing rows, and on no rows at all."""
+    docs = documents(spark, ["mail me at ann@example.com please, " + "w " * 30])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "mint or sage")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows_in in (docs, docs.limit(0)):
+        now = rows_in
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = corpus_pipeline.stored(stage(spark, now, str(tmp_path)), f"a-{name}")
+            assert now.columns == docs.columns
+        pieces = corpus_pipeline.packing(spark, now, str(tmp_path)).collect()
+        assert sorted({str(r.doc_id) for r in pieces}) == sorted({str(r.doc_id) for r in now.collect()})
