@@ -88,6 +88,18 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of the outputs z, of which those marked positive are trusted and others unlabelled, and the
+    direction to descend: its gradient, or that of minus the second part where this is below zero."""
+    n_p, n_u = positive.sum(), (~positive).sum()
+    sig = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    minus = np.logaddexp(0, z)  # l(-z)
+    wrong = minus[~positive].mean() - prior * minus[positive].mean()
+    as_positive = np.where(positive, prior * (sig - 1) / n_p, 0)
+    as_negative = np.where(positive, -prior * sig / n_p, sig / n_u)
+    return prior * np.logaddexp(0, -z)[positive].mean() + max(0.0, wrong), as_positive + as_negative if wrong >= 0 else -as_negative
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
     """Minimise the non-negative risk by Adam on whole samples; deterministic."""
     if not len(positive) or not len(unlabelled):
@@ -100,15 +112,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
     d = x.shape[1]
     net = Network(mean, scale, [rng.normal(0, np.sqrt(2 / d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), HIDDEN), np.zeros(1)])
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.weights]
-    n_p, n_u = len(positive), len(unlabelled)
     for step in range(1, STEPS + 1):
         z, h = net.forward(x)
-        sig = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        minus = np.logaddexp(0, z)  # l(-z)
-        negative = minus[~p].mean() - prior * minus[p].mean()
-        as_positive = np.where(p, prior * (sig - 1) / n_p, 0)
-        as_negative = np.where(p, -prior * sig / n_p, sig / n_u)
-        g = as_positive + as_negative if negative >= 0 else -as_negative
+        _, g = risk(z, p, prior)
         a, _, c, _ = net.weights
         gh = np.outer(g, c) * (h > 0)
         grads = [x.T @ gh + 1e-4 * a, gh.sum(0), h.T @ g + 1e-4 * c, np.array([g.sum()])]
