@@ -8,7 +8,8 @@ candidates are verified by their exact weighted Jaccard similarity.
 Document frequencies are counted over all documents in DF_BUCKETS hashed shingle features, a table of fixed
 size at every scale: idf = 1 + ln((1 + N) / (1 + df)) / ln(DF_BUCKETS), so weights of rare and common
 shingles differ by less than a factor of two and edits to many copies of a text don't outweigh what the
-copies share.
+copies share.  A feature's share of the documents depends on the length of texts and not on their number: a text of 500 shingles touches
+0.2 % of the features, so a shingle that more documents than that share is told apart at every size of the corpus.
 
 Equal texts are one class, found by digest; only one text of a class is compared.  First all members of a band's
 bucket are compared with the one that has most bucket mates (an original has more than its edited copies), which
@@ -341,8 +342,11 @@ def _decided(docs: DataFrame) -> DataFrame:
     firsts = members.groupBy("label").agg(F.min(F.struct("class_id", "digest")).alias("head"))
     info = members.join(firsts, "label").select("node", F.col("head.class_id").alias("group_id"), (F.col("digest") == F.col("head.digest")).alias("is_head"))
     known = classes.join(stored(info, "groups"), "node", "left").filter("n > 1 or group_id is not null").select(F.col("digest").alias("known"), "class_id", "group_id", "is_head")
-    grouped = digests.join(known, F.when(F.col("worded"), F.col("digest")) == F.col("known"), "left")
-    ids = grouped.select("doc_id", "digest", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "class_id", "doc_id").alias("group_id"), F.coalesce("is_head", F.lit(True)).alias("is_head"))
+    # rows without words stand alone; they stay out of the join, where they would share one key
+    grouped = digests.filter("worded").join(known, F.col("digest") == F.col("known"), "left").drop("known")
+    none = (F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("group_id"), F.lit(None).cast("boolean").alias("is_head"))
+    every = grouped.unionByName(digests.filter(~F.coalesce("worded", F.lit(False))).select("*", *none))
+    ids = every.select("doc_id", "digest", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "class_id", "doc_id").alias("group_id"), F.coalesce("is_head", F.lit(True)).alias("is_head"))
     keep = F.coalesce((F.col("doc_id") == F.col("group_id")) & F.col("is_head"), F.lit(True))
     return ids.select("doc_id", "digest", "class_id", "group_id", keep.alias("keep"))
 
