@@ -8,7 +8,8 @@ for every text.
 
 Edge cases: null roles and texts count as empty; turns are ordered by turn (null first), then role and
 text, so ties and repeated rows have a fixed order and all stay; rows with a null conv_id are one
-conversation; an empty table gives no rows.  A very long conversation is held in parts of bounded size.
+conversation; an empty table gives no rows.  A very long conversation is held in parts of bounded size, which several
+tasks render and parse; its digests alone are made in one task.
 """
 
 from __future__ import annotations
@@ -17,16 +18,31 @@ import hashlib
 import re
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
+
+from quillspark.llm.work import stored
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Turns and characters after which a part of a conversation ends.
 PART_TURNS, PART_CHARS = 256, 4 << 20
 _BARE, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n((?:(?!<\|).)*)<\|im_end\|>\n", re.S)
-_FORMATTED = "conv_id long, part long, formatted string, loss_spans array<long>"
-_DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_FORMATTED = {"conv_id": pa.int64(), "part": pa.int64(), "whole": pa.bool_(), "formatted": pa.string(), "loss_spans": pa.list_(pa.int64())}
+#: What a part says; for a whole conversation turns and loss are digests.
+_READ = {"conv_id": pa.int64(), "part": pa.int64(), "whole": pa.bool_(), "n_turns": pa.int64(), "turns": pa.binary(), "loss_chars": pa.int64(), "loss": pa.binary(), "formatted_chars": pa.int64()}
+_DIGEST = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+
+
+def _schema(columns: dict[str, pa.DataType]) -> StructType:
+    return from_arrow_schema(pa.schema(list(columns.items())))
+
+
+def _batch(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(columns.values())], list(columns))
 
 
 def escape(text: str) -> str:
@@ -74,74 +90,91 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[int]]:
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """conv_id, part, formatted, loss_spans; the parts of a conversation follow each other in one partition."""
+    """conv_id, part, whole, formatted, loss_spans.  Turns are dealt by ranges of (conv_id, turn), so several tasks render a
+    giant conversation; its parts follow each other by part, whose numbers have gaps.  A part that is known to be all of its
+    conversation is whole; others have more parts or lie at the edge of a range."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    rows = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches):
-        done, conv, part, turns, size, begun = [], None, 0, [], 0, False
+        first_part = TaskContext.get().partitionId() << 32
+        done, conv, part, turns, size, first = [], None, first_part, [], 0, True
 
-        def close():
-            done.append((conv, part, *render(turns)))
+        def close(whole):
+            done.append((conv, part, whole, *render(turns)))
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())))], ["conv_id", "part", "formatted", "loss_spans"])
+            out = _batch(done, _FORMATTED)
             done.clear()
             return out
 
         for b in batches:
             for c, role, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if begun and (c != conv or len(turns) >= PART_TURNS or size >= PART_CHARS):
-                    close()
-                    part, turns, size = (part + 1 if c == conv else 0), [], 0
-                conv, begun = c, True
+                if turns and c != conv:
+                    close(part == first_part and not first)
+                    part, turns, size, first = first_part, [], 0, False
+                elif len(turns) >= PART_TURNS or size >= PART_CHARS:
+                    close(False)
+                    part, turns, size = part + 1, [], 0
+                conv = c
                 turns.append((role, text))
                 size += len(text)
             if done:
                 yield flush()
-        if begun:
-            close()
+        if turns:
+            close(False)
             yield flush()
 
-    return rows.mapInArrow(run, _FORMATTED)
+    return rows.mapInArrow(run, _schema(_FORMATTED))
 
 
 def digested(output: DataFrame) -> DataFrame:
-    """A row for each conversation, read from the formatted text and its loss mask alone."""
+    """A row for each conversation, read from the formatted text and its loss mask alone.  Tasks parse every part and digest whole
+    ones; what the parts of the rest say is sent to one task a conversation, which only hashes it, part by part."""
 
-    def run(batches):
+    def read(batches):
+        for b in batches:
+            rows = []
+            for conv, part, whole, text, spans in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                turns = parse(text)
+                said = "".join(f"{role}\n{x}\n" for role, x, _, _ in turns).encode()
+                loss = "".join(unescape(text[a:z]) for a, z in zip(spans[::2], spans[1::2], strict=True))
+                chars, loss = len(loss), loss.encode()
+                if whole:
+                    said, loss = hashlib.sha256(said).digest(), hashlib.sha256(loss).digest()
+                rows.append((conv, part, whole, len(turns), said, chars, loss, len(text)))
+            yield _batch(rows, _READ)
+
+    def joined(batches):
         state, rows = None, []
 
         def close():
             conv, n, turns, chars, loss, size = state
             rows.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size))
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            rows.clear()
-            return out
-
         for b in batches:
-            for conv, part, text, spans in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if part == 0:
+            for conv, n, said, chars, loss, size in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if state is None or state[0] != conv:
                     if state:
                         close()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said, _, _ in parse(text):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{said}\n".encode())
-                for a, z in zip(spans[::2], spans[1::2], strict=True):
-                    said = unescape(text[a:z])
-                    state[3] += len(said)
-                    state[4].update(said.encode())
-                state[5] += len(text)
+                state[1] += n
+                state[2].update(said)
+                state[3] += chars
+                state[4].update(loss)
+                state[5] += size
             if rows:
-                yield flush()
+                yield _batch(rows, _DIGEST)
+                rows.clear()
         if state:
             close()
-            yield flush()
+            yield _batch(rows, _DIGEST)
 
-    return output.mapInArrow(run, _DIGEST)
+    parts = stored(output.select(*_FORMATTED).mapInArrow(read, _schema(_READ)), "chat-parts")
+    digest = lambda c: F.lower(F.hex(c)).alias(f"{c}_sha256")
+    wholes = parts.filter("whole").select("conv_id", "n_turns", digest("turns"), "loss_chars", digest("loss"), "formatted_chars")
+    rest = parts.filter("not whole").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return wholes.union(rest.drop("part", "whole").mapInArrow(joined, _schema(_DIGEST)))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,15 +236,31 @@ def test_chat_digests(spark, monkeypatch):
     data = [(1, 1, "assistant", HOSTILE[0], "c"), (1, 0, "user", "hi <|im_start|>", "c"), (1, 1, "assistant", "b", "c"), (2, 0, None, None, None), (None, None, "user", "x", None), (1, 0, "user", "hi <|im_start|>", "c")] + [(3, i, "assistant" if i % 2 else "user", f"turn {i}", "c") for i in range(30)]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, part string")
     monkeypatch.setattr(chat, "PART_TURNS", 7)
-    got = {r["conv_id"]: r for r in rows(chat.digested(chat.formatted(df)))}
     groups = {}
     for c, t, r, x, _ in data:
         groups.setdefault(c, []).append((-1 if t is None else t, r or "", x or ""))
-    assert len(got) == len(groups)
+    expected = {}
     for c, turns in groups.items():
         turns.sort()
         loss = "".join(x for _, r, x in turns if r == "assistant")
-        assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        expected[c] = (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    settings = {"spark.sql.shuffle.partitions": None, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for n in (1, 4, 12):
+            for k, v in settings.items():
+                spark.conf.set(k, v or n)
+            output = rows(chat.formatted(df))
+            assert {c: sum(len(chat.parse(o["formatted"])) for o in output if o["conv_id"] == c) for c in groups} == {c: len(t) for c, t in groups.items()}
+            assert all(sum(p["conv_id"] == o["conv_id"] for p in output) == 1 for o in output if o["whole"])
+            assert len({o["part"] >> 32 for o in output if o["conv_id"] == 3}) > 1 or n == 1  # several tasks render the long one
+            got = rows(chat.digested(chat.formatted(df)))
+            assert len(got) == len(groups)
+            assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got} == expected
+            assert {r["conv_id"]: r["formatted_chars"] for r in got} == {c: sum(len(o["formatted"]) for o in output if o["conv_id"] == c) for c in groups}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     assert chat.digested(chat.formatted(df.limit(0))).count() == 0
 
 
