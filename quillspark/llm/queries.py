@@ -11,6 +11,7 @@ from quillspark.llm.pack import op3_pack
 from quillspark.llm.pii import op9_surrogates
 from quillspark.llm.quality import op4_quality
 from quillspark.llm.rules import op6_rules
+from quillspark.llm.txlog import op13_transactions
 from quillspark.llm.warc import op1_warc
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_surrogates": op9_surrogates,
     "op10_chat": op10_chat,
+    "op13_transactions": op13_transactions,
 }
 
 ORACLE_SQL = {
@@ -55,4 +57,22 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length(role) + length(text) + 24 + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op13_transactions": r"""
+        WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM range(256) AS r(i))),
+        hd AS (SELECT doc_id, source, text, t, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h
+               FROM documents, tab WHERE doc_id IS NOT NULL),
+        rec AS (SELECT doc_id, source, h % 17 AS m, (h // 100) % 30000 AS key, h % 17 > 6 AS change,
+                       CASE WHEN h % 17 > 6 AND text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+                            THEN xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(CAST((h // 100) % 30000 AS VARCHAR) || ':' || text)), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) END AS v
+                FROM hd),
+        lane AS (SELECT *, coalesce(sum(CAST(m <= 2 AS INT)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tx FROM rec),
+        lev AS (SELECT *, sum(CASE WHEN m IN (3, 4) THEN 1 WHEN m IN (5, 6) THEN -1 ELSE 0 END) OVER (PARTITION BY source, tx ORDER BY doc_id) AS level,
+                       max(CASE WHEN m <= 2 THEN doc_id END) OVER (PARTITION BY source, tx) AS end_id, max(CASE WHEN m <= 2 THEN m END) OVER (PARTITION BY source, tx) AS end_m FROM lane),
+        undo AS (SELECT c.doc_id, min(r.doc_id) AS by_id FROM lev c JOIN lev r ON r.source IS NOT DISTINCT FROM c.source AND r.tx = c.tx AND r.m IN (5, 6) AND r.level = c.level - 1 AND r.doc_id > c.doc_id WHERE c.change GROUP BY c.doc_id),
+        fate AS (SELECT lev.doc_id, key, v, by_id, end_id, coalesce(end_m, 2) AS end_m FROM lev LEFT JOIN undo ON undo.doc_id = lev.doc_id WHERE change),
+        com AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 + 1 AS epoch FROM rec WHERE m <= 1),
+        wr AS (SELECT key, epoch, v, coalesce(lag(v) OVER (PARTITION BY key ORDER BY end_id, fate.doc_id), 0) AS old, CAST(v IS NOT NULL AS INT) - CAST(lag(v) OVER (PARTITION BY key ORDER BY end_id, fate.doc_id) IS NOT NULL AS INT) AS dn FROM fate JOIN com ON com.doc_id = end_id WHERE by_id IS NULL AND end_m <= 1),
+        ep AS (SELECT epoch, sum(dn) AS dn, sum(dv) AS dv FROM (SELECT epoch, dn, coalesce(v, 0) - old AS dv FROM wr UNION ALL SELECT epoch, 0, 0 FROM com) AS x GROUP BY epoch)
+        SELECT 'state' AS kind, CAST(epoch AS BIGINT) AS id, CAST(sum(dn) OVER (ORDER BY epoch) AS BIGINT) AS n, CAST(sum(dv) OVER (ORDER BY epoch) AS BIGINT) AS value FROM ep
+        UNION ALL SELECT CASE WHEN by_id IS NULL THEN 'abort' ELSE 'rollback' END, doc_id, coalesce(by_id, end_id), key FROM fate WHERE by_id IS NOT NULL OR end_m = 2""",
 }
