@@ -10,6 +10,7 @@ from quillspark.llm.near import op5_near_duplicates
 from quillspark.llm.pack import op3_pack
 from quillspark.llm.pii import op9_surrogates
 from quillspark.llm.quality import op4_quality
+from quillspark.llm.ranked import op12_ranked
 from quillspark.llm.rules import op6_rules
 from quillspark.llm.txlog import op13_transactions
 from quillspark.llm.warc import op1_warc
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_surrogates": op9_surrogates,
     "op10_chat": op10_chat,
+    "op12_ranked": op12_ranked,
     "op13_transactions": op13_transactions,
 }
 
@@ -57,6 +59,16 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length(role) + length(text) + 24 + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op12_ranked": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        size AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM t),
+        tf AS (SELECT r, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM t) AS x GROUP BY r, doc_id, n, term),
+        df AS (SELECT term, CAST(count(*) AS BIGINT) AS df FROM tf GROUP BY term),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        s AS (SELECT q.item_id, tf.r, tf.doc_id, CAST(sum(CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+              FROM q JOIN tf ON tf.term = q.term JOIN df ON df.term = q.term, size GROUP BY q.item_id, tf.r, tf.doc_id),
+        ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""",
     "op13_transactions": r"""
         WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM range(256) AS r(i))),
         hd AS (SELECT doc_id, source, text, t, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h
