@@ -11,6 +11,7 @@ from quillspark.llm.pack import op3_pack
 from quillspark.llm.pii import op9_surrogates
 from quillspark.llm.quality import op4_quality
 from quillspark.llm.ranked import op12_ranked
+from quillspark.llm.repeats import op11_repeats
 from quillspark.llm.rules import op6_rules
 from quillspark.llm.txlog import op13_transactions
 from quillspark.llm.warc import op1_warc
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_surrogates": op9_surrogates,
     "op10_chat": op10_chat,
+    "op11_repeats": op11_repeats,
     "op12_ranked": op12_ranked,
     "op13_transactions": op13_transactions,
 }
@@ -59,6 +61,14 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length(role) + length(text) + 24 + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op11_repeats": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d) AS x),
+        least_id AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+        hit AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM win JOIN least_id USING (s) WHERE m < doc_id),
+        word AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s FROM word ANTI JOIN hit USING (r, p) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
     "op12_ranked": r"""
         WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
         size AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM t),
