@@ -32,7 +32,8 @@ from quillspark.llm.work import fresh
 
 KEY = "quillspark-surrogates"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_EMAIL = r"[\p{L}0-9][\p{L}0-9._%+-]*@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)+"
+#: A local part has 64 characters at most and doesn't begin inside a run of letters and digits, so a run of any length is read once.
+_EMAIL = r"(?<![\p{L}0-9])[\p{L}0-9][\p{L}0-9._%+-]{0,63}@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)+"
 #: What keys and tokens of known issuers begin with; it stays.
 _KEY_START = r"(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|AIza|sk-|eyJ)"
 _KEY = r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)(?![A-Za-z0-9_-])"
@@ -81,6 +82,8 @@ PATTERNS = {
     "person": rf"(?<![\p{{L}}0-9]){_TITLES}\s{_NAME}(?:[ -]{_NAME}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Characters put around each match, so that one pass over a text finds and parts it; a text that has one of them is read twice.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 #: A cheap test that every text with an entity passes.
 _MAYBE = rf"[0-9@]|::|{_TITLES}|{_KEY_START}|(?i:password|passwd|pwd|secret|token|api[_-]?key)"
 _DIGITS, _HEX, _LETTERS = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
@@ -210,22 +213,27 @@ def surrogate(entity: Column, kind: Column, secret: Column) -> Column:
 def redacted(docs: DataFrame, secret: str = KEY, entities: str = "_entities", collisions: str = "_collisions") -> DataFrame:
     """``docs`` with surrogates in text, and the numbers of a text's entities and collisions in columns of these names."""
     found, new = fresh(docs, "found"), fresh(docs, "new")
+    parts = fresh(docs, "parts")
     text, none = F.col("text"), F.array().cast("array<string>")
-    matches = F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
+    once = F.split(F.regexp_replace(text, f"({ANY})", f"{_OPEN}$1{_CLOSE}"), f"[{_OPEN}{_CLOSE}]")
+    every = lambda x, first: F.transform(F.sequence(F.lit(first), F.size(x), F.lit(2)), lambda i: F.element_at(x, i))
+    marked = F.when(text.rlike(f"[{_OPEN}{_CLOSE}]"), F.struct(F.split(text, ANY).alias("rest"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found")))
+    marked = marked.otherwise(let(once, lambda x: F.struct(every(x, 1).alias("rest"), F.when(F.size(x) > 1, every(x, 2)).otherwise(none).alias("found"))))
+    docs_parted = docs.withColumn(parts, F.when(text.rlike(_MAYBE), marked))
+    matches = F.coalesce(F.col(parts)["found"], none)
     with_kinds = F.transform(matches, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
     secrets = F.regexp_extract_all(text, F.lit(PATTERNS["secret"]), F.lit(0))
     # a number in an assignment is a secret; only then are assignments looked up again
     told = lambda pairs: F.when(F.exists(pairs, lambda x: x["kind"] == "number"), let(secrets, lambda s: F.transform(pairs, lambda x: F.struct(x["e"].alias("e"), F.when((x["kind"] == "number") & F.array_contains(s, x["e"]), "secret").otherwise(x["kind"]).alias("kind"))))).otherwise(pairs)
-    out = docs.withColumn(found, let(with_kinds, told))
+    out = docs_parted.withColumn(found, let(with_kinds, told))
     key = F.lit(secret)
     out = out.withColumn(new, F.transform(found, lambda x: F.when(x["kind"] == "number", x["e"]).otherwise(surrogate(x["e"], x["kind"], key))))
     real = F.transform(F.filter(found, lambda x: x["kind"] != "number"), lambda x: x["e"])
     differ = lambda old, made: F.abs(F.size(F.array_distinct(old)) - F.size(F.array_distinct(made))) + F.size(F.array_intersect(made, old))
     replaced = F.filter(new, lambda _, i: F.get(F.col(found), i)["kind"] != "number")
     counted = out.withColumn(entities, F.size(real).cast("long")).withColumn(collisions, differ(real, replaced).cast("long"))
-    pieces = F.split("text", ANY)
-    joined = let(pieces, lambda p: F.concat(F.array_join(F.zip_with(F.slice(p, 1, F.size(p) - 1), F.col(new), lambda a, b: F.concat(a, b)), ""), F.element_at(p, -1)))
-    return counted.withColumn("text", F.when(F.col(entities) > 0, joined).otherwise(text)).drop(found, new)
+    joined = let(F.col(parts)["rest"], lambda p: F.concat(F.array_join(F.zip_with(F.slice(p, 1, F.size(p) - 1), F.col(new), lambda a, b: F.concat(a, b)), ""), F.element_at(p, -1)))
+    return counted.withColumn("text", F.when(F.col(entities) > 0, joined).otherwise(text)).drop(found, new, parts)
 
 
 def without_pii(docs: DataFrame) -> DataFrame:

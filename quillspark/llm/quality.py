@@ -8,7 +8,7 @@ network on shape features of the whole text minimises the non-negative unbiased
 where pi is the class prior, estimated as the share of label 1 among labelled training rows.  When the
 second term falls below zero its gradient is reversed, which undoes overfitting to the positives.
 
-Fitting takes bounded samples (POSITIVES and UNLABELLED rows, those with the smallest hash of doc_id);
+Fitting takes bounded samples (POSITIVES and UNLABELLED doc_ids, those with the smallest hash; of rows with equal doc_ids one stands for all);
 scoring goes over every whole text.  Labels come only from rows whose crc32(doc_id as text) mod 5 isn't 0.
 Labels, lang, source and doc_id are never inputs of a score.
 
@@ -143,16 +143,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
         return Network.constant()
     positives = usable.filter("quality = 1").orderBy(F.xxhash64("label_id"), "label_id").limit(POSITIVES).select("label_id", F.lit(True).alias("positive"))
     rows = _text_rows(docs)
-    unlabelled = rows.select(F.col("doc_id").alias("label_id")).filter("label_id is not null").filter(fold("label_id") != 0).orderBy(F.xxhash64("label_id", F.lit(1)), "label_id").limit(UNLABELLED).select("label_id", F.lit(False).alias("positive"))
-    sample = rows.join(F.broadcast(positives.union(unlabelled)), F.col("doc_id") == F.col("label_id")).select("positive", "text")
+    unlabelled = rows.select(F.col("doc_id").alias("label_id")).filter("label_id is not null").filter(fold("label_id") != 0).distinct().orderBy(F.xxhash64("label_id", F.lit(1)), "label_id").limit(UNLABELLED).select("label_id", F.lit(False).alias("positive"))
+    sample = rows.join(F.broadcast(positives.union(unlabelled)), F.col("doc_id") == F.col("label_id")).select("doc_id", "positive", "text")
 
     def run(batches):
         for b in batches:
-            for first, end, data, offsets in slices(b.column(1)):
+            for first, end, data, offsets in slices(b.column(2)):
                 x = features(data, offsets).astype("<f4")
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "x"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(first, end - first) for c in (0, 1)), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "positive", "x"])
 
-    got = sample.mapInArrow(run, "positive boolean, x binary").collect()  # POSITIVES + UNLABELLED rows at most
+    got = sample.mapInArrow(run, "doc_id long, positive boolean, x binary").groupBy("doc_id", "positive").agg(F.min("x").alias("x")).collect()  # POSITIVES + UNLABELLED rows at most
     got.sort(key=lambda r: (r.positive, r.x))
     side = [np.array([np.frombuffer(r.x, "<f4") for r in got if r.positive is k], float).reshape(-1, N_FEATURES) for k in (True, False)]
     return fit(*side, float(share))

@@ -41,6 +41,17 @@ def test_quality_edges(spark):
     assert quality.accepted(docs, labels).columns == docs.columns and quality.scored(empty(spark), quality.Network.constant()).count() == 0
 
 
+def test_repeated_ids_do_not_multiply_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda positive, unlabelled, prior: seen.append((len(positive), len(unlabelled))) or quality.Network.constant())
+    same = spark.range(400).selectExpr("1L as doc_id", "concat('row ', id) as text")
+    others = spark.range(2, 40).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = spark.range(1, 12).selectExpr("id as doc_id", "1 as quality").union(spark.range(1, 12).selectExpr("id as doc_id", "1 as quality"))
+    quality.train(same.union(others), labels)
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5]
+    assert seen == [(sum(i < 12 for i in ids), len(ids))]
+
+
 def test_the_risk_is_not_negative_in_its_second_part():
     rng = np.random.default_rng(0)
     positive, other = rng.normal(1, 0.3, (300, quality.N_FEATURES)), rng.normal(-1, 0.3, (100, quality.N_FEATURES))
@@ -357,6 +368,29 @@ def test_adjacent_entities_are_found_apart(spark, between):
     assert got[-3:] == [alone["4111111111111111"] + " 24", alone["+1 (826) 555-4081"] + " 24", alone["+44 20 7946 0958"] + " 2024 1999"]
 
 
+def test_long_runs_are_read_once(spark):
+    import time
+
+    letters, dots = "x" * (1 << 20), "ab." * (1 << 18)
+    took = {}
+    for name, t in (("prose", "some words 12 and more " * 45_000), ("letters", letters + " 1"), ("dots", dots + " 1"), ("ats", "a@" * (1 << 18)), ("digits", "7" * (1 << 20)), ("hexes", "ab:" * (1 << 18))):
+        docs = spark.createDataFrame([(1, f"{t} jane.roe@example.org")], "doc_id long, text string")
+        began = time.time()
+        row = pii.redacted(docs).first()
+        took[name] = time.time() - began
+        assert row._entities == 1 and "jane.roe" not in row.text and row.text.endswith(".org") and row.text.startswith(t)
+    assert max(took.values()) < 20 + 5 * took["prose"], took
+
+
+def test_texts_with_the_marks_of_matches(spark):
+    docs = spark.createDataFrame([(1, "\ufdd0 a@b.org\ufdd1 and jane@c.org \ufdd0"), (2, "a@b.org"), (3, "\ufdd1"), (4, "a@b.org 10.0.0.1 b@b.org")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.redacted(docs).collect()}
+    assert [got[i]._entities for i in (1, 2, 3, 4)] == [2, 1, 0, 3]
+    new = got[2].text
+    assert got[1].text.startswith(f"\ufdd0 {new}\ufdd1 and ") and got[1].text.endswith(".org \ufdd0") and got[3].text == "\ufdd1"
+    assert got[4].text.startswith(f"{new} ") and got[4].text.count("@") == 2
+
+
 def test_parts_of_a_name_keep_their_surrogates(spark):
     texts = ["Mrs. Maria Lopez met Mr. Lopez and Maria", "Mrs. Lopez", "Dr. Maria"]
     got = [r.text for r in pii.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
