@@ -7,8 +7,9 @@ takes in.  A window repeats where a smaller doc_id has the same anchor extended
 repeat, which is at least ``width`` words long.  Nothing is paired: of each extension only the smallest doc_id matters.
 
 The documents are stored in blocks.  A block settles repeats within itself and sends, for each range of anchor hashes, its anchors with the
-extensions that are first in the block; so an anchor that a third of all documents share is sent once by each block.  Which of them
-repeat in other blocks comes back as a bit for each extension, in files of shared storage, and the blocks, read again, cut their texts.
+extensions that are first in the block.  Anchors in front of ever different words (those of a common line) may still be too many for one
+range: each block lists the anchors that it has often, and one that makes up more than an eighth of an average range is sent by
+its extensions' hashes instead.  Which extensions repeat in other blocks comes back as a bit for each, in files of shared storage, and the blocks, read again, cut their texts.
 
 Edge cases: null and wordless texts have no words; texts of fewer than ``width`` words have no windows and stay whole; rows with equal
 doc_ids aren't earlier than one another; a null doc_id comes after all others; an empty table gives no rows.  Anchors are compared by
@@ -17,6 +18,7 @@ doc_ids aren't earlier than one another; a null doc_id comes after all others; a
 
 from __future__ import annotations
 
+import functools
 import io
 
 import numpy as np
@@ -32,23 +34,29 @@ from quillspark.llm.work import AtomicFile, opened, shared_folder, stored
 WIDTH, SEED = 13, 5
 #: Text bytes of a block; windows that a task joins at a time, about.
 BLOCK_BYTES, WINDOWS_A_RANGE = 8 << 20, 4 << 20
+#: Occurrences from which a block lists an anchor; the part of an average range from which an anchor is split.
+OFTEN, SHARE = 8, 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
-_BLOCK = "part int, block long, n_words long, doc_ids array<long>, texts array<string>"
+_BLOCK = "part int, block long, n_words long, n_anchors long, often binary, times binary, doc_ids array<long>, texts array<string>"
 _SEEDS = "part int, block long, bucket int, anchors binary, docs binary, reach binary, low binary, high binary"
 _CUT = "doc_id long, text string, n_words long, n_removed long, repeats array<struct<start: long, length: long>>"
 
 
-def blocks_of(docs: DataFrame) -> DataFrame:
-    """The documents, stored in blocks of about BLOCK_BYTES of text."""
+def blocks_of(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """The documents, stored in blocks of about BLOCK_BYTES of text, with the anchors that a block has OFTEN."""
 
     def cut(batches):
         part, block = TaskContext.get().partitionId(), 0
         for b in batches:
             for first, end, data, offsets in slices(b.column(1), BLOCK_BYTES):
-                n = len(Words(data, offsets, NOT_SPACE))
+                words = Words(data, offsets, NOT_SPACE)
+                anchors = Windows(words, np.arange(end - first), width, seed).anchor
+                often, times = np.unique(anchors, return_counts=True)
+                listed = times >= OFTEN
                 rows = b.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block]), pa.array([n]), *(pa.ListArray.from_arrays([0, end - first], c) for c in rows.columns)], ["part", "block", "n_words", "doc_ids", "texts"])
+                numbers = (pa.array([part], pa.int32()), *(pa.array([x]) for x in (block, len(words), len(anchors))))
+                yield pa.RecordBatch.from_arrays([*numbers, *(pa.array([x[listed].tobytes()], pa.binary()) for x in (often, times)), *(pa.ListArray.from_arrays([0, end - first], c) for c in rows.columns)], [c.split(" ")[0] for c in _BLOCK.split(", ")])
                 block += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -83,7 +91,7 @@ class Windows:
         n = np.maximum(counts - width + 1, 0)
         self.start = np.repeat(words.bounds[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         self.doc = np.repeat(doc_ids, n)
-        self.hash = _runs(hashes, width)[self.start]
+        self.words, self.width = hashes, width
         seeds = _runs(hashes, seed)
         best, at = seeds[self.start], np.zeros(len(self.start), np.int64)
         for j in range(1, width - seed + 1):
@@ -97,6 +105,10 @@ class Windows:
         self.reach = np.diff(np.append(self.first, len(at)))
         self.anchor = best[self.first]
 
+    @functools.cached_property
+    def hash(self) -> np.ndarray:
+        return _runs(self.words, self.width)[self.start]
+
     def leaders(self) -> tuple[np.ndarray, np.ndarray]:
         """For each window the first one in the block with its words and the least doc_id, and whether a smaller doc_id of the block has it."""
         order = np.argsort(self.hash, kind="stable")
@@ -110,9 +122,18 @@ class Windows:
         lead[order], later[order] = leader, d > least
         return lead, later
 
-    def sent(self, lead: np.ndarray) -> np.ndarray:
-        """The anchors that have a window which leads its equals in the block."""
-        return np.flatnonzero(np.add.reduceat(lead == np.arange(len(lead)), self.first) > 0) if len(lead) else self.first
+    def sent(self, lead: np.ndarray, n: int, split: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, its first window, its reach, the first of each range's) of anchors that have a window which leads its equals in the block, by
+        range; an anchor of ``split`` comes once for each window, in the range of that window's hash."""
+        some = np.flatnonzero(np.add.reduceat(lead == np.arange(len(lead)), self.first) > 0) if len(lead) else self.first
+        at = np.minimum(np.searchsorted(split, self.anchor[some]), max(len(split) - 1, 0))
+        parted = split[at] == self.anchor[some] if len(split) else np.zeros(len(some), bool)
+        whole, single = some[~parted], _spans(self.reach[some[parted]], self.first[some[parted]])
+        anchor = np.concatenate([self.anchor[whole], np.repeat(self.anchor[some[parted]], self.reach[some[parted]])])
+        first, reach = np.concatenate([self.first[whole], single]), np.concatenate([self.reach[whole], np.ones(len(single), np.int64)])
+        ranges = np.concatenate([_bucket(self.anchor[whole], n), _bucket(self.hash[single], n)])
+        order = np.argsort(ranges, kind="stable")
+        return anchor[order], first[order], reach[order], np.searchsorted(ranges[order], np.arange(n + 1))
 
 
 def _windows(row: dict, width: int, seed: int) -> tuple[Words, Windows]:
@@ -130,10 +151,32 @@ def _stored_rows(batches):
             yield {"part": b.column("part")[i].as_py(), "block": b.column("block")[i].as_py(), "doc_ids": b.column("doc_ids")[i].values, "texts": b.column("texts")[i].values}
 
 
-def _ranges(blocks: DataFrame) -> int:
-    """Ranges of anchor hashes that are joined apart: at least as many as shuffle partitions, more for large inputs."""
-    total = int(blocks.agg(F.sum("n_words")).first()[0] or 0)
-    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // WINDOWS_A_RANGE))
+def _ranges(blocks: DataFrame) -> tuple[int, str]:
+    """The number of ranges of anchor hashes that are joined apart, at least as many as shuffle partitions and more for large inputs, and
+    a shared file of the anchors that are split: SHARE for each range at most."""
+    total = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_anchors").alias("anchors")).first()
+    n = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total["words"] or 0) // WINDOWS_A_RANGE))
+
+    def listed(batches):
+        for b in batches:
+            for often, times in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(often, np.int64)), pa.array(np.frombuffer(times, np.int64))], ["anchor", "n"])
+
+    counted = blocks.select("often", "times").mapInArrow(listed, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    least = max(OFTEN, int(total["anchors"] or 0) // (SHARE * n))
+    split = np.sort(np.array([r.anchor for r in counted.filter(F.col("n") > least).select("anchor").collect()], np.int64).view(np.uint64))  # SHARE x n rows at most
+    folder, f = shared_folder(blocks.sparkSession, "split"), io.BytesIO()
+    np.save(f, split)
+    out = AtomicFile(folder, "anchors.npy")
+    out.write(f.getvalue())
+    out.commit()
+    return n, f"{folder}/anchors.npy"
+
+
+def _loaded(path: str) -> np.ndarray:
+    fs, p = opened(path)
+    with fs.open_input_file(p) as f:
+        return np.load(io.BytesIO(f.read()))
 
 
 def _spans(reach: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -145,23 +188,19 @@ def _bucket(anchor: np.ndarray, n: int) -> np.ndarray:
     return ((anchor >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def seeds_of(blocks: DataFrame, n: int, width: int, seed: int) -> DataFrame:
+def seeds_of(blocks: DataFrame, n: int, split: str, width: int, seed: int) -> DataFrame:
     """For each block and range of anchor hashes the block's anchors, their documents and their extensions' hashes."""
 
     def send(batches):
+        parted = _loaded(split)
         for row in _stored_rows(batches):
             _, w = _windows(row, width, seed)
-            lead, _ = w.leaders()
-            sent = w.sent(lead)
-            bucket = _bucket(w.anchor[sent], n)
-            order = np.argsort(bucket, kind="stable")
-            sent, bucket = sent[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(n + 1))
+            anchor, first, reach, cuts = w.sent(w.leaders()[0], n, parted)
             out = []
             for k in np.flatnonzero(np.diff(cuts)):
-                some = sent[cuts[k] : cuts[k + 1]]
-                hashes = w.hash[_spans(w.reach[some], w.first[some])]
-                out.append((row["part"], row["block"], k, w.anchor[some].tobytes(), w.doc[w.first[some]].tobytes(), w.reach[some].astype(np.uint8).tobytes(), (hashes >> np.uint64(32)).astype("<u4").tobytes(), (hashes >> np.uint64(16)).astype("<u2").tobytes()))
+                at = slice(cuts[k], cuts[k + 1])
+                hashes = w.hash[_spans(reach[at], first[at])]
+                out.append((row["part"], row["block"], k, anchor[at].tobytes(), w.doc[first[at]].tobytes(), reach[at].astype(np.uint8).tobytes(), (hashes >> np.uint64(32)).astype("<u4").tobytes(), (hashes >> np.uint64(16)).astype("<u2").tobytes()))
             if out:
                 types = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["part", "block", "bucket", "anchors", "docs", "reach", "low", "high"])
@@ -254,12 +293,12 @@ def cut_texts(words: Words, gone: np.ndarray) -> pa.Array:
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """A row for each document: doc_id, text (the words that stay, joined by one space), n_words, n_removed and the maximal repeats, as spans of words."""
-    blocks = blocks_of(docs)
-    n = _ranges(blocks)
-    folder = store_answers(seeds_of(blocks, n, width, seed), n)
+    blocks = blocks_of(docs, width, seed)
+    n, split = _ranges(blocks)
+    folder = store_answers(seeds_of(blocks, n, split, width, seed), n)
 
     def answer(batches):
-        part, found = None, {}
+        part, found, parted = None, {}, _loaded(split)
         for row in _stored_rows(batches):
             if row["part"] != part:
                 part, found = row["part"], {}
@@ -270,17 +309,12 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Da
                         found = {k: z[k] for k in z.files}
             words, w = _windows(row, width, seed)
             lead, later = w.leaders()
-            sent = w.sent(lead)
-            bucket = _bucket(w.anchor[sent], n)
+            _, first, reach, cuts = w.sent(lead, n, parted)
             elsewhere = np.zeros(len(lead), bool)
-            order = np.argsort(bucket, kind="stable")
-            sent, bucket = sent[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(n + 1))
             for k in np.flatnonzero(np.diff(cuts)):
                 bits = found.get(f"{row['block']}-{k}")
                 if bits is not None:
-                    some = sent[cuts[k] : cuts[k + 1]]
-                    at = _spans(w.reach[some], w.first[some])
+                    at = _spans(reach[cuts[k] : cuts[k + 1]], first[cuts[k] : cuts[k + 1]])
                     elsewhere[at] = np.unpackbits(bits, count=len(at)) > 0
             hit = w.start[later | elsewhere[lead]]
             marks = np.zeros(len(words) + width + 1, np.int64)

@@ -78,6 +78,18 @@ def test_a_group_of_thousands_of_copies(spark):
     assert sum(r[3] for r in found) >= 2999 * 60
 
 
+def test_a_common_line_in_front_of_different_words(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "OFTEN", 2)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 5000)
+    rng = random.Random(3)
+    line = prose(rng, 10)
+    docs = [(i, f"{prose(rng, 8)} {line} {rng.choice('xy')} {prose(rng, 4)}") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    n, split = repeats._ranges(repeats.blocks_of(df, 13, 5))
+    assert 0 < len(repeats._loaded(split)) <= 8 * n
+    assert got(repeats.without_repeats(df)) == cut(docs, 13)
+
+
 def test_every_window_has_the_anchor_of_its_words():
     rng = random.Random(1)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(40))) for _ in range(50)]
