@@ -6,11 +6,18 @@ combination of scores are choices of this library.  Loops write each round to th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.operators.rank import min_max, top_k
+from quillspark.operators.substrings import occurrences
 from quillspark.storage import kept
 
 
@@ -21,25 +28,65 @@ def gate_rows(tier: Column, m: Column, width: int) -> Column:
     return F.when(m < 2, F.sequence(F.lit(0), m - 1)).otherwise(F.concat(F.array(F.lit(0)), near))
 
 
-def spread(seeds: DataFrame, mentions: DataFrame, gates: DataFrame, threshold: float = 0.4, per_entity: int = 2, rounds: int = 3, digits: int = 6, window: int = 0) -> DataFrame:
+Gates = Callable[[DataFrame, int], DataFrame]
+
+
+def table_gates(gates: DataFrame, window: int = 0) -> Gates:
+    """Gates from a table (qid, sentence, gate); or, where they follow a path, (qid, sentence, j, m, gate) of each row j of the m rows of
+    the query set, of which tier t takes the best in ``gate_rows(t, m, window)``."""
+
+    def gate(pairs: DataFrame, tier: int) -> DataFrame:
+        now = gates.join(pairs, ["qid", "sentence"])
+        if "j" in gates.columns:
+            now = now.filter(F.array_contains(gate_rows(F.lit(tier), F.col("m"), window), F.col("j")))
+        return now.groupBy("qid", "sentence").agg(F.max("gate").alias("gate"))
+
+    return gate
+
+
+def vector_gates(sentences: DataFrame, sets: DataFrame, window: int | None = None, digits: int = 6) -> Gates:
+    """Gates that are scored when a round asks for them: the best inner product of a sentence (sentence, embedding) with the query set's
+    vectors (qid, j, embedding), all of them, or with ``window`` those that the path gives to the tier.  Only the pairs asked for meet vectors."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("j", F.col("embedding").cast("array<double>").alias("e")))), lambda x: x["e"])
+    rows = kept(sets.filter("embedding is not null").groupBy("qid").agg(ordered.alias("rows")), "query-sets")  # as many vectors as a query set has
+
+    def gate(pairs: DataFrame, tier: int) -> DataFrame:
+        wanted = F.sequence(F.lit(0), F.size("rows") - 1) if window is None else gate_rows(F.lit(tier), F.size("rows"), window)
+        chosen = rows.select("qid", F.transform(wanted, lambda j: F.get("rows", j)).alias("rows"))
+        met = pairs.join(sentences.filter("embedding is not null").select("sentence", F.col("embedding").cast("array<double>").alias("e")), "sentence").join(chosen, "qid")
+        schema = T.StructType([*pairs.select("qid", "sentence").schema, T.StructField("gate", T.DoubleType())])
+
+        def score(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                n = pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
+                q = b.column(3).flatten().flatten().to_numpy(zero_copy_only=False).reshape(int(n.sum()), -1)
+                dots = np.round(np.einsum("ij,ij->i", np.repeat(x, n, axis=0), q), digits)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.maximum.reduceat(dots, np.cumsum(n) - n))], ["qid", "sentence", "gate"])
+
+        return met.select("qid", "sentence", "e", "rows").mapInArrow(score, schema)
+
+    return gate
+
+
+def spread(seeds: DataFrame, mentions: DataFrame, gates: Gates, threshold: float = 0.4, per_entity: int = 2, rounds: int = 3, digits: int = 6) -> DataFrame:
     """(qid, entity, score, tier, last_tier) after breadth-first activation.
 
     An active entity takes its ``per_entity`` best unused sentences by gate; each conducts once for a query, for the
     entity with the higher score and then the smaller name (a fixed owner, where the source goes entity by entity).
     Co-mentioned entities get entity score x gate, pruned below ``threshold``; scores that arrive later are added.
-    gates: (qid, sentence, gate); or, for a gate that follows a path, (qid, sentence, j, m, gate) of each row j of the m rows of the
-    query set, of which tier t takes the best in ``gate_rows(t, m, window)``.
+    A round asks ``gates`` for the unused sentences of its frontier's entities only.
     """
-    path = {"j", "m"} <= set(gates.columns)
     first = seeds.select("qid", "entity", F.col("score").cast("double").alias("score"), F.lit(1).alias("tier"), F.lit(1).alias("last_tier"))
     active, frontier, used = kept(first), first.select("qid", "entity", "score"), None
     for t in range(2, rounds + 2):
-        now = gates
-        if path:
-            now = gates.filter(F.array_contains(gate_rows(F.lit(t - 1), F.col("m"), window), F.col("j"))).groupBy("qid", "sentence").agg(F.max("gate").alias("gate"))
-        options = frontier.join(mentions, "entity").join(now, ["qid", "sentence"])
+        options = frontier.join(mentions, "entity")
         if used is not None:
             options = options.join(used, ["qid", "sentence"], "left_anti")
+        options = kept(options, "options")
+        options = options.join(gates(options.select("qid", "sentence").distinct(), t - 1), ["qid", "sentence"])
         best = W.partitionBy("qid", "entity").orderBy(F.col("gate").desc(), "sentence")
         own = W.partitionBy("qid", "sentence").orderBy(F.col("score").desc(), "entity")
         taken = options.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= per_entity)
@@ -56,15 +103,12 @@ def spread(seeds: DataFrame, mentions: DataFrame, gates: DataFrame, threshold: f
 
 
 def passage_bonus(active: DataFrame, passages: DataFrame, by_tier: bool = True) -> DataFrame:
-    """(qid, pid, bonus): sum over active entities of score x ln(1 + occurrences) / last tier.  Occurrences are of the
-    lower-cased entity, without overlap; only passages that hold its first word are searched."""
-    word = lambda c: F.regexp_extract(F.lower(c), r"[\p{L}\p{N}]+", 0)
-    held = passages.select("pid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w"))
-    hit = active.withColumn("w", word(F.col("entity"))).join(held, "w")  # texts follow for hits only
-    hit = hit.join(passages.select("pid", F.lower("text").alias("t")), "pid")
-    times = (F.length("t") - F.length(F.replace("t", F.lower("entity"), F.lit("")))) / F.length("entity")
-    part = F.col("score") * F.log(1 + times) / (F.col("last_tier") if by_tier else F.lit(1))
-    return hit.filter(times > 0).groupBy("qid", "pid").agg(F.round(F.sum(part), 6).alias("bonus"))
+    """(qid, pid, bonus): sum over active entities of score x ln(1 + occurrences) / last tier.  Occurrences are those of the lower-cased
+    entity as a substring of the lower-cased passage, parts of words too, without overlap."""
+    named = active.withColumn("pattern", F.lower("entity"))
+    found = occurrences(passages.select("pid", F.lower("text")), named.select("pattern"))
+    part = F.col("score") * F.log(1 + F.col("n")) / (F.col("last_tier") if by_tier else F.lit(1))
+    return named.join(found.withColumnRenamed("id", "pid"), "pattern").groupBy("qid", "pid").agg(F.round(F.sum(part), 6).alias("bonus"))
 
 
 def reversed_path(sets: DataFrame) -> DataFrame:
@@ -115,9 +159,10 @@ def tier_report(active: DataFrame, gold: DataFrame | None = None) -> DataFrame:
     """Activations by tier; with gold (qid, text) how many are of entities in the query's gold text."""
     if gold is None:
         return active.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
-    hit = active.join(gold, "qid", "left").withColumn("hit", F.coalesce(F.contains(F.lower("text"), F.lower("entity")), F.lit(False)))
-    one = hit.groupBy("qid", "entity", "tier", "score").agg(F.max("hit").alias("hit"))
-    return one.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.count_if("hit").alias("gold_hits"))
+    named = active.withColumn("pattern", F.lower("entity"))
+    found = occurrences(gold.select("qid", F.lower("text")), named.select("pattern")).select(F.col("id").alias("qid"), "pattern", F.lit(True).alias("hit")).distinct()
+    one = named.join(found, ["qid", "pattern"], "left")
+    return one.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.count_if(F.coalesce("hit", F.lit(False))).alias("gold_hits"))
 
 
 def trace_report(traces: DataFrame, gold: DataFrame) -> DataFrame:

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import ascii_normalised, normalised
 from quillspark.operators.rank import bounded
+from quillspark.operators.substrings import occurrences
 from quillspark.storage import kept
 
 #: Prefix lengths, widest first, that locate a gold passage in chunks; shorter passages never match.
 WIDTHS = (90, 60, 40)
-#: Words of a probe that are hashed; so few that nearly all probes have them, and one pass over the chunks does.
-GRAM = 4
 
 
 def passage_index(passages: DataFrame) -> DataFrame:
@@ -67,42 +66,17 @@ def rekeyed(sets: DataFrame) -> DataFrame:
     return sets.filter(F.coalesce(F.size("texts"), F.lit(0)) > 0).groupBy("qkey").agg(F.max_by("texts", "ord").alias("texts"), F.countDistinct("texts").alias("n_sets"))
 
 
-def gram_hashes(words: Column, n: int) -> Column:
-    """Hashes of all runs of n words; there must be n words."""
-    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))
-
-
 def contained(passages: DataFrame, chunks: DataFrame, widths=WIDTHS) -> DataFrame:
     """(item_id, pid): chunks (pid, text) that hold the start of an item (item_id, text) at the widest width that occurs anywhere.
 
-    A start is looked for by its first words (GRAM of them, or as many as it has): hashes of the chunks' word n-grams are
-    semi-joined with those of the probes, without texts; texts are fetched for the candidates alone and searched for the whole
-    probe.  The words at both ends of a probe may be parts and are left out of the gram.
+    The starts of all items are patterns of automata, with which one pass goes over the chunks' normalised texts.
     """
     norm = ascii_normalised(F.col("text"))
-    cut = F.array(*(F.when(F.length("p") >= w, F.struct(F.lit(w).alias("width"), F.substring("p", 1, w).alias("probe"))) for w in widths))
+    cut = F.array(*(F.when(F.length("p") >= w, F.struct(F.lit(w).alias("width"), F.substring("p", 1, w).alias("pattern"))) for w in widths))
     probes = passages.select("item_id", norm.alias("p")).filter(F.length("p") >= min(widths))
     probes = probes.select("item_id", F.explode(F.filter(cut, lambda x: x.isNotNull())).alias("x")).select("item_id", "x.*")
-    every = F.split("probe", " ")
-    inner = F.slice(every, 2, F.greatest(F.size(every) - 2, F.lit(0)))
-    size = F.least(F.size(inner), F.lit(GRAM))
-    keyed = kept(probes.select("item_id", "width", "probe", size.alias("n"), F.when(size > 0, F.xxhash64(F.slice(inner, 1, size))).alias("gram")), "probes")
-    sizes = sorted(r.n for r in keyed.select("n").distinct().collect())  # 0 to GRAM
-    words = chunks.select("pid", F.split(norm, " ").alias("w"))
-    found = None
-    for n in sizes:
-        wanted = keyed.filter(F.col("n") == n)
-        if n == 0:
-            hit = chunks.select("pid", norm.alias("c")).join(bounded(wanted), F.contains(F.col("c"), F.col("probe")))
-        else:
-            grams = words.filter(F.size("w") >= n).select("pid", F.explode(gram_hashes(F.col("w"), n)).alias("gram")).join(bounded(wanted.select("gram").distinct()), "gram", "left_semi").distinct()
-            candidates = grams.join(bounded(wanted), "gram").select("pid", "item_id", "width", "probe")
-            hit = candidates.join(chunks.select("pid", norm.alias("c")), "pid").filter(F.contains(F.col("c"), F.col("probe")))
-        hit = hit.select("item_id", "width", "pid")
-        found = hit if found is None else found.union(hit)
-    if found is None:
-        return chunks.select(F.lit(None).cast("long").alias("item_id"), "pid").limit(0)
-    found = kept(found.distinct(), "contained")
+    hits = occurrences(chunks.select("pid", norm), probes.select("pattern")).select(F.col("id").alias("pid"), "pattern")
+    found = kept(probes.join(hits, "pattern").select("item_id", "width", "pid").distinct(), "contained")
     best = found.groupBy("item_id").agg(F.max("width").alias("width"))
     return found.join(best, ["item_id", "width"]).select("item_id", "pid").distinct()
 

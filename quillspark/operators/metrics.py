@@ -34,11 +34,11 @@ def per_query(queries: DataFrame, ranking: DataFrame, ks=KS) -> DataFrame:
     return queries.join(lists, "qid", "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<bigint>"))).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).withColumn("recall", recall(F.col("gold"), F.col("ranked"), F.col("k"))).drop("ranked")
 
 
-def per_query_hits(queries: DataFrame, hits: DataFrame, ks=KS) -> DataFrame:
-    """As ``per_query`` from counts: queries (qid, n_gold, ...) and ranks (qid, rank) of the gold passages that a ranking found; no list of gold is made."""
-    found = hits.groupBy("qid").agg(*(F.count_if(F.col("rank") < k).alias(f"_h{k}") for k in ks))
+def per_query_hits(queries: DataFrame, hits: DataFrame, ks=KS, by: tuple[str, ...] = ()) -> DataFrame:
+    """As ``per_query`` from counts: queries (qid, n_gold, ...) and ranks (qid, rank) of the gold passages that a ranking found, for each of ``by`` apart; no list of gold is made."""
+    found = hits.groupBy(*by, "qid").agg(*(F.count_if(F.col("rank") < k).alias(f"_h{k}") for k in ks))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(f"_h{k}", F.lit(0)).alias("h")) for k in ks)))
-    joined = queries.join(found, "qid", "left").withColumn("_x", each)
+    joined = queries.join(found, [*by, "qid"], "left").withColumn("_x", each)
     return joined.withColumn("k", F.col("_x.k")).withColumn("recall", F.col("_x.h") / F.nullif(F.col("n_gold"), F.lit(0))).drop("_x", *(f"_h{k}" for k in ks))
 
 

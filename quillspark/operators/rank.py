@@ -5,23 +5,23 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable
-from functools import reduce
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.ipc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.functions.stemming import stem
-from quillspark.storage import kept
+from quillspark.storage import kept, read_shared, shared_files, shared_folder, write_shared
 
-#: Query vectors that a task holds at a time; beyond it, queries are scored block by block.
-QUERY_BLOCK = 4096
+#: Query vectors of a file, items that are scored at a time, bytes of query files that a task keeps.
+QUERY_BLOCK, ITEM_BLOCK, VECTOR_BYTES = 4096, 1024, 64 << 20
 #: Rows of a side that may be broadcast.
 BROADCAST_ROWS = 100_000
 K1, B = 1.5, 0.75
@@ -48,52 +48,132 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
 
 
-def _best(scores: np.ndarray, pids: np.ndarray, keep: int | None) -> np.ndarray:
-    """For each row of scores the places of its ``keep`` best, ties by the smaller pid."""
-    n = scores.shape[1]
-    if keep is None or keep >= n:
-        return np.broadcast_to(np.arange(n), scores.shape)
-    return np.stack([np.lexsort((pids, -row))[:keep] for row in scores])
+def _best(scores: np.ndarray, keep: int) -> np.ndarray:
+    """For each row of scores which columns are its ``keep`` best, of equal ones the first."""
+    if keep >= scores.shape[1]:
+        return np.ones(scores.shape, bool)
+    least = np.partition(scores, -keep, axis=1)[:, -keep, None]
+    more, equal = scores > least, scores == least
+    return more | equal & (np.cumsum(equal, axis=1) <= keep - more.sum(1, keepdims=True))
 
 
-def dense_scores(items: DataFrame, queries: DataFrame, keep: int | None = None, combine: str | None = None, digits: int = 6) -> DataFrame:
-    """(qid, j, pid, score): inner products of all items (pid, embedding) with all query vectors (qid, j, embedding).
+def store_vectors(queries: DataFrame) -> str:
+    """A shared folder of query vectors (qid, j, embedding) in files of about QUERY_BLOCK, written by tasks; a query's vectors are in one file, in order."""
+    folder = shared_folder(queries.sparkSession, "vectors")
+    asked = queries.select("qid", "j", F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding is not null")
+
+    def write(batches):
+        task, held, n = TaskContext.get().partitionId(), [], 0
+
+        def put(rows: pa.Table) -> None:
+            nonlocal n
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, rows.schema) as f:
+                f.write_table(rows)
+            write_shared(f"{folder}/{task}-{n}.arrow", out.getvalue().to_pybytes())  # named by place, so a repeated task writes the same files
+            n += 1
 
-    A stated query set against all rows, in blocks: the vectors of a block of queries, about QUERY_BLOCK of them, are collected and
-    multiplied with each Arrow batch of items.  ``combine`` (max or mean) takes a query's vectors together, j is then 0.  With
-    ``keep`` a batch gives only its best rows for each query or query vector, so what is shuffled grows with
-    queries x partitions and not with queries x items.  Rows without a vector have no score; qid may be of any type.
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 2 * QUERY_BLOCK:
+                rows = pa.Table.from_batches(held)
+                qids = rows.column(0)
+                cut = QUERY_BLOCK
+                while cut < rows.num_rows and qids[cut].as_py() == qids[cut - 1].as_py():
+                    cut += 1
+                put(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+        if sum(x.num_rows for x in held):
+            rows = pa.Table.from_batches(held)
+            while rows.num_rows:
+                cut = min(QUERY_BLOCK, rows.num_rows)
+                while cut < rows.num_rows and rows.column(0)[cut].as_py() == rows.column(0)[cut - 1].as_py():
+                    cut += 1
+                put(rows.slice(0, cut))
+                rows = rows.slice(cut)
+        yield from ()
+
+    asked.repartition("qid").sortWithinPartitions("qid", "j").mapInArrow(write, "done boolean").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+class _Block:
+    """A file of query vectors, and for each arm the scores that a task has to beat."""
+
+    def __init__(self, data: bytes):
+        rows = pa.ipc.open_stream(data).read_all().combine_chunks()
+        self.size = len(data)
+        self.j = rows.column(1).to_numpy().astype(np.int32)
+        self.matrix = rows.column(2).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        qids = rows.column(0).combine_chunks()
+        codes = qids.dictionary_encode().indices.fill_null(-1).to_numpy()
+        self.firsts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        self.each, self.heads = qids, qids.take(pa.array(self.firsts))
+
+    def scores(self, x: np.ndarray, arms: list[str], digits: int):
+        """(arm, scores of all heads of the arm) for item vectors."""
+        s = np.round(self.matrix @ x.T, digits)
+        for arm in arms:
+            if arm == "each":
+                yield arm, s
+            elif arm == "pooled":
+                yield arm, s[self.firsts]
+            elif arm == "max":
+                yield arm, np.maximum.reduceat(s, self.firsts, axis=0)
+            else:
+                yield arm, np.round(np.add.reduceat(s, self.firsts, axis=0) / np.diff(np.append(self.firsts, len(s)))[:, None], digits + 2)
+
+
+def dense_arms(items: DataFrame, queries: DataFrame, arms: list[str], keep: int | None = None, digits: int = 6) -> DataFrame:
+    """(arm, qid, j, pid, score): inner products of all items (pid, embedding) with all query vectors (qid, j, embedding), for several arms at once.
+
+    A stated query set against all rows: tasks write the query vectors to shared files, and tasks that read items score them against one file at a time.
+    ``each`` scores every vector, ``pooled`` the first of a query's, ``max`` and ``mean`` take a query's vectors together (j is then 0).  With
+    ``keep`` a task gives a row only if it is among the best so far of its query, so what is shuffled follows
+    queries x tasks and not queries x items.  Rows without a vector have no score; qid may be of any type.
     """
-    asked = queries.select("qid", "j", "embedding").filter("embedding is not null")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    qid_type = to_arrow_type(queries.schema["qid"].dataType)
-    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("j", T.IntegerType()), T.StructField("pid", T.LongType()), T.StructField("score", T.DoubleType())])
-    found = []
-    for block in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).orderBy("qid", "j").collect()
-        names = list(dict.fromkeys(r.qid for r in part))
-        firsts = np.flatnonzero([i == 0 or r.qid != part[i - 1].qid for i, r in enumerate(part)])
-        heads = pa.array(names if combine else [r.qid for r in part], qid_type)
-        js = np.zeros(len(names), np.int32) if combine else np.array([r.j for r in part], np.int32)
-        matrix = np.array([r.embedding for r in part], float)
-
-        def score(batches, heads=heads, js=js, matrix=matrix, firsts=firsts):
-            for b in batches:
-                if not len(heads) or not b.num_rows:
-                    continue
-                pids, vectors = b.column(0).to_numpy(), b.column(1)
-                x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-                s = np.round(matrix @ x.T, digits)
-                if combine == "max":
-                    s = np.maximum.reduceat(s, firsts, axis=0)
-                elif combine == "mean":
-                    s = np.round(np.add.reduceat(s, firsts, axis=0) / np.diff(np.append(firsts, len(matrix)))[:, None], digits + 2)
-                at = _best(s, pids, keep)
-                row = np.repeat(np.arange(len(heads)), at.shape[1])
-                yield pa.RecordBatch.from_arrays([heads.take(pa.array(row)), pa.array(js[row]), pa.array(pids[at].ravel()), pa.array(np.take_along_axis(s, at, 1).ravel())], ["qid", "j", "pid", "score"])
-
-        found.append(items.select(F.col("pid").cast("long"), "embedding").filter("embedding is not null").mapInArrow(score, schema))
-    return reduce(DataFrame.union, found)
+    folder = store_vectors(queries)
+    schema = T.StructType([T.StructField("arm", T.StringType()), T.StructField("qid", queries.schema["qid"].dataType), T.StructField("j", T.IntegerType()), T.StructField("pid", T.LongType()), T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        names, held, room = shared_files(folder), {}, VECTOR_BYTES
+        least: dict[tuple, np.ndarray] = {}
+
+        def block(name: str) -> _Block:
+            nonlocal room
+            if name in held:
+                return held[name]
+            made = _Block(read_shared(f"{folder}/{name}"))
+            if made.size <= room:
+                held[name], room = made, room - made.size
+            return made
+
+        for b in batches:
+            for at in range(0, b.num_rows, ITEM_BLOCK):
+                part = b.slice(at, ITEM_BLOCK).sort_by("pid")  # the first of equal scores is the smaller pid
+                pids = part.column(0).to_numpy()
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                for name in names:
+                    q = block(name)
+                    for arm, s in q.scores(x, arms, digits):
+                        heads, j = (q.each, q.j) if arm == "each" else (q.heads, np.zeros(len(q.heads), np.int32))
+                        if keep is None:
+                            row, col = np.nonzero(np.ones(s.shape, bool))
+                        else:
+                            best = least.setdefault((name, arm), np.full((len(heads), keep), -np.inf))
+                            chosen = _best(s, keep) & (s >= best[:, :1])
+                            row, col = np.nonzero(chosen)
+                            both = np.concatenate([best, np.where(chosen, s, -np.inf)], axis=1)
+                            least[name, arm] = np.sort(np.partition(both, -keep, axis=1)[:, -keep:], axis=1)
+                        if len(row):
+                            yield pa.RecordBatch.from_arrays([pa.array([arm] * len(row), pa.string()), heads.take(pa.array(row)), pa.array(j[row]), pa.array(pids[col]), pa.array(s[row, col])], ["arm", "qid", "j", "pid", "score"])
+
+    return items.select(F.col("pid").cast("long").alias("pid"), "embedding").filter("embedding is not null").mapInArrow(run, schema)
+
+
+def dense_scores(items: DataFrame, queries: DataFrame, keep: int | None = None, combine: str | None = None, digits: int = 6) -> DataFrame:
+    """(qid, j, pid, score) of one arm: all query vectors, or with ``combine`` (max or mean) a query's vectors taken together."""
+    return dense_arms(items, queries, [combine or "each"], keep, digits).drop("arm")
 
 
 def pooled(scores: DataFrame) -> DataFrame:

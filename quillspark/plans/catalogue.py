@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text
 from quillspark.operators import graph, matching, metrics, rank
-from quillspark.storage import spread_out
+from quillspark.storage import kept, spread_out
 
 FLAGSHIP = "recall_by_bucket"
 STEP, SUBQUESTIONS, K = 50, 3, 10
@@ -69,17 +69,17 @@ def gold_ranks(spark: SparkSession, sf_dir: str, ranking: DataFrame) -> DataFram
     return ranking.join(labels, "pid").join(asked, "qid").filter("label = wanted").drop("label", "wanted")
 
 
-def arms(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    plain = vector_scores(spark, sf_dir, K, sub=False)
-    return {"pooled": rank.top_k(plain, K), "max": rank.top_k(vector_scores(spark, sf_dir, K, "max"), K), "mean": rank.top_k(vector_scores(spark, sf_dir, K, "mean"), K)}
+def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(arm, qid, rank, pid, score) of the pooled, best and mean rankings, from one pass over the items."""
+    items = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), "embedding")
+    scores = candidates(rank.dense_arms(items, vector_queries(spark, sf_dir), ["pooled", "max", "mean"], K + SUBQUESTIONS + 1))
+    return kept(rank.top_k(scores.drop("j"), K, "arm", "qid"), "arms")
 
 
 def arm_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold, out = vector_gold(spark, sf_dir), None
-    for name, ranking in arms(spark, sf_dir).items():
-        one = metrics.per_query_hits(gold, gold_ranks(spark, sf_dir, ranking)).withColumn("arm", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    gold, hits = vector_gold(spark, sf_dir), gold_ranks(spark, sf_dir, arms(spark, sf_dir))
+    named = gold.withColumn("arm", F.explode(F.array(*map(F.lit, ("pooled", "max", "mean")))))
+    return metrics.per_query_hits(named, hits, by=("arm",))
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -225,9 +225,25 @@ def entity_spread(spark, d):
     """Activation from the first word of each question over sentences that share words."""
     m = _mentions(spark, d)
     seeds = questions(spark, d).select("qid", F.regexp_extract("question", r"([A-Za-z]{2,})", 1).alias("entity"), F.lit(1.0).alias("score")).filter("entity <> ''")
-    sentences = m.groupBy("sentence").agg(F.count("*").alias("n"))
-    gates = seeds.select("qid").join(sentences.select("sentence", F.round(0.5 + 0.5 / F.col("n"), 6).alias("gate")), F.col("sentence").isNotNull())
-    return graph.spread(seeds, m, gates, threshold=0.5, rounds=2)
+    short = m.groupBy("sentence").agg(F.round(0.5 + 0.5 / F.count("*"), 6).alias("gate"))
+    return graph.spread(seeds, m, lambda pairs, tier: pairs.join(short, "sentence"), threshold=0.5, rounds=2)
+
+
+def sigma_spread(spark, d):
+    """Activation along a path of sub-questions: vectors are sentences that mention their label and one of 97 more entities, a query's label is
+    its seed, and each tier is gated by the question and one sub-question."""
+    e = _table(spark, d, "embeddings")
+    named = F.array(F.concat(F.lit("label "), F.col("label").cast("string")), F.concat(F.lit("part "), (F.col("vec_id") % 97).cast("string")))
+    mentions = e.select(F.explode(named).alias("entity"), F.col("vec_id").alias("sentence"))
+    q = vector_queries(spark, d)
+    seeds = q.filter("j = 0").select("qid", F.concat(F.lit("label "), F.col("label").cast("string")).alias("entity"), F.lit(1.0).alias("score"))
+    gates = graph.vector_gates(e.select(F.col("vec_id").alias("sentence"), "embedding"), q, window=0)
+    return graph.spread(seeds, mentions, gates, threshold=0.05, per_entity=3, rounds=2)
+
+
+def passage_bonus(spark, d):
+    """What the activated words of the benchmark's questions add to the documents that hold them, as parts of words too."""
+    return graph.passage_bonus(entity_spread(spark, d), spread_passages(spark, d).select("pid", "text"))
 
 
 def tier_histogram(spark, d):
@@ -270,7 +286,7 @@ def views_shuffled(spark, d):
 _SAME = [
     passage_identity, title_lookup, corpus_stats, norm_ascii, norm_question, content_counts, gold_containment, bm25_topk, hybrid_rrf, rerank_overlap,
     dense_topk, sigma_max_topk, fusion_mean, fusion_rrf, fact_minmax, recall_by_bucket, paired_delta, best_over_views, per_hop_recall, option_recall, bootstrap_ci,
-    edge_weight, pagerank_vectors, entity_spread, tier_histogram, rekey_collisions, views_regex, views_donors, views_shuffled,
+    edge_weight, pagerank_vectors, entity_spread, sigma_spread, tier_histogram, passage_bonus, rekey_collisions, views_regex, views_donors, views_shuffled,
 ]
 QUERIES = {f.__name__: f for f in _SAME}
 
@@ -336,7 +352,25 @@ _SPREAD = rf"""
     f1 AS (SELECT item_id AS qid, regexp_extract(text, '[A-Za-z]{{2,}}') AS entity, 1.0::DOUBLE AS score FROM benchmark WHERE regexp_matches(text, '[A-Za-z]{{2,}}')),
     a1 AS (SELECT qid, entity, score, 1 AS tier, 1 AS last_tier FROM f1), u1 AS (SELECT 0 AS qid, 0 AS sentence WHERE false), {_tier_sql(2)}, {_tier_sql(3)}"""
 
+
+
+def _path_sql(t: int) -> str:
+    """One round of the spread along a path: the gate of tier t - 1 is the best of rows 0 and t - 1 of the query set."""
+    return _tier_sql(t).replace("JOIN g ON g.sentence = m.sentence", f"JOIN g{t - 1} g ON g.qid = f.qid AND g.sentence = m.sentence").replace(">= 0.5", ">= 0.05").replace("r <= 2", "r <= 3")
+
+
+_SIGMA = rf"""
+    WITH q AS (SELECT vec_id - vec_id % 50 AS qid, vec_id % 50 AS j, embedding, label FROM embeddings WHERE vec_id % 50 <= 3),
+    s AS (SELECT q.qid, q.j, e.vec_id AS sentence, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM q, embeddings e WHERE q.j < 3),
+    g1 AS (SELECT qid, sentence, max(score) AS gate FROM s WHERE j IN (0, 1) GROUP BY ALL), g2 AS (SELECT qid, sentence, max(score) AS gate FROM s WHERE j IN (0, 2) GROUP BY ALL),
+    m AS (SELECT unnest(['label ' || CAST(label AS VARCHAR), 'part ' || CAST(vec_id % 97 AS VARCHAR)]) AS entity, vec_id AS sentence FROM embeddings),
+    f1 AS (SELECT qid, 'label ' || CAST(label AS VARCHAR) AS entity, 1.0::DOUBLE AS score FROM q WHERE j = 0),
+    a1 AS (SELECT qid, entity, score, 1 AS tier, 1 AS last_tier FROM f1), u1 AS (SELECT 0 AS qid, 0 AS sentence WHERE false), {_path_sql(2)}, {_path_sql(3)}
+    SELECT * FROM a3"""
+
 ORACLE_SQL = {
+    "sigma_spread": _SIGMA,
+    "passage_bonus": f"{_SPREAD}, n AS (SELECT doc_id AS pid, w.entity, (length(lower(text)) - length(replace(lower(text), lower(w.entity), ''))) / length(w.entity) AS n FROM documents, (SELECT DISTINCT entity FROM a3) AS w WHERE contains(lower(text), lower(w.entity))) SELECT qid, pid, round(sum(score * ln(1 + n) / last_tier), 6) AS bonus FROM a3 JOIN n USING (entity) GROUP BY ALL",
     "pagerank_vectors": _PAGERANK,
     "entity_spread": f"{_SPREAD} SELECT * FROM a3",
     "tier_histogram": f"{_SPREAD} SELECT tier, count(*) AS n, round(max(score), 6) AS best, count(*) FILTER (contains(lower(b.text), lower(entity))) AS gold_hits FROM a3 JOIN benchmark b ON b.item_id = a3.qid GROUP BY tier",

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,3 +32,32 @@ def spread_out(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores where its input comes in fewer splits than there are cores, as a small file does; a large input is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path in it that a URI names; a bare path is local."""
+    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+
+
+def write_shared(path: str, data: bytes) -> None:
+    """A file that appears under its name only when complete, so that a retried task simply replaces it."""
+    fs, final = opened(path)
+    folder, name = final.rsplit("/", 1)
+    fs.create_dir(folder, recursive=True)
+    temporary = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(temporary, compression=None) as f:
+        f.write(data)
+    fs.move(temporary, final)
+
+
+def read_shared(path: str) -> bytes:
+    fs, p = opened(path)
+    with fs.open_input_file(p) as f:
+        return f.read()
+
+
+def shared_files(folder: str) -> list[str]:
+    """The names of the complete files of a folder, sorted; none where it isn't there."""
+    fs, p = opened(folder)
+    found = fs.get_file_info(pafs.FileSelector(p, allow_not_found=True))
+    return sorted(f.base_name for f in found if f.is_file and not f.base_name.startswith("."))
