@@ -184,8 +184,10 @@ def _spans(reach: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
 
 
-def _bucket(anchor: np.ndarray, n: int) -> np.ndarray:
-    return ((anchor >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The range of each hash; mixed, since anchors are least hashes and so mostly small."""
+    with np.errstate(over="ignore"):
+        return ((mixed(hashes) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def seeds_of(blocks: DataFrame, n: int, split: str, width: int, seed: int) -> DataFrame:
