@@ -10,21 +10,18 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.ipc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.functions.stemming import stem
-from quillspark.storage import kept, read_shared, shared_files, shared_folder, write_shared
+from quillspark.operators import lexical
+from quillspark.storage import grouped_files, read_arrow, shared_files
 
 #: Query vectors of a file, items that are scored at a time, bytes of query files that a task keeps.
 QUERY_BLOCK, ITEM_BLOCK, VECTOR_BYTES = 4096, 1024, 64 << 20
 #: Rows of a side that may be broadcast.
 BROADCAST_ROWS = 100_000
-K1, B = 1.5, 0.75
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -57,52 +54,11 @@ def _best(scores: np.ndarray, keep: int) -> np.ndarray:
     return more | equal & (np.cumsum(equal, axis=1) <= keep - more.sum(1, keepdims=True))
 
 
-def store_vectors(queries: DataFrame) -> str:
-    """A shared folder of query vectors (qid, j, embedding) in files of about QUERY_BLOCK, written by tasks; a query's vectors are in one file, in order."""
-    folder = shared_folder(queries.sparkSession, "vectors")
-    asked = queries.select("qid", "j", F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding is not null")
-
-    def write(batches):
-        task, held, n = TaskContext.get().partitionId(), [], 0
-
-        def put(rows: pa.Table) -> None:
-            nonlocal n
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, rows.schema) as f:
-                f.write_table(rows)
-            write_shared(f"{folder}/{task}-{n}.arrow", out.getvalue().to_pybytes())  # named by place, so a repeated task writes the same files
-            n += 1
-
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= 2 * QUERY_BLOCK:
-                rows = pa.Table.from_batches(held)
-                qids = rows.column(0)
-                cut = QUERY_BLOCK
-                while cut < rows.num_rows and qids[cut].as_py() == qids[cut - 1].as_py():
-                    cut += 1
-                put(rows.slice(0, cut))
-                held = rows.slice(cut).to_batches()
-        if sum(x.num_rows for x in held):
-            rows = pa.Table.from_batches(held)
-            while rows.num_rows:
-                cut = min(QUERY_BLOCK, rows.num_rows)
-                while cut < rows.num_rows and rows.column(0)[cut].as_py() == rows.column(0)[cut - 1].as_py():
-                    cut += 1
-                put(rows.slice(0, cut))
-                rows = rows.slice(cut)
-        yield from ()
-
-    asked.repartition("qid").sortWithinPartitions("qid", "j").mapInArrow(write, "done boolean").write.format("noop").mode("overwrite").save()
-    return folder
-
-
 class _Block:
     """A file of query vectors, and for each arm the scores that a task has to beat."""
 
-    def __init__(self, data: bytes):
-        rows = pa.ipc.open_stream(data).read_all().combine_chunks()
-        self.size = len(data)
+    def __init__(self, rows: pa.Table):
+        self.size = rows.nbytes
         self.j = rows.column(1).to_numpy().astype(np.int32)
         self.matrix = rows.column(2).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
         qids = rows.column(0).combine_chunks()
@@ -132,7 +88,8 @@ def dense_arms(items: DataFrame, queries: DataFrame, arms: list[str], keep: int
     ``keep`` a task gives a row only if it is among the best so far of its query, so what is shuffled follows
     queries x tasks and not queries x items.  Rows without a vector have no score; qid may be of any type.
     """
-    folder = store_vectors(queries)
+    vectors = queries.select("qid", "j", F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding is not null")
+    folder = grouped_files(vectors, "qid", ["j"], QUERY_BLOCK, "vectors")
     schema = T.StructType([T.StructField("arm", T.StringType()), T.StructField("qid", queries.schema["qid"].dataType), T.StructField("j", T.IntegerType()), T.StructField("pid", T.LongType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
@@ -143,7 +100,7 @@ def dense_arms(items: DataFrame, queries: DataFrame, arms: list[str], keep: int
             nonlocal room
             if name in held:
                 return held[name]
-            made = _Block(read_shared(f"{folder}/{name}"))
+            made = _Block(read_arrow(f"{folder}/{name}"))
             if made.size <= room:
                 held[name], room = made, room - made.size
             return made
@@ -214,42 +171,17 @@ def unicode_words(text: Column, stopwords: list[str] | None = None) -> Column:
     return F.filter(found, lambda w: ~w.isin(*stopwords)) if stopwords else found
 
 
-@F.pandas_udf(T.StringType())
-def stemmed(terms: pd.Series) -> pd.Series:
-    """English stems, by Arrow batches; each different word of a batch once."""
-    codes, distinct = pd.factorize(terms)
-    return pd.Series(np.array([*map(stem, distinct), None], object)[codes])
-
-
 def bm25(passages: DataFrame, queries: DataFrame, k: int, stopwords: list[str] | None = None, digits: int = 6, tokens=words, stems: bool = False) -> DataFrame:
     """BM25 of passages (pid, text) for queries (qid, question): idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Passages are read and tokenised once: what is stored are the postings of query terms, and a row for each passage with
-    its length, from which all statistics come.  A query term counts as often as the query has it.  With ``stems`` both sides go by
-    English stems: the different words of the passages are stemmed in a table of their own, which then joins as the query terms do.
+    A query term counts as often as the query has it.  With ``stems`` both sides go by English stems.
     """
-    asked = queries.select("qid", F.explode(tokens(F.col("question"), stopwords)).alias("term"))
-    if stems:
-        asked = asked.withColumn("term", stemmed("term"))
-    asked = asked.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    listed = passages.select("pid", tokens(F.col("text"), stopwords).alias("w"))
-    exploded = listed.select("pid", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))  # "" stands for the passage itself
-    wanted = asked.select("term").distinct()
-    if stems:
-        vocabulary = exploded.select("term").filter("term <> ''").distinct().withColumn("stem", stemmed("term")).join(bounded(wanted.withColumnRenamed("term", "stem")), "stem", "left_semi")
-        known = kept(vocabulary.select("term", "stem"), "stems")
-        each = exploded.join(bounded(known), "term", "left").filter("stem is not null or term = ''").withColumn("term", F.coalesce("stem", "term"))
-    else:
-        each = exploded.join(bounded(wanted.union(wanted.sparkSession.createDataFrame([("",)], "term string"))), "term", "left_semi")
-    postings = kept(each.groupBy("pid", "dl", "term").agg(F.count("*").alias("tf")), "postings")
-    stats = postings.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = postings.filter("term <> ''")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = postings.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "pid", weight.alias("w"))  # one row of statistics
-    scores = weighted.join(bounded(asked), "term").groupBy("qid", "pid").agg(F.round(F.sum(F.col("w") * F.col("qtf")), digits).alias("score"))
-    return top_k(scores, k).select("qid", "rank", "pid", "score")
+    return bm25_on(lexical.build(passages, tokens, stopwords, stems), queries, k, stopwords, digits, tokens, stems)
+
+
+def bm25_on(index: DataFrame, queries: DataFrame, k: int, stopwords: list[str] | None = None, digits: int = 6, tokens=words, stems: bool = False) -> DataFrame:
+    """The same on an index, which must know ``stopwords`` as its ``drop``."""
+    return top_k(lexical.search(index, queries, k, tokens, stopwords, stems, digits), k).select("qid", "rank", "pid", "score")
 
 
 def hybrid(first: DataFrame, second: DataFrame, k: int) -> DataFrame:

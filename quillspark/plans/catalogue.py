@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import graph, matching, metrics, rank
+from quillspark.operators import graph, lexical, matching, metrics, ordered, rank
 from quillspark.storage import kept, spread_out
 
 FLAGSHIP = "recall_by_bucket"
@@ -126,8 +126,9 @@ def bm25_topk(spark, d):
 
 
 def hybrid_rrf(spark, d):
-    p, q = spread_passages(spark, d), questions(spark, d)
-    return _ranked(rank.hybrid(rank.bm25(p, q, 15), rank.bm25(p, q, 15, text.STOPWORDS), 5))
+    """BM25 with and without stopwords, from one index."""
+    q, index = questions(spark, d), lexical.build(spread_passages(spark, d), rank.words, text.STOPWORDS)
+    return _ranked(rank.hybrid(rank.bm25_on(index, q, 15), rank.bm25_on(index, q, 15, text.STOPWORDS), 5))
 
 
 def rerank_overlap(spark, d):
@@ -179,7 +180,8 @@ def per_hop_recall(spark, d):
     """Each sub-question's own gold: the first candidate of its label."""
     q = vector_queries(spark, d).filter("j > 0")
     e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"), "label")
-    hops = candidates(q.join(e, "label")).groupBy("qid", F.col("j").alias("hop")).agg(F.min("pid").alias("gold_pid"))
+    few = e.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy("pid"))).filter(F.col("r") <= SUBQUESTIONS + 2).drop("r")  # at most four aren't candidates
+    hops = candidates(q.join(few, "label")).groupBy("qid", F.col("j").alias("hop")).agg(F.min("pid").alias("gold_pid"))
     return metrics.hop_hits(hops, rank.top_k(vector_scores(spark, d, K, "max"), K))
 
 
@@ -261,13 +263,9 @@ def views_regex(spark, d):
 
 
 def _donors(spark, d) -> DataFrame:
-    """(qid, donor): every question and the one whose views it gets, the next by a keyed hash within blocks of hashes, so no block
-    grows with the table; one alone in its block keeps its own."""
+    """(qid, donor): every question and the one whose views it gets, the next of all by a keyed hash, the first after the last."""
     q = questions(spark, d).select("qid", F.md5(F.concat(F.lit("views-0-"), F.col("qid").cast("string"))).alias("h"))
-    block, digits = W.partitionBy("block"), max(0, -(-(q.count().bit_length() - 12) // 4))  # 16 times the blocks for 16 times the questions
-    by_hash = block.orderBy("h", "qid")
-    keyed = q.withColumn("block", F.substring("h", 1, digits))
-    return keyed.select("qid", F.coalesce(F.lead("qid").over(by_hash), F.first("qid").over(by_hash.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("donor"))
+    return ordered.with_next(q, ["h", "qid"], "qid", "donor", cyclic=True).select("qid", "donor")
 
 
 def views_donors(spark, d):

@@ -7,7 +7,10 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.ipc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,3 +64,42 @@ def shared_files(folder: str) -> list[str]:
     fs, p = opened(folder)
     found = fs.get_file_info(pafs.FileSelector(p, allow_not_found=True))
     return sorted(f.base_name for f in found if f.is_file and not f.base_name.startswith("."))
+
+
+def read_arrow(path: str) -> pa.Table:
+    return pa.ipc.open_stream(read_shared(path)).read_all().combine_chunks()
+
+
+def grouped_files(df: DataFrame, group: str, order: list[str], rows: int, name: str) -> str:
+    """A shared folder to which tasks write ``df`` in files of about ``rows`` rows, each group whole in one file and sorted; ``group`` is the first
+    column.  Files are named by place, so a repeated task writes the same ones again."""
+    folder = shared_folder(df.sparkSession, name)
+
+    def write(batches):
+        task, held, n = TaskContext.get().partitionId(), [], 0
+
+        def put(table: pa.Table, all_of_it: bool) -> pa.Table:
+            nonlocal n
+            while table.num_rows >= (1 if all_of_it else 2 * rows):
+                cut, groups = min(rows, table.num_rows), table.column(0)
+                while cut < table.num_rows and groups[cut].as_py() == groups[cut - 1].as_py():
+                    cut += 1
+                if cut == table.num_rows and not all_of_it:
+                    break  # the group may go on
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, table.schema) as f:
+                    f.write_table(table.slice(0, cut))
+                write_shared(f"{folder}/{task:06d}-{n:06d}.arrow", out.getvalue().to_pybytes())
+                table, n = table.slice(cut), n + 1
+            return table
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 2 * rows:
+                held = put(pa.Table.from_batches(held), False).to_batches()
+        if held:
+            put(pa.Table.from_batches(held), True)
+        yield from ()
+
+    df.repartition(group).sortWithinPartitions(group, *order).mapInArrow(write, "done boolean").write.format("noop").mode("overwrite").save()
+    return folder

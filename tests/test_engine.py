@@ -146,7 +146,7 @@ def test_spread_by_hand(spark):
     seeds = spark.createDataFrame([(1, "a", 1.0)], "qid int, entity string, score double")
     mentions = spark.createDataFrame([("a", 10), ("b", 10), ("b", 11), ("c", 11), ("a", 12), ("d", 12), ("a", 13), ("z", 13)], "entity string, sentence int")
     gates = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.8), (1, 12, 0.3), (1, 13, 0.2)], "qid int, sentence int, gate double")
-    got = {r.entity: (r.score, r.tier) for r in graph.spread(seeds, mentions, gates, 0.4, 2, 3).collect()}
+    got = {r.entity: (r.score, r.tier) for r in graph.spread(seeds, mentions, graph.table_gates(gates), 0.4, 2, 3).collect()}
     assert got == {"a": (1.0, 1), "b": (0.9, 2), "c": (0.72, 3)}
     texts = spark.createDataFrame([(7, "B and b, c"), (8, "none")], "pid long, text string")
     active = spark.createDataFrame([(1, "b", 0.9, 2, 2)], "qid int, entity string, score double, tier int, last_tier int")
@@ -335,7 +335,7 @@ def test_path_gates_and_passage_order(spark):
     seeds = spark.createDataFrame([(1, "a", 1.0)], "qid int, entity string, score double")
     mentions = spark.createDataFrame([("a", 10), ("b", 10), ("b", 11), ("c", 11)], "entity string, sentence int")
     gates = spark.createDataFrame([(1, 10, 0, 3, 0.1), (1, 10, 1, 3, 0.9), (1, 10, 2, 3, 1.0), (1, 11, 0, 3, 0.2), (1, 11, 1, 3, 1.0), (1, 11, 2, 3, 0.8)], "qid int, sentence int, j int, m int, gate double")
-    got = {r.entity: (r.score, r.tier) for r in graph.spread(seeds, mentions, gates, 0.4).collect()}
+    got = {r.entity: (r.score, r.tier) for r in graph.spread(seeds, mentions, graph.table_gates(gates), 0.4).collect()}
     assert got == {"a": (1.0, 1), "b": (0.9, 2), "c": (0.72, 3)}
     assert graph.reversed_path(spark.createDataFrame([(1, ["x", "y"])], "qid int, texts array<string>")).first().texts == ["y", "x"]
     dense = spark.createDataFrame([(1, 7, 0.2), (1, 8, 0.6), (1, 9, 0.4)], "qid int, pid long, score double")
