@@ -71,17 +71,18 @@ _NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:['’]\p{Ll}+)?"
 #: In order of precedence at a place of the text.
 PATTERNS = {
     "email": _EMAIL,
-    "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{8,}",
+    "secret": r"(?<=[=:]\s{0,2}[\"']?)(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{8,}",
     "key": _KEY,
     "iban": rf"\b[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!{_OTHER}|{_NATIONAL})|)[A-Z0-9]{{4}}){{3,7}}(?:(?: (?!{_OTHER}|{_NATIONAL})|)[A-Z0-9]{{1,3}})?\b",
     "ipv6": _IPV6,
     "ipv4": _IPV4,
     "phone": f"{_INTERNATIONAL}|{_NATIONAL}",
     "ssn": _SSN,
-    "card": rf"{_CARD}|(?<![0-9])[0-9](?:(?:[ -](?!{_OTHER}|{_CARD}|{_NATIONAL})|)[0-9]){{12,18}}(?![0-9]|\.[0-9])",
+    "card": rf"(?=[0-9])(?:{_CARD}|(?<![0-9])[0-9](?:(?:[ -](?!{_OTHER}|{_CARD}|{_NATIONAL})|)[0-9]){{12,18}}(?![0-9]|\.[0-9]))",
     "person": rf"(?<![\p{{L}}0-9]){_TITLES}\s{_NAME}(?:[ -]{_NAME}){{0,2}}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: None of them begins at an ASCII letter after an ASCII letter or digit, which is soon seen.
+ANY = "(?!(?<=[A-Za-z0-9])[A-Za-z])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Characters put around each match, so that one pass over a text finds and parts it; a text that has one of them is read twice.
 _OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 #: A cheap test that every text with an entity passes.
