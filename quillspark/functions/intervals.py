@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,7 +93,7 @@ def validated(files: DataFrame) -> DataFrame:
 
 
 def range_sorted(values: Column, operations: Column) -> Column:
-    """``values`` after sorting ranges [l, r] from 1 in turn, ascending where c is 1, else descending."""
+    """``values`` after sorting ranges [l, r] from 1 in turn, ascending where c is 1, else descending: each operation copies the array, so for short ones."""
 
     def apply(a: Column, op: Column) -> Column:
         part = F.slice(a, op["l"], op["r"] - op["l"] + 1)
@@ -100,7 +103,69 @@ def range_sorted(values: Column, operations: Column) -> Column:
     return F.aggregate(operations, values, apply)
 
 
+class ClassRuns:
+    """A row of small classes as runs of equal ones: where each begins, sorted, and its class.
+
+    Sorting a range replaces its runs by one for each class in it, from their counts.  An operation adds at most four runs and takes
+    time for those that it removes, so operations are amortised logarithmic but for moving list ends.
+    """
+
+    def __init__(self, classes: np.ndarray, n_classes: int = 3):
+        new = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])) if len(classes) else np.zeros(0, np.int64)
+        self.starts, self.classes, self.size, self.n_classes = new.tolist(), classes[new].tolist(), len(classes), n_classes
+
+    def _cut(self, at: int) -> int:
+        """The index of the run that begins at ``at``, after cutting one there if need be."""
+        if at >= self.size:
+            return len(self.starts)
+        i = bisect.bisect_right(self.starts, at) - 1
+        if self.starts[i] == at:
+            return i
+        self.starts.insert(i + 1, at)
+        self.classes.insert(i + 1, self.classes[i])
+        return i + 1
+
+    def sort(self, low: int, high: int, ascending: bool) -> None:
+        """Sort places low to high - 1, from 0."""
+        if low >= high:
+            return
+        i, j = self._cut(low), self._cut(high)
+        if j - i == 1:
+            return
+        counts = [0] * self.n_classes
+        ends = [*self.starts[i + 1 : j], high]
+        for begin, end, c in zip(self.starts[i:j], ends, self.classes[i:j], strict=True):
+            counts[c] += end - begin
+        at, starts, classes = low, [], []
+        for c in range(self.n_classes) if ascending else range(self.n_classes - 1, -1, -1):
+            if counts[c]:
+                starts.append(at)
+                classes.append(c)
+                at += counts[c]
+        self.starts[i:j], self.classes[i:j] = starts, classes
+
+    def first(self, c: int) -> int | None:
+        return next((s for s, k in zip(self.starts, self.classes, strict=True) if k == c), None)
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return np.repeat(np.array(self.classes, dtype or np.int64), np.diff([*self.starts, self.size]))
+
+
+def place_of(values, operations, x) -> int | None:
+    """Where x, or the first of equal ones, ends up, from 1, after sorting ranges (c, l, r) from 1 in turn, ascending where c is 1; null where it isn't there."""
+    runs = ClassRuns((np.sign(np.asarray(values, np.float64) - x) + 1).astype(np.int64) if len(values) else np.zeros(0, np.int64))
+    for c, low, high in operations:
+        runs.sort(max(low, 1) - 1, min(high, runs.size), c == 1)
+    at = runs.first(1)
+    return None if at is None else at + 1
+
+
 def place_after(values: Column, operations: Column, x: Column) -> Column:
-    """Where x ends up, from 1.  Only less, equal and greater matter, so small classes are sorted instead of values."""
-    classes = F.transform(values, lambda v: F.sign(v - x).cast("int"))
-    return F.array_position(range_sorted(classes, operations), 0)
+    """``place_of`` for each case, by Arrow batches: only less, equal and greater matter, so runs of three classes are sorted instead of values."""
+
+    @F.pandas_udf("long")
+    def run(v: pd.Series, ops: pd.Series, wanted: pd.Series) -> pd.Series:
+        asked = ([(o["c"], o["l"], o["r"]) for o in some] for some in ops)
+        return pd.Series([place_of(a, o, w) for a, o, w in zip(v, asked, wanted, strict=True)], dtype="Int64")
+
+    return run(values, operations, x)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import bucket_label
 
 KS = (2, 5, 10)
+#: Values that a bootstrap draws at a time, at least one resample.
+DRAWN = 1 << 20
 
 
 def recall(gold: Column, ranked: Column, k) -> Column:
@@ -72,8 +74,9 @@ def bootstrap_interval(values, n: int = 2000, alpha: float = 0.05, seed: int = 0
     x = np.asarray([v for v in values if v is not None and v == v], float)
     if len(x) < 2:
         return float("nan"), float("nan")
-    draws = np.random.default_rng(seed).integers(0, len(x), size=(n, len(x)))
-    low, high = np.quantile(x[draws].mean(axis=1), [alpha / 2, 1 - alpha / 2])
+    rng, at_once = np.random.default_rng(seed), max(1, DRAWN // len(x))  # the generator gives the same draws in pieces
+    means = [x[rng.integers(0, len(x), size=(min(at_once, n - i), len(x)))].mean(axis=1) for i in range(0, n, at_once)]
+    low, high = np.quantile(np.concatenate(means), [alpha / 2, 1 - alpha / 2])
     return float(low), float(high)
 
 
@@ -100,19 +103,22 @@ def delta_table(recalls: DataFrame, baseline: str, *by: str) -> DataFrame:
     return _by_sets(paired(recalls, baseline), ["arm", "k"], list(by), F.round(F.avg("delta"), 6).alias("delta"), F.count("*").alias("n"))
 
 
-def full_delta_table(recalls: DataFrame, baseline: str, covered: DataFrame | None = None, label: Column | None = None) -> DataFrame:
+def full_delta_table(recalls: DataFrame, baseline: str, covered: DataFrame | None = None, label: Column | None = None, order: str = "qid") -> DataFrame:
     """The table that users read: (section, bucket, arm, k, delta, n, lo, hi, star) for all questions, by depth and kind
-    (``label``, else n_hops and is_join), by shape, and over the questions (arm, qid) that an arm covers, with bootstrap intervals."""
+    (``label``, else n_hops and is_join), by shape, and over the questions (arm, qid) that an arm covers, with bootstrap intervals.
+    Intervals draw from the questions in the order of ``order``, their position; a cell of one question has no interval and no star."""
     rows = paired(recalls, baseline)
     label = label if label is not None else bucket_label(F.col("n_hops"), F.col("is_join"))
     sections = F.array(*(F.struct(F.lit(s).alias("section"), b.cast("string").alias("bucket")) for s, b in (("all", F.lit("all")), ("depth x shape", label), ("question type", F.coalesce(F.nullif(F.col("shape").cast("string"), F.lit("")), F.lit("?"))))))
-    each = rows.select("arm", "k", "qid", "delta", F.explode(sections).alias("x")).select("arm", "k", "qid", "delta", "x.*")
+    rows = rows.withColumn("_ord", F.col(order))
+    each = rows.select("arm", "k", "_ord", "delta", F.explode(sections).alias("x")).select("arm", "k", "_ord", "delta", "x.*")
     if covered is not None:
-        each = each.union(covered_only(rows, covered).select("arm", "k", "qid", "delta", F.lit("covered").alias("section"), F.col("arm").alias("bucket")))
+        each = each.union(covered_only(rows, covered).select("arm", "k", "_ord", "delta", F.lit("covered").alias("section"), F.col("arm").alias("bucket")))
     group = ["section", "bucket", "arm", "k"]
     means = each.groupBy(*group).agg(F.round(F.avg("delta"), 6).alias("delta"), F.count("*").alias("n"))
-    limits = intervals(each.select(*group, F.col("qid").alias("ord"), F.col("delta").alias("value")), *group)
-    return means.join(limits, group).withColumn("star", (F.col("lo") > 0) | (F.col("hi") < 0) & ~F.isnan("hi"))
+    limits = intervals(each.select(*group, F.col("_ord").alias("ord"), F.col("delta").alias("value")), *group)
+    outside = (F.col("lo") > 0) | (F.col("hi") < 0)
+    return means.join(limits, group).withColumn("star", (F.col("n") > 1) & F.coalesce(outside, F.lit(False)))
 
 
 def covered_only(rows: DataFrame, covered: DataFrame) -> DataFrame:
@@ -155,3 +161,17 @@ def marked(delta: float | None, low: float, high: float, n: int) -> str:
     if n < 2:
         return f"{delta:+.4f} (n<2)"
     return f"{delta:+.4f}" + ("*" if low > 0 or high < 0 else "")
+
+
+def rendered_deltas(rows: list, k: int) -> str:
+    """The cells of one depth of a full delta table as text: a section after the other, a line for each bucket, a column for each arm."""
+    mine = [r for r in rows if r.k == k]
+    names = sorted({r.arm for r in mine})
+    cells = {(r.section, r.bucket, r.arm): marked(r.delta, *((r.lo, r.hi) if r.n > 1 else (0.0, 0.0)), r.n) for r in mine}
+    out = [f"{'recall@' + str(k):<30}" + "".join(f"{a:>18}" for a in names)]
+    for section in ("all", "depth x shape", "question type", "covered"):
+        buckets = sorted({r.bucket for r in mine if r.section == section})
+        if buckets:
+            out.append(section)
+        out += [f"  {b:<28}" + "".join(f"{cells.get((section, b, a), '-'):>18}" for a in names) for b in buckets]
+    return "\n".join(out)

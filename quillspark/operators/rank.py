@@ -203,16 +203,49 @@ class OverlapScorer:
         return [round(len(q & p) / len(q), 6) if q else 0.0 for q, p in zip(*sets, strict=True)]
 
 
-def scored_pairs(pairs: DataFrame, make: Callable[[], PairScorer], batch: int = 64) -> DataFrame:
-    """(qid, pid, score) of pairs (qid, pid, text, passage); ``make`` loads the model once for a task."""
+#: Tokens of a question and a passage that a pair scorer reads together.
+JOINT_TOKENS = 384
+
+
+def joint_cut(question: list, passage: list, limit: int) -> tuple[list, list]:
+    """Both sides, cut at the end to ``limit`` together: the longer side goes first, sides that stay longer than half end up equal (the passage has the odd one)."""
+    half = limit // 2
+    q = min(len(question), max(half, limit - len(passage)))
+    return question[:q], passage[: limit - q]
+
+
+def words_of(t: str) -> list[tuple[int, int]]:
+    """Places of a text's words: the stand-in for a model's tokens."""
+    return [m.span() for m in re.finditer(r"\S+", t)]
+
+
+def _cut_texts(question: str, passage: str, limit: int, tokens) -> tuple[str, str]:
+    spans = tokens(question), tokens(passage)
+    if len(spans[0]) + len(spans[1]) <= limit:
+        return question, passage
+    kept_spans = joint_cut(*spans, limit)
+    return tuple(t[: s[-1][1]] if s else "" for t, s in zip((question, passage), kept_spans, strict=True))
+
+
+def scored_pairs(pairs: DataFrame, make: Callable[[], PairScorer], batch: int = 64, limit: int | None = JOINT_TOKENS) -> DataFrame:
+    """(qid, pid, score) of pairs (qid, pid, text, passage); ``make`` loads the model once for a task.
+
+    Pairs are cut to ``limit`` tokens together, by the model's own ``tokens`` (a text's token places) if it has such, and go to the model in batches of like lengths.
+    """
     schema = T.StructType([*pairs.select("qid", "pid").schema, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         model = make()
+        tokens = getattr(model, "tokens", words_of)
         for b in batches:
-            questions, texts, scores = b.column(2).to_pylist(), b.column(3).to_pylist(), []
-            for i in range(0, len(questions), batch):
-                scores += model.score(questions[i : i + batch], texts[i : i + batch])
+            texts = [(q or "", p or "") for q, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            if limit is not None:
+                texts = [_cut_texts(q, p, limit, tokens) for q, p in texts]
+            order = sorted(range(len(texts)), key=lambda i: len(texts[i][0]) + len(texts[i][1]))
+            scores = np.zeros(len(texts))
+            for at in range(0, len(order), batch):
+                some = order[at : at + batch]
+                scores[some] = model.score([texts[i][0] for i in some], [texts[i][1] for i in some])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], ["qid", "pid", "score"])
 
     return pairs.select("qid", "pid", "text", "passage").mapInArrow(run, schema)
@@ -240,14 +273,23 @@ class HashingEncoder:
         return out / np.where(n == 0, 1, n)
 
 
-def encoded(texts: DataFrame, encoder: Encoder, column: str = "text") -> DataFrame:
-    """``texts`` with an embedding, a batch at a time."""
+def encoded(texts: DataFrame, make: Callable[[], Encoder], column: str = "text", batch: int = 32) -> DataFrame:
+    """``texts`` with an embedding; ``make`` loads the model once for a task, which encodes batches of like lengths.  Null counts as empty."""
+    schema = T.StructType([*texts.schema, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
-    @F.pandas_udf("array<float>")
-    def run(batches: pd.Series) -> pd.Series:
-        return pd.Series(list(encoder.encode(batches.fillna("").tolist())))
+    def run(batches):
+        model = make()
+        for b in batches:
+            lines = [t or "" for t in b.column(column).to_pylist()]
+            order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
+            out: list = [None] * len(lines)
+            for at in range(0, len(order), batch):
+                some = order[at : at + batch]
+                for i, v in zip(some, model.encode([lines[i] for i in some]), strict=True):
+                    out[i] = v
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float32()))], schema.names)
 
-    return texts.withColumn("embedding", run(F.col(column)))
+    return texts.mapInArrow(run, schema)
 
 
 def query_set(questions: DataFrame, subqs: DataFrame) -> DataFrame:
@@ -256,6 +298,13 @@ def query_set(questions: DataFrame, subqs: DataFrame) -> DataFrame:
     return both.select("qid", F.posexplode("t").alias("j", "text"))
 
 
+def shuffled_views(views: DataFrame, donors: DataFrame) -> DataFrame:
+    """Control: (qid, views) with each question's own first view and the further views of its donor (qid, donor)."""
+    theirs = views.select(F.col("qid").alias("donor"), F.slice("views", 2, F.greatest(F.size("views") - 1, F.lit(0))).alias("_more"))
+    own = donors.join(theirs, "donor").join(views.select("qid", F.slice("views", 1, 1).alias("_first")), "qid")
+    return own.select("qid", F.concat("_first", "_more").alias("views"))
+
+
 def overlap_score(question: Column, passage: Column) -> Column:
     """A lexical stand-in for a cross-encoder: the share of the question's words that the passage has."""
     q = F.array_distinct(words(question))

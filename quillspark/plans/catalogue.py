@@ -273,18 +273,27 @@ def views_donors(spark, d):
 
 
 def views_shuffled(spark, d):
-    """Control: every question keeps itself as view 0 and gets another's further views."""
-    q = questions(spark, d)
-    theirs = q.select(F.col("qid").alias("donor"), text.views("question").alias("v"))
-    own = q.select("qid", F.slice(text.views("question"), 1, 1).alias("first"))
-    more = _donors(spark, d).join(theirs, "donor").join(own, "qid")
-    return more.select("qid", F.concat("first", F.slice("v", 2, F.greatest(F.size("v"), F.lit(1)))).alias("views"))
+    """Control: every question keeps itself as view 0 and gets the further views, here the sentences, of another."""
+    listed = questions(spark, d).select("qid", F.concat(F.array("question"), F.regexp_extract_all("question", F.lit("[^.!?]+[.!?]"), F.lit(0))).alias("views"))
+    return rank.shuffled_views(listed, _donors(spark, d))
+
+
+def offset_lookup(spark, d):
+    """The documents, normalised, as one long text with a space after each: in which document lies the start and the end of each benchmark item that one holds?"""
+    norm = text.ascii_normalised(F.col("text"))
+    sizes = spread_passages(spark, d).select("pid", (F.length(norm) + 1).cast("long").alias("size"))
+    starts = kept(ordered.running(sizes, ["pid"], "size", "at").select("pid", (F.col("at") - F.col("size")).alias("at")), "starts")
+    items = questions(spark, d).select(F.col("qid").alias("item_id"), text.ascii_normalised(F.col("question")).alias("item"))
+    held = gold_containment(spark, d).join(items, "item_id").join(passages(spark, d).select("pid", norm.alias("norm")), "pid").join(starts, "pid")
+    first = F.col("at") + F.instr("norm", F.substring("item", 1, 40)) - 1
+    asked = held.select("item_id", F.explode(F.array(first, first + F.length("item"))).alias("at"))
+    return ordered.as_of(asked, starts, "at", "pid").select("item_id", F.col("at").alias("place"), "pid")
 
 
 _SAME = [
     passage_identity, title_lookup, corpus_stats, norm_ascii, norm_question, content_counts, gold_containment, bm25_topk, hybrid_rrf, rerank_overlap,
     dense_topk, sigma_max_topk, fusion_mean, fusion_rrf, fact_minmax, recall_by_bucket, paired_delta, best_over_views, per_hop_recall, option_recall, bootstrap_ci,
-    edge_weight, pagerank_vectors, entity_spread, sigma_spread, tier_histogram, passage_bonus, rekey_collisions, views_regex, views_donors, views_shuffled,
+    edge_weight, pagerank_vectors, entity_spread, sigma_spread, tier_histogram, passage_bonus, rekey_collisions, views_regex, views_donors, views_shuffled, offset_lookup,
 ]
 QUERIES = {f.__name__: f for f in _SAME}
 
@@ -373,6 +382,8 @@ ORACLE_SQL = {
     "entity_spread": f"{_SPREAD} SELECT * FROM a3",
     "tier_histogram": f"{_SPREAD} SELECT tier, count(*) AS n, round(max(score), 6) AS best, count(*) FILTER (contains(lower(b.text), lower(entity))) AS gold_hits FROM a3 JOIN benchmark b ON b.item_id = a3.qid GROUP BY tier",
     "views_donors": "WITH h AS (SELECT item_id AS qid, md5('views-0-' || CAST(item_id AS VARCHAR)) AS h FROM benchmark) SELECT qid, coalesce(lead(qid) OVER (ORDER BY h, qid), first(qid) OVER (ORDER BY h, qid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS donor FROM h",
+    "views_shuffled": r"WITH h AS (SELECT item_id AS qid, md5('views-0-' || CAST(item_id AS VARCHAR)) AS h, text AS q, regexp_extract_all(text, '[^.!?]+[.!?]') AS v FROM benchmark), n AS (SELECT qid, coalesce(lead(qid) OVER (ORDER BY h, qid), first(qid) OVER (ORDER BY h, qid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS donor FROM h) SELECT a.qid, list_concat([a.q], b.v) AS views FROM n JOIN h a USING (qid) JOIN h b ON b.qid = n.donor",
+    "offset_lookup": f"WITH {_CONTAINED}, z AS (SELECT pid, c, CAST(sum(length(c) + 1) OVER (ORDER BY pid) - length(c) - 1 AS BIGINT) AS s FROM c), x AS (SELECT cont.item_id, z.s + strpos(z.c, left(p.p, 40)) - 1 AS a, length(p.p) AS n FROM cont JOIN p USING (item_id) JOIN z USING (pid)), k AS (SELECT item_id, unnest([a, a + n]) AS place FROM x) SELECT item_id, place, (SELECT max(pid) FROM z WHERE z.s <= k.place) AS pid FROM k",
     "passage_identity": "SELECT md5(source || '||' || text) AS key, max(doc_id) AS pid FROM documents GROUP BY 1",
     "title_lookup": "SELECT source AS title, CAST(count(DISTINCT doc_id) AS INTEGER) AS n_pids, min(doc_id) AS first_pid FROM documents GROUP BY 1",
     "corpus_stats": r"SELECT count(*) AS passages, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words, CAST(sum(len(regexp_extract_all(text, '[.!?]+\s')) + 1) AS BIGINT) AS sentences, count(DISTINCT source) AS titles, count(*) FILTER (regexp_matches(text, '#[0-9]')) AS placeholders FROM documents",

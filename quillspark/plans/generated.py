@@ -74,17 +74,22 @@ def bridge_questions(spark, d):
 
 
 def range_sort(spark, d):
-    """Where the part of an order's middle line ends up after two sorts, the first ascending without the last line, the second descending without the first."""
-    rows = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: x["l_partkey"]).alias("v"))
-    n = F.size("v")
-    op = lambda c, l, r: F.struct(F.lit(c).alias("c"), l.cast("int").alias("l"), r.cast("int").alias("r"))  # noqa: E731,E741
-    ops = F.array(op(1, F.lit(1), F.greatest(n - 1, F.lit(1))), op(2, F.least(n, F.lit(2)), n))
-    return rows.select("l_orderkey", intervals.place_after(F.col("v"), ops, F.element_at("v", ((n + 1) / 2).cast("int"))).alias("place"))
+    """Where the part of an order's middle line ends up after as many sorts of ranges as the order has lines."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    rows = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("x"))  # an order's lines
+    n = F.size("x")
+    low = lambda o: (o["l_partkey"] % n + 1).cast("int")
+    ops = F.transform("x", lambda o: F.struct((o["l_linenumber"] % 2).cast("int").alias("c"), low(o).alias("l"), (low(o) + o["l_suppkey"] % (n - low(o) + 1)).cast("int").alias("r")))
+    v = F.transform("x", lambda o: o["l_partkey"])
+    return rows.select("l_orderkey", intervals.place_after(v, ops, F.element_at(v, ((n + 1) / 2).cast("int"))).alias("place"))
 
 
 def interval_constraints(spark, d):
-    rows = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") - 20).alias("l"), (F.col("l_suppkey") * 40_000_000).alias("r"))
-    return rows.select("l_orderkey", "l_linenumber", ((F.col("l") >= 1) & (F.col("r") <= intervals.MAX_VALUE) & (F.col("l") <= F.col("r"))).alias("valid"))
+    """Every order as a file of one case, its lines as intervals, read by the strict reader."""
+    part = F.concat((F.col("l_partkey") - 20).cast("string"), F.lit(" "), (F.col("l_suppkey") * 40_000_000).cast("string"))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", part.alias("t")))), lambda x: x["t"]), "\n")  # an order's lines
+    files = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("path")).agg(F.concat(F.lit("1\n"), F.count("*").cast("string"), F.lit("\n"), lines, F.lit("\n")).cast("binary").alias("content"))
+    return intervals.validated(files).select(F.col("path").cast("long").alias("l_orderkey"), "status", "sum_n", "n_bytes")
 
 
 QUERIES = {f.__name__: f for f in (harmony_final, parsed_subquestions, resolve_placeholders, match_qid, chunk_ids, bridge_questions, range_sort, interval_constraints)}
@@ -106,10 +111,14 @@ ORACLE_SQL = {
         s AS (SELECT qid, e, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v),
         m AS (SELECT qid, i, x, list_min(list_filter(range(1, i), lambda j: e[j][3] = x[1])) AS b FROM s)
         SELECT qid, CAST(i AS INTEGER) AS hop, 'What is the ' || x[2] || ' of ' || coalesce('#' || CAST(b AS VARCHAR), x[1]) || '?' AS question, x[3] AS answer FROM m""",
-    "range_sort": f"""WITH g AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS v FROM lineitem GROUP BY 1),
-        k AS (SELECT l_orderkey, v, len(v) AS n, v[(len(v) + 1) // 2] AS x FROM g),
-        c AS (SELECT l_orderkey, n, {_SIGNS} AS a FROM k),
-        o AS (SELECT l_orderkey, n, list_concat(list_sort(a[1:greatest(n - 1, 1)]), a[greatest(n - 1, 1) + 1:]) AS a FROM c)
-        SELECT l_orderkey, CAST(list_position(list_concat(a[1:least(n, 2) - 1], list_reverse_sort(a[least(n, 2):])), 0) AS BIGINT) AS place FROM o""",
-    "interval_constraints": "SELECT l_orderkey, l_linenumber, l_partkey - 20 >= 1 AND l_suppkey * 40000000 <= 1000000000 AND l_partkey - 20 <= l_suppkey * 40000000 AS valid FROM lineitem",
+    "range_sort": f"""WITH g AS (SELECT l_orderkey, list({{'i': l_linenumber, 'p': l_partkey, 's': l_suppkey}} ORDER BY l_linenumber, l_partkey, l_suppkey) AS y FROM lineitem GROUP BY 1),
+        k AS (SELECT l_orderkey, len(y) AS n, list_transform(y, lambda o: o.p) AS v, y[(len(y) + 1) // 2].p AS x, list_transform(y, lambda o: {{'c': o.i % 2, 'l': o.p % len(y) + 1, 'r': o.p % len(y) + 1 + o.s % (len(y) - o.p % len(y))}}) AS ops FROM g),
+        c AS (SELECT l_orderkey, ops, {_SIGNS} AS a FROM k),
+        z AS (SELECT l_orderkey, list_reduce(list_concat([{{'a': a, 'c': 0::BIGINT, 'l': 0::BIGINT, 'r': 0::BIGINT}}], list_transform(ops, lambda o: {{'a': []::INTEGER[], 'c': o.c::BIGINT, 'l': o.l::BIGINT, 'r': o.r::BIGINT}})),
+              lambda u, o: {{'a': list_concat(u.a[1:o.l - 1], CASE WHEN o.c = 1 THEN list_sort(u.a[o.l:o.r]) ELSE list_reverse_sort(u.a[o.l:o.r]) END, u.a[o.r + 1:]), 'c': 0::BIGINT, 'l': 0::BIGINT, 'r': 0::BIGINT}}).a AS a FROM c)
+        SELECT l_orderkey, CAST(list_position(a, 0) AS BIGINT) AS place FROM z""",
+    "interval_constraints": """SELECT l_orderkey, CASE WHEN bool_and(l_partkey - 20 >= 1 AND l_suppkey * 40000000 <= 1000000000 AND l_partkey - 20 <= l_suppkey * 40000000) THEN 'OK' ELSE 'INVALID' END AS status,
+            CASE WHEN bool_and(l_partkey - 20 >= 1 AND l_suppkey * 40000000 <= 1000000000 AND l_partkey - 20 <= l_suppkey * 40000000) THEN count(*) END AS sum_n,
+            CAST(3 + length(CAST(count(*) AS VARCHAR)) + sum(length(CAST(l_partkey - 20 AS VARCHAR)) + length(CAST(l_suppkey * 40000000 AS VARCHAR)) + 2) AS BIGINT) AS n_bytes
+        FROM lineitem GROUP BY 1""",
 }

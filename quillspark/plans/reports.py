@@ -81,7 +81,7 @@ def set_statistics(spark, d):
 def _conversation_questions(spark, d):
     """Conversations as questions: a turn is a hop, its role the answer, every third turn without a gold passage."""
     rows = c._table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("t"))
-    hop = F.struct("turn", F.concat(F.lit("What of #"), (F.col("turn") % 4).cast("string"), F.lit(" "), F.substring("t", 1, 30)).alias("question"), F.coalesce("role", F.lit("")).alias("answer"), F.when(F.col("turn") % 3 > 0, F.col("turn")).alias("gold_pid"))
+    hop = F.struct("turn", F.concat(F.lit("What of #"), (F.col("turn") % 4).cast("string"), F.lit(" "), F.translate("t", "#", " ")).alias("question"), F.coalesce("role", F.lit("")).alias("answer"), F.when(F.col("turn") % 3 > 0, F.col("turn")).alias("gold_pid"))
     grouped = rows.groupBy(F.col("conv_id").alias("qid")).agg(F.sort_array(F.collect_list(hop)).alias("hops"))
     gold = F.filter(F.array_distinct(F.transform("hops", lambda h: h["gold_pid"])), lambda x: x.isNotNull())
     return grouped.select("qid", "hops", gold.alias("gold"), (F.size("hops") > 3).alias("is_join"), F.concat((F.size("hops") % 3).cast("string"), F.lit("hop")).alias("shape"))
@@ -136,7 +136,9 @@ def _runs(spark, d):
 
 
 def depth_warnings(spark, d):
-    return reports.depth_warnings(_runs(spark, d), (2, 5, 10, 20))
+    """Runs of one arm for each role: a conversation's list has as many ids as the role has turns in it."""
+    turns = c._table(spark, d, "conversations").groupBy(F.coalesce("role", F.lit("")).alias("arm"), F.col("conv_id").alias("qid")).agg(F.sort_array(F.collect_list("turn")).alias("ids"))
+    return reports.depth_warnings(turns, (2, 3, 5, 10, 20))
 
 
 def same_granularity(spark, d):
@@ -174,6 +176,7 @@ QUERIES = {f.__name__: f for f in _SAME}
 _DENSE = """
     dv AS (SELECT b.item_id AS qid, e.vec_id AS pid, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
            FROM benchmark b JOIN embeddings v ON v.vec_id = b.item_id, embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents))"""
+_HEAD = r"array_to_string(regexp_extract_all({0}, '\S+')[1:{1}], ' ')"
 _WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9à-öø-ÿ_]{{2,}}'))"
 _ARMS = f"""{c._VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), tp AS ({c._TOP.format('z', c.K)}), tm AS ({c._TOP.format('smax', c.K)}), ta AS ({c._TOP.format('smean', c.K)}),
     rp AS ({c._RECALLS.format('tp')}), rm AS ({c._RECALLS.format('tm')}), ra AS ({c._RECALLS.format('ta')}),
@@ -181,8 +184,8 @@ _ARMS = f"""{c._VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), tp A
           UNION ALL SELECT 'mean', ra.qid, ra.k, ra.shape, ra.n_hops, ra.h / nullif(ra.g, 0)::DOUBLE - rp.h / nullif(rp.g, 0)::DOUBLE FROM ra JOIN rp USING (qid, k)),
     dd AS (SELECT d.*, q.label FROM d JOIN q ON q.qid = d.qid AND q.j = 0 WHERE delta IS NOT NULL)"""
 _HOPS = """
-    h AS (SELECT conv_id AS qid, turn, 'What of #' || CAST(turn % 4 AS VARCHAR) || ' ' || substr(coalesce(text, ''), 1, 30) AS question, coalesce(role, '') AS answer, CASE WHEN turn % 3 > 0 THEN turn END AS gold_pid,
-                 row_number() OVER (PARTITION BY conv_id ORDER BY turn, 'What of #' || CAST(turn % 4 AS VARCHAR) || ' ' || substr(coalesce(text, ''), 1, 30), coalesce(role, '')) AS hop FROM conversations),
+    h AS (SELECT conv_id AS qid, turn, 'What of #' || CAST(turn % 4 AS VARCHAR) || ' ' || replace(coalesce(text, ''), '#', ' ') AS question, coalesce(role, '') AS answer, CASE WHEN turn % 3 > 0 THEN turn END AS gold_pid,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn, 'What of #' || CAST(turn % 4 AS VARCHAR) || ' ' || replace(coalesce(text, ''), '#', ' '), coalesce(role, '')) AS hop FROM conversations),
     n AS (SELECT qid, list(answer ORDER BY hop) AS answers FROM h GROUP BY ALL),
     r AS (SELECT h.qid, h.hop, h.question, CASE WHEN turn % 4 > 0 AND turn % 4 <= len(answers) THEN 'What of ' || answers[turn % 4] ELSE 'What of #' || CAST(turn % 4 AS VARCHAR) END || ' ' || rest AS resolved
           FROM (SELECT *, substr(question, 12) AS rest FROM h) AS h JOIN n USING (qid))"""
@@ -191,7 +194,11 @@ _KEY = r"trim(regexp_replace(regexp_replace(replace(lower(strip_accents({0})), '
 
 ORACLE_SQL = {
     "hybrid_dense": f"WITH {c._bm25_sql('x1', 15, False)}, {_DENSE}, x2 AS ({c._TOP.format('dv', 15)}), u AS (SELECT qid, 0 AS l, rank, pid FROM x1 UNION ALL SELECT qid, 1, rank, pid FROM x2), f AS (SELECT qid, pid, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score, min(l * 1000 + rank) AS seen FROM u GROUP BY ALL) SELECT qid, CAST(r - 1 AS INTEGER) AS rank, pid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS r FROM f) AS x WHERE r <= 5",
-    "rerank_dense": f"WITH {_DENSE}, t AS ({c._TOP.format('dv', DEPTH)}), w AS (SELECT t.qid, t.pid, {_WORDS.format('q.text')} AS qw, {_WORDS.format('p.text')} AS pw FROM t JOIN benchmark q ON q.item_id = t.qid JOIN documents p ON p.doc_id = t.pid), s AS (SELECT qid, pid, round(len(list_intersect(qw, pw)) / len(qw)::DOUBLE, 6) AS score FROM w) {c._TOP.format('s', 5)}",
+    "rerank_dense": f"""WITH {_DENSE}, t AS ({c._TOP.format('dv', DEPTH)}),
+        n AS (SELECT t.qid, t.pid, q.text AS q, p.text AS p, len(regexp_extract_all(q.text, '\\S+')) AS nq, len(regexp_extract_all(p.text, '\\S+')) AS np FROM t JOIN benchmark q ON q.item_id = t.qid JOIN documents p ON p.doc_id = t.pid),
+        k AS (SELECT *, CASE WHEN nq + np <= 384 THEN nq ELSE least(nq, greatest(192, 384 - np)) END AS kq FROM n),
+        w AS (SELECT qid, pid, {_WORDS.format(_HEAD.format('q', 'kq'))} AS qw, {_WORDS.format(_HEAD.format('p', 'least(np, 384 - kq)'))} AS pw FROM k),
+        s AS (SELECT qid, pid, round(len(list_intersect(qw, pw)) / len(qw)::DOUBLE, 6) AS score FROM w) {c._TOP.format('s', 5)}""",
     "multi_vector_cosine": "WITH b AS (SELECT e.vec_id - e.vec_id % 50 AS qid, max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[]))) AS m FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) AS o WHERE e.vec_id % 50 <= 3 GROUP BY ALL) SELECT qid, round(m, 6) AS plain, round((m + 1) / 2, 6) AS normalized, round(greatest(m, 0), 6) AS relu, round(greatest(m, 0) * greatest(m, 0), 6) AS relu_sq FROM b",
     "delta_sections": f"""WITH {_ARMS}, x AS (SELECT 'all' AS section, 'all' AS bucket, * FROM dd UNION ALL SELECT 'depth x shape', CAST(n_hops AS VARCHAR) || 'hop-' || CASE WHEN label % 2 = 1 THEN 'join' ELSE 'chain' END, * FROM dd
         UNION ALL SELECT 'question type', CAST(shape AS VARCHAR), * FROM dd UNION ALL SELECT 'covered', arm, * FROM dd WHERE (qid // 50) % 2 = 0)
@@ -208,7 +215,7 @@ ORACLE_SQL = {
     "gold_statistics": f"WITH {c._CONTAINED}, g AS (SELECT item_id, count(*) AS n FROM cont GROUP BY ALL) SELECT count(*) AS with_gold, round(coalesce(avg(n), 0), 6) AS mean_chunks, CASE WHEN count(*) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mean_passages, count(*) FILTER (n > 1) AS in_several, (SELECT count(*) FROM benchmark) AS questions, (SELECT count(*) FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM cont)) AS missing FROM g",
     "unlocated_items": f"WITH {c._CONTAINED} SELECT item_id FROM p WHERE length(p) >= 40 AND item_id NOT IN (SELECT item_id FROM cont)",
     "unmatched_ids": f"SELECT tid FROM ({generated.ORACLE_SQL['match_qid']}) AS m WHERE qid IS NULL",
-    "depth_warnings": "SELECT arm, depth, k FROM (VALUES ('short', 4), ('long', 10)) AS a(arm, depth), (SELECT unnest([2, 5, 10, 20]) AS k) AS ks WHERE k > depth",
+    "depth_warnings": "WITH n AS (SELECT coalesce(role, '') AS arm, conv_id, count(turn) AS n FROM conversations GROUP BY ALL), a AS (SELECT arm, CAST(max(n) AS INTEGER) AS depth FROM n GROUP BY ALL) SELECT arm, depth, k FROM a, (SELECT unnest([2, 3, 5, 10, 20]) AS k) AS ks WHERE k > depth",
     "same_granularity": f"WITH {c._VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), t AS ({c._TOP.format('z', c.K)}) SELECT max(pid) AS max_id, (SELECT count(*) FROM embeddings) AS passages, max(pid) >= 0.5 * (SELECT count(*) FROM embeddings) AS fine FROM t",
     "text_joined_sets": f"WITH k AS (SELECT item_id, {_KEY.format('text')} AS key FROM benchmark) SELECT item_id AS qid, CASE WHEN key IN (SELECT key FROM k WHERE item_id % 2 = 0) THEN 1 ELSE 0 END AS n_texts FROM k",
     "mapped_documents": f"WITH {c._bm25_sql('b', 5, False)} SELECT b.qid, b.rank, CASE WHEN b.rank = 4 THEN -1 ELSE (SELECT max(x.doc_id) FROM documents x WHERE x.text = p.text) END AS pid FROM b JOIN documents p ON p.doc_id = b.pid",
