@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.ipc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from quillspark.operators.rank import min_max, top_k
 from quillspark.operators.substrings import occurrences
-from quillspark.storage import kept
+from quillspark.storage import kept, read_arrow, shared_files, shared_folder, write_shared
 
 
 def gate_rows(tier: Column, m: Column, width: int) -> Column:
@@ -133,21 +134,107 @@ def passage_order(edges: DataFrame, active: DataFrame, passages: DataFrame, k: i
     return top_k(scores.filter("node LIKE 'p:%'").select("qid", F.substring("node", 3, 40).cast("long").alias("pid"), "score"), k).select("qid", "rank", "pid", "score")
 
 
+#: Edges of a file of an edge block; edges that a task follows at a time.
+EDGES_A_FILE, EDGES_AT_A_TIME = 1 << 20, 1 << 21
+
+
+def _part_of(node: str, n: int) -> Column:
+    """The partition to which ``repartition(n, node)`` sends a row."""
+    return F.pmod(F.hash(node), F.lit(n))
+
+
+def store_edges(edges: DataFrame, n: int) -> str:
+    """A shared folder with the shares of undirected weighted edges (src, dst, w), in files by the partition of src and sorted by it.  A node's edges, however many,
+    fill as many files as they need, so no task holds more than one file of a hub."""
+    both = edges.select("src", "dst", "w").union(edges.select("dst", "src", "w")).toDF("src", "dst", "w")
+    shares = both.join(both.groupBy("src").agg(F.sum("w").alias("total")), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share"))
+    folder = shared_folder(edges.sparkSession, "edges")
+
+    def write(batches):
+        held, k, part = [], 0, None
+
+        def put(rows: pa.Table) -> None:
+            nonlocal k
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, rows.schema) as f:
+                f.write_table(rows)
+            write_shared(f"{folder}/{part}/{k:06d}.arrow", out.getvalue().to_pybytes())
+            k += 1
+
+        for b in batches:
+            if b.num_rows:
+                part = b.column(3)[0].as_py()
+                held.append(b.select([0, 1, 2]))
+            while sum(x.num_rows for x in held) >= EDGES_A_FILE:
+                rows = pa.Table.from_batches(held)
+                put(rows.slice(0, EDGES_A_FILE))
+                held = rows.slice(EDGES_A_FILE).to_batches()
+        if held:
+            put(pa.Table.from_batches(held))
+        yield from ()
+
+    dealt = shares.withColumn("part", _part_of("src", n)).repartitionById(n, F.col("part")).sortWithinPartitions("src", "dst")
+    dealt.mapInArrow(write, "done boolean").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def _flow(scores: DataFrame, folder: str, damping: float) -> DataFrame:
+    """What the nodes of (qid, node, x, part) give to their neighbours: (qid, node, x), added up as far as a task can."""
+    schema = T.StructType([*scores.select("qid", "node").schema, T.StructField("x", T.DoubleType())])
+
+    def send(qids: pa.Array, nodes: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+        q, d = qids.dictionary_encode(), nodes.dictionary_encode()
+        pairs = q.indices.to_numpy().astype(np.int64) * len(d.dictionary) + d.indices.to_numpy()
+        known, place = np.unique(pairs, return_inverse=True)
+        qi, di = np.divmod(known, max(len(d.dictionary), 1))
+        return pa.RecordBatch.from_arrays([q.dictionary.take(pa.array(qi)), d.dictionary.take(pa.array(di)), pa.array(np.bincount(place, x, len(known)))], schema.names)
+
+    def run(batches):
+        held: dict[int, list[str]] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = b.column(3)[0].as_py()
+            if part not in held:
+                held[part] = shared_files(f"{folder}/{part}")
+            x = b.column(2).to_numpy()
+            for name in held[part]:
+                edges = read_arrow(f"{folder}/{part}/{name}")
+                src = edges.column(0).combine_chunks()
+                coded = src.dictionary_encode()
+                count = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))  # sorted by src: a run for each
+                first = np.cumsum(count) - count
+                at = pc.index_in(b.column(1), value_set=coded.dictionary).fill_null(-1).to_numpy().astype(np.int64)
+                rows = np.flatnonzero(at >= 0)
+                dst, share = edges.column(1).combine_chunks(), edges.column(2).to_numpy()
+                degree = count[at[rows]]
+                low = 0
+                while low < len(rows):
+                    high = max(low + 1, low + int(np.searchsorted(np.cumsum(degree[low:]), EDGES_AT_A_TIME, "right")))
+                    some, n = rows[low:high], degree[low:high]
+                    edge = np.repeat(first[at[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    row = np.repeat(some, n)
+                    yield send(b.column(0).take(pa.array(row)), dst.take(pa.array(edge)), x[row] * share[edge] * damping)
+                    low = high
+
+    return scores.select("qid", "node", "x", "part").mapInArrow(run, schema)
+
+
 def pagerank(edges: DataFrame, reset: DataFrame, damping: float = 0.5, rounds: int = 5, digits: int = 9) -> DataFrame:
     """(qid, node, score) of personalised PageRank on undirected weighted edges (src, dst, w); reset: (qid, node, weight).
 
-    A node without edges keeps its reset share only.  A fixed number of rounds, each a join and an aggregation.
+    A node without edges keeps its reset share only.  Edges are laid out once; a round moves scores only, by one exchange to the partition that has the node's edges.
     """
-    both = edges.select("src", "dst", "w").union(edges.select("dst", "src", "w")).toDF("src", "dst", "w")
-    out = both.groupBy("src").agg(F.sum("w").alias("total"))
-    shares = kept(both.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folder = store_edges(edges, n)
     whole = W.partitionBy("qid")
     start = kept(reset.select("qid", "node", F.round(F.col("weight") / F.sum("weight").over(whole), digits).alias("r")))
-    score = start.select("qid", "node", F.col("r").alias("score"))
+    base = start.select("qid", "node", (F.col("r") * (1 - damping)).alias("x"))
+    score = start.select("qid", "node", F.col("r").alias("x")).repartition(n, "node")
     for _ in range(rounds):
-        flow = score.join(shares, F.col("node") == F.col("src")).select("qid", F.col("dst").alias("node"), (F.col("score") * F.col("share") * damping).alias("score"))
-        score = kept(start.select("qid", "node", (F.col("r") * (1 - damping)).alias("score")).union(flow).groupBy("qid", "node").agg(F.round(F.sum("score"), digits).alias("score")))
-    return score
+        flow = _flow(score.withColumn("part", _part_of("node", n)), folder, damping)
+        score = base.union(flow).repartition(n, "node").groupBy("qid", "node").agg(F.round(F.sum("x"), digits).alias("x"))
+    return score.withColumnRenamed("x", "score")
 
 
 def with_fallback(ranked: DataFrame, dense: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -243,6 +243,15 @@ def sigma_spread(spark, d):
     return graph.spread(seeds, mentions, gates, threshold=0.05, per_entity=3, rounds=2)
 
 
+def passage_order(spark, d):
+    """Vectors as passages, by PageRank over what they mention: from the entities that the spread activates, and the best vectors, those of the query's label with a bonus."""
+    e, top = _table(spark, d, "embeddings"), dense_topk(spark, d)
+    named = F.array(F.concat(F.lit("e:label "), F.col("label").cast("string")), F.concat(F.lit("e:part "), (F.col("vec_id") % 97).cast("string")))
+    edges = e.select(F.explode(named).alias("src"), F.concat(F.lit("p:"), F.col("vec_id").cast("string")).alias("dst"), F.lit(1.0).alias("w"))
+    bonus = gold_ranks(spark, d, top).select("qid", "pid", F.lit(0.5).alias("bonus"))
+    return _ranked(graph.passage_order(edges, sigma_spread(spark, d), graph.passage_weights(top, bonus), K, rounds=2))
+
+
 def passage_bonus(spark, d):
     """What the activated words of the benchmark's questions add to the documents that hold them, as parts of words too."""
     return graph.passage_bonus(entity_spread(spark, d), spread_passages(spark, d).select("pid", "text"))
@@ -293,7 +302,7 @@ def offset_lookup(spark, d):
 _SAME = [
     passage_identity, title_lookup, corpus_stats, norm_ascii, norm_question, content_counts, gold_containment, bm25_topk, hybrid_rrf, rerank_overlap,
     dense_topk, sigma_max_topk, fusion_mean, fusion_rrf, fact_minmax, recall_by_bucket, paired_delta, best_over_views, per_hop_recall, option_recall, bootstrap_ci,
-    edge_weight, pagerank_vectors, entity_spread, sigma_spread, tier_histogram, passage_bonus, rekey_collisions, views_regex, views_donors, views_shuffled, offset_lookup,
+    edge_weight, pagerank_vectors, entity_spread, sigma_spread, passage_order, tier_histogram, passage_bonus, rekey_collisions, views_regex, views_donors, views_shuffled, offset_lookup,
 ]
 QUERIES = {f.__name__: f for f in _SAME}
 
@@ -375,8 +384,18 @@ _SIGMA = rf"""
     a1 AS (SELECT qid, entity, score, 1 AS tier, 1 AS last_tier FROM f1), u1 AS (SELECT 0 AS qid, 0 AS sentence WHERE false), {_path_sql(2)}, {_path_sql(3)}
     SELECT * FROM a3"""
 
+_ORDER = f"""{_SIGMA.replace("SELECT * FROM a3", "")}, z AS (SELECT qid, sentence AS pid, score FROM s WHERE j = 0 AND sentence NOT BETWEEN qid AND qid + 3), t AS ({_TOP.format('z', K)}),
+    w AS (SELECT t.qid, t.pid, round((1.5::DOUBLE * CASE WHEN max(score) OVER n = min(score) OVER n THEN 1.0::DOUBLE ELSE round((score - min(score) OVER n) / (max(score) OVER n - min(score) OVER n), 6) END + CASE WHEN e.label = q.label THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) * 0.05::DOUBLE, 9) AS weight
+          FROM t JOIN embeddings e ON e.vec_id = t.pid JOIN q ON q.qid = t.qid AND q.j = 0 WINDOW n AS (PARTITION BY t.qid)),
+    b AS (SELECT 'e:' || entity AS src, 'p:' || CAST(sentence AS VARCHAR) AS dst FROM m UNION ALL SELECT 'p:' || CAST(sentence AS VARCHAR), 'e:' || entity FROM m), o AS (SELECT src, count(*)::DOUBLE AS total FROM b GROUP BY ALL), sh AS (SELECT src, dst, 1.0::DOUBLE / total AS share FROM b JOIN o USING (src)),
+    re AS (SELECT qid, 'e:' || entity AS node, score AS weight FROM a3 UNION ALL SELECT qid, 'p:' || CAST(pid AS VARCHAR), weight FROM w),
+    st AS (SELECT qid, node, round(weight / sum(weight) OVER (PARTITION BY qid), 9) AS r FROM re WHERE weight > 0), p0 AS (SELECT qid, node, r AS score FROM st),
+    {", ".join(f"p{i} AS (SELECT qid, node, round(sum(x), 9) AS score FROM (SELECT qid, node, r * 0.5::DOUBLE AS x FROM st UNION ALL SELECT p.qid, sh.dst, p.score * sh.share * 0.5::DOUBLE FROM p{i - 1} p JOIN sh ON sh.src = p.node) AS u GROUP BY ALL)" for i in (1, 2))},
+    y AS (SELECT qid, CAST(substr(node, 3) AS BIGINT) AS pid, score FROM p2 WHERE node LIKE 'p:%') {_TOP.format('y', K)}"""
+
 ORACLE_SQL = {
     "sigma_spread": _SIGMA,
+    "passage_order": _ORDER,
     "passage_bonus": f"{_SPREAD}, n AS (SELECT doc_id AS pid, w.entity, (length(lower(text)) - length(replace(lower(text), lower(w.entity), ''))) / length(w.entity) AS n FROM documents, (SELECT DISTINCT entity FROM a3) AS w WHERE contains(lower(text), lower(w.entity))) SELECT qid, pid, round(sum(score * ln(1 + n) / last_tier), 6) AS bonus FROM a3 JOIN n USING (entity) GROUP BY ALL",
     "pagerank_vectors": _PAGERANK,
     "entity_spread": f"{_SPREAD} SELECT * FROM a3",

@@ -167,3 +167,41 @@ def test_views_lose_white_space_inside_their_marks(spark):
     assert views[1:] == ["the old man saw foo", "built the green garden tower"]
     row = spark.createDataFrame([(" foo\t,",)], "t string").select(text.cleaned(F.col("t")).alias("c")).first()
     assert row.c == "foo"
+
+
+@pytest.mark.parametrize("files, at_once", [(1 << 20, 1 << 21), (3, 5)])
+def test_pagerank_of_hubs_over_many_files(spark, monkeypatch, files, at_once):
+    from quillspark.operators import graph
+
+    monkeypatch.setattr(graph, "EDGES_A_FILE", files)
+    monkeypatch.setattr(graph, "EDGES_AT_A_TIME", at_once)
+    rng = np.random.default_rng(files)
+    edges = [("hub", f"n{i}", float(rng.integers(1, 5))) for i in range(40)] + [(f"n{i}", f"n{j}", 1.0) for i, j in rng.integers(0, 40, (30, 2))] + [("hub", "n1", 2.0)]
+    names = sorted({x for e in edges for x in e[:2]} | {"alone"})
+    place = {n: i for i, n in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for a, b, w in edges:
+        m[place[a], place[b]] += w
+        m[place[b], place[a]] += w
+    m /= np.maximum(m.sum(1, keepdims=True), 1e-300)
+    reset = [(1, "hub", 1.0), (1, "alone", 3.0), (2, "n3", 2.0), (2, "n7", 0.5)]
+    got = {(r.qid, r.node): r.score for r in graph.pagerank(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame(reset, "qid int, node string, weight double"), rounds=3).collect()}
+    for q in (1, 2):
+        r = np.zeros(len(names))
+        for k, n, w in reset:
+            r[place[n]] += w * (k == q)
+        r /= r.sum()
+        x = r
+        for _ in range(3):
+            x = 0.5 * r + 0.5 * x @ m
+        assert all(abs(got.get((q, n), 0.0) - x[place[n]]) < 1e-7 for n in names)
+
+
+def test_a_round_of_pagerank_is_one_exchange(spark):
+    from quillspark.operators import graph
+
+    plans = []
+    for rounds in (1, 3):
+        df = graph.pagerank(spark.createDataFrame([(1, 2, 1.0)], "src int, dst int, w double"), spark.createDataFrame([(1, 1, 1.0)], "qid int, node int, weight double"), rounds=rounds)
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+    assert plans[1] - plans[0] == 2
