@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
@@ -14,6 +15,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made within each open ``temporary`` block, the innermost last.
+_MADE: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary():
+    """A list of the folders that the driver makes in shared storage meanwhile; those that are still in it at the end are deleted."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE.remove(made)
+        for folder in made:
+            fs, path = opened(folder)
+            if fs.get_file_info(path).type == pafs.FileType.Directory:
+                fs.delete_dir(path)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; where that is unset, below a temporary folder if all of Spark runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -21,7 +41,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "quillspark-shared")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(folder)
+    return folder
 
 
 def kept(df: DataFrame, name: str = "kept") -> DataFrame:
