@@ -8,8 +8,8 @@ rarest term in the whole corpus.  No posting is shuffled, so a frequent word or
 partition.
 
 Tasks make the benchmark's windows and write them to shared storage in files of a bounded number of items, which the tasks that
-answer read one at a time.  Occurrences of all its terms are counted in one pass over the index; the driver holds
-the benchmark's different words and their counts, 16 bytes each, and no text.
+answer read one at a time, and beside each the occurrences of its terms in the corpus, counted in one pass over the index.  The driver holds
+the files' names only.
 
 Edge cases: a null or wordless text has no words and is never hit; an item without words has no window;
 an item of fewer words than a window is one window of all its words; repeated documents or items are
@@ -33,6 +33,8 @@ from quillspark.llm.work import AtomicFile, fresh, opened, shared_folder, stored
 WINDOW = 10
 #: Items in a file of the benchmark, and the text bytes after which a file ends: what a task holds at a time.
 ITEMS_AT_A_TIME, BYTES_AT_A_TIME = 50_000, 16 << 20
+#: Counts that a task adds up before it passes them on; bytes of window files that a task keeps.
+COUNTS_AT_A_TIME, WINDOW_BYTES = 4 << 20, 128 << 20
 _INDEX = "doc_ids array<long>, bounds binary, terms binary, counts binary, postings binary"
 _DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _MATCH = "doc_id long, item_id long, window_no long, kind string, position long"
@@ -118,32 +120,57 @@ def build_index(docs: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(index, _INDEX), "postings")
 
 
-def store_counts(index: DataFrame, paths: list[str]) -> str:
-    """A shared file of all terms of the window files and their occurrences in the whole corpus, from one pass over the index."""
-    terms = np.zeros(0, np.uint64)
-    for p in paths:
-        terms = np.union1d(terms, load(p)["terms"])
-    folder = shared_folder(index.sparkSession, "term-counts")
-    _put(folder, "terms.npz", {"terms": terms})
+def store_counts(index: DataFrame, paths: list[str]) -> None:
+    """Beside each window file the occurrences of its terms in the whole corpus, in the terms' order; counted and written by tasks, one file at a time."""
 
     def count(batches):
-        known = load(f"{folder}/terms.npz")["terms"]
-        total = np.zeros(len(known), np.int64)
+        held: dict[int, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
+
+        def rows(of: dict[int, np.ndarray]):
+            for i, total in of.items():
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), i)), pa.array(used), pa.array(total[used])], ["file", "term", "n"])
+
+        for b in batches:
+            postings = [(np.frombuffer(t, np.uint64), np.frombuffer(n, "<i4")) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            for i, path in enumerate(paths):
+                if i not in held:
+                    held = {i: load(path)["terms"]}
+                known = held[i]
+                total = sums.setdefault(i, np.zeros(len(known), np.int64))
+                for t, n in postings:
+                    if len(t):
+                        at = np.minimum(np.searchsorted(t, known), len(t) - 1)
+                        total += np.where(t[at] == known, n[at], 0)
+            if sum(map(len, sums.values())) > COUNTS_AT_A_TIME:
+                yield from rows(sums)
+                sums = {}
+        yield from rows(sums)
+
+    def write(batches):
+        file, found = None, []
+
+        def put() -> None:
+            counts = np.zeros(len(load(paths[file])["terms"]), np.int64)
+            at = np.array(found, np.int64).reshape(-1, 2)
+            counts[at[:, 0]] = at[:, 1]
+            folder, name = paths[file].rsplit("/", 1)
+            _put(folder, f"counts-{name}", {"counts": counts})
+
         for b in batches:
-            for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t, n = np.frombuffer(t, np.uint64), np.frombuffer(n, "<i4")
-                if len(t):
-                    at = np.minimum(np.searchsorted(t, known), len(t) - 1)
-                    total += np.where(t[at] == known, n[at], 0)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["term", "n"])
-
-    counts = np.zeros(len(terms), np.int64)
-    if len(terms):
-        got = index.select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # the benchmark's terms at most
-        counts[got.column("term").to_numpy()] = got.column("n").to_numpy()
-    _put(folder, "counts.npz", {"terms": terms, "counts": counts})
-    return f"{folder}/counts.npz"
+            for f, *pair in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                if f != file and file is not None:
+                    put()
+                    found = []
+                file = f
+                found.append(pair)
+        if file is not None:
+            put()
+        yield from ()
+
+    counted = index.select("terms", "counts").mapInArrow(count, "file long, term long, n long").groupBy("file", "term").agg(F.sum("n").alias("n"))
+    counted.repartition("file").sortWithinPartitions("file").mapInArrow(write, "file long").write.format("noop").mode("overwrite").save()
 
 
 class Block:
@@ -221,17 +248,25 @@ def _rarest(windows: dict, counts: np.ndarray) -> np.ndarray:
     return np.argsort(n, axis=1, kind="stable")
 
 
-def _loaded(paths: list[str], counts: str):
-    """A function that gives one window file after the other, with its words' places by rarity; a single one is read once for a task."""
-    known = load(counts)
+def _loaded(paths: list[str]):
+    """A function that gives one window file after the other, with its words' places by rarity; files of WINDOW_BYTES together stay in the task."""
+    held: dict[str, tuple] = {}
+    room = WINDOW_BYTES
 
     def one(path: str) -> tuple[dict, np.ndarray]:
+        nonlocal room
+        if path in held:
+            return held[path]
         windows = load(path)
-        return windows, _rarest(windows, known["counts"][np.searchsorted(known["terms"], windows["terms"])])
+        folder, name = path.rsplit("/", 1)
+        fs, counts = opened(f"{folder}/counts-{name}")
+        n = load(f"{folder}/counts-{name}")["counts"] if fs.get_file_info(counts).is_file else np.zeros(len(windows["terms"]), np.int64)
+        made = windows, _rarest(windows, n)
+        size = sum(a.nbytes for a in (*windows.values(), made[1]))
+        if size <= room:
+            held[path], room = made, room - size
+        return made
 
-    if len(paths) == 1:
-        held = [one(paths[0])]
-        return lambda: held
     return lambda: map(one, paths)
 
 
@@ -239,10 +274,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     """A row for each document: its words, the words inside any occurrence of a window, and the items they are of."""
     paths = store_benchmark(benchmark, width)
     index = build_index(docs)
-    counts = store_counts(index, paths)
+    store_counts(index, paths)
 
     def answer(batches):
-        get = _loaded(paths, counts)
+        get = _loaded(paths)
         for b in batches:
             for row in b.to_pylist():
                 block = Block(row)
@@ -270,18 +305,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: in
     rarest term that has all the window's terms at most ``slop`` words away in the same text (kind proximity)."""
     paths = store_benchmark(benchmark, width)
     index = build_index(docs)
-    counts = store_counts(index, paths)
+    store_counts(index, paths)
 
     def answer(batches):
-        get = _loaded(paths, counts)
+        get = _loaded(paths)
         for b in batches:
             for row in b.to_pylist():
                 block = Block(row)
-                ids = np.asarray([-1 if i is None else i for i in block.doc_ids], np.int64)
+                ids = pa.array(block.doc_ids, pa.int64())
                 for windows, rarest in get():
                     for kind, (window, at) in (("phrase", block.phrases(windows, rarest)), *([("proximity", block.near(windows, rarest, slop))] if slop is not None else [])):
                         doc = np.searchsorted(block.bounds, at, "right") - 1
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(windows["item"][window]), pa.array(windows["no"][window]), pa.array([kind] * len(at), pa.string()), pa.array(at - block.bounds[doc])], ["doc_id", "item_id", "window_no", "kind", "position"])
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(windows["item"][window]), pa.array(windows["no"][window]), pa.array([kind] * len(at), pa.string()), pa.array(at - block.bounds[doc])], ["doc_id", "item_id", "window_no", "kind", "position"])
 
     return index.mapInArrow(answer, _MATCH)
 

@@ -8,14 +8,14 @@ Differencing alone can't give right results where a site's pages carry different
 is shared) or the same article (everything is), so a structural guard stands beside it: lines inside an
 ``article`` or ``main`` element stay though a neighbour shares them; of the lines that no neighbour shares, those in
 elements that are menus, headers, footers, sidebars, notices, adverts, forms or comments go, and on a page with an
-article or main element those outside it.  ``shared_lines`` and ``guarded_lines`` count what differencing
-deleted and what only the guard did.
+article or main element those outside it.  So differencing decides on pages without such an element only.  ``shared_lines`` counts the lines that it
+deleted and the guard would have kept, ``guarded_lines`` those that the guard deletes.
 
 Range bounds are on (host, path, page_id, digest), which splits a host that has a third of all pages.  The first and
 last page of each range are sent to the ranges beside it as well, where they only serve as neighbours, so a page's
 text depends neither on the bounds nor on the number of partitions.
 
-Edge cases: null or empty html has an empty text; a null or odd URL has an empty host; repeated rows are
+Edge cases: elements marked hidden or aria-hidden are no text, since readers don't see them; null or empty html has an empty text; a null or odd URL has an empty host; repeated rows are
 extracted one by one, and neighbours with the same lines as the page itself aren't used to delete
 lines; an empty table gives no rows; markup that is never closed ends with the page.  Aligning takes memory in
 proportion to the lines of a page, and time in proportion to the product of those that occur on both pages.
@@ -146,14 +146,14 @@ def shared_by_lcs(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> tuple[str, int, int]:
-    """The text, the number of lines that differencing deleted and of those that only the guard did."""
+    """The text, the number of lines that differencing deleted and the guard would have kept, and of those that the guard deletes."""
     lines, places = [t for t, _ in page], [p for _, p in page]
     shared: set[int] = set()
     for other in neighbours:
         if other != page:
             shared |= shared_by_lcs(lines, [t for t, _ in other])
     wanted = ARTICLE if ARTICLE in places else OTHER
-    gone = {i for i in shared if places[i] != ARTICLE}
+    gone = {i for i in shared if places[i] == wanted != ARTICLE}
     kept = [i for i, p in enumerate(places) if p == wanted and i not in gone]
     return "\n".join(lines[i] for i in kept), len(gone), len(lines) - len(gone) - len(kept)
 

@@ -43,7 +43,7 @@ BANDS, ROWS = 16, 4
 DF_BITS = 18
 DF_BUCKETS = 1 << DF_BITS
 #: Bytes of text, about, that a block of members and a part of those compared with it hold; one longer text is a block alone.
-BLOCK_BYTES, ASK_BYTES = 1 << 20, 4 << 20
+BLOCK_BYTES, ASK_BYTES = 1 << 19, 1 << 19
 #: Entries of the table of gamma and uniform draws that a shingle's hash picks from, and shingles sampled at a time.
 _DRAWS, _CHUNK = 1 << 16, 1 << 15
 #: How far above its expected logarithm a minimum may lie before all shingles of its text are looked at.
@@ -269,9 +269,9 @@ def _open_buckets(rest: DataFrame) -> DataFrame:
     """bucket, top (the label of most members) and the numbers of blocks and parts, for one of the buckets of equal members in several groups."""
     groups = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("sign"))
     whole = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor("sign").alias("sign"), F.max(F.struct("n", "label", "bytes")).alias("top")).filter("groups > 1")
-    parts = lambda size, most: F.ceil(size / F.lit(most)).cast("long").alias("blocks" if most == BLOCK_BYTES else "parts")
+    parts = lambda size, most, name: F.ceil(size / F.lit(most)).cast("long").alias(name)
     one = whole.groupBy("sign", "n", "bytes").agg(F.min("bucket").alias("bucket"), F.first("top").alias("top"))  # equal members have equal groups
-    return one.select("bucket", F.col("top.label").alias("top"), parts(F.col("bytes"), BLOCK_BYTES), parts(F.col("bytes") - F.col("top.bytes"), ASK_BYTES))
+    return one.select("bucket", F.col("top.label").alias("top"), parts(F.col("bytes"), BLOCK_BYTES, "blocks"), parts(F.col("bytes") - F.col("top.bytes"), ASK_BYTES, "parts"))
 
 
 def _remaining_links(rest: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:

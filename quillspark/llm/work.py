@@ -8,24 +8,11 @@ costs only the tasks it was running.
 from __future__ import annotations
 
 import itertools
-import os
-import re
-import tempfile
 import uuid
 
-import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; where that is unset, below a temporary folder if all of Spark runs on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "quillspark-work")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from quillspark.storage import opened, shared_folder
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -42,11 +29,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def opened(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and the path in it that a URI names; a bare path is local."""
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
-
-
 class AtomicFile:
     """A file that appears under its name only when complete, so that a retried task simply replaces it."""
 

@@ -277,3 +277,19 @@ def test_cut_pieces_equal_whole_texts_on_random_strings(name):
             assert got == e.tokenizer.encode(text, add_special_tokens=False).ids, text
     assert e.known.nbytes + e.known_ids.nbytes < 100_000
     assert e.texts([]) == [] and e.texts(["", None]) == [[], []]
+
+
+def test_many_window_files_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_A_TIME", 2)
+    monkeypatch.setattr(decontaminate, "WINDOW_BYTES", 1)
+    monkeypatch.setattr(decontaminate, "COUNTS_AT_A_TIME", 5)
+    rng = random.Random(12)
+    items = [(i, prose(rng, 14)) for i in range(9)]
+    docs = [(i, f"{prose(rng, 20)} {items[i][1] if i % 2 else ''} {prose(rng, 5)}") for i in range(9)] + [(None, items[4][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.contamination(d, b).collect()}
+    n = [len(WORD.findall(lower(t))) for _, t in items]
+    assert got == {i: (n[i], 1) if i % 2 else (0, 0) for i in range(9)} | {None: (n[4], 1)}
+    found = decontaminate.matches(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in (1, 3, 5, 7)} | {(None, 4)} and len(found) == sum(n[i] - 9 for i in (1, 3, 4, 5, 7))
+    assert decontaminate.decontaminated(d, b).count() == 5
