@@ -18,6 +18,7 @@ from quillspark.llm.pack import packed
 from quillspark.llm.pii import without_pii
 from quillspark.llm.quality import accepted
 from quillspark.llm.work import stored
+from quillspark.storage import temporary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences of all documents that the stages keep."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with temporary() as made:  # what a stage keeps for itself goes when its result is stored, and so does its predecessor's result
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            result = made.pop()
+            if before:
+                made.append(before)
+            before = result
     return docs
