@@ -30,11 +30,6 @@ def by_text(queries: DataFrame, sets: DataFrame) -> DataFrame:
     return keyed.join(sets.select("qkey", "texts"), "qkey", "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
 
 
-def title_index(passages: DataFrame) -> DataFrame:
-    """title -> all pids, and the first."""
-    return passages.groupBy("title").agg(F.sort_array(F.collect_set("pid")).alias("pids"), F.min("pid").alias("first_pid"))
-
-
 def earlier_step(subjects: Column, objects: Column, i: Column) -> Column:
     """The first step before step i (from 1) whose object is step i's subject, from 1; null if none."""
     return F.nullif(F.array_position(F.slice(objects, 1, i - 1), F.element_at(subjects, i)), F.lit(0))

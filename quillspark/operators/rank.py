@@ -20,13 +20,14 @@ from quillspark.storage import grouped_files, read_arrow, shared_files
 
 #: Query vectors of a file, items that are scored at a time, bytes of query files that a task keeps.
 QUERY_BLOCK, ITEM_BLOCK, VECTOR_BYTES = 4096, 1024, 64 << 20
-#: Rows of a side that may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows and characters of a side that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, broadcast if it is found to have at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, broadcast if it is found to have at most ``rows`` rows that as text take at most ``size`` characters."""
+    found = df.limit(rows + 1).select(F.length(F.to_json(F.struct("*"))).alias("n")).agg(F.count("*").alias("rows"), F.sum("n").alias("size")).first()
+    return F.broadcast(df) if found["rows"] <= rows and (found["size"] or 0) <= size else df
 
 
 def top_k(scores: DataFrame, k: int, *group: str) -> DataFrame:
