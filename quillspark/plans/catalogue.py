@@ -344,7 +344,8 @@ _CONTAINED = f"""
 
 _PAGERANK = f"""
     WITH {_VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), t AS ({_TOP.format('z', K)}), e AS (SELECT qid AS src, pid AS dst, score AS w FROM t WHERE score > 0),
-    b AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e), o AS (SELECT src, sum(w) AS total FROM b GROUP BY ALL), sh AS (SELECT src, dst, w / total AS share FROM b JOIN o USING (src)),
+    b AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e), o AS (SELECT src, sum(w) AS total FROM b GROUP BY ALL), sh AS (SELECT src, dst,
+        w / total AS share FROM b JOIN o USING (src)),
     st AS (SELECT qid AS node, round((label + 1) / (sum(label + 1) OVER ())::DOUBLE, 9) AS r FROM q WHERE j = 0), p0 AS (SELECT node, r AS score FROM st),
     {", ".join(f"p{i} AS (SELECT node, round(sum(x), 9) AS score FROM (SELECT node, r * 0.5::DOUBLE AS x FROM st UNION ALL SELECT sh.dst, p.score * sh.share * 0.5::DOUBLE FROM p{i - 1} p JOIN sh ON sh.src = p.node) AS u GROUP BY ALL)" for i in (1, 2, 3))}
     SELECT node, round(score, 6) AS score FROM p3"""
@@ -353,16 +354,20 @@ _PAGERANK = f"""
 def _tier_sql(t: int) -> str:
     """One round of the spread: f{t - 1} is the frontier, u{t - 1} the sentences used before, a{t - 1} what is active."""
     return f"""
-    o{t} AS (SELECT f.qid, f.entity, f.score, m.sentence, g.gate FROM f{t - 1} f JOIN m USING (entity) JOIN g ON g.sentence = m.sentence WHERE NOT EXISTS (SELECT 1 FROM u{t - 1} u WHERE u.qid = f.qid AND u.sentence = m.sentence)),
+    o{t} AS (SELECT f.qid, f.entity, f.score, m.sentence, g.gate FROM f{t - 1} f JOIN m USING (entity) JOIN g ON g.sentence = m.sentence WHERE NOT EXISTS
+        (SELECT 1 FROM u{t - 1} u WHERE u.qid = f.qid AND u.sentence = m.sentence)),
     b{t} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, entity ORDER BY gate DESC, sentence) AS r FROM o{t}) AS x WHERE r <= 2),
     k{t} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, sentence ORDER BY score DESC, entity) AS w FROM b{t}) AS x WHERE w = 1),
-    f{t} AS (SELECT k.qid, m.entity, round(sum(k.score * k.gate), 6) AS score FROM k{t} k JOIN m ON m.sentence = k.sentence WHERE m.entity <> k.entity AND k.score * k.gate >= 0.5 GROUP BY ALL),
-    a{t} AS (SELECT qid, entity, round(sum(score), 6) AS score, min(tier) AS tier, max(last_tier) AS last_tier FROM (SELECT * FROM a{t - 1} UNION ALL SELECT qid, entity, score, {t}, {t} FROM f{t}) AS x GROUP BY ALL),
+    f{t} AS (SELECT k.qid, m.entity, round(sum(k.score * k.gate), 6) AS score FROM k{t} k JOIN m ON m.sentence = k.sentence WHERE m.entity <> k.entity AND
+        k.score * k.gate >= 0.5 GROUP BY ALL),
+    a{t} AS (SELECT qid, entity, round(sum(score), 6) AS score, min(tier) AS tier, max(last_tier) AS last_tier FROM (SELECT * FROM a{t - 1} UNION ALL
+        SELECT qid, entity, score, {t}, {t} FROM f{t}) AS x GROUP BY ALL),
     u{t} AS (SELECT * FROM u{t - 1} UNION ALL SELECT qid, sentence FROM k{t})"""
 
 
 _SPREAD = rf"""
-    WITH se AS (SELECT item_id AS qid, unnest(string_split(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1)), 1) - 1 AS p FROM benchmark),
+    WITH se AS (SELECT item_id AS qid, unnest(string_split(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1))) AS s,
+        generate_subscripts(string_split(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1)), 1) - 1 AS p FROM benchmark),
     m AS (SELECT qid * 1000 + p AS sentence, unnest(list_distinct(regexp_extract_all(s, '[A-Za-z]{{2,}}'))) AS entity FROM se),
     g AS (SELECT sentence, round(0.5::DOUBLE + 0.5::DOUBLE / count(*), 6) AS gate FROM m GROUP BY ALL),
     f1 AS (SELECT item_id AS qid, regexp_extract(text, '[A-Za-z]{{2,}}') AS entity, 1.0::DOUBLE AS score FROM benchmark WHERE regexp_matches(text, '[A-Za-z]{{2,}}')),
@@ -377,7 +382,8 @@ def _path_sql(t: int) -> str:
 
 _SIGMA = rf"""
     WITH q AS (SELECT vec_id - vec_id % 50 AS qid, vec_id % 50 AS j, embedding, label FROM embeddings WHERE vec_id % 50 <= 3),
-    s AS (SELECT q.qid, q.j, e.vec_id AS sentence, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM q, embeddings e WHERE q.j < 3),
+    s AS (SELECT q.qid, q.j, e.vec_id AS sentence, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM
+        q, embeddings e WHERE q.j < 3),
     g1 AS (SELECT qid, sentence, max(score) AS gate FROM s WHERE j IN (0, 1) GROUP BY ALL), g2 AS (SELECT qid, sentence, max(score) AS gate FROM s WHERE j IN (0, 2) GROUP BY ALL),
     m AS (SELECT unnest(['label ' || CAST(label AS VARCHAR), 'part ' || CAST(vec_id % 97 AS VARCHAR)]) AS entity, vec_id AS sentence FROM embeddings),
     f1 AS (SELECT qid, 'label ' || CAST(label AS VARCHAR) AS entity, 1.0::DOUBLE AS score FROM q WHERE j = 0),
@@ -385,9 +391,12 @@ _SIGMA = rf"""
     SELECT * FROM a3"""
 
 _ORDER = f"""{_SIGMA.replace("SELECT * FROM a3", "")}, z AS (SELECT qid, sentence AS pid, score FROM s WHERE j = 0 AND sentence NOT BETWEEN qid AND qid + 3), t AS ({_TOP.format('z', K)}),
-    w AS (SELECT t.qid, t.pid, round((1.5::DOUBLE * CASE WHEN max(score) OVER n = min(score) OVER n THEN 1.0::DOUBLE ELSE round((score - min(score) OVER n) / (max(score) OVER n - min(score) OVER n), 6) END + CASE WHEN e.label = q.label THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) * 0.05::DOUBLE, 9) AS weight
+    w AS (SELECT t.qid, t.pid, round((1.5::DOUBLE * CASE WHEN max(score) OVER n = min(score) OVER n THEN 1.0::DOUBLE ELSE round((score - min(score) OVER
+        n) / (max(score) OVER n - min(score) OVER n), 6) END + CASE WHEN e.label = q.label THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) * 0.05::DOUBLE, 9) AS weight
           FROM t JOIN embeddings e ON e.vec_id = t.pid JOIN q ON q.qid = t.qid AND q.j = 0 WINDOW n AS (PARTITION BY t.qid)),
-    b AS (SELECT 'e:' || entity AS src, 'p:' || CAST(sentence AS VARCHAR) AS dst FROM m UNION ALL SELECT 'p:' || CAST(sentence AS VARCHAR), 'e:' || entity FROM m), o AS (SELECT src, count(*)::DOUBLE AS total FROM b GROUP BY ALL), sh AS (SELECT src, dst, 1.0::DOUBLE / total AS share FROM b JOIN o USING (src)),
+    b AS (SELECT 'e:' || entity AS src, 'p:' || CAST(sentence AS VARCHAR) AS dst FROM m UNION ALL SELECT 'p:' || CAST(sentence AS VARCHAR), 'e:' || entity
+        FROM m), o AS (SELECT src, count(*)::DOUBLE AS total FROM b GROUP BY ALL), sh AS (SELECT src, dst, 1.0::DOUBLE / total AS share FROM b JOIN o USING
+        (src)),
     re AS (SELECT qid, 'e:' || entity AS node, score AS weight FROM a3 UNION ALL SELECT qid, 'p:' || CAST(pid AS VARCHAR), weight FROM w),
     st AS (SELECT qid, node, round(weight / sum(weight) OVER (PARTITION BY qid), 9) AS r FROM re WHERE weight > 0), p0 AS (SELECT qid, node, r AS score FROM st),
     {", ".join(f"p{i} AS (SELECT qid, node, round(sum(x), 9) AS score FROM (SELECT qid, node, r * 0.5::DOUBLE AS x FROM st UNION ALL SELECT p.qid, sh.dst, p.score * sh.share * 0.5::DOUBLE FROM p{i - 1} p JOIN sh ON sh.src = p.node) AS u GROUP BY ALL)" for i in (1, 2))},
@@ -396,33 +405,70 @@ _ORDER = f"""{_SIGMA.replace("SELECT * FROM a3", "")}, z AS (SELECT qid, sentenc
 ORACLE_SQL = {
     "sigma_spread": _SIGMA,
     "passage_order": _ORDER,
-    "passage_bonus": f"{_SPREAD}, n AS (SELECT doc_id AS pid, w.entity, (length(lower(text)) - length(replace(lower(text), lower(w.entity), ''))) / length(w.entity) AS n FROM documents, (SELECT DISTINCT entity FROM a3) AS w WHERE contains(lower(text), lower(w.entity))) SELECT qid, pid, round(sum(score * ln(1 + n) / last_tier), 6) AS bonus FROM a3 JOIN n USING (entity) GROUP BY ALL",
+    "passage_bonus": f"""{_SPREAD}, n AS (SELECT doc_id AS pid, w.entity, (length(lower(text)) - length(replace(lower(text), lower(w.entity), ''))) / length(w.entity) AS n
+        FROM documents, (SELECT DISTINCT entity FROM a3) AS w WHERE contains(lower(text), lower(w.entity))) SELECT qid, pid, round(sum(score * ln(1 + n) /
+        last_tier), 6) AS bonus FROM a3 JOIN n USING (entity) GROUP BY ALL""",
     "pagerank_vectors": _PAGERANK,
     "entity_spread": f"{_SPREAD} SELECT * FROM a3",
-    "tier_histogram": f"{_SPREAD} SELECT tier, count(*) AS n, round(max(score), 6) AS best, count(*) FILTER (contains(lower(b.text), lower(entity))) AS gold_hits FROM a3 JOIN benchmark b ON b.item_id = a3.qid GROUP BY tier",
-    "views_donors": "WITH h AS (SELECT item_id AS qid, md5('views-0-' || CAST(item_id AS VARCHAR)) AS h FROM benchmark) SELECT qid, coalesce(lead(qid) OVER (ORDER BY h, qid), first(qid) OVER (ORDER BY h, qid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS donor FROM h",
-    "views_shuffled": r"WITH h AS (SELECT item_id AS qid, md5('views-0-' || CAST(item_id AS VARCHAR)) AS h, text AS q, regexp_extract_all(text, '[^.!?]+[.!?]') AS v FROM benchmark), n AS (SELECT qid, coalesce(lead(qid) OVER (ORDER BY h, qid), first(qid) OVER (ORDER BY h, qid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS donor FROM h) SELECT a.qid, list_concat([a.q], b.v) AS views FROM n JOIN h a USING (qid) JOIN h b ON b.qid = n.donor",
-    "offset_lookup": f"WITH {_CONTAINED}, z AS (SELECT pid, c, CAST(sum(length(c) + 1) OVER (ORDER BY pid) - length(c) - 1 AS BIGINT) AS s FROM c), x AS (SELECT cont.item_id, z.s + strpos(z.c, left(p.p, 40)) - 1 AS a, length(p.p) AS n FROM cont JOIN p USING (item_id) JOIN z USING (pid)), k AS (SELECT item_id, unnest([a, a + n]) AS place FROM x) SELECT item_id, place, (SELECT max(pid) FROM z WHERE z.s <= k.place) AS pid FROM k",
+    "tier_histogram": f"""{_SPREAD} SELECT tier, count(*) AS n, round(max(score), 6) AS best, count(*) FILTER (contains(lower(b.text), lower(entity))) AS gold_hits FROM a3 JOIN
+        benchmark b ON b.item_id = a3.qid GROUP BY tier""",
+    "views_donors": """WITH h AS (SELECT item_id AS qid, md5('views-0-' || CAST(item_id AS VARCHAR)) AS h FROM benchmark) SELECT qid, coalesce(lead(qid) OVER (ORDER BY h,
+        qid), first(qid) OVER (ORDER BY h, qid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS donor FROM h""",
+    "views_shuffled": r"""WITH h AS (SELECT item_id AS qid, md5('views-0-' || CAST(item_id AS VARCHAR)) AS h, text AS q, regexp_extract_all(text, '[^.!?]+[.!?]') AS v FROM
+        benchmark), n AS (SELECT qid, coalesce(lead(qid) OVER (ORDER BY h, qid), first(qid) OVER (ORDER BY h, qid ROWS BETWEEN UNBOUNDED PRECEDING AND
+        UNBOUNDED FOLLOWING)) AS donor FROM h) SELECT a.qid, list_concat([a.q], b.v) AS views FROM n JOIN h a USING (qid) JOIN h b ON b.qid = n.donor""",
+    "offset_lookup": f"""WITH {_CONTAINED}, z AS (SELECT pid, c, CAST(sum(length(c) + 1) OVER (ORDER BY pid) - length(c) - 1 AS BIGINT) AS s FROM c), x AS (SELECT
+        cont.item_id, z.s + strpos(z.c, left(p.p, 40)) - 1 AS a, length(p.p) AS n FROM cont JOIN p USING (item_id) JOIN z USING (pid)), k AS (SELECT item_id,
+        unnest([a, a + n]) AS place FROM x) SELECT item_id, place, (SELECT max(pid) FROM z WHERE z.s <= k.place) AS pid FROM k""",
     "passage_identity": "SELECT md5(source || '||' || text) AS key, max(doc_id) AS pid FROM documents GROUP BY 1",
     "title_lookup": "SELECT source AS title, CAST(count(DISTINCT doc_id) AS INTEGER) AS n_pids, min(doc_id) AS first_pid FROM documents GROUP BY 1",
-    "corpus_stats": r"SELECT count(*) AS passages, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words, CAST(sum(len(regexp_extract_all(text, '[.!?]+\s')) + 1) AS BIGINT) AS sentences, count(DISTINCT source) AS titles, count(*) FILTER (regexp_matches(text, '#[0-9]')) AS placeholders FROM documents",
+    "corpus_stats": r"""SELECT count(*) AS passages, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words, CAST(sum(len(regexp_extract_all(text, '[.!?]+\s')) +
+        1) AS BIGINT) AS sentences, count(DISTINCT source) AS titles, count(*) FILTER (regexp_matches(text, '#[0-9]')) AS placeholders FROM documents""",
     "norm_ascii": f"SELECT doc_id AS pid, md5({_NORM.format('text')}) AS norm_md5 FROM documents",
-    "norm_question": r"SELECT doc_id AS pid, md5(trim(regexp_replace(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS key_md5 FROM documents",
-    "content_counts": rf"SELECT doc_id AS pid, CAST(len(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9'']+'), lambda w: w NOT IN ({_STOP}))) AS INTEGER) AS content, CAST(len(sp) - CASE WHEN len(sp) > 0 AND starts_with(text, sp[1]) AND lower(sp[1]) IN ({_STOP}) THEN 1 ELSE 0 END AS INTEGER) AS entities FROM (SELECT doc_id, text, regexp_extract_all(text, '\b([A-Z][a-z0-9]+(?:\s+(?:of|the|de|and)?\s*[A-Z][a-z0-9]+)*)', 1) AS sp FROM documents) AS x",
+    "norm_question": r"""SELECT doc_id AS pid, md5(trim(regexp_replace(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'),
+        '\s+', ' ', 'g'))) AS key_md5 FROM documents""",
+    "content_counts": rf"""SELECT doc_id AS pid, CAST(len(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9'']+'), lambda w: w NOT IN ({_STOP}))) AS INTEGER) AS content,
+        CAST(len(sp) - CASE WHEN len(sp) > 0 AND starts_with(text, sp[1]) AND lower(sp[1]) IN ({_STOP}) THEN 1 ELSE 0 END AS INTEGER) AS entities FROM (SELECT
+        doc_id, text, regexp_extract_all(text, '\b([A-Z][a-z0-9]+(?:\s+(?:of|the|de|and)?\s*[A-Z][a-z0-9]+)*)', 1) AS sp FROM documents) AS x""",
     "gold_containment": f"WITH {_CONTAINED} SELECT * FROM cont",
     "bm25_topk": f"WITH {_bm25_sql('b', 5, False)} SELECT * FROM b",
-    "hybrid_rrf": f"WITH {_bm25_sql('x1', 15, False)}, {_bm25_sql('x2', 15, True)}, u AS (SELECT qid, 0 AS l, rank, pid FROM x1 UNION ALL SELECT qid, 1, rank, pid FROM x2), f AS (SELECT qid, pid, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score, min(l * 1000 + rank) AS seen FROM u GROUP BY ALL) SELECT qid, CAST(r - 1 AS INTEGER) AS rank, pid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS r FROM f) AS x WHERE r <= 5",
-    "rerank_overlap": f"WITH {_bm25_sql('b', 20, False)}, w AS (SELECT b.qid, b.pid, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9à-öø-ÿ_]{{2,}}')) AS qw, list_distinct(regexp_extract_all(lower(p.text), '[a-z0-9à-öø-ÿ_]{{2,}}')) AS pw FROM b JOIN benchmark q ON q.item_id = b.qid JOIN documents p ON p.doc_id = b.pid), s AS (SELECT qid, pid, round(len(list_intersect(qw, pw)) / len(qw)::DOUBLE, 6) AS score FROM w) {_TOP.format('s', 5)}",
+    "hybrid_rrf": f"""WITH {_bm25_sql('x1', 15, False)}, {_bm25_sql('x2', 15, True)}, u AS (SELECT qid, 0 AS l, rank, pid FROM x1 UNION ALL SELECT qid, 1, rank, pid FROM
+        x2), f AS (SELECT qid, pid, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score, min(l * 1000 + rank) AS seen FROM u GROUP BY ALL) SELECT qid,
+        CAST(r - 1 AS INTEGER) AS rank, pid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS r FROM f) AS x WHERE r <=
+        5""",
+    "rerank_overlap": f"""WITH {_bm25_sql('b', 20, False)}, w AS (SELECT b.qid, b.pid, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9à-öø-ÿ_]{{2,}}')) AS qw,
+        list_distinct(regexp_extract_all(lower(p.text), '[a-z0-9à-öø-ÿ_]{{2,}}')) AS pw FROM b JOIN benchmark q ON q.item_id = b.qid JOIN documents p ON
+        p.doc_id = b.pid), s AS (SELECT qid, pid, round(len(list_intersect(qw, pw)) / len(qw)::DOUBLE, 6) AS score FROM w) {_TOP.format('s', 5)}""",
     "dense_topk": f"WITH {_VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0) {_TOP.format('z', K)}",
     "sigma_max_topk": f"WITH {_VECTORS} {_TOP.format('smax', K)}",
     "fusion_mean": f"WITH {_VECTORS} {_TOP.format('smean', K)}",
-    "fusion_rrf": f"WITH {_VECTORS}, t AS (SELECT *, row_number() OVER (PARTITION BY qid, j ORDER BY score DESC, pid) - 1 AS rank FROM s), f AS (SELECT qid, pid, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score, min(j * 1000 + rank) AS seen FROM t WHERE rank < 30 GROUP BY ALL) SELECT qid, CAST(r - 1 AS INTEGER) AS rank, pid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS r FROM f) AS x WHERE r <= {K}",
-    "fact_minmax": f"WITH {_VECTORS} SELECT qid, pid, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) END AS score FROM smax WINDOW w AS (PARTITION BY qid)",
-    "recall_by_bucket": f"WITH {_VECTORS}, t AS ({_TOP.format('smax', K)}), r AS ({_RECALLS.format('t')}) SELECT CASE WHEN grouping(shape) = 0 THEN 'shape' WHEN grouping(n_hops) = 0 THEN 'n_hops' ELSE 'overall' END AS section, CASE WHEN grouping(shape) = 0 THEN CAST(shape AS VARCHAR) WHEN grouping(n_hops) = 0 THEN CAST(n_hops AS VARCHAR) ELSE '' END AS bucket, k, round(avg(h / nullif(g, 0)::DOUBLE), 6) AS mean, count(nullif(g, 0)) AS n, count(*) AS n_all FROM r GROUP BY GROUPING SETS ((k), (k, shape), (k, n_hops)) HAVING count(nullif(g, 0)) > 0 OR (grouping(shape) = 1 AND grouping(n_hops) = 1)",
-    "paired_delta": f"WITH {_VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), tp AS ({_TOP.format('z', K)}), tm AS ({_TOP.format('smax', K)}), ta AS ({_TOP.format('smean', K)}), rp AS ({_RECALLS.format('tp')}), rm AS ({_RECALLS.format('tm')}), ra AS ({_RECALLS.format('ta')}), d AS (SELECT 'max' AS arm, rm.k, rm.shape, rm.h / nullif(rm.g, 0)::DOUBLE - rp.h / nullif(rp.g, 0)::DOUBLE AS delta FROM rm JOIN rp USING (qid, k) UNION ALL SELECT 'mean', ra.k, ra.shape, ra.h / nullif(ra.g, 0)::DOUBLE - rp.h / nullif(rp.g, 0)::DOUBLE FROM ra JOIN rp USING (qid, k)) SELECT arm, k, coalesce(CAST(shape AS VARCHAR), 'all') AS bucket, round(avg(delta), 6) AS delta, count(*) AS n FROM d WHERE delta IS NOT NULL GROUP BY GROUPING SETS ((arm, k), (arm, k, shape))",
-    "best_over_views": f"WITH {_VECTORS}, t AS (SELECT *, row_number() OVER (PARTITION BY qid, j ORDER BY score DESC, pid) AS r FROM s), gc AS (SELECT qid, count(*) AS g FROM gold GROUP BY ALL), p AS (SELECT t.qid, t.j, count(gold.pid) / max(gc.g)::DOUBLE AS recall FROM t LEFT JOIN gold ON gold.qid = t.qid AND gold.pid = t.pid LEFT JOIN gc ON gc.qid = t.qid WHERE r <= {K} GROUP BY ALL) SELECT qid, round(max(recall), 6) AS recall FROM p GROUP BY ALL",
-    "per_hop_recall": f"WITH {_VECTORS}, t AS ({_TOP.format('smax', K)}), hp AS (SELECT q.qid, q.j AS hop, min(e.vec_id) AS pid FROM q JOIN embeddings e ON e.label = q.label WHERE q.j > 0 AND e.vec_id NOT BETWEEN q.qid AND q.qid + 3 GROUP BY ALL) SELECT hop, k, round(avg(CASE WHEN t.rank < k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS mean, count(*) AS n FROM hp LEFT JOIN t ON t.qid = hp.qid AND t.pid = hp.pid, ks GROUP BY ALL",
-    "option_recall": f"WITH {_CONTAINED}, {_bm25_sql('b', 5, False)} SELECT item_id AS qid, CASE WHEN item_id IN (SELECT item_id FROM cont) THEN CASE WHEN EXISTS (SELECT 1 FROM cont JOIN b ON b.qid = cont.item_id AND b.pid = cont.pid WHERE cont.item_id = benchmark.item_id) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS recall FROM benchmark",
-    "edge_weight": f"WITH {_VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), t AS ({_TOP.format('z', K)}), m AS (SELECT e.vec_id AS node, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])), 6) AS sim FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS o) SELECT t.qid AS src, t.pid AS dst, round(t.score * a.sim * b.sim, 6) AS w FROM t JOIN m a ON a.node = t.qid JOIN m b ON b.node = t.pid",
+    "fusion_rrf": f"""WITH {_VECTORS}, t AS (SELECT *, row_number() OVER (PARTITION BY qid, j ORDER BY score DESC, pid) - 1 AS rank FROM s), f AS (SELECT qid, pid,
+        round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score, min(j * 1000 + rank) AS seen FROM t WHERE rank < 30 GROUP BY ALL) SELECT qid, CAST(r - 1 AS
+        INTEGER) AS rank, pid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS r FROM f) AS x WHERE r <= {K}""",
+    "fact_minmax": f"""WITH {_VECTORS} SELECT qid, pid, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE round((score - min(score) OVER w) / (max(score)
+        OVER w - min(score) OVER w), 6) END AS score FROM smax WINDOW w AS (PARTITION BY qid)""",
+    "recall_by_bucket": f"""WITH {_VECTORS}, t AS ({_TOP.format('smax', K)}), r AS ({_RECALLS.format('t')}) SELECT CASE WHEN grouping(shape) = 0 THEN 'shape' WHEN
+        grouping(n_hops) = 0 THEN 'n_hops' ELSE 'overall' END AS section, CASE WHEN grouping(shape) = 0 THEN CAST(shape AS VARCHAR) WHEN grouping(n_hops) = 0
+        THEN CAST(n_hops AS VARCHAR) ELSE '' END AS bucket, k, round(avg(h / nullif(g, 0)::DOUBLE), 6) AS mean, count(nullif(g, 0)) AS n, count(*) AS n_all
+        FROM r GROUP BY GROUPING SETS ((k), (k, shape), (k, n_hops)) HAVING count(nullif(g, 0)) > 0 OR (grouping(shape) = 1 AND grouping(n_hops) = 1)""",
+    "paired_delta": f"""WITH {_VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), tp AS ({_TOP.format('z', K)}), tm AS ({_TOP.format('smax', K)}), ta AS
+        ({_TOP.format('smean', K)}), rp AS ({_RECALLS.format('tp')}), rm AS ({_RECALLS.format('tm')}), ra AS ({_RECALLS.format('ta')}), d AS (SELECT 'max' AS
+        arm, rm.k, rm.shape, rm.h / nullif(rm.g, 0)::DOUBLE - rp.h / nullif(rp.g, 0)::DOUBLE AS delta FROM rm JOIN rp USING (qid, k) UNION ALL SELECT 'mean',
+        ra.k, ra.shape, ra.h / nullif(ra.g, 0)::DOUBLE - rp.h / nullif(rp.g, 0)::DOUBLE FROM ra JOIN rp USING (qid, k)) SELECT arm, k, coalesce(CAST(shape AS
+        VARCHAR), 'all') AS bucket, round(avg(delta), 6) AS delta, count(*) AS n FROM d WHERE delta IS NOT NULL GROUP BY GROUPING SETS ((arm, k), (arm, k,
+        shape))""",
+    "best_over_views": f"""WITH {_VECTORS}, t AS (SELECT *, row_number() OVER (PARTITION BY qid, j ORDER BY score DESC, pid) AS r FROM s), gc AS (SELECT qid, count(*) AS g FROM
+        gold GROUP BY ALL), p AS (SELECT t.qid, t.j, count(gold.pid) / max(gc.g)::DOUBLE AS recall FROM t LEFT JOIN gold ON gold.qid = t.qid AND gold.pid =
+        t.pid LEFT JOIN gc ON gc.qid = t.qid WHERE r <= {K} GROUP BY ALL) SELECT qid, round(max(recall), 6) AS recall FROM p GROUP BY ALL""",
+    "per_hop_recall": f"""WITH {_VECTORS}, t AS ({_TOP.format('smax', K)}), hp AS (SELECT q.qid, q.j AS hop, min(e.vec_id) AS pid FROM q JOIN embeddings e ON e.label = q.label
+        WHERE q.j > 0 AND e.vec_id NOT BETWEEN q.qid AND q.qid + 3 GROUP BY ALL) SELECT hop, k, round(avg(CASE WHEN t.rank < k THEN 1.0::DOUBLE ELSE
+        0.0::DOUBLE END), 6) AS mean, count(*) AS n FROM hp LEFT JOIN t ON t.qid = hp.qid AND t.pid = hp.pid, ks GROUP BY ALL""",
+    "option_recall": f"""WITH {_CONTAINED}, {_bm25_sql('b', 5, False)} SELECT item_id AS qid, CASE WHEN item_id IN (SELECT item_id FROM cont) THEN CASE WHEN EXISTS (SELECT 1
+        FROM cont JOIN b ON b.qid = cont.item_id AND b.pid = cont.pid WHERE cont.item_id = benchmark.item_id) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS
+        recall FROM benchmark""",
+    "edge_weight": f"""WITH {_VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), t AS ({_TOP.format('z', K)}), m AS (SELECT e.vec_id AS node,
+        round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])), 6) AS sim FROM embeddings e, (SELECT embedding FROM
+        embeddings WHERE vec_id = 0) AS o) SELECT t.qid AS src, t.pid AS dst, round(t.score * a.sim * b.sim, 6) AS w FROM t JOIN m a ON a.node = t.qid JOIN m
+        b ON b.node = t.pid""",
     "rekey_collisions": "SELECT source AS qkey, md5(max_by(text, doc_id)) AS last, count(DISTINCT text) AS n_sets FROM documents GROUP BY 1",
 }

@@ -98,24 +98,31 @@ _SIGNS = "list_transform(v, lambda z: CASE WHEN z < x THEN -1 WHEN z > x THEN 1
 ORACLE_SQL = {
     "harmony_final": f"WITH {_COMPLETIONS} SELECT id, md5({_FINAL}) AS final_md5 FROM c",
     "parsed_subquestions": rf"""WITH {_COMPLETIONS}, f AS (SELECT id, {_FINAL} AS f FROM c),
-        l AS (SELECT id, p, trim(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^\s*([-*•]|[0-9]+[.)])\s*', '')) AS x FROM (SELECT id, unnest(string_split(f, chr(10))) AS x, generate_subscripts(string_split(f, chr(10)), 1) AS p FROM f) AS y),
-        k AS (SELECT id, x, min(p) AS p FROM l WHERE length(x) BETWEEN 8 AND 200 AND ends_with(x, '?') AND NOT regexp_matches(lower(x), '^(here|sure|sub-question|output)') AND NOT contains(x, 'assistantfinal') AND NOT contains(x, '<|') GROUP BY ALL),
+        l AS (SELECT id, p, trim(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^\s*([-*•]|[0-9]+[.)])\s*', '')) AS x FROM (SELECT id,
+            unnest(string_split(f, chr(10))) AS x, generate_subscripts(string_split(f, chr(10)), 1) AS p FROM f) AS y),
+        k AS (SELECT id, x, min(p) AS p FROM l WHERE length(x) BETWEEN 8 AND 200 AND ends_with(x, '?') AND NOT regexp_matches(lower(x),
+            '^(here|sure|sub-question|output)') AND NOT contains(x, 'assistantfinal') AND NOT contains(x, '<|') GROUP BY ALL),
         n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS r FROM k)
         SELECT f.id, coalesce(string_agg(n.x, '|' ORDER BY n.p), '') AS questions FROM f LEFT JOIN n ON n.id = f.id AND n.r <= 6 GROUP BY f.id""",
     "resolve_placeholders": r"""WITH v AS (SELECT conv_id, turn, 'Who is #1 of #2, #0 or #12? ' || coalesce(text, '') || ' #' || CAST(turn % 10 AS VARCHAR) AS q, [coalesce(role, ''), '#1 ' || substr(coalesce(text, ''), 1, 20)] AS a FROM conversations),
         p AS (SELECT conv_id, turn, a, unnest(regexp_extract_all(q, '#[0-9]|[^#]+|#')) AS x, generate_subscripts(regexp_extract_all(q, '#[0-9]|[^#]+|#'), 1) AS i FROM v)
         SELECT conv_id, turn, md5(string_agg(CASE WHEN regexp_matches(x, '^#[1-9]$') THEN coalesce(a[CAST(substr(x, 2) AS INTEGER)], x) ELSE x END, '' ORDER BY i)) AS resolved_md5 FROM p GROUP BY conv_id, turn""",
-    "match_qid": "SELECT CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'set_' ELSE 'other_set_' END || 'doc-' || CAST(doc_id AS VARCHAR) AS tid, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 < 2 THEN 'doc-' || CAST(doc_id AS VARCHAR) END AS qid FROM documents",
+    "match_qid": """SELECT CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'set_' ELSE 'other_set_' END || 'doc-' || CAST(doc_id AS VARCHAR) AS tid, CASE WHEN doc_id % 2 = 0
+        AND doc_id % 3 < 2 THEN 'doc-' || CAST(doc_id AS VARCHAR) END AS qid FROM documents""",
     "chunk_ids": "SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN doc_id END AS id FROM documents",
     "bridge_questions": """WITH v AS (SELECT l_orderkey AS qid, list(['N' || CAST(l_suppkey % 5 AS VARCHAR), 'month ' || CAST(month(l_shipdate) AS VARCHAR), 'N' || CAST(l_partkey % 5 AS VARCHAR)] ORDER BY l_linenumber, l_partkey, l_suppkey) AS e FROM lineitem GROUP BY 1),
         s AS (SELECT qid, e, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v),
         m AS (SELECT qid, i, x, list_min(list_filter(range(1, i), lambda j: e[j][3] = x[1])) AS b FROM s)
         SELECT qid, CAST(i AS INTEGER) AS hop, 'What is the ' || x[2] || ' of ' || coalesce('#' || CAST(b AS VARCHAR), x[1]) || '?' AS question, x[3] AS answer FROM m""",
     "range_sort": f"""WITH g AS (SELECT l_orderkey, list({{'i': l_linenumber, 'p': l_partkey, 's': l_suppkey}} ORDER BY l_linenumber, l_partkey, l_suppkey) AS y FROM lineitem GROUP BY 1),
-        k AS (SELECT l_orderkey, len(y) AS n, list_transform(y, lambda o: o.p) AS v, y[(len(y) + 1) // 2].p AS x, list_transform(y, lambda o: {{'c': o.i % 2, 'l': o.p % len(y) + 1, 'r': o.p % len(y) + 1 + o.s % (len(y) - o.p % len(y))}}) AS ops FROM g),
+        k AS (SELECT l_orderkey, len(y) AS n, list_transform(y, lambda o: o.p) AS v, y[(len(y) + 1) // 2].p AS x, list_transform(y, lambda o:
+            {{'c': o.i % 2, 'l': o.p % len(y) + 1, 'r': o.p % len(y) + 1 + o.s % (len(y) - o.p % len(y))}}) AS ops FROM g),
         c AS (SELECT l_orderkey, ops, {_SIGNS} AS a FROM k),
-        z AS (SELECT l_orderkey, list_reduce(list_concat([{{'a': a, 'c': 0::BIGINT, 'l': 0::BIGINT, 'r': 0::BIGINT}}], list_transform(ops, lambda o: {{'a': []::INTEGER[], 'c': o.c::BIGINT, 'l': o.l::BIGINT, 'r': o.r::BIGINT}})),
-              lambda u, o: {{'a': list_concat(u.a[1:o.l - 1], CASE WHEN o.c = 1 THEN list_sort(u.a[o.l:o.r]) ELSE list_reverse_sort(u.a[o.l:o.r]) END, u.a[o.r + 1:]), 'c': 0::BIGINT, 'l': 0::BIGINT, 'r': 0::BIGINT}}).a AS a FROM c)
+        z AS (SELECT l_orderkey, list_reduce(list_concat([{{'a': a, 'c': 0::BIGINT, 'l': 0::BIGINT, 'r': 0::BIGINT}}], list_transform(ops, lambda o:
+            {{'a': []::INTEGER[], 'c': o.c::BIGINT, 'l': o.l::BIGINT, 'r': o.r::BIGINT}})),
+              lambda u, o:
+                  {{'a': list_concat(u.a[1:o.l - 1], CASE WHEN o.c = 1 THEN list_sort(u.a[o.l:o.r]) ELSE list_reverse_sort(u.a[o.l:o.r]) END, u.a[o.r + 1:]), 'c': 0::BIGINT, 'l': 0::BIGINT, 'r': 0::BIGINT}}).a
+                  AS a FROM c)
         SELECT l_orderkey, CAST(list_position(a, 0) AS BIGINT) AS place FROM z""",
     "interval_constraints": """SELECT l_orderkey, CASE WHEN bool_and(l_partkey - 20 >= 1 AND l_suppkey * 40000000 <= 1000000000 AND l_partkey - 20 <= l_suppkey * 40000000) THEN 'OK' ELSE 'INVALID' END AS status,
             CASE WHEN bool_and(l_partkey - 20 >= 1 AND l_suppkey * 40000000 <= 1000000000 AND l_partkey - 20 <= l_suppkey * 40000000) THEN count(*) END AS sum_n,

@@ -184,40 +184,61 @@ _ARMS = f"""{c._VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), tp A
           UNION ALL SELECT 'mean', ra.qid, ra.k, ra.shape, ra.n_hops, ra.h / nullif(ra.g, 0)::DOUBLE - rp.h / nullif(rp.g, 0)::DOUBLE FROM ra JOIN rp USING (qid, k)),
     dd AS (SELECT d.*, q.label FROM d JOIN q ON q.qid = d.qid AND q.j = 0 WHERE delta IS NOT NULL)"""
 _HOPS = """
-    h AS (SELECT conv_id AS qid, turn, 'What of #' || CAST(turn % 4 AS VARCHAR) || ' ' || replace(coalesce(text, ''), '#', ' ') AS question, coalesce(role, '') AS answer, CASE WHEN turn % 3 > 0 THEN turn END AS gold_pid,
-                 row_number() OVER (PARTITION BY conv_id ORDER BY turn, 'What of #' || CAST(turn % 4 AS VARCHAR) || ' ' || replace(coalesce(text, ''), '#', ' '), coalesce(role, '')) AS hop FROM conversations),
+    h AS (SELECT conv_id AS qid, turn, 'What of #' || CAST(turn % 4 AS VARCHAR) || ' ' || replace(coalesce(text, ''), '#', ' ') AS question,
+        coalesce(role, '') AS answer, CASE WHEN turn % 3 > 0 THEN turn END AS gold_pid,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn, 'What of #' || CAST(turn % 4 AS VARCHAR) || ' ' || replace(coalesce(text, ''), '#', ' '),
+                     coalesce(role, '')) AS hop FROM conversations),
     n AS (SELECT qid, list(answer ORDER BY hop) AS answers FROM h GROUP BY ALL),
-    r AS (SELECT h.qid, h.hop, h.question, CASE WHEN turn % 4 > 0 AND turn % 4 <= len(answers) THEN 'What of ' || answers[turn % 4] ELSE 'What of #' || CAST(turn % 4 AS VARCHAR) END || ' ' || rest AS resolved
+    r AS (SELECT h.qid, h.hop, h.question, CASE WHEN turn % 4 > 0 AND turn % 4 <= len(answers) THEN 'What of ' || answers[turn % 4] ELSE 'What of #' ||
+        CAST(turn % 4 AS VARCHAR) END || ' ' || rest AS resolved
           FROM (SELECT *, substr(question, 12) AS rest FROM h) AS h JOIN n USING (qid))"""
 _SETS = f"""WITH p AS ({generated.ORACLE_SQL["parsed_subquestions"]}), z AS (SELECT id, CASE WHEN questions = '' THEN 0 ELSE len(string_split(questions, '|')) END AS n, questions FROM p)"""
 _KEY = r"trim(regexp_replace(regexp_replace(replace(lower(strip_accents({0})), 'ß', 'ss'), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 ORACLE_SQL = {
-    "hybrid_dense": f"WITH {c._bm25_sql('x1', 15, False)}, {_DENSE}, x2 AS ({c._TOP.format('dv', 15)}), u AS (SELECT qid, 0 AS l, rank, pid FROM x1 UNION ALL SELECT qid, 1, rank, pid FROM x2), f AS (SELECT qid, pid, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score, min(l * 1000 + rank) AS seen FROM u GROUP BY ALL) SELECT qid, CAST(r - 1 AS INTEGER) AS rank, pid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS r FROM f) AS x WHERE r <= 5",
+    "hybrid_dense": f"""WITH {c._bm25_sql('x1', 15, False)}, {_DENSE}, x2 AS ({c._TOP.format('dv', 15)}), u AS (SELECT qid, 0 AS l, rank, pid FROM x1 UNION ALL SELECT qid, 1,
+        rank, pid FROM x2), f AS (SELECT qid, pid, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score, min(l * 1000 + rank) AS seen FROM u GROUP BY ALL)
+        SELECT qid, CAST(r - 1 AS INTEGER) AS rank, pid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS r FROM f) AS
+        x WHERE r <= 5""",
     "rerank_dense": f"""WITH {_DENSE}, t AS ({c._TOP.format('dv', DEPTH)}),
-        n AS (SELECT t.qid, t.pid, q.text AS q, p.text AS p, len(regexp_extract_all(q.text, '\\S+')) AS nq, len(regexp_extract_all(p.text, '\\S+')) AS np FROM t JOIN benchmark q ON q.item_id = t.qid JOIN documents p ON p.doc_id = t.pid),
+        n AS (SELECT t.qid, t.pid, q.text AS q, p.text AS p, len(regexp_extract_all(q.text, '\\S+')) AS nq, len(regexp_extract_all(p.text, '\\S+')) AS np FROM
+            t JOIN benchmark q ON q.item_id = t.qid JOIN documents p ON p.doc_id = t.pid),
         k AS (SELECT *, CASE WHEN nq + np <= 384 THEN nq ELSE least(nq, greatest(192, 384 - np)) END AS kq FROM n),
         w AS (SELECT qid, pid, {_WORDS.format(_HEAD.format('q', 'kq'))} AS qw, {_WORDS.format(_HEAD.format('p', 'least(np, 384 - kq)'))} AS pw FROM k),
         s AS (SELECT qid, pid, round(len(list_intersect(qw, pw)) / len(qw)::DOUBLE, 6) AS score FROM w) {c._TOP.format('s', 5)}""",
-    "multi_vector_cosine": "WITH b AS (SELECT e.vec_id - e.vec_id % 50 AS qid, max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[]))) AS m FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) AS o WHERE e.vec_id % 50 <= 3 GROUP BY ALL) SELECT qid, round(m, 6) AS plain, round((m + 1) / 2, 6) AS normalized, round(greatest(m, 0), 6) AS relu, round(greatest(m, 0) * greatest(m, 0), 6) AS relu_sq FROM b",
+    "multi_vector_cosine": """WITH b AS (SELECT e.vec_id - e.vec_id % 50 AS qid, max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[]))) AS m FROM
+        embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) AS o WHERE e.vec_id % 50 <= 3 GROUP BY ALL) SELECT qid, round(m, 6) AS plain,
+        round((m + 1) / 2, 6) AS normalized, round(greatest(m, 0), 6) AS relu, round(greatest(m, 0) * greatest(m, 0), 6) AS relu_sq FROM b""",
     "delta_sections": f"""WITH {_ARMS}, x AS (SELECT 'all' AS section, 'all' AS bucket, * FROM dd UNION ALL SELECT 'depth x shape', CAST(n_hops AS VARCHAR) || 'hop-' || CASE WHEN label % 2 = 1 THEN 'join' ELSE 'chain' END, * FROM dd
         UNION ALL SELECT 'question type', CAST(shape AS VARCHAR), * FROM dd UNION ALL SELECT 'covered', arm, * FROM dd WHERE (qid // 50) % 2 = 0)
         SELECT section, bucket, arm, k, round(avg(delta), 6) AS delta, count(*) AS n FROM x GROUP BY ALL""",
     "coverage_delta": f"WITH {_ARMS} SELECT arm, k, round(avg(delta), 6) AS delta, count(*) AS n FROM dd WHERE (qid // 50) % 2 = 0 GROUP BY ALL",
     "content_effect": f"""WITH {_ARMS}, t AS (SELECT arm, k, CASE WHEN grouping(shape) = 0 THEN 'shape' ELSE 'overall' END AS section, CASE WHEN grouping(shape) = 0 THEN CAST(shape AS VARCHAR) ELSE '' END AS bucket, round(avg(delta), 6) AS delta FROM dd GROUP BY GROUPING SETS ((arm, k), (arm, k, shape)))
         SELECT a.arm, a.k, a.section, a.bucket, round(a.delta - b.delta, 6) AS effect FROM t a JOIN t b USING (k, section, bucket) WHERE a.arm <> 'mean' AND b.arm = 'mean'""",
-    "set_statistics": f"{_SETS} SELECT count(*) AS questions, count(*) FILTER (n > 0) AS non_empty, round(avg(n), 6) AS mean_size, CAST(min(n) AS INTEGER) AS min_size, CAST(max(n) AS INTEGER) AS max_size, count(*) FILTER (regexp_matches(questions, '#[0-9]')) AS leaks, count(*) FILTER (id % 7 = 0) AS truncated FROM z",
-    "ablation_sets": f"WITH {_HOPS} SELECT qid, 'raw' AS tag, md5(string_agg(question, '|' ORDER BY hop)) AS texts_md5 FROM r GROUP BY qid UNION ALL SELECT qid, 'resolved', md5(string_agg(resolved, '|' ORDER BY hop)) FROM r GROUP BY qid",
-    "unresolved_placeholders": f"WITH {_HOPS} SELECT 'raw' AS tag, count(*) FILTER (regexp_matches(question, '#[0-9]')) AS unresolved FROM r UNION ALL SELECT 'resolved', count(*) FILTER (regexp_matches(resolved, '#[0-9]')) FROM r",
-    "shape_statistics": f"WITH {_HOPS}, t AS (SELECT qid, count(*) AS c, count(DISTINCT gold_pid) AS g FROM h GROUP BY ALL) SELECT CAST(c % 3 AS VARCHAR) || 'hop' AS shape, count(*) AS n, count(*) FILTER (c > 3) AS joins, round(avg(g), 6) AS mean_gold FROM t GROUP BY 1",
-    "hop_statistics": f"WITH {_HOPS} SELECT CAST(hop AS INTEGER) AS hop, count(*) AS n, count(*) FILTER (regexp_matches(question, '#[0-9]')) AS placeholders, count(*) FILTER (gold_pid IS NULL) AS without_gold FROM h GROUP BY 1",
+    "set_statistics": f"""{_SETS} SELECT count(*) AS questions, count(*) FILTER (n > 0) AS non_empty, round(avg(n), 6) AS mean_size, CAST(min(n) AS INTEGER) AS min_size,
+        CAST(max(n) AS INTEGER) AS max_size, count(*) FILTER (regexp_matches(questions, '#[0-9]')) AS leaks, count(*) FILTER (id % 7 = 0) AS truncated FROM z""",
+    "ablation_sets": f"""WITH {_HOPS} SELECT qid, 'raw' AS tag, md5(string_agg(question, '|' ORDER BY hop)) AS texts_md5 FROM r GROUP BY qid UNION ALL SELECT qid, 'resolved',
+        md5(string_agg(resolved, '|' ORDER BY hop)) FROM r GROUP BY qid""",
+    "unresolved_placeholders": f"""WITH {_HOPS} SELECT 'raw' AS tag, count(*) FILTER (regexp_matches(question, '#[0-9]')) AS unresolved FROM r UNION ALL SELECT 'resolved', count(*)
+        FILTER (regexp_matches(resolved, '#[0-9]')) FROM r""",
+    "shape_statistics": f"""WITH {_HOPS}, t AS (SELECT qid, count(*) AS c, count(DISTINCT gold_pid) AS g FROM h GROUP BY ALL) SELECT CAST(c % 3 AS VARCHAR) || 'hop' AS shape,
+        count(*) AS n, count(*) FILTER (c > 3) AS joins, round(avg(g), 6) AS mean_gold FROM t GROUP BY 1""",
+    "hop_statistics": f"""WITH {_HOPS} SELECT CAST(hop AS INTEGER) AS hop, count(*) AS n, count(*) FILTER (regexp_matches(question, '#[0-9]')) AS placeholders, count(*) FILTER
+        (gold_pid IS NULL) AS without_gold FROM h GROUP BY 1""",
     "first_passages": "SELECT doc_id AS pid, md5(text) AS text_md5 FROM documents WHERE doc_id < 100",
-    "gold_statistics": f"WITH {c._CONTAINED}, g AS (SELECT item_id, count(*) AS n FROM cont GROUP BY ALL) SELECT count(*) AS with_gold, round(coalesce(avg(n), 0), 6) AS mean_chunks, CASE WHEN count(*) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mean_passages, count(*) FILTER (n > 1) AS in_several, (SELECT count(*) FROM benchmark) AS questions, (SELECT count(*) FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM cont)) AS missing FROM g",
+    "gold_statistics": f"""WITH {c._CONTAINED}, g AS (SELECT item_id, count(*) AS n FROM cont GROUP BY ALL) SELECT count(*) AS with_gold, round(coalesce(avg(n), 0), 6) AS
+        mean_chunks, CASE WHEN count(*) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mean_passages, count(*) FILTER (n > 1) AS in_several, (SELECT count(*)
+        FROM benchmark) AS questions, (SELECT count(*) FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM cont)) AS missing FROM g""",
     "unlocated_items": f"WITH {c._CONTAINED} SELECT item_id FROM p WHERE length(p) >= 40 AND item_id NOT IN (SELECT item_id FROM cont)",
     "unmatched_ids": f"SELECT tid FROM ({generated.ORACLE_SQL['match_qid']}) AS m WHERE qid IS NULL",
-    "depth_warnings": "WITH n AS (SELECT coalesce(role, '') AS arm, conv_id, count(turn) AS n FROM conversations GROUP BY ALL), a AS (SELECT arm, CAST(max(n) AS INTEGER) AS depth FROM n GROUP BY ALL) SELECT arm, depth, k FROM a, (SELECT unnest([2, 3, 5, 10, 20]) AS k) AS ks WHERE k > depth",
-    "same_granularity": f"WITH {c._VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), t AS ({c._TOP.format('z', c.K)}) SELECT max(pid) AS max_id, (SELECT count(*) FROM embeddings) AS passages, max(pid) >= 0.5 * (SELECT count(*) FROM embeddings) AS fine FROM t",
-    "text_joined_sets": f"WITH k AS (SELECT item_id, {_KEY.format('text')} AS key FROM benchmark) SELECT item_id AS qid, CASE WHEN key IN (SELECT key FROM k WHERE item_id % 2 = 0) THEN 1 ELSE 0 END AS n_texts FROM k",
-    "mapped_documents": f"WITH {c._bm25_sql('b', 5, False)} SELECT b.qid, b.rank, CASE WHEN b.rank = 4 THEN -1 ELSE (SELECT max(x.doc_id) FROM documents x WHERE x.text = p.text) END AS pid FROM b JOIN documents p ON p.doc_id = b.pid",
-    "scorable_questions": f"WITH {c._CONTAINED}, {c._bm25_sql('b', 5, False)}, {_DENSE} SELECT item_id AS qid FROM benchmark WHERE item_id IN (SELECT item_id FROM cont) AND item_id IN (SELECT qid FROM b) AND item_id IN (SELECT qid FROM dv)",
+    "depth_warnings": """WITH n AS (SELECT coalesce(role, '') AS arm, conv_id, count(turn) AS n FROM conversations GROUP BY ALL), a AS (SELECT arm, CAST(max(n) AS INTEGER) AS
+        depth FROM n GROUP BY ALL) SELECT arm, depth, k FROM a, (SELECT unnest([2, 3, 5, 10, 20]) AS k) AS ks WHERE k > depth""",
+    "same_granularity": f"""WITH {c._VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), t AS ({c._TOP.format('z', c.K)}) SELECT max(pid) AS max_id, (SELECT count(*) FROM
+        embeddings) AS passages, max(pid) >= 0.5 * (SELECT count(*) FROM embeddings) AS fine FROM t""",
+    "text_joined_sets": f"""WITH k AS (SELECT item_id, {_KEY.format('text')} AS key FROM benchmark) SELECT item_id AS qid, CASE WHEN key IN (SELECT key FROM k WHERE item_id % 2 =
+        0) THEN 1 ELSE 0 END AS n_texts FROM k""",
+    "mapped_documents": f"""WITH {c._bm25_sql('b', 5, False)} SELECT b.qid, b.rank, CASE WHEN b.rank = 4 THEN -1 ELSE (SELECT max(x.doc_id) FROM documents x WHERE x.text =
+        p.text) END AS pid FROM b JOIN documents p ON p.doc_id = b.pid""",
+    "scorable_questions": f"""WITH {c._CONTAINED}, {c._bm25_sql('b', 5, False)}, {_DENSE} SELECT item_id AS qid FROM benchmark WHERE item_id IN (SELECT item_id FROM cont) AND
+        item_id IN (SELECT qid FROM b) AND item_id IN (SELECT qid FROM dv)""",
 }
