@@ -58,7 +58,8 @@ def build(passages: DataFrame, tokens, drop: list[str] | None = None, stems: boo
         shortest = np.minimum.reduceat(np.minimum(length, kept_n[place]), starts) if len(tf) else tf
         raw = (x.astype("<i4").tobytes() for x in (n, kept_n, counts[used], place, tf, most, shortest))
         a, b, c, d, e, f, g = (pa.array([x], pa.binary()) for x in raw)
-        return pa.RecordBatch.from_arrays([pa.array([pids.to_pylist()], pa.list_(pa.int64())), a, b, pa.array([terms.filter(pa.array(used)).to_pylist()], pa.list_(pa.string())), c, d, e, f, g], [x.split(" ")[0] for x in _INDEX.split(", ")])
+        ids, words = pa.array([pids.to_pylist()], pa.list_(pa.int64())), pa.array([terms.filter(pa.array(used)).to_pylist()], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([ids, a, b, words, c, d, e, f, g], [x.split(" ")[0] for x in _INDEX.split(", ")])
 
     def run(batches):
         for b in batches:

@@ -33,7 +33,8 @@ def as_lists(ranking: DataFrame) -> DataFrame:
 def per_query(queries: DataFrame, ranking: DataFrame, ks=KS) -> DataFrame:
     """A row for each query and k with its recall.  queries: qid, gold and any columns to break down by."""
     lists = as_lists(ranking)
-    return queries.join(lists, "qid", "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<bigint>"))).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).withColumn("recall", recall(F.col("gold"), F.col("ranked"), F.col("k"))).drop("ranked")
+    ranked = queries.join(lists, "qid", "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<bigint>")))
+    return ranked.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).withColumn("recall", recall(F.col("gold"), F.col("ranked"), F.col("k"))).drop("ranked")
 
 
 def per_query_hits(queries: DataFrame, hits: DataFrame, ks=KS, by: tuple[str, ...] = ()) -> DataFrame:
@@ -109,7 +110,9 @@ def full_delta_table(recalls: DataFrame, baseline: str, covered: DataFrame | Non
     Intervals draw from the questions in the order of ``order``, their position; a cell of one question has no interval and no star."""
     rows = paired(recalls, baseline)
     label = label if label is not None else bucket_label(F.col("n_hops"), F.col("is_join"))
-    sections = F.array(*(F.struct(F.lit(s).alias("section"), b.cast("string").alias("bucket")) for s, b in (("all", F.lit("all")), ("depth x shape", label), ("question type", F.coalesce(F.nullif(F.col("shape").cast("string"), F.lit("")), F.lit("?"))))))
+    kind = F.coalesce(F.nullif(F.col("shape").cast("string"), F.lit("")), F.lit("?"))
+    named = (("all", F.lit("all")), ("depth x shape", label), ("question type", kind))
+    sections = F.array(*(F.struct(F.lit(s).alias("section"), b.cast("string").alias("bucket")) for s, b in named))
     rows = rows.withColumn("_ord", F.col(order))
     each = rows.select("arm", "k", "_ord", "delta", F.explode(sections).alias("x")).select("arm", "k", "_ord", "delta", "x.*")
     if covered is not None:
