@@ -205,3 +205,18 @@ def test_a_round_of_pagerank_is_one_exchange(spark):
         df = graph.pagerank(spark.createDataFrame([(1, 2, 1.0)], "src int, dst int, w double"), spark.createDataFrame([(1, 1, 1.0)], "qid int, node int, weight double"), rounds=rounds)
         plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
     assert plans[1] - plans[0] == 2
+
+
+def test_folders_of_a_block_are_deleted_but_for_those_taken_out(spark):
+    from quillspark.storage import kept, opened, shared_files, temporary
+
+    with temporary() as made:
+        first, second = kept(spark.range(3), "one"), kept(spark.range(4), "two")
+        with temporary():
+            kept(spark.range(5), "inner").count()
+        folders = list(made)
+        assert len(folders) == 2 and first.count() == 3
+        made.remove(folders[1])
+    gone, stays = (opened(f)[0].get_file_info(opened(f)[1]).type.name for f in folders)
+    assert gone == "NotFound" and stays == "Directory" and second.count() == 4
+    assert shared_files(folders[0]) == []
