@@ -284,7 +284,7 @@ def views_donors(spark, d):
 def views_shuffled(spark, d):
     """Control: every question keeps itself as view 0 and gets the further views, here the sentences, of another."""
     listed = questions(spark, d).select("qid", F.concat(F.array("question"), F.regexp_extract_all("question", F.lit("[^.!?]+[.!?]"), F.lit(0))).alias("views"))
-    return rank.shuffled_views(listed, _donors(spark, d))
+    return rank.shuffled_views(listed, _donors(spark, d)).select("qid", F.size("views").alias("n_views"), F.md5(F.array_join("views", "|")).alias("views_md5"))
 
 
 def offset_lookup(spark, d):
@@ -416,7 +416,7 @@ ORACLE_SQL = {
         qid), first(qid) OVER (ORDER BY h, qid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS donor FROM h""",
     "views_shuffled": r"""WITH h AS (SELECT item_id AS qid, md5('views-0-' || CAST(item_id AS VARCHAR)) AS h, text AS q, regexp_extract_all(text, '[^.!?]+[.!?]') AS v FROM
         benchmark), n AS (SELECT qid, coalesce(lead(qid) OVER (ORDER BY h, qid), first(qid) OVER (ORDER BY h, qid ROWS BETWEEN UNBOUNDED PRECEDING AND
-        UNBOUNDED FOLLOWING)) AS donor FROM h) SELECT a.qid, list_concat([a.q], b.v) AS views FROM n JOIN h a USING (qid) JOIN h b ON b.qid = n.donor""",
+        UNBOUNDED FOLLOWING)) AS donor FROM h) SELECT a.qid, CAST(len(b.v) + 1 AS INTEGER) AS n_views, md5(array_to_string(list_concat([a.q], b.v), '|')) AS views_md5 FROM n JOIN h a USING (qid) JOIN h b ON b.qid = n.donor""",
     "offset_lookup": f"""WITH {_CONTAINED}, z AS (SELECT pid, c, CAST(sum(length(c) + 1) OVER (ORDER BY pid) - length(c) - 1 AS BIGINT) AS s FROM c), x AS (SELECT
         cont.item_id, z.s + strpos(z.c, left(p.p, 40)) - 1 AS a, length(p.p) AS n FROM cont JOIN p USING (item_id) JOIN z USING (pid)), k AS (SELECT item_id,
         unnest([a, a + n]) AS place FROM x) SELECT item_id, place, (SELECT max(pid) FROM z WHERE z.s <= k.place) AS pid FROM k""",
