@@ -13,8 +13,8 @@ def _table(spark, d, name):
 
 
 def _completions(spark, d):
-    """(id, t): every turn of the conversations as a completion, in five forms by turn."""
-    body = F.expr("concat(coalesce(text, ''), '\n1. ', substr(coalesce(text, ''), 1, 40), '?\n- ', substr(coalesce(text, ''), 5, 60), '?\n* Here is it?\n- Why?')")
+    """(id, t): every turn of the conversations as a completion, in five forms by turn; each sentence of the turn is also asked in a line of its own."""
+    body = F.expr("concat(coalesce(text, ''), '\n1. ', replace(coalesce(text, ''), '. ', '?\n- '), '?\n* Here is it?\n- Why?')")
     n = F.col("turn") % 5
     t = (
         F.when(n == 0, F.concat(F.lit("<|channel|>analysis<|message|>hm?<|end|><|start|>assistant<|channel|>final<|message|>"), body, F.lit("<|return|>")))
@@ -27,8 +27,8 @@ def _completions(spark, d):
 
 
 _COMPLETIONS = """
-    b AS (SELECT conv_id * 1000 + turn AS id, turn % 5 AS n, coalesce(text, '') || chr(10) || '1. ' || substr(coalesce(text, ''), 1, 40) || '?' || chr(10) || '- '
-              || substr(coalesce(text, ''), 5, 60) || '?' || chr(10) || '* Here is it?' || chr(10) || '- Why?' AS body FROM conversations),
+    b AS (SELECT conv_id * 1000 + turn AS id, turn % 5 AS n, coalesce(text, '') || chr(10) || '1. ' || replace(coalesce(text, ''), '. ', '?' || chr(10) || '- ')
+              || '?' || chr(10) || '* Here is it?' || chr(10) || '- Why?' AS body FROM conversations),
     c AS (SELECT id, CASE n WHEN 0 THEN '<|channel|>analysis<|message|>hm?<|end|><|start|>assistant<|channel|>final<|message|>' || body || '<|return|>'
               WHEN 1 THEN 'final<|message|>' || body WHEN 2 THEN 'analysisthinking?assistantfinal' || body WHEN 3 THEN 'analysis only ' || body ELSE body END AS t FROM b)"""
 _FINAL = r"""CASE WHEN regexp_matches(t, '(?s)<\|channel\|>final<\|message\|>(.*?)(<\|return\|>|<\|end\|>|$)') THEN regexp_extract(t, '(?s)<\|channel\|>final<\|message\|>(.*?)(<\|return\|>|<\|end\|>|$)', 1)
@@ -47,7 +47,7 @@ def parsed_subquestions(spark, d):
 def resolve_placeholders(spark, d):
     """Turns with placeholders, some out of range, and two answers of which one holds a placeholder itself."""
     q = F.concat(F.lit("Who is #1 of #2, #0 or #12? "), F.coalesce("text", F.lit("")), F.lit(" #"), (F.col("turn") % 10).cast("string"))
-    answers = F.array(F.coalesce("role", F.lit("")), F.concat(F.lit("#1 "), F.substring(F.coalesce("text", F.lit("")), 1, 20)))
+    answers = F.array(F.coalesce("role", F.lit("")), F.concat(F.lit("#1 "), F.coalesce("text", F.lit(""))))
     return _table(spark, d, "conversations").select("conv_id", "turn", F.md5(text.resolved(q, answers)).alias("resolved_md5"))
 
 
@@ -104,7 +104,7 @@ ORACLE_SQL = {
             '^(here|sure|sub-question|output)') AND NOT contains(x, 'assistantfinal') AND NOT contains(x, '<|') GROUP BY ALL),
         n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS r FROM k)
         SELECT f.id, coalesce(string_agg(n.x, '|' ORDER BY n.p), '') AS questions FROM f LEFT JOIN n ON n.id = f.id AND n.r <= 6 GROUP BY f.id""",
-    "resolve_placeholders": r"""WITH v AS (SELECT conv_id, turn, 'Who is #1 of #2, #0 or #12? ' || coalesce(text, '') || ' #' || CAST(turn % 10 AS VARCHAR) AS q, [coalesce(role, ''), '#1 ' || substr(coalesce(text, ''), 1, 20)] AS a FROM conversations),
+    "resolve_placeholders": r"""WITH v AS (SELECT conv_id, turn, 'Who is #1 of #2, #0 or #12? ' || coalesce(text, '') || ' #' || CAST(turn % 10 AS VARCHAR) AS q, [coalesce(role, ''), '#1 ' || coalesce(text, '')] AS a FROM conversations),
         p AS (SELECT conv_id, turn, a, unnest(regexp_extract_all(q, '#[0-9]|[^#]+|#')) AS x, generate_subscripts(regexp_extract_all(q, '#[0-9]|[^#]+|#'), 1) AS i FROM v)
         SELECT conv_id, turn, md5(string_agg(CASE WHEN regexp_matches(x, '^#[1-9]$') THEN coalesce(a[CAST(substr(x, 2) AS INTEGER)], x) ELSE x END, '' ORDER BY i)) AS resolved_md5 FROM p GROUP BY conv_id, turn""",
     "match_qid": """SELECT CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'set_' ELSE 'other_set_' END || 'doc-' || CAST(doc_id AS VARCHAR) AS tid, CASE WHEN doc_id % 2 = 0
