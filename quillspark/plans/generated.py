@@ -52,10 +52,10 @@ def resolve_placeholders(spark, d):
 
 
 def match_qid(spark, d):
-    """Ids of documents in three forms against those of every second document."""
+    """Ids of documents in three forms against those of the labelled documents."""
     docs, of = _table(spark, d, "documents"), F.col("doc_id") % 3
     tid = F.concat(F.when(of == 0, "").when(of == 1, "set_").otherwise("other_set_"), F.lit("doc-"), F.col("doc_id").cast("string"))
-    ours = docs.filter("doc_id % 2 = 0").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("qid"))
+    ours = _table(spark, d, "labels").filter("doc_id IS NOT NULL").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("qid")).distinct()
     return matching.matched_ids(docs.select(tid.alias("tid")), ours)
 
 
@@ -107,8 +107,8 @@ ORACLE_SQL = {
     "resolve_placeholders": r"""WITH v AS (SELECT conv_id, turn, 'Who is #1 of #2, #0 or #12? ' || coalesce(text, '') || ' #' || CAST(turn % 10 AS VARCHAR) AS q, [coalesce(role, ''), '#1 ' || coalesce(text, '')] AS a FROM conversations),
         p AS (SELECT conv_id, turn, a, unnest(regexp_extract_all(q, '#[0-9]|[^#]+|#')) AS x, generate_subscripts(regexp_extract_all(q, '#[0-9]|[^#]+|#'), 1) AS i FROM v)
         SELECT conv_id, turn, md5(string_agg(CASE WHEN regexp_matches(x, '^#[1-9]$') THEN coalesce(a[CAST(substr(x, 2) AS INTEGER)], x) ELSE x END, '' ORDER BY i)) AS resolved_md5 FROM p GROUP BY conv_id, turn""",
-    "match_qid": """SELECT CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'set_' ELSE 'other_set_' END || 'doc-' || CAST(doc_id AS VARCHAR) AS tid, CASE WHEN doc_id % 2 = 0
-        AND doc_id % 3 < 2 THEN 'doc-' || CAST(doc_id AS VARCHAR) END AS qid FROM documents""",
+    "match_qid": """SELECT CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'set_' ELSE 'other_set_' END || 'doc-' || CAST(doc_id AS VARCHAR) AS tid,
+        CASE WHEN doc_id % 3 < 2 AND doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) THEN 'doc-' || CAST(doc_id AS VARCHAR) END AS qid FROM documents""",
     "chunk_ids": "SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN doc_id END AS id FROM documents",
     "bridge_questions": """WITH v AS (SELECT l_orderkey AS qid, list(['N' || CAST(l_suppkey % 5 AS VARCHAR), 'month ' || CAST(month(l_shipdate) AS VARCHAR), 'N' || CAST(l_partkey % 5 AS VARCHAR)] ORDER BY l_linenumber, l_partkey, l_suppkey) AS e FROM lineitem GROUP BY 1),
         s AS (SELECT qid, e, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v),
