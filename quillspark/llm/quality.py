@@ -1,13 +1,16 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are documents labelled 1; the unlabelled class is web text of any quality.  A small
-network on shape features of the whole text minimises the non-negative unbiased risk
+network on features of the whole text minimises the non-negative unbiased risk
 
     pi * E_P[l(z)] + max(0, E_U[l(-z)] - pi * E_P[l(-z)]),      l(z) = log(1 + exp(-z)),
 
 where pi is the class prior, estimated as the share of label 1 among labelled training rows.  When the
 second term falls below zero its gradient is reversed, which undoes overfitting to the positives.
 
+The features are shapes (shares of kinds of characters, repetition, word lengths) and the words themselves: each
+one-word and two-word gram of the text adds 1 or -1, by its hash, to one of NGRAM_FEATURES places, and the row is scaled to length 1.
+
 Fitting takes bounded samples (POSITIVES and UNLABELLED doc_ids, those with the smallest hash; of rows with equal doc_ids one stands for all);
 scoring goes over every whole text.  Labels come only from rows whose crc32(doc_id as text) mod 5 isn't 0.
 Labels, lang, source and doc_id are never inputs of a score.
@@ -32,7 +35,10 @@ FOLDS, THRESHOLD = 5, 0.3
 HIDDEN, STEPS, RATE, SEED = 24, 400, 0.02, 7
 
 _CLASSES = [b"#*$%&<>", b"|", b"!?", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:", b"\n"]
-N_FEATURES = 20
+N_SHAPES, NGRAM_FEATURES = 20, 128
+N_FEATURES = N_SHAPES + NGRAM_FEATURES
+#: Standardised n-gram places count this much beside a shape, since each tells little.
+NGRAM_SCALE = 0.25
 
 
 def _class_table() -> np.ndarray:
@@ -45,8 +51,21 @@ def _class_table() -> np.ndarray:
 _CLASS_OF = _class_table()
 
 
+def ngram_features(words: Words) -> np.ndarray:
+    """A row of NGRAM_FEATURES of length 1 for each text, or zeros without words: its one- and two-word grams, letters A-Z lowered, in signed places by hash."""
+    n = len(words.bounds) - 1
+    single = words.hashes()
+    double, bounds = words.shingles(single, 2)
+    out = np.zeros(n * NGRAM_FEATURES)
+    for grams, text in ((single, words.text_of()), (double, np.repeat(np.arange(n), np.diff(bounds)))):
+        place = text * NGRAM_FEATURES + (grams >> np.uint64(33)).astype(np.int64) % NGRAM_FEATURES
+        out += np.bincount(place, 1.0 - 2.0 * (grams & np.uint64(1)), n * NGRAM_FEATURES)
+    out = out.reshape(n, NGRAM_FEATURES)
+    return out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1)
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of N_FEATURES for each text: shares of character classes, repetition, word lengths."""
+    """A row of N_FEATURES for each text: shares of character classes, repetition, word lengths, then its n-grams."""
     n = len(offsets) - 1
     size = np.diff(offsets).astype(float)
     kinds = _CLASS_OF[data]
@@ -65,7 +84,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     shares = np.stack([counts[:, 0] / np.maximum(size, 1), counts[:, 1] / some, counts[:, 2] / some, counts[:, 3] / letters, counts[:, 5] / np.maximum(size, 1), counts[:, 6] / some, counts[:, 7] / some, again / some], 1)
     mean = total / some
     rest = np.stack([np.log1p(per), mean, np.sqrt(np.maximum(squares / some - mean**2, 0)), np.where(per > 0, np.log(np.maximum(distinct, 1) / some), 0)], 1)
-    return np.concatenate([shares, np.sqrt(shares), rest], 1)
+    return np.concatenate([shares, np.sqrt(shares), rest, ngram_features(words)], 1)
 
 
 class Network:
@@ -106,6 +125,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
         return Network.constant()
     both = np.concatenate([positive, unlabelled])
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-6
+    scale[N_SHAPES:] /= NGRAM_SCALE
     x = np.clip((both - mean) / scale, -8, 8)
     p = np.arange(len(both)) < len(positive)
     rng = np.random.default_rng(SEED)

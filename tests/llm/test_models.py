@@ -32,6 +32,19 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.97 and np.mean([s >= 0.3 for s in good]) > 0.97
 
 
+def test_quality_tells_words_apart_that_have_the_same_shape():
+    rng = np.random.default_rng(5)
+    vocabulary = {k: np.array(["".join(rng.permutation(list("abcdefgh"))) for _ in range(40)]) for k in (True, False)}
+    texts = [" ".join(rng.choice(vocabulary[i % 2 == 0], 60)) for i in range(600)]
+    x = quality.features(*utf8(pa.array(texts)))
+    good = np.arange(600) % 2 == 0
+    net = quality.fit(x[:200][good[:200]], x[200:400], 0.5)
+    assert ((net.score(x[400:]) >= 0.5) == good[400:]).mean() > 0.95
+    grams = x[:, quality.N_SHAPES :]
+    assert np.allclose((grams**2).sum(1), 1) and np.allclose(grams[:3], quality.features(*utf8(pa.array([t.upper() for t in texts[:3]])))[:, quality.N_SHAPES :])
+    assert not quality.features(*utf8(pa.array(["", None, " .\t"])))[:2].any()
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
     docs = documents(spark)
