@@ -312,12 +312,12 @@ def overlap_score(question: Column, passage: Column) -> Column:
     return F.coalesce(F.round(F.size(F.array_intersect(q, words(passage))) / F.nullif(F.size(q), F.lit(0)), 6), F.lit(0.0))
 
 
-def reranked(candidates: DataFrame, sets: DataFrame, passages: DataFrame, k: int, score=overlap_score, model: Callable[[], PairScorer] | None = None) -> DataFrame:
+def reranked(candidates: DataFrame, sets: DataFrame, passages: DataFrame, k: int, score=overlap_score, model: Callable[[], PairScorer] | None = None, limit: int | None = JOINT_TOKENS) -> DataFrame:
     """Candidates (qid, rank, pid) by the best score over the query set (qid, j, text), of an expression or, if given, of a
-    model's; a query without a set keeps its order."""
+    model's, which reads ``limit`` tokens of a pair (None: all of both texts); a query without a set keeps its order."""
     texts = passages.select("pid", F.col("text").alias("passage"))
     pairs = candidates.join(sets, "qid").join(texts, "pid")
-    each = scored_pairs(pairs, model) if model else pairs.select("qid", "pid", score(F.col("text"), F.col("passage")).alias("score"))
+    each = scored_pairs(pairs, model, limit=limit) if model else pairs.select("qid", "pid", score(F.col("text"), F.col("passage")).alias("score"))
     scored = each.groupBy("qid", "pid").agg(F.max("score").alias("score"))
     asked = sets.select("qid").distinct()
     same = candidates.join(asked, "qid", "left_anti").filter(F.col("rank") < k).select("qid", "rank", "pid", F.lit(None).cast("double").alias("score"))

@@ -29,9 +29,9 @@ def hybrid_dense(spark, d):
 
 
 def rerank_dense(spark, d):
-    """The dense ranking to DEPTH, reranked by a pair scorer that a task loads once."""
+    """The dense ranking to DEPTH, reranked by a pair scorer that a task loads once and that reads both whole texts."""
     sets = c.questions(spark, d).select("qid", F.lit(0).alias("j"), F.col("question").alias("text"))
-    return c._ranked(rank.reranked(_dense(spark, d, DEPTH), sets, c.passages(spark, d), 5, model=rank.OverlapScorer))
+    return c._ranked(rank.reranked(_dense(spark, d, DEPTH), sets, c.passages(spark, d), 5, model=rank.OverlapScorer, limit=None))
 
 
 def bm25_stemmed(spark, d):
@@ -176,7 +176,6 @@ QUERIES = {f.__name__: f for f in _SAME}
 _DENSE = """
     dv AS (SELECT b.item_id AS qid, e.vec_id AS pid, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
            FROM benchmark b JOIN embeddings v ON v.vec_id = b.item_id, embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents))"""
-_HEAD = r"array_to_string(regexp_extract_all({0}, '\S+')[1:{1}], ' ')"
 _WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9à-öø-ÿ_]{{2,}}'))"
 _ARMS = f"""{c._VECTORS}, z AS (SELECT qid, pid, score FROM s WHERE j = 0), tp AS ({c._TOP.format('z', c.K)}), tm AS ({c._TOP.format('smax', c.K)}), ta AS ({c._TOP.format('smean', c.K)}),
     rp AS ({c._RECALLS.format('tp')}), rm AS ({c._RECALLS.format('tm')}), ra AS ({c._RECALLS.format('ta')}),
@@ -201,10 +200,8 @@ ORACLE_SQL = {
         SELECT qid, CAST(r - 1 AS INTEGER) AS rank, pid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS r FROM f) AS
         x WHERE r <= 5""",
     "rerank_dense": f"""WITH {_DENSE}, t AS ({c._TOP.format('dv', DEPTH)}),
-        n AS (SELECT t.qid, t.pid, q.text AS q, p.text AS p, len(regexp_extract_all(q.text, '\\S+')) AS nq, len(regexp_extract_all(p.text, '\\S+')) AS np FROM
-            t JOIN benchmark q ON q.item_id = t.qid JOIN documents p ON p.doc_id = t.pid),
-        k AS (SELECT *, CASE WHEN nq + np <= 384 THEN nq ELSE least(nq, greatest(192, 384 - np)) END AS kq FROM n),
-        w AS (SELECT qid, pid, {_WORDS.format(_HEAD.format('q', 'kq'))} AS qw, {_WORDS.format(_HEAD.format('p', 'least(np, 384 - kq)'))} AS pw FROM k),
+        w AS (SELECT t.qid, t.pid, {_WORDS.format('q.text')} AS qw, {_WORDS.format('p.text')} AS pw FROM t JOIN benchmark q ON q.item_id = t.qid JOIN documents p ON
+            p.doc_id = t.pid),
         s AS (SELECT qid, pid, round(len(list_intersect(qw, pw)) / len(qw)::DOUBLE, 6) AS score FROM w) {c._TOP.format('s', 5)}""",
     "multi_vector_cosine": """WITH b AS (SELECT e.vec_id - e.vec_id % 50 AS qid, max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[]))) AS m FROM
         embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) AS o WHERE e.vec_id % 50 <= 3 GROUP BY ALL) SELECT qid, round(m, 6) AS plain,

@@ -204,3 +204,20 @@ def test_dense_scores_make_no_job_but_the_query_files(spark):
     q = spark.createDataFrame([(i, 0, [1.0, float(i)]) for i in range(50)], "qid long, j int, embedding array<float>")
     got = rank.dense_arms(items, q, ["pooled", "max", "mean"], 1)
     assert got.groupBy("arm").agg(F.sum("score").alias("s")).filter("s = 50").count() == 3
+
+
+def test_reranked_reads_whole_texts_without_a_limit(spark):
+    docs = spark.createDataFrame([(1, "filler " * 500 + "needle"), (2, "filler " * 500)], "pid long, text string")
+    sets = spark.createDataFrame([(0, 0, "needle")], "qid long, j int, text string")
+    cands = spark.createDataFrame([(0, 0, 2), (0, 1, 1)], "qid long, rank int, pid long")
+    got = {r.pid: r.score for r in rank.reranked(cands, sets, docs, 2, model=rank.OverlapScorer, limit=None).collect()}
+    assert got == {1: 1.0, 2: 0.0}
+
+
+def test_rerank_dense_cuts_no_text(spark, tmp_path):
+    from quillspark.plans import reports as plans
+
+    spark.createDataFrame([(0, "filler " * 500 + "needle"), (1, "filler")], "doc_id long, text string").selectExpr("doc_id", "'s' AS source", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "needle")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.pid: r.score for r in plans.rerank_dense(spark, str(tmp_path)).collect()} == {0: 1.0, 1: 0.0}
