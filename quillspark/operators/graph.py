@@ -17,9 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.operators.rank import min_max, top_k
+from quillspark.operators.rank import _best, min_max, top_k
 from quillspark.operators.substrings import occurrences
-from quillspark.storage import kept, read_arrow, shared_files, shared_folder, write_shared
+from quillspark.storage import grouped_files, kept, read_arrow, shared_files, shared_folder, write_shared
 
 
 def gate_rows(tier: Column, m: Column, width: int) -> Column:
@@ -45,49 +45,147 @@ def table_gates(gates: DataFrame, window: int = 0) -> Gates:
     return gate
 
 
-def vector_gates(sentences: DataFrame, sets: DataFrame, window: int | None = None, digits: int = 6) -> Gates:
+#: Rows of a file of the frontier, vectors x sentences that are scored at a time, bytes of frontier files that a task keeps.
+FRONTIER_A_FILE, SCORES_AT_A_TIME, FRONTIER_BYTES = 1024, 1 << 20, 32 << 20
+
+
+class _Frontier:
+    """A file of the frontier: for each row its query, entity, score, gating vectors and used sentences."""
+
+    def __init__(self, rows: pa.Table):
+        self.size = rows.nbytes
+        entity, self.qids, self.scores, vectors, used = (c.combine_chunks() for c in rows.columns)
+        coded = entity.dictionary_encode()
+        codes = coded.indices.to_numpy()  # sorted by entity: a run for each
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        self.entities = entity.take(pa.array(first))
+        self.bounds = np.append(first, len(codes))
+        self.n = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.matrix = vectors.flatten().flatten().to_numpy(zero_copy_only=False).reshape(int(self.n.sum()), -1)
+        self.ends = np.cumsum(self.n)
+        n_used = pc.list_value_length(used).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.used, self.used_ends = used.flatten(), np.cumsum(n_used)
+        self.used_row = np.repeat(np.arange(len(codes)), n_used)
+
+    def gates(self, low: int, high: int, x: np.ndarray, sentences: pa.Array, digits: int) -> np.ndarray:
+        """The gates of rows low to high for sentences sorted by id, minus infinity for used ones."""
+        start = self.ends[low] - self.n[low]
+        dots = np.round(self.matrix[start : self.ends[high - 1]] @ x.T, digits)
+        out = np.maximum.reduceat(dots, self.ends[low:high] - self.n[low:high] - start, axis=0)
+        at = slice(self.used_ends[low - 1] if low else 0, self.used_ends[high - 1])
+        if at.stop > at.start:
+            coded = sentences.dictionary_encode()
+            count = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+            found = pc.index_in(self.used.slice(at.start, at.stop - at.start), value_set=coded.dictionary).fill_null(-1).to_numpy().astype(np.int64)
+            known = found >= 0
+            n = count[found[known]]
+            column = np.repeat((np.cumsum(count) - count)[found[known]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out[np.repeat(self.used_row[at][known] - low, n), column] = -np.inf
+        return out
+
+
+class VectorGates:
     """Gates that are scored when a round asks for them: the best inner product of a sentence (sentence, embedding) with the query set's
-    vectors (qid, j, embedding), all of them, or with ``window`` those that the path gives to the tier.  Only the pairs asked for meet vectors."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("j", F.col("embedding").cast("array<double>").alias("e")))), lambda x: x["e"])
-    rows = kept(sets.filter("embedding is not null").groupBy("qid").agg(ordered.alias("rows")), "query-sets")  # as many vectors as a query set has
-
-    def gate(pairs: DataFrame, tier: int) -> DataFrame:
-        wanted = F.sequence(F.lit(0), F.size("rows") - 1) if window is None else gate_rows(F.lit(tier), F.size("rows"), window)
-        chosen = rows.select("qid", F.transform(wanted, lambda j: F.get("rows", j)).alias("rows"))
-        met = pairs.join(sentences.filter("embedding is not null").select("sentence", F.col("embedding").cast("array<double>").alias("e")), "sentence").join(chosen, "qid")
-        schema = T.StructType([*pairs.select("qid", "sentence").schema, T.StructField("gate", T.DoubleType())])
+    vectors (qid, j, embedding), all of them, or with ``window`` those that the path gives to the tier.
+
+    A sentence meets the queries that have one of its entities in their frontier.  The frontier is written to shared files by entity, a frequent
+    one over several; tasks that read mentions score them against one file at a time and pass on only what is among the best so far of
+    its query and entity, so what is shuffled follows frontier x tasks and not frontier x mentions."""
+
+    def __init__(self, sentences: DataFrame, sets: DataFrame, window: int | None, digits: int):
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("j", F.col("embedding").cast("array<double>").alias("e")))), lambda x: x["e"])
+        self.rows = kept(sets.filter("embedding is not null").groupBy("qid").agg(ordered.alias("rows")), "query-sets")  # as many vectors as a query set has
+        self.sentences, self.window, self.digits = sentences.filter("embedding is not null").select("sentence", "embedding"), window, digits
+
+    def best(self, frontier: DataFrame, mentions: DataFrame, used: DataFrame | None, tier: int, k: int) -> DataFrame:
+        """(qid, entity, score, sentence, gate) that hold the ``k`` best unused sentences of each row (qid, entity, score) of the frontier."""
+        wanted = F.sequence(F.lit(0), F.size("rows") - 1) if self.window is None else gate_rows(F.lit(tier), F.size("rows"), self.window)
+        chosen = self.rows.select("qid", F.transform(wanted, lambda j: F.get("rows", j)).alias("rows"))
+        none = F.array().cast(T.ArrayType(mentions.schema["sentence"].dataType))
+        asked = frontier.join(chosen, "qid")
+        if used is None:
+            asked = asked.withColumn("used", none)
+        else:
+            asked = asked.join(used.groupBy("qid").agg(F.collect_set("sentence").alias("used")), "qid", "left").withColumn("used", F.coalesce("used", none))  # a few for each round
+        folder = grouped_files(asked.select("entity", "qid", "score", "rows", "used"), "entity", ["qid"], FRONTIER_A_FILE, "frontier", whole=False)
+        digits = self.digits
+        fields = [*frontier.select("qid", "entity", "score").schema, mentions.schema["sentence"], T.StructField("gate", T.DoubleType())]
 
         def score(batches):
+            names, held, room = shared_files(folder), {}, FRONTIER_BYTES
+            entities: dict[str, pa.Array] = {}
+            least: dict[str, np.ndarray] = {}
+
+            def opened_file(name: str) -> _Frontier:
+                nonlocal room
+                if name in held:
+                    return held[name]
+                made = _Frontier(read_arrow(f"{folder}/{name}"))
+                if made.size <= room:
+                    held[name], room = made, room - made.size
+                entities[name] = made.entities
+                return made
+
             for b in batches:
                 if not b.num_rows:
                     continue
-                x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                n = pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
-                q = b.column(3).flatten().flatten().to_numpy(zero_copy_only=False).reshape(int(n.sum()), -1)
-                dots = np.round(np.einsum("ij,ij->i", np.repeat(x, n, axis=0), q), digits)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.maximum.reduceat(dots, np.cumsum(n) - n))], ["qid", "sentence", "gate"])
-
-        return met.select("qid", "sentence", "e", "rows").mapInArrow(score, schema)
-
-    return gate
-
-
-def spread(seeds: DataFrame, mentions: DataFrame, gates: Gates, threshold: float = 0.4, per_entity: int = 2, rounds: int = 3, digits: int = 6) -> DataFrame:
+                rows = pa.Table.from_batches([b]).sort_by([("entity", "ascending"), ("sentence", "ascending")]).combine_chunks()  # the first of equal gates is the smaller sentence
+                x = rows.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                sentences, coded = rows.column(1).combine_chunks(), rows.column(0).combine_chunks().dictionary_encode()
+                count = np.bincount(coded.indices.fill_null(len(coded.dictionary)).to_numpy(), minlength=len(coded.dictionary))
+                first = np.cumsum(count) - count
+                for name in names:
+                    known = entities[name] if name in entities else opened_file(name).entities
+                    here = pc.index_in(known, value_set=coded.dictionary).fill_null(-1).to_numpy().astype(np.int64)
+                    if not (here >= 0).any():
+                        continue
+                    q = opened_file(name)
+                    best = least.setdefault(name, np.full((len(q.qids), k), -np.inf))
+                    for i in np.flatnonzero(here >= 0):
+                        low, high = q.bounds[i], q.bounds[i + 1]
+                        vectors = int(q.n[low:high].sum())
+                        step = max(1, SCORES_AT_A_TIME // max(vectors, 1))
+                        begin, end = first[here[i]], first[here[i]] + count[here[i]]
+                        for at in range(begin, end, step):
+                            some = slice(at, min(at + step, end))
+                            g = q.gates(low, high, x[some], sentences.slice(at, some.stop - at), digits)
+                            so_far = best[low:high]
+                            keep = _best(g, k) & (g >= so_far[:, :1]) & (g > -np.inf)
+                            row, col = np.nonzero(keep)
+                            if len(row):
+                                both = np.concatenate([so_far, np.where(keep, g, -np.inf)], axis=1)
+                                best[low:high] = np.sort(np.partition(both, -k, axis=1)[:, -k:], axis=1)
+                                places = pa.array(row + low)
+                                name_of = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(row), np.int32)), q.entities.slice(i, 1)).dictionary_decode()
+                                yield pa.RecordBatch.from_arrays([q.qids.take(places), name_of, q.scores.take(places), sentences.take(pa.array(col + at)), pa.array(g[row, col])], ["qid", "entity", "score", "sentence", "gate"])
+
+        met = mentions.select("entity", "sentence").join(self.sentences, "sentence").select("entity", "sentence", "embedding")
+        return met.mapInArrow(score, T.StructType(fields))
+
+
+def vector_gates(sentences: DataFrame, sets: DataFrame, window: int | None = None, digits: int = 6) -> VectorGates:
+    return VectorGates(sentences, sets, window, digits)
+
+
+def spread(seeds: DataFrame, mentions: DataFrame, gates: Gates | VectorGates, threshold: float = 0.4, per_entity: int = 2, rounds: int = 3, digits: int = 6) -> DataFrame:
     """(qid, entity, score, tier, last_tier) after breadth-first activation.
 
     An active entity takes its ``per_entity`` best unused sentences by gate; each conducts once for a query, for the
     entity with the higher score and then the smaller name (a fixed owner, where the source goes entity by entity).
     Co-mentioned entities get entity score x gate, pruned below ``threshold``; scores that arrive later are added.
-    A round asks ``gates`` for the unused sentences of its frontier's entities only.
+    A round asks ``gates`` for the unused sentences of its frontier's entities only, vector gates for the best of them.
     """
     first = seeds.select("qid", "entity", F.col("score").cast("double").alias("score"), F.lit(1).alias("tier"), F.lit(1).alias("last_tier"))
     active, frontier, used = kept(first), first.select("qid", "entity", "score"), None
     for t in range(2, rounds + 2):
-        options = frontier.join(mentions, "entity")
-        if used is not None:
-            options = options.join(used, ["qid", "sentence"], "left_anti")
-        options = kept(options, "options")
-        options = options.join(gates(options.select("qid", "sentence").distinct(), t - 1), ["qid", "sentence"])
+        if isinstance(gates, VectorGates):
+            options = gates.best(frontier, mentions, used, t - 1, per_entity)
+        else:
+            options = frontier.join(mentions, "entity")
+            if used is not None:
+                options = options.join(used, ["qid", "sentence"], "left_anti")
+            options = kept(options, "options")
+            options = options.join(gates(options.select("qid", "sentence").distinct(), t - 1), ["qid", "sentence"])
         best = W.partitionBy("qid", "entity").orderBy(F.col("gate").desc(), "sentence")
         own = W.partitionBy("qid", "sentence").orderBy(F.col("score").desc(), "entity")
         taken = options.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= per_entity)

@@ -221,3 +221,26 @@ def test_rerank_dense_cuts_no_text(spark, tmp_path):
     spark.createDataFrame([(0, "needle")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert {r.pid: r.score for r in plans.rerank_dense(spark, str(tmp_path)).collect()} == {0: 1.0, 1: 0.0}
+
+
+def test_best_gates_pass_on_few_rows_of_a_frequent_entity(spark, monkeypatch):
+    from quillspark.storage import read_arrow, shared_files
+
+    folders, real = [], graph.grouped_files
+    monkeypatch.setattr(graph, "grouped_files", lambda *a, **k: folders.append(real(*a, **k)) or folders[-1])
+    monkeypatch.setattr(graph, "FRONTIER_A_FILE", 4)
+    rng = np.random.default_rng(4)
+    vectors, asked = rng.standard_normal((5000, 3)).round(3), rng.standard_normal((30, 3)).round(3)
+    sentences = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "sentence long, embedding array<double>").coalesce(1)
+    frontier = spark.createDataFrame([(q, "hot", 1.0) for q in range(30)], "qid long, entity string, score double")
+    mentions = spark.createDataFrame([("hot", i) for i in range(5000)] + [("hot", 7)], "entity string, sentence long").coalesce(1)
+    gates = graph.vector_gates(sentences, spark.createDataFrame([(q, 0, v.tolist()) for q, v in enumerate(asked)], "qid long, j int, embedding array<double>"))
+    s = np.round(asked @ vectors.T, 6)
+    used = spark.createDataFrame([(q, int(np.argmax(s[q]))) for q in range(0, 30, 2)], "qid long, sentence long")
+    got = gates.best(frontier, mentions, used, 1, 2).collect()
+    assert len(got) < 30 * 5000 / 4
+    assert max(read_arrow(f"{folders[0]}/{n}").num_rows for n in shared_files(folders[0])) <= 8
+    s[np.arange(0, 30, 2), s[::2].argmax(1)] = -np.inf
+    for q in range(30):
+        mine = sorted(((-r.gate, r.sentence) for r in got if r.qid == q))[:2]
+        assert mine == sorted((-g, i) for i, g in [*enumerate(s[q]), (7, s[q, 7])])[:2]
