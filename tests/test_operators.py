@@ -244,3 +244,10 @@ def test_best_gates_pass_on_few_rows_of_a_frequent_entity(spark, monkeypatch):
     for q in range(30):
         mine = sorted(((-r.gate, r.sentence) for r in got if r.qid == q))[:2]
         assert mine == sorted((-g, i) for i, g in [*enumerate(s[q]), (7, s[q, 7])])[:2]
+
+
+def test_min_max_in_two_passes_moves_no_scores(spark):
+    rows = spark.createDataFrame([(q, p, float(p * q)) for q in (0, 1, 2) for p in range(5)] + [(None, 1, 2.0), (None, 2, 4.0)], "qid long, pid long, score double")
+    assert sorted(map(str, rank.min_max_in_two_passes(rows).collect())) == sorted(map(str, rank.min_max(rows).collect()))
+    plan = catalogue.fact_minmax(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
