@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from quillspark.operators import lexical
 from quillspark.storage import grouped_files, kept, read_arrow, shared_files
 
-#: Query vectors of a file, items that are scored at a time, bytes of query files that a task keeps.
-QUERY_BLOCK, ITEM_BLOCK, VECTOR_BYTES = 4096, 1024, 64 << 20
+#: Query vectors of a file, items that are scored at a time, scores at a time (items are fewer against a larger file), bytes of query files that a task keeps.
+QUERY_BLOCK, ITEM_BLOCK, SCORES_AT_A_TIME, VECTOR_BYTES = 1024, 1024, 1 << 18, 16 << 20
 #: Rows and characters of a side that may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
@@ -55,6 +55,12 @@ def _best(scores: np.ndarray, keep: int) -> np.ndarray:
     return more | equal & (np.cumsum(equal, axis=1) <= keep - more.sum(1, keepdims=True))
 
 
+def _pieces(items: int, vectors: int) -> list[slice]:
+    """Items in pieces that make at most SCORES_AT_A_TIME scores with so many query vectors, or single ones."""
+    step = max(1, SCORES_AT_A_TIME // max(vectors, 1))
+    return [slice(low, min(low + step, items)) for low in range(0, items, step)]
+
+
 class _Block:
     """A file of query vectors, and for each arm the scores that a task has to beat."""
 
@@ -106,6 +112,21 @@ def dense_arms(items: DataFrame, queries: DataFrame, arms: list[str], keep: int
                 held[name], room = made, room - made.size
             return made
 
+        def rows(heads: pa.Array, j: np.ndarray, pids: np.ndarray, arm: str, s: np.ndarray, name: str) -> pa.RecordBatch | None:
+            if keep is None:
+                row, col = np.divmod(np.arange(s.size), s.shape[1])
+            else:
+                best = least.setdefault((name, arm), np.full((len(heads), keep), -np.inf))
+                chosen = _best(s, keep) & (s >= best[:, :1])
+                row, col = np.nonzero(chosen)
+                if len(row):  # only queries with something new are sorted again
+                    some = np.flatnonzero(chosen.any(axis=1))
+                    both = np.concatenate([best[some], np.where(chosen[some], s[some], -np.inf)], axis=1)
+                    best[some] = np.sort(np.partition(both, -keep, axis=1)[:, -keep:], axis=1)
+            if not len(row):
+                return None
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(arm, pa.string()), len(row)), heads.take(pa.array(row)), pa.array(j[row]), pa.array(pids[col]), pa.array(s[row, col])], ["arm", "qid", "j", "pid", "score"])
+
         for b in batches:
             for at in range(0, b.num_rows, ITEM_BLOCK):
                 part = b.slice(at, ITEM_BLOCK).sort_by("pid")  # the first of equal scores is the smaller pid
@@ -113,18 +134,12 @@ def dense_arms(items: DataFrame, queries: DataFrame, arms: list[str], keep: int
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
                 for name in names:
                     q = block(name)
-                    for arm, s in q.scores(x, arms, digits):
-                        heads, j = (q.each, q.j) if arm == "each" else (q.heads, np.zeros(len(q.heads), np.int32))
-                        if keep is None:
-                            row, col = np.nonzero(np.ones(s.shape, bool))
-                        else:
-                            best = least.setdefault((name, arm), np.full((len(heads), keep), -np.inf))
-                            chosen = _best(s, keep) & (s >= best[:, :1])
-                            row, col = np.nonzero(chosen)
-                            both = np.concatenate([best, np.where(chosen, s, -np.inf)], axis=1)
-                            least[name, arm] = np.sort(np.partition(both, -keep, axis=1)[:, -keep:], axis=1)
-                        if len(row):
-                            yield pa.RecordBatch.from_arrays([pa.array([arm] * len(row), pa.string()), heads.take(pa.array(row)), pa.array(j[row]), pa.array(pids[col]), pa.array(s[row, col])], ["arm", "qid", "j", "pid", "score"])
+                    for some in _pieces(len(x), len(q.j)):
+                        for arm, s in q.scores(x[some], arms, digits):
+                            heads, j = (q.each, q.j) if arm == "each" else (q.heads, np.zeros(len(q.heads), np.int32))
+                            made = rows(heads, j, pids[some], arm, s, name)
+                            if made is not None:
+                                yield made
 
     return items.select(F.col("pid").cast("long").alias("pid"), "embedding").filter("embedding is not null").mapInArrow(run, schema)
 

@@ -251,3 +251,11 @@ def test_min_max_in_two_passes_moves_no_scores(spark):
     assert sorted(map(str, rank.min_max_in_two_passes(rows).collect())) == sorted(map(str, rank.min_max(rows).collect()))
     plan = catalogue.fact_minmax(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_scores_at_a_time_are_bounded(spark):
+    for items, vectors in ((1024, 4096), (1024, 1), (7, 1 << 20), (0, 5)):
+        parts = rank._pieces(items, vectors)
+        assert [i for p in parts for i in range(p.start, p.stop)] == list(range(items))
+        assert all((p.stop - p.start) * vectors <= rank.SCORES_AT_A_TIME or p.stop - p.start == 1 for p in parts)
+    assert rank.SCORES_AT_A_TIME <= 1 << 20
