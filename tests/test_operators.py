@@ -259,3 +259,14 @@ def test_scores_at_a_time_are_bounded(spark):
         assert [i for p in parts for i in range(p.start, p.stop)] == list(range(items))
         assert all((p.stop - p.start) * vectors <= rank.SCORES_AT_A_TIME or p.stop - p.start == 1 for p in parts)
     assert rank.SCORES_AT_A_TIME <= 1 << 20
+
+
+def test_gold_of_frequent_titles_isnt_shuffled(spark, monkeypatch):
+    from quillspark.sources import retrieval
+
+    monkeypatch.setattr(retrieval, "TITLES_A_FILE", 50)
+    passages = spark.createDataFrame([("a", i) for i in range(200)] + [("b", 5), ("b", 900), ("b", 900), (None, 7), ("é", 3)], "title string, pid long")
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["none", None]), (3, None), (4, ["é"]), (5, [])], "ord long, titles array<string>")
+    got = retrieval.with_title_ids(rows, passages)
+    assert {r.ord: list(r.gold) for r in got.collect()} == {1: [*range(200), 900], 2: [], 3: [], 4: [3], 5: []}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
