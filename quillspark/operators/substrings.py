@@ -7,6 +7,7 @@ the files' names.
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 from collections.abc import Iterator
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 
 from quillspark.storage import read_shared, shared_folder, write_shared
 
-#: Patterns of a file and their characters at most; characters of patterns whose automata a task keeps.
-PATTERNS_A_FILE, CHARACTERS_A_FILE, CHARACTERS_KEPT = 50_000, 4 << 20, 16 << 20
+#: Patterns of a file and their characters at most; characters of patterns whose automata a task keeps; hits that it holds before it passes them on.
+PATTERNS_A_FILE, CHARACTERS_A_FILE, CHARACTERS_KEPT, HITS_HELD = 50_000, 4 << 20, 16 << 20, 1 << 14
 
 
 def store_patterns(patterns: DataFrame) -> tuple[str, list[str]]:
@@ -86,6 +87,11 @@ class _Automata:
             yield self.kept[name]
 
 
+def _in_pieces(hits: Iterator[tuple]) -> Iterator[list[tuple]]:
+    while found := list(itertools.islice(hits, HITS_HELD)):
+        yield found
+
+
 def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, pattern, n): how often each of the patterns that a text (id, text) has occurs in it, without overlap; case counts.
 
@@ -100,8 +106,7 @@ def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         for b in batches:
             lines = [(i, t) for i, t in enumerate(b.column(1).to_pylist()) if t]
             for one in automata:
-                found = [(i, p, n) for i, t in lines for p, n in counts(one, t).items()]
-                if found:
+                for found in _in_pieces((i, p, n) for i, t in lines for p, n in counts(one, t).items()):
                     rows, what, n = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(what, pa.string()), pa.array(n, pa.int64())], ["id", "pattern", "n"])
 

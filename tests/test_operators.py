@@ -270,3 +270,10 @@ def test_gold_of_frequent_titles_isnt_shuffled(spark, monkeypatch):
     got = retrieval.with_title_ids(rows, passages)
     assert {r.ord: list(r.gold) for r in got.collect()} == {1: [*range(200), 900], 2: [], 3: [], 4: [3], 5: []}
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hits_are_passed_on_in_pieces():
+    n = 2 * substrings.HITS_HELD + 3
+    parts = list(substrings._in_pieces((i, "p", 1) for i in range(n)))
+    assert [len(p) for p in parts] == [substrings.HITS_HELD] * 2 + [3] and [x[0] for p in parts for x in p] == list(range(n))
+    assert not list(substrings._in_pieces(iter([])))
