@@ -1,7 +1,8 @@
 """A lexical index in blocks and exact top-k BM25 with bounds.
 
-A row of the stored index is a block of passages: its terms, the postings of each term, and for each term its largest tf and its shortest passage, from
-which its largest weight in the block follows under any mean length.  Queries, with the idf of their terms, are written to shared files.  A task
+The stored index has a file in shared storage for each block of passages: its terms, the postings of each term, and for each term its largest tf and its
+shortest passage, from which its largest weight in the block follows under any mean length.  The index's rows are these files' paths and sizes, so a
+task has one block in memory, however many it reads.  Queries, with the idf of their terms, are written to shared files.  A task
 that answers keeps for each query the k best scores so far; a block whose terms' largest weights don't add up to the
 k-th is skipped, and inside a block the terms that together can't reach it make no candidates and are looked up for
 candidates of the other terms only.  So common words make no row for each passage, and what is shuffled follows queries x tasks x k.
@@ -9,22 +10,27 @@ candidates of the other terms only.  So common words make no row for each passag
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.stemming import stem
-from quillspark.storage import grouped_files, kept, read_arrow, shared_files
+from quillspark.storage import grouped_files, kept, opened, read_arrow, shared_files, shared_folder, write_shared
 
 K1, B = 1.5, 0.75
 #: Words of a block, rows (of a query and a term) of a query file.
 WORDS_A_BLOCK, ROWS_A_FILE = 1 << 20, 1 << 16
-_INDEX = "pids array<long>, lengths binary, kept_lengths binary, terms array<string>, counts binary, places binary, tfs binary, most binary, shortest binary"
+#: Rows of the index, columns of a block's file, which has one row.
+_INDEX = "task int, block string, passages long, words long, kept_words long"
+_COLUMNS = ["pids", "lengths", "kept_lengths", "terms", "counts", "places", "tfs", "most", "shortest"]
 _MARGIN = 1e-6
 
 
@@ -35,6 +41,7 @@ def build(passages: DataFrame, tokens, drop: list[str] | None = None, stems: boo
     queries with and without stopwords.  With stems the words of ``drop`` are left out and the others go by their stems.
     """
     dropped = pa.array(sorted(drop or []), pa.string())
+    folder = shared_folder(passages.sparkSession, "blocks")
 
     def block(pids: pa.Array, lists: pa.Array) -> pa.RecordBatch:
         n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -59,7 +66,11 @@ def build(passages: DataFrame, tokens, drop: list[str] | None = None, stems: boo
         raw = (x.astype("<i4").tobytes() for x in (n, kept_n, counts[used], place, tf, most, shortest))
         a, b, c, d, e, f, g = (pa.array([x], pa.binary()) for x in raw)
         ids, words = pa.array([pids.to_pylist()], pa.list_(pa.int64())), pa.array([terms.filter(pa.array(used)).to_pylist()], pa.list_(pa.string()))
-        return pa.RecordBatch.from_arrays([ids, a, b, words, c, d, e, f, g], [x.split(" ")[0] for x in _INDEX.split(", ")])
+        path, out = f"{folder}/{uuid.uuid4().hex}", pa.BufferOutputStream()  # a repeated task writes others, and the index has those of one attempt
+        pq.write_table(pa.Table.from_arrays([ids, a, b, words, c, d, e, f, g], _COLUMNS), out, use_dictionary=False, write_statistics=False)
+        write_shared(path, out.getvalue())
+        row = pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([x]) for x in (path, len(pids), int(n.sum()), int(kept_n.sum())))
+        return pa.RecordBatch.from_arrays(list(row), ["task", "block", "passages", "words", "kept_words"])
 
     def run(batches):
         for b in batches:
@@ -73,24 +84,37 @@ def build(passages: DataFrame, tokens, drop: list[str] | None = None, stems: boo
     return kept(passages.select(F.col("pid").cast("long").alias("pid"), tokens(F.col("text")).alias("w")).mapInArrow(run, _INDEX), "lexical")
 
 
-def _int(data: bytes) -> np.ndarray:
+def _int(data: pa.Buffer) -> np.ndarray:
     return np.frombuffer(data, "<i4")
 
 
+def _blocks(index: DataFrame) -> DataFrame:
+    """The blocks' paths on all cores, those of a task that built them together."""
+    return index.repartitionByRange(index.sparkSession.sparkContext.defaultParallelism, "task").select("block")
+
+
+def _read(path: str, columns: list[str]) -> dict:
+    fs, p = opened(path)
+    with fs.open_input_file(p) as f:
+        row = pq.ParquetFile(f).read(columns)
+    return {c: row.column(c)[0].values if c in ("pids", "terms") else row.column(c)[0].as_buffer() for c in columns}
+
+
 def document_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df) of the terms that any passage has."""
 
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                yield pa.RecordBatch.from_arrays([b.column(0)[i].values, pa.array(_int(b.column(1)[i].as_py()).astype(np.int64))], ["term", "n"])
+            for path in b.column(0).to_pylist():
+                row = _read(path, ["terms", "counts"])
+                yield pa.RecordBatch.from_arrays([row["terms"], pa.array(_int(row["counts"]).astype(np.int64))], ["term", "n"])
 
-    each = index.select("terms", "counts").mapInArrow(run, "term string, n long")
+    each = _blocks(index).mapInArrow(run, "term string, n long")
     return each.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 class _Block:
-    """A row of the index with the weights that a mean length gives."""
+    """A block of the index with the weights that a mean length gives."""
 
     def __init__(self, row: dict, mean: float, without: bool):
         self.pids = row["pids"].to_numpy(zero_copy_only=False)
@@ -146,7 +170,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, tokens, stopwords: list
         asked = asked.withColumn("term", _stemmed("term"))
     asked = asked.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     without = bool(stopwords) and not stems
-    sums = index.select(F.size("pids").alias("n"), _total("kept_lengths" if without else "lengths").alias("t")).agg(F.sum("n"), F.sum("t")).first()
+    sums = index.agg(F.sum("passages"), F.sum("kept_words" if without else "words")).first()
     n, mean = int(sums[0] or 0), (sums[1] or 0) / max(sums[0] or 0, 1) or 1.0
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     factors = asked.join(document_counts(index, asked), "term").select("qid", "term", (idf * F.col("qtf")).alias("factor"))
@@ -168,9 +192,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, tokens, stopwords: list
             return held[name]
 
         for b in batches:
-            for i in range(b.num_rows):
-                row = {c: b.column(c)[i].values if c in ("pids", "terms") else b.column(c)[i].as_py() for c in b.schema.names}
-                block = _Block(row, mean, without)
+            for path in b.column(0).to_pylist():
+                block = _Block(_read(path, _COLUMNS), mean, without)
                 for name in names:
                     heads, bounds, terms, factor = get(name)
                     local = pc.index_in(terms, value_set=block.terms).fill_null(-1).to_numpy().astype(np.int64)
@@ -198,17 +221,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, tokens, stopwords: list
                         q, pids, score = (np.concatenate(x) for x in zip(*out, strict=True))
                         yield pa.RecordBatch.from_arrays([heads.take(pa.array(q)), pa.array(pids), pa.array(score)], ["qid", "pid", "score"])
 
-    return index.select("pids", "lengths", "kept_lengths", "terms", "counts", "places", "tfs", "most", "shortest").mapInArrow(run, schema)
-
-
-def _total(column: str) -> Column:
-    """The sum of the integers in a binary column."""
-
-    @F.pandas_udf("long")
-    def run(values):
-        return values.map(lambda b: int(_int(b).sum()))
-
-    return run(F.col(column))
+    return _blocks(index).mapInArrow(run, schema)
 
 
 @F.pandas_udf(T.StringType())

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from quillspark.storage import read_shared, shared_folder, write_shared
 
 #: Patterns of a file and their characters at most; characters of patterns whose automata a task keeps; hits that it holds before it passes them on.
-PATTERNS_A_FILE, CHARACTERS_A_FILE, CHARACTERS_KEPT, HITS_HELD = 50_000, 4 << 20, 16 << 20, 1 << 14
+PATTERNS_A_FILE, CHARACTERS_A_FILE, CHARACTERS_KEPT, HITS_HELD = 50_000, 2 << 20, 4 << 20, 1 << 14
 
 
 def store_patterns(patterns: DataFrame) -> tuple[str, list[str]]:

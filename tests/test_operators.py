@@ -277,3 +277,21 @@ def test_hits_are_passed_on_in_pieces():
     parts = list(substrings._in_pieces((i, "p", 1) for i in range(n)))
     assert [len(p) for p in parts] == [substrings.HITS_HELD] * 2 + [3] and [x[0] for p in parts for x in p] == list(range(n))
     assert not list(substrings._in_pieces(iter([])))
+
+
+def test_a_task_reads_one_block_of_the_index_at_a_time(spark, monkeypatch):
+    """The index's rows, which come in batches of thousands, don't hold the blocks."""
+    monkeypatch.setattr(lexical, "WORDS_A_BLOCK", 2000)
+    rng = random.Random(9)
+    docs = [(i, None if i < 3 else " ".join(f"w{rng.randrange(500)}" for _ in range(60))) for i in range(400)]
+    queries = [(i, f"w{i} w{i + 1} w{i}") for i in range(6)]
+    d, q = spark.createDataFrame(docs, "pid long, text string").coalesce(1), spark.createDataFrame(queries, "qid int, question string")
+    index = lexical.build(d, rank.words)
+    rows = index.collect()
+    assert len(rows) >= 10 and all(len(str(tuple(r))) < 500 for r in rows) and not {"pids", "places", "tfs"} & set(index.columns)
+    assert sorted((r.qid, r["rank"], r.pid) for r in rank.bm25_on(index, q, 3).collect()) == plain_bm25(docs, queries, 3)
+    assert rank.bm25(d.filter("pid < 3"), q, 3).count() == 0
+
+
+def test_automata_that_a_task_keeps_are_bounded():
+    assert substrings.CHARACTERS_KEPT + 2 * substrings.CHARACTERS_A_FILE <= 8 << 20  # about 45 bytes a character
