@@ -101,16 +101,35 @@ def _read(path: str, columns: list[str]) -> dict:
 
 
 def document_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df) of the terms that any passage has."""
+    """(term, df) of the terms that any passage has.
+
+    The different terms go to shared files, in which a task that reads blocks looks up what they have: it gives a row for each of ``terms``
+    that its blocks have, never one for each word of a block.  The index's rows are paths, so Spark would take whatever comes of them for small and broadcast it.
+    """
+    folder = grouped_files(terms.select("term").distinct(), "term", [], ROWS_A_FILE, "terms", whole=False)
 
     def run(batches):
+        names, held, found = shared_files(folder), {}, {}
+
+        def get(name: str) -> pa.Array:
+            if name not in held:
+                held.clear()  # one file at a time
+                held[name] = read_arrow(f"{folder}/{name}").column(0).combine_chunks()
+            return held[name]
+
         for b in batches:
             for path in b.column(0).to_pylist():
                 row = _read(path, ["terms", "counts"])
-                yield pa.RecordBatch.from_arrays([row["terms"], pa.array(_int(row["counts"]).astype(np.int64))], ["term", "n"])
+                counts = _int(row["counts"]).astype(np.int64)
+                for name in names:
+                    at = pc.index_in(get(name), value_set=row["terms"]).fill_null(-1).to_numpy().astype(np.int64)
+                    n = found.setdefault(name, np.zeros(len(at), np.int64))
+                    n[at >= 0] += counts[at[at >= 0]]
+        for name, n in found.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([get(name).take(pa.array(some)), pa.array(n[some])], ["term", "n"])
 
-    each = _blocks(index).mapInArrow(run, "term string, n long")
-    return each.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("df"))
+    return _blocks(index).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 class _Block:
@@ -173,7 +192,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, tokens, stopwords: list
     sums = index.agg(F.sum("passages"), F.sum("kept_words" if without else "words")).first()
     n, mean = int(sums[0] or 0), (sums[1] or 0) / max(sums[0] or 0, 1) or 1.0
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    factors = asked.join(document_counts(index, asked), "term").select("qid", "term", (idf * F.col("qtf")).alias("factor"))
+    factors = asked.join(document_counts(index, asked).hint("merge"), "term").select("qid", "term", (idf * F.col("qtf")).alias("factor"))
     folder = grouped_files(factors, "qid", ["term"], ROWS_A_FILE, "queries")
     qid = T.StructField("qid", queries.schema["qid"].dataType)
     schema = "blocks long, skipped long, scored long, passages long" if report else T.StructType([qid, T.StructField("pid", T.LongType()), T.StructField("score", T.DoubleType())])

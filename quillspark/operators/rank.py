@@ -197,7 +197,8 @@ def bm25(passages: DataFrame, queries: DataFrame, k: int, stopwords: list[str] |
 
 def bm25_on(index: DataFrame, queries: DataFrame, k: int, stopwords: list[str] | None = None, digits: int = 6, tokens=words, stems: bool = False) -> DataFrame:
     """The same on an index, which must know ``stopwords`` as its ``drop``."""
-    return top_k(lexical.search(index, queries, k, tokens, stopwords, stems, digits), k).select("qid", "rank", "pid", "score")
+    best = top_k(lexical.search(index, queries, k, tokens, stopwords, stems, digits), k).select("qid", "rank", "pid", "score")
+    return kept(best, "ranked")  # stored, so that joins know its size: the index's rows are paths, of which Spark would take it for small
 
 
 def hybrid(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
