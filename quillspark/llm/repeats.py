@@ -6,7 +6,7 @@ anchor is extended to both sides as far as windows have it as theirs: to each wi
 takes in.  A window repeats where a smaller doc_id has the same anchor extended to the same words; consecutive windows that repeat make a maximal
 repeat, which is at least ``width`` words long.  Nothing is paired: of each extension only the smallest doc_id matters.
 
-The documents are stored in blocks.  A block settles repeats within itself and sends, for each range of anchor hashes, its anchors with the
+The documents are stored in blocks, each a file that a task reads alone, so a task has one block in memory, however many it reads.  A block settles repeats within itself and sends, for each range of anchor hashes, its anchors with the
 extensions that are first in the block.  Anchors in front of ever different words (those of a common line) may still be too many for one
 range: each block lists the anchors that it has often, and one that makes up more than an eighth of an average range is sent by
 its extensions' hashes instead.  Which extensions repeat in other blocks comes back as a bit for each, in files of shared storage, and the blocks, read again, cut their texts.
@@ -20,31 +20,35 @@ from __future__ import annotations
 
 import functools
 import io
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.text import BYTE_VALUES, NOT_SPACE, Words, mixed, slices, utf8
 from quillspark.llm.work import AtomicFile, opened, shared_folder, stored
+from quillspark.storage import write_shared
 
 WIDTH, SEED = 13, 5
-#: Text bytes of a block; windows that a task joins at a time, about.
-BLOCK_BYTES, WINDOWS_A_RANGE = 8 << 20, 4 << 20
+#: Text bytes of a block; windows of a range, about; those of a range that are compared at a time, where no anchor has more; blocks that a task reads one after the other.
+BLOCK_BYTES, WINDOWS_A_RANGE, WINDOWS_AT_A_TIME, BLOCKS_A_TASK = 4 << 20, 2 << 20, 1 << 19, 8
 #: Occurrences from which a block lists an anchor; the part of an average range from which an anchor is split.
 OFTEN, SHARE = 8, 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
-_BLOCK = "part int, block long, n_words long, n_anchors long, often binary, times binary, doc_ids array<long>, texts array<string>"
+_BLOCK = "part int, block long, path string, n_words long, n_anchors long, often binary, times binary"
 _SEEDS = "part int, block long, bucket int, anchors binary, docs binary, reach binary, low binary, high binary"
 _CUT = "doc_id long, text string, n_words long, n_removed long, repeats array<struct<start: long, length: long>>"
 
 
 def blocks_of(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """The documents, stored in blocks of about BLOCK_BYTES of text, with the anchors that a block has OFTEN."""
+    """The documents, in a shared file for each block of about BLOCK_BYTES of text; its row has the path and the anchors that the block has OFTEN."""
+    folder = shared_folder(docs.sparkSession, "texts")
 
     def cut(batches):
         part, block = TaskContext.get().partitionId(), 0
@@ -54,15 +58,23 @@ def blocks_of(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 anchors = Windows(words, np.arange(end - first), width, seed).anchor
                 often, times = np.unique(anchors, return_counts=True)
                 listed = times >= OFTEN
-                rows = b.slice(first, end - first)
-                numbers = (pa.array([part], pa.int32()), *(pa.array([x]) for x in (block, len(words), len(anchors))))
-                yield pa.RecordBatch.from_arrays([*numbers, *(pa.array([x[listed].tobytes()], pa.binary()) for x in (often, times)), *(pa.ListArray.from_arrays([0, end - first], c) for c in rows.columns)], [c.split(" ")[0] for c in _BLOCK.split(", ")])
+                path, out = f"{folder}/{uuid.uuid4().hex}", pa.BufferOutputStream()  # a repeated task writes others, and the rows are those of one attempt
+                pq.write_table(pa.Table.from_batches([b.slice(first, end - first)]), out, use_dictionary=False, write_statistics=False, compression="zstd")
+                write_shared(path, out.getvalue())
+                numbers = (pa.array([part], pa.int32()), *(pa.array([x]) for x in (block, path, len(words), len(anchors))))
+                yield pa.RecordBatch.from_arrays([*numbers, *(pa.array([x[listed].tobytes()], pa.binary()) for x in (often, times))], [c.split(" ")[0] for c in _BLOCK.split(", ")])
                 block += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stored(rows.mapInArrow(cut, _BLOCK), "blocks")
 
 
+def _paths(blocks: DataFrame) -> DataFrame:
+    """The blocks' paths on all cores, BLOCKS_A_TASK or so for a task, those of a part together."""
+    n = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-blocks.count() // BLOCKS_A_TASK))
+    return blocks.select("part", "block", "path").repartitionByRange(n, "part", "block")
+
+
 def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` words, by doubling."""
     done, size, part = None, 0, hashes
@@ -145,10 +157,13 @@ def _windows(row: dict, width: int, seed: int) -> tuple[Words, Windows]:
 
 
 def _stored_rows(batches):
-    """The blocks of Arrow batches, lists as Arrow arrays."""
+    """The blocks that rows (part, block, path) name, one at a time, their columns as Arrow arrays."""
     for b in batches:
-        for i in range(len(b)):
-            yield {"part": b.column("part")[i].as_py(), "block": b.column("block")[i].as_py(), "doc_ids": b.column("doc_ids")[i].values, "texts": b.column("texts")[i].values}
+        for part, block, path in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            fs, p = opened(path)
+            with fs.open_input_file(p) as f:
+                rows = pq.ParquetFile(f).read()
+            yield {"part": part, "block": block, "doc_ids": rows.column(0).combine_chunks(), "texts": rows.column(1).combine_chunks()}
 
 
 def _ranges(blocks: DataFrame) -> tuple[int, str]:
@@ -190,7 +205,7 @@ def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
         return ((mixed(hashes) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def seeds_of(blocks: DataFrame, n: int, split: str, width: int, seed: int) -> DataFrame:
+def seeds_of(paths: DataFrame, n: int, split: str, width: int, seed: int) -> DataFrame:
     """For each block and range of anchor hashes the block's anchors, their documents and their extensions' hashes."""
 
     def send(batches):
@@ -207,7 +222,7 @@ def seeds_of(blocks: DataFrame, n: int, split: str, width: int, seed: int) -> Da
                 types = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["part", "block", "bucket", "anchors", "docs", "reach", "low", "high"])
 
-    return blocks.mapInArrow(send, _SEEDS)
+    return paths.mapInArrow(send, _SEEDS)
 
 
 def repeated(anchor: np.ndarray, doc: np.ndarray, reach: np.ndarray, window: np.ndarray) -> np.ndarray:
@@ -218,19 +233,23 @@ def repeated(anchor: np.ndarray, doc: np.ndarray, reach: np.ndarray, window: np.
     order = np.argsort(anchor, kind="stable")
     a, d = anchor[order], doc[order]
     starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    size = np.diff(np.append(starts, len(a)))
-    joined = np.repeat(np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts), size)  # anchors of several documents
-    group = np.repeat(np.arange(len(starts)), size)[joined]
-    which = order[joined]
-    begins = np.cumsum(reach) - reach
-    at = _spans(reach[which], begins[which])
-    key, value, docs = np.repeat(group, reach[which]), window[at], np.repeat(doc[which], reach[which])
-    order = np.lexsort((value, key))
-    same = (key[order][1:] == key[order][:-1]) & (value[order][1:] == value[order][:-1])
-    starts = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else order
-    if len(order):
-        ordered = docs[order]
-        out[at[order]] = ordered > np.repeat(np.minimum.reduceat(ordered, starts), np.diff(np.append(starts, len(order))))
+    several = np.flatnonzero(np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts))  # anchors of several documents
+    bounds, begins = np.append(starts, len(a)), np.cumsum(reach) - reach
+    size = np.add.reduceat(reach[order], starts)[several]
+    so_far, low = np.cumsum(size), 0
+    while low < len(several):
+        high = max(low + 1, int(np.searchsorted(so_far, so_far[low] - size[low] + WINDOWS_AT_A_TIME, "right")))
+        some = several[low:high]
+        n = bounds[some + 1] - bounds[some]
+        which = order[_spans(n, bounds[some])]
+        at = _spans(reach[which], begins[which])
+        key, value, docs = np.repeat(np.repeat(np.arange(len(some)), n), reach[which]), window[at], np.repeat(doc[which], reach[which])
+        by = np.lexsort((value, key))
+        same = (key[by][1:] == key[by][:-1]) & (value[by][1:] == value[by][:-1])
+        firsts = np.flatnonzero(np.concatenate([[True], ~same]))
+        ordered = docs[by]
+        out[at[by]] = ordered > np.repeat(np.minimum.reduceat(ordered, firsts), np.diff(np.append(firsts, len(by))))
+        low = high
     return out
 
 
@@ -239,14 +258,24 @@ def store_answers(seeds: DataFrame, n: int) -> str:
     folder = shared_folder(seeds.sparkSession, "answers")
 
     def join(batches):
-        rows = [(r, *(np.frombuffer(r[c], t) for c, t in (("anchors", np.uint64), ("docs", np.int64), ("reach", np.uint8), ("low", "<u4"), ("high", "<u2")))) for b in batches for r in b.to_pylist()]
-        if not rows:
+        heads, parts = [], [[] for _ in range(5)]
+        for b in batches:
+            heads.append(b.select(["part", "block", "bucket"]))
+            for held, c, kind in zip(parts, ("anchors", "docs", "reach", "low", "high"), (np.uint64, np.int64, np.uint8, "<u4", "<u2"), strict=True):
+                held += [np.frombuffer(x.as_buffer(), kind) for x in b.column(c)]
+        if not parts[0]:
             return
-        anchor, doc, reach, low, high = (np.concatenate([r[i] for r in rows]) for i in range(1, 6))
-        found = repeated(anchor, doc, reach.astype(np.int64), low.astype(np.int64) << 16 | high)
-        cuts = np.cumsum([len(r[4]) for r in rows])[:-1]
+        cuts = np.cumsum([len(x) for x in parts[3]])[:-1]
+        anchor, doc, reach, low, high = (np.concatenate(x) for x in parts)
+        parts.clear()
+        window = low.astype(np.int64)
+        window <<= 16
+        window |= high
+        del low, high
+        found = repeated(anchor, doc, reach.astype(np.int64), window)
         bits = [np.packbits(x).tobytes() if x.any() else b"" for x in np.split(found, cuts)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0]["part"] for r in rows], pa.int32()), pa.array([r[0]["block"] for r in rows]), pa.array([r[0]["bucket"] for r in rows], pa.int32()), pa.array(bits, pa.binary())], ["part", "block", "bucket", "bits"])
+        rows = pa.Table.from_batches(heads).combine_chunks()
+        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in rows.columns), pa.array(bits, pa.binary())], ["part", "block", "bucket", "bits"])
 
     def write(batches):
         part, held = None, {}
@@ -297,7 +326,8 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Da
     """A row for each document: doc_id, text (the words that stay, joined by one space), n_words, n_removed and the maximal repeats, as spans of words."""
     blocks = blocks_of(docs, width, seed)
     n, split = _ranges(blocks)
-    folder = store_answers(seeds_of(blocks, n, split, width, seed), n)
+    paths = _paths(blocks)
+    folder = store_answers(seeds_of(paths, n, split, width, seed), n)
 
     def answer(batches):
         part, found, parted = None, {}, _loaded(split)
@@ -334,7 +364,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Da
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, words.bounds), pa.int32()), spans)
             yield pa.RecordBatch.from_arrays([row["doc_ids"], cut_texts(words, gone), pa.array(words.counts()), pa.array(removed[words.bounds[1:]] - removed[words.bounds[:-1]]), lists], ["doc_id", "text", "n_words", "n_removed", "repeats"])
 
-    return blocks.mapInArrow(answer, _CUT)
+    return paths.mapInArrow(answer, _CUT)
 
 
 def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
