@@ -223,13 +223,66 @@ def passage_weights(dense: DataFrame, bonus: DataFrame, ratio: float = 1.5, weig
     return both.select("qid", "pid", F.round((ratio * F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))) * weight, 9).alias("weight"))
 
 
-def passage_order(edges: DataFrame, active: DataFrame, passages: DataFrame, k: int, damping: float = 0.5, rounds: int = 5) -> DataFrame:
+def passage_order(edges: DataFrame, active: DataFrame, passages: DataFrame, k: int, damping: float = 0.5, rounds: int = 5, digits: int = 9) -> DataFrame:
     """(qid, rank, pid, score): passages by PageRank from the weights of entities (qid, entity, score) and passages (qid, pid, weight).
-    edges: src, dst, w between entities and passages; nodes are "e:" + entity and "p:" + pid."""
-    entity = active.select("qid", F.concat(F.lit("e:"), "entity").alias("node"), F.col("score").alias("weight"))
-    reset = entity.union(passages.select("qid", F.concat(F.lit("p:"), F.col("pid").cast("string")), "weight")).filter("weight > 0")
-    scores = pagerank(edges, reset, damping, rounds)
-    return top_k(scores.filter("node LIKE 'p:%'").select("qid", F.substring("node", 3, 40).cast("long").alias("pid"), "score"), k).select("qid", "rank", "pid", "score")
+    edges: src, dst, w between entities and passages; nodes are "e:" + entity and "p:" + pid.
+
+    The scores are those of ``pagerank``, but passages with equal edges have equal scores for a query except where it gives them weights of their own. So the rounds
+    know a class of such passages by its smallest one, beside it the weights of its members, and what is moved follows queries x classes and not queries x passages.
+    The k best are among the weighted passages and the k smallest pids of the k best classes.
+    """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = edges.select("src", "dst", "w").union(edges.select("dst", "src", "w")).toDF("src", "dst", "w")
+    key, pid = ["a", "b", "n_edges"], F.substring("node", 3, 40).cast("long").alias("pid")
+    summed = both.filter(F.col("src").startswith("p:")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    hashes = (F.bit_xor(F.xxhash64(*salt, "dst", "w")) for salt in ((), (F.lit(1),)))
+    signed = kept(summed.groupBy(F.col("src").alias("node")).agg(*(h.alias(c) for h, c in zip(hashes, "ab", strict=True)), F.count("*").alias("n_edges")).select(pid, *key), "signed")
+    classes = kept(signed.groupBy(*key).agg(F.min("pid").alias("class"), F.count("*").alias("size")), "classes")
+    name = F.concat(F.lit("p:"), F.col("class").cast("string"))
+    folder = _store_shares(_class_shares(both, classes.select(name.alias("node"), "size")), n)
+
+    entity = active.select("qid", F.concat(F.lit("e:"), "entity").alias("node"), F.lit(None).cast("long").alias("pid"), F.col("score").alias("weight"))
+    reset = entity.union(passages.select("qid", F.concat(F.lit("p:"), F.col("pid").cast("string")), "pid", "weight")).filter("weight > 0")
+    start = kept(reset.select("qid", "node", "pid", F.round(F.col("weight") / F.sum("weight").over(W.partitionBy("qid")), digits).alias("r")).groupBy("qid", "node", "pid").agg(F.sum("r").alias("r")))
+    placed = start.filter("pid is not null").join(signed.join(classes, key).select("pid", name.alias("of"), "size"), "pid", "left").select("qid", F.coalesce("of", "node").alias("node"), F.coalesce("size", F.lit(1)).alias("size"), "pid", "r")
+    placed = placed.union(start.filter("pid is null").select("qid", "node", F.lit(1), "pid", "r"))
+    base = kept(placed.groupBy("qid", "node").agg(F.collect_list(F.struct("pid", "r")).alias("own"), F.max("size").alias("size")))  # a query's weights in one class
+    none = [F.lit(None).cast(base.schema[c].dataType).alias(c) for c in ("own", "size")]
+
+    def score(r: Column, t: int) -> Column:
+        """Of a member with weight r after t rounds, from what flows to each member."""
+        return F.round(r * (1 - damping) + F.col("flow"), digits) if t else r
+
+    def mean(t: int) -> Column:
+        rest = F.round("flow", digits)
+        more = F.aggregate("own", F.lit(0.0), lambda total, x: total + score(x["r"], t) - rest)
+        return rest + F.coalesce(more / F.col("size"), F.lit(0.0))
+
+    state = base.withColumn("flow", F.lit(0.0)).withColumn("met", F.lit(False)).repartition(n, "node")
+    for t in range(rounds):
+        flow = _flow(state.select("qid", "node", mean(t).alias("x"), _part_of("node", n).alias("part")), folder, damping)
+        moved = base.select("qid", "node", F.lit(None).cast("double").alias("x"), "own", "size").union(flow.select("qid", "node", "x", *none)).repartition(n, "node")
+        state = moved.groupBy("qid", "node").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("flow"), F.count("x").alias("met"), F.first("own", ignorenulls=True).alias("own"), F.first("size", ignorenulls=True).alias("size"))
+        state = state.withColumn("met", F.col("met") > 0)
+    state = kept(state.filter(F.col("node").startswith("p:")), "classes")
+
+    own = state.select("qid", "flow", F.explode("own").alias("x")).select("qid", "x.pid", score(F.col("x.r"), rounds).alias("score"))
+    best = top_k(state.filter("met").select("qid", pid, F.round("flow", digits).alias("score")), k).select("qid", F.col("pid").alias("class"), "score")
+    few = signed.withColumn("place", F.row_number().over(W.partitionBy(*key).orderBy("pid"))).filter(F.col("place") <= k).join(classes, key).select("class", "pid")
+    found = best.join(few, "class").select("qid", "pid", "score").union(own).groupBy("qid", "pid").agg(F.max("score").alias("score"))  # an own weight only adds
+    return top_k(found, k).select("qid", "rank", "pid", "score")
+
+
+def _class_shares(both: DataFrame, classes: DataFrame) -> DataFrame:
+    """(src, dst, share) of the edges (src, dst, w), in both directions, between nodes that aren't passages and those that stand for a class (node, size): what a
+    node gives to one member, what all members of a class together give to a node."""
+
+    def known(rows: DataFrame, end: str) -> DataFrame:
+        passage = F.col(end).startswith("p:")
+        return rows.filter(~passage).union(rows.filter(passage).join(classes.select(F.col("node").alias(end)), end, "left_semi").select("src", "dst", "w"))
+
+    total = both.groupBy("src").agg(F.sum("w").alias("total")).join(classes.withColumnRenamed("node", "src"), "src", "left")
+    return known(known(both, "src"), "dst").join(total, "src").select("src", "dst", (F.col("w") / F.col("total") * F.coalesce("size", F.lit(1))).alias("share"))
 
 
 #: Edges of a file of an edge block; edges that a task follows at a time.
@@ -245,8 +298,11 @@ def store_edges(edges: DataFrame, n: int) -> str:
     """A shared folder with the shares of undirected weighted edges (src, dst, w), in files by the partition of src and sorted by it.  A node's edges, however many,
     fill as many files as they need, so no task holds more than one file of a hub."""
     both = edges.select("src", "dst", "w").union(edges.select("dst", "src", "w")).toDF("src", "dst", "w")
-    shares = both.join(both.groupBy("src").agg(F.sum("w").alias("total")), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share"))
-    folder = shared_folder(edges.sparkSession, "edges")
+    return _store_shares(both.join(both.groupBy("src").agg(F.sum("w").alias("total")), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), n)
+
+
+def _store_shares(shares: DataFrame, n: int) -> str:
+    folder = shared_folder(shares.sparkSession, "edges")
 
     def write(batches):
         held, k, part = [], 0, None
